@@ -22,20 +22,25 @@ def _static(owner: str, method: str, *args: Column) -> Column:
     return F.java_method(F.lit(owner), F.lit(method), *args)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: static calls are not shared between uses."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def nfc(text: Column) -> Column:
-    return F.when(text.isNotNull(), _static(_ICU, "compose", text, F.lit(False)))
+    return let(text, lambda t: F.when(t.isNotNull(), _static(_ICU, "compose", t, F.lit(False))))
 
 
 def nfkc(text: Column) -> Column:
-    return F.when(text.isNotNull(), _static(_ICU, "compose", text, F.lit(True)))
+    return let(text, lambda t: F.when(t.isNotNull(), _static(_ICU, "compose", t, F.lit(True))))
 
 
 def nfkd(text: Column) -> Column:
-    return F.when(text.isNotNull(), _static(_ICU, "decompose", text, F.lit(True)))
+    return let(text, lambda t: F.when(t.isNotNull(), _static(_ICU, "decompose", t, F.lit(True))))
 
 
 def casefold(text: Column) -> Column:
-    return F.when(text.isNotNull(), _static(_ICU_CASE, "foldCase", text, F.lit(True)))
+    return let(text, lambda t: F.when(t.isNotNull(), _static(_ICU_CASE, "foldCase", t, F.lit(True))))
 
 
 def accent_fold(text: Column) -> Column:
@@ -69,13 +74,17 @@ _HTML5_NAMES = {
 
 
 def html_unescape(text: Column) -> Column:
-    closed = F.regexp_replace(text, r"&#(x[0-9a-fA-F]+|[0-9]+)(?![0-9a-fA-F;])", "&#$1;")
-    named = reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), _HTML5_NAMES.items(), closed)
-    return F.when(text.contains("&"), _static(_HTML, "unescapeHtml4", named)).otherwise(text)
+    def decoded(t: Column) -> Column:
+        closed = F.regexp_replace(t, r"&#(x[0-9a-fA-F]+|[0-9]+)(?![0-9a-fA-F;])", "&#$1;")
+        named = reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), _HTML5_NAMES.items(), closed)
+        return F.when(t.contains("&"), _static(_HTML, "unescapeHtml4", named)).otherwise(t)
+
+    return let(text, decoded)
 
 
 def strip_tags(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?s)<!--.*?-->|</?[A-Za-z][^>]*>|<[!?][^>]*>", "")
+    tag = r"(?s)<!--.*?-->|</?[A-Za-z][^>]*>|<[!?][^>]*>"
+    return let(text, lambda t: F.when(t.contains("<"), F.regexp_replace(t, tag, "")).otherwise(t))
 
 
 def normalize_transfer_text(text: Column) -> Column:
@@ -111,9 +120,12 @@ def _any_match(text: Column, patterns: tuple[str, ...]) -> Column:
 
 def safe_string(text: Column) -> Column:
     """Trimmed NFC text when it is short and carries no identifier, else null."""
-    cleaned = nfc(strip(text))
-    unsafe = _any_match(cleaned, (PHONE, UUID, EMAIL, URL, CONTROL, LONG_NUMBER, PERSON_NAME))
-    return F.when((F.length(text) <= 256) & (cleaned != "") & ~unsafe, cleaned)
+
+    def checked(cleaned: Column) -> Column:
+        unsafe = _any_match(cleaned, (PHONE, UUID, EMAIL, URL, CONTROL, LONG_NUMBER, PERSON_NAME))
+        return F.when((cleaned != "") & ~unsafe, cleaned)
+
+    return let(F.when(F.length(text) <= 256, nfc(strip(text))), checked)
 
 
 def safe_dimension(text: Column) -> Column:
@@ -143,22 +155,29 @@ def has_phone_digits(text: Column) -> Column:
 
 
 def has_private_identifier(text: Column) -> Column:
-    plain = F.regexp_replace(nfkc(text), r"[\p{Cf}\p{M}]+", "")
     uuid = r"(?i)(?<![0-9a-f])[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}(?![0-9a-f])"
-    digits = F.regexp_replace(plain, r"(?U)\D+", "")
-    return F.coalesce(digits.rlike(r"(?:0|84)[0-9]{8,10}") | plain.rlike(uuid), F.lit(False))
+
+    def found(plain: Column) -> Column:
+        return F.regexp_replace(plain, r"(?U)\D+", "").rlike(r"(?:0|84)[0-9]{8,10}") | plain.rlike(uuid)
+
+    return F.coalesce(let(F.regexp_replace(nfkc(text), r"[\p{Cf}\p{M}]+", ""), found), F.lit(False))
 
 
 def looks_like_person(name: Column, extra_tokens: tuple[str, ...] = ()) -> Column:
     """Two to six alphabetic words, none of them a service word."""
-    cleaned = strip(nfkc(name))
-    words = F.split(cleaned, r"(?U)\s+")
-    alphabetic = F.forall(words, lambda w: F.replace(w, F.lit("-"), F.lit("")).rlike(r"^\p{L}+$"))
-    folded = accent_fold(cleaned)
-    tokens = F.split(F.replace(folded, F.lit("-"), F.lit(" ")), r"(?U)\s+")
-    service = F.arrays_overlap(tokens, F.lit(list(K.SERVICE_TOKENS + extra_tokens)))
-    phrase = reduce(lambda a, b: a | b, [folded.contains(p) for p in K.SERVICE_PHRASES])
-    return F.coalesce(F.size(words).between(2, 6) & alphabetic & ~service & ~phrase, F.lit(False))
+
+    def judged(cleaned: Column) -> Column:
+        words = F.split(cleaned, r"(?U)\s+")
+        alphabetic = F.forall(words, lambda w: F.replace(w, F.lit("-"), F.lit("")).rlike(r"^\p{L}+$"))
+
+        def is_service(folded: Column) -> Column:
+            tokens = F.split(F.replace(folded, F.lit("-"), F.lit(" ")), r"(?U)\s+")
+            named = F.arrays_overlap(tokens, F.lit(list(K.SERVICE_TOKENS + extra_tokens)))
+            return reduce(lambda a, b: a | b, [folded.contains(p) for p in K.SERVICE_PHRASES], named)
+
+        return F.size(words).between(2, 6) & alphabetic & ~let(accent_fold(cleaned), is_service)
+
+    return F.coalesce(let(strip(nfkc(name)), judged), F.lit(False))
 
 
 # ---- masking ------------------------------------------------------------------------------
@@ -218,23 +237,32 @@ def redact_comment(text: Column) -> Column:
     """
     cleaned = reduce(lambda c, p: F.regexp_replace(c, p, K.REDACTED), _COMMENT_RULES, strip(text))
     words = F.filter(F.slice(F.split(cleaned, r"(?U)\s+"), 1, 120), lambda w: w != "")
-    tokens = F.transform(words, lambda w: F.regexp_replace(w, r"^[.,:;!?()\[\]{}\"']+|[.,:;!?()\[\]{}\"']+$", ""))
-    folded = F.transform(tokens, lambda w: F.lower(w))
+    edges = r"^[.,:;!?()\[\]{}\"']+|[.,:;!?()\[\]{}\"']+$"
+    pairs = F.transform(words, lambda w: F.struct(w.alias("w"), F.regexp_replace(w, edges, "").alias("t")))
+    candidate = let(pairs, _without_names)
+    return let(strip(F.substring(candidate, 1, K.COMMENT_LENGTH)),
+               lambda c: F.when(c != "", F.coalesce(safe_string(c), F.lit(K.REDACTED))))
+
+
+def _without_names(words: Column) -> Column:
+    """Words joined again with personal names replaced, walking from left to right."""
     names, middles = F.lit(list(K.FAMILY_NAMES)), F.lit(list(K.NAME_MIDDLES))
     ambiguous = F.lit(["do", "ho", "le", "ly", "vo", "vu", "dang"])
 
-    def name_length(_: Column, i: Column) -> Column:
-        here, after = F.get(folded, i), F.coalesce(F.get(folded, i + 1), F.lit(""))
-        before = F.coalesce(F.get(folded, i - 1), F.lit(""))
+    def folded(i: Column) -> Column:
+        return F.coalesce(F.lower(F.get(words, i)["t"]), F.lit(""))
+
+    def name_length(word: Column, i: Column) -> Column:
+        here, after, before = F.lower(word["t"]), folded(i + 1), folded(i - 1)
         common = (here.isin("lý", "ly") & (after == "do")) | ((here == "hồ") & (after == "sơ"))
         common = common | ((here == "ho") & (after == "so"))
         process = here.isin("lý", "ly") & before.isin("xử", "xu")
         middle = F.array_contains(middles, after)
-        lower_ascii = F.array_contains(ambiguous, here) & ~F.get(tokens, i).rlike(r"^\p{Lu}") & ~middle
+        lower_ascii = F.array_contains(ambiguous, here) & ~word["t"].rlike(r"^\p{Lu}") & ~middle
         hit = F.array_contains(names, here) & ~common & ~process & ~lower_ascii & (i + 1 < F.size(words))
         return F.when(hit, F.when(middle & (i + 2 < F.size(words)), F.lit(3)).otherwise(F.lit(2))).otherwise(F.lit(0))
 
-    steps = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"), name_length(w, i).alias("n")))
+    steps = F.transform(words, lambda w, i: F.struct(w["w"].alias("w"), i.alias("i"), name_length(w, i).alias("n")))
     start = F.struct(F.lit(0).alias("next"), F.lit("").alias("out"))
 
     def walk(acc: Column, step: Column) -> Column:
@@ -243,9 +271,7 @@ def redact_comment(text: Column) -> Column:
         moved = F.struct((step["i"] + F.greatest(step["n"], F.lit(1))).alias("next"), joined.alias("out"))
         return F.when(step["i"] < acc["next"], acc).otherwise(moved)
 
-    walked = F.aggregate(steps, start, walk, lambda acc: acc["out"])
-    candidate = strip(F.substring(walked, 1, K.COMMENT_LENGTH))
-    return F.when(candidate != "", F.coalesce(safe_string(candidate), F.lit(K.REDACTED)))
+    return F.aggregate(steps, start, walk, lambda acc: acc["out"])
 
 
 def strip_title_suffix(title: Column) -> Column:

@@ -130,15 +130,10 @@ def tpe_option_label(tpe_rows: DataFrame) -> DataFrame:
 
 def coverage_rates(sessions: DataFrame) -> DataFrame:
     """Share of tickets that carry each attribute."""
-    rows = project_intents(sessions)
-    total = F.count(F.lit(1))
-
-    def share(cond: Column, name: str) -> Column:
-        return F.when(total > 0, F.count_if(cond) / total).otherwise(F.lit(0.0)).alias(name)
-
-    return rows.agg(
-        share(segment_value("issue_category") != K.MISSING, "issue_category"), share(segment_value("app") != K.MISSING, "app"),
-        share(F.size("tpe_signals") > 0, "tpe"), share(F.col("safe_intent").isNotNull(), "intent"), share(F.col("skill_count") > 0, "skill"))
+    rows = project_intents(sessions).select(
+        (segment_value("issue_category") != K.MISSING).alias("issue_category"), (segment_value("app") != K.MISSING).alias("app"),
+        (F.size("tpe_signals") > 0).alias("tpe"), F.col("safe_intent").isNotNull().alias("intent"), (F.col("skill_count") > 0).alias("skill"))
+    return rows.agg(*[F.coalesce(F.avg(F.col(c).cast("double")), F.lit(0.0)).alias(c) for c in rows.columns])
 
 
 def quality_label(value: Column) -> Column:
