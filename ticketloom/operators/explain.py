@@ -191,7 +191,7 @@ def guardrail_reason(classes: DataFrame) -> DataFrame:
 
 def session_escalation(classes: DataFrame, order: list[str]) -> DataFrame:
     """Class of the last turn; "already handled" classes point back to the latest real class."""
-    at = F.struct(*order, "escalation_class", "turn")
+    at = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], "escalation_class", "turn")
     real = ~F.col("escalation_class").isin("NONE", "E4", "E5")
     marks = classes.groupBy("session_id").agg(F.max(at).alias("last"), F.max(F.when(real, at)).alias("real"))
     back = F.col("last.escalation_class").isin("E4", "E5") & F.col("real").isNotNull()

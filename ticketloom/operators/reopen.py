@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 
+import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -75,29 +77,46 @@ def normalize_vectors(vectors: DataFrame) -> DataFrame:
     return staged.withColumn("vector", unit).drop("__n")
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+def _assigner(centroids: list[list[float]]):
+    """Arrow function: index of the closest centroid, the lower index on ties."""
+    points = np.asarray(centroids, dtype=float)
 
+    @F.pandas_udf("int")
+    def nearest(vectors: pd.Series) -> pd.Series:
+        if vectors.empty:
+            return pd.Series([], dtype="int32")
+        return pd.Series((1.0 - np.stack(vectors.to_numpy()) @ points.T).argmin(axis=1).astype("int32"))
 
-def _nearest(centroids: list[list[float]]) -> Column:
-    """Index of the closest centroid, the lower index on ties: an expression, not a join."""
-    distances = F.array(*[F.struct((1.0 - _dot(F.col("vector"), F.lit(c))).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centroids)])
-    return F.array_min(distances)["i"]
+    return nearest(F.col("vector"))
 
 
-def _cluster_sums(rows: DataFrame, assigned: Column) -> tuple[dict[int, list[float]], dict[int, int]]:
-    """Vector sum and size per cluster: k x dimensions numbers reach the driver.
+def _round(rows: DataFrame, centroids: list[list[float]], before: list[list[float]] | None) -> tuple[dict[int, list[float]], dict[int, int], int]:
+    """One pass: vector sum and size per cluster, and how many rows changed their cluster.
 
-    Components are added as decimals, so the sums do not depend on the order of partial results.
+    Every batch is reduced to at most k sums inside the task, Spark adds those up, and k vectors
+    reach the driver.
     """
-    parts = rows.select(assigned.alias("c"), F.posexplode("vector").alias("i", "x"))
-    sums = parts.groupBy("c", "i").agg(F.sum(F.col("x").cast("decimal(28,18)")).cast("double").alias("s"), F.count(F.lit(1)).alias("n")).collect()
-    totals: dict[int, dict[int, float]] = {}
-    sizes: dict[int, int] = {}
-    for row in sums:
-        totals.setdefault(row["c"], {})[row["i"]] = row["s"]
-        sizes[row["c"]] = row["n"]
-    return {c: [v[i] for i in sorted(v)] for c, v in totals.items()}, sizes
+    now, old = np.asarray(centroids, dtype=float), None if before is None else np.asarray(before, dtype=float)
+
+    def reduce_batches(batches):
+        for batch in batches:
+            if batch.empty:
+                continue
+            x = np.stack(batch["vector"].to_numpy())
+            c = (1.0 - x @ now.T).argmin(axis=1)
+            moved = np.ones(len(c), bool) if old is None else (1.0 - x @ old.T).argmin(axis=1) != c
+            for i in np.unique(c):
+                yield pd.DataFrame({"c": [int(i)], "n": [int((c == i).sum())], "moved": [int(moved[c == i].sum())], "s": [x[c == i].sum(axis=0)]})
+
+    parts = rows.select("vector").mapInPandas(reduce_batches, "c int, n long, moved long, s array<double>")
+    return _totals(parts)
+
+
+def _totals(parts: DataFrame) -> tuple[dict[int, list[float]], dict[int, int], int]:
+    spread = parts.select("c", "n", "moved", F.posexplode("s").alias("i", "x"))
+    added = spread.groupBy("c", "i").agg(F.sum("x").alias("s"), F.sum("n").alias("n"), F.sum("moved").alias("moved"))
+    packed = added.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("i", "s"))).alias("s"), F.max("n").alias("n"), F.max("moved").alias("moved")).collect()
+    return {r["c"]: [x["s"] for x in r["s"]] for r in packed}, {r["c"]: r["n"] for r in packed}, sum(r["moved"] for r in packed)
 
 
 def _unit(total: list[float], n: int) -> list[float]:
@@ -110,45 +129,51 @@ def fit_centroids(unit_vectors: DataFrame, k: int, rounds: int = 50) -> list[lis
     """Cosine k-means from the first k vectors by id. Stops when no row changes its cluster; an
     empty cluster keeps its centroid. Only centroids live on the driver."""
     centroids = [list(r["vector"]) for r in unit_vectors.orderBy("id").limit(k).collect()]
-    used = centroids
+    used, before = centroids, None
     for _ in range(rounds):
-        totals, sizes = _cluster_sums(unit_vectors, _nearest(centroids))
+        totals, sizes, moved = _round(unit_vectors, centroids, before)
         used = centroids
-        updated = [_unit(totals[c], sizes[c]) if c in totals else centroids[c] for c in range(k)]
-        if updated == centroids:
-            break
-        moved = unit_vectors.where(_nearest(updated) != _nearest(centroids)).limit(1).count()
-        centroids = updated
-        if not moved:
-            used = centroids
+        if before is not None and moved == 0:
             break
+        before = centroids
+        centroids = [_unit(totals[c], sizes[c]) if c in totals else centroids[c] for c in range(len(centroids))]
     return used
 
 
 def kmeans_cosine(unit_vectors: DataFrame, k: int) -> DataFrame:
     centroids = fit_centroids(unit_vectors, k)
-    return unit_vectors.select("id", _nearest(centroids).alias("cluster_id"), "vector")
+    return unit_vectors.select("id", _assigner(centroids).alias("cluster_id"), "vector")
 
 
 def silhouette_rows(assigned: DataFrame) -> DataFrame:
-    """Exact cosine silhouette per row from cluster sums: linear in rows, no pairs."""
-    totals, sizes = _cluster_sums(assigned, F.col("cluster_id"))
-    if len(sizes) < 2:
+    """Exact cosine silhouette per row from cluster sums: linear in rows, no pairs.
+
+    With S the sum of a cluster's n vectors, the mean distance of x to another cluster is
+    1 - x.S/n, and to its own cluster (n - x.S - (1 - x.x)) / (n - 1).
+    """
+    parts = assigned.select("cluster_id", F.posexplode("vector").alias("i", "x")).groupBy("cluster_id", "i").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
+    packed = parts.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("i", "s"))).alias("s"), F.max("n").alias("n")).orderBy("cluster_id").collect()
+    if len(packed) < 2:
         return assigned.select("id", "cluster_id", F.lit(None).cast("double").alias("silhouette"))
-    own_dot = F.lit(0.0)
-    other = []
-    own_size = F.lit(0)
-    for c, total in sorted(totals.items()):
-        here = F.col("cluster_id") == c
-        dot = _dot(F.col("vector"), F.lit(total))
-        own_dot, own_size = F.when(here, dot).otherwise(own_dot), F.when(here, F.lit(sizes[c])).otherwise(own_size)
-        other.append(F.when(~here, 1.0 - dot / sizes[c]))
-    self_distance = 1.0 - _dot(F.col("vector"), F.col("vector"))
-    a = (own_size - own_dot - self_distance) / (own_size - 1)
-    b = F.array_min(F.array_compact(F.array(*other)))
-    top = F.greatest(a, b)
-    score = F.when(own_size == 1, F.lit(0.0)).when(top == 0, F.lit(0.0)).otherwise((b - a) / top)
-    return assigned.select("id", "cluster_id", score.alias("silhouette"))
+    ids = np.array([r["cluster_id"] for r in packed])
+    sums, sizes = np.array([[x["s"] for x in r["s"]] for r in packed]), np.array([r["n"] for r in packed], dtype=float)
+
+    @F.pandas_udf("double")
+    def score(vectors: pd.Series, clusters: pd.Series) -> pd.Series:
+        if vectors.empty:
+            return pd.Series([], dtype="float64")
+        x = np.stack(vectors.to_numpy())
+        own = np.searchsorted(ids, clusters.to_numpy())
+        dots, rows = x @ sums.T, np.arange(len(x))
+        n = sizes[own]
+        a = (n - dots[rows, own] - (1.0 - (x * x).sum(axis=1))) / np.where(n > 1, n - 1, 1)
+        others = 1.0 - dots / sizes
+        others[rows, own] = np.inf
+        b = others.min(axis=1)
+        top = np.maximum(a, b)
+        return pd.Series(np.where((n == 1) | (top == 0), 0.0, (b - a) / np.where(top == 0, 1.0, top)))
+
+    return assigned.select("id", "cluster_id", score("vector", "cluster_id").alias("silhouette"))
 
 
 def silhouette_cosine(assigned: DataFrame) -> DataFrame:
@@ -164,14 +189,14 @@ def select_k(vectors: DataFrame, low: int = 5, high: int = 15) -> DataFrame:
     if n >= low + 1:
         for k in range(low, min(high, n - 1) + 1):
             centroids = fit_centroids(unit, k)
-            row = silhouette_cosine(unit.select("id", _nearest(centroids).alias("cluster_id"), "vector")).first()
+            row = silhouette_cosine(unit.select("id", _assigner(centroids).alias("cluster_id"), "vector")).first()
             if row["clusters"] == k and row["silhouette"] is not None and (best is None or row["silhouette"] > best[0]):
                 best = (row["silhouette"], k, centroids)
     unit.unpersist()
     base = normalize_vectors(vectors)
     if best is None:
         return base.select("id", F.lit(0).alias("cluster_id"), F.lit(1).alias("k"), F.lit(None).cast("double").alias("score"))
-    return base.select("id", _nearest(best[2]).alias("cluster_id"), F.lit(best[1]).alias("k"), F.lit(best[0]).alias("score"))
+    return base.select("id", _assigner(best[2]).alias("cluster_id"), F.lit(best[1]).alias("k"), F.lit(best[0]).alias("score"))
 
 
 # ---- sampling -----------------------------------------------------------------------------

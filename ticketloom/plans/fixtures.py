@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta, timezone
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,20 @@ CARRY = (
 AGENT_CONFIG = {"survey": {"negative": (-103,), "neutral": (100,), "positive": (103,)}}
 
 
+def plan_once(build):
+    """Keeps the lazy DataFrame of a view per session and folder: the plan is shared, no data is."""
+
+    @wraps(build)
+    def view(spark: SparkSession, sf_dir: str, *args) -> DataFrame:
+        plans = spark.__dict__.setdefault("_ticketloom_plans", {})
+        key = (build.__name__, sf_dir, *args)
+        if key not in plans:
+            plans[key] = build(spark, sf_dir, *args)
+        return plans[key]
+
+    return view
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -40,6 +55,7 @@ def pick(index: Column, *values) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), index.cast("int") + 1)
 
 
+@plan_once
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with their session and their position in it."""
     raw = table(spark, sf_dir, "events")
@@ -101,10 +117,12 @@ def _trace_columns(ev: DataFrame) -> DataFrame:
     )
 
 
+@plan_once
 def raw_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _trace_columns(events(spark, sf_dir))
 
 
+@plan_once
 def damaged_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw traces with broken fields and repeated copies, so that every reject reason has rows."""
     e = F.col("seq")
@@ -125,21 +143,24 @@ def damaged_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.unionByName(changed)
 
 
+@plan_once
 def traces(spark: SparkSession, sf_dir: str, templates: tuple[str, ...] = K.TRANSFER_TEXTS) -> DataFrame:
     return narrow_traces(raw_traces(spark, sf_dir), templates)
 
 
+@plan_once
 def sessions(spark: SparkSession, sf_dir: str, window: CohortWindow = WINDOW) -> DataFrame:
     return classify.classify_sessions(traces(spark, sf_dir), window, CARRY)
 
 
+@plan_once
 def enriched_sessions(spark: SparkSession, sf_dir: str, window: CohortWindow = WINDOW) -> DataFrame:
     rows = traces(spark, sf_dir)
     signals = enrich.observation_signals(observations(spark, sf_dir))
-    base = classify.classify_sessions(rows, window, CARRY)
-    return enrich.enrich_sessions(base, rows, signals)
+    return enrich.enrich_sessions(sessions(spark, sf_dir, window), rows, signals)
 
 
+@plan_once
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations of the seven enrichment lanes."""
     ev = table(spark, sf_dir, "events")
@@ -183,6 +204,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@plan_once
 def llm_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     ts = T.as_utc_ntz(F.col("ts"), ev.schema["ts"].dataType.typeName())
@@ -199,6 +221,7 @@ def _conversation_start(conv: Column) -> Column:
     return F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'") + F.make_dt_interval(hours=conv.cast("int"))
 
 
+@plan_once
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Help-desk messages with their text; `read_conversations` reduces it to safe fields."""
     role, size = F.col("role"), F.length("text")
@@ -219,6 +242,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@plan_once
 def surveys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One survey without an agent id per conversation, 35 minutes after its start."""
     conv = table(spark, sf_dir, "conversations").select("conv_id").distinct()
@@ -230,6 +254,7 @@ def surveys(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@plan_once
 def csat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored survey answers, one per labelled document."""
     joined = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
@@ -255,15 +280,18 @@ def inventory(spark: SparkSession, sf_dir: str, ticket_sessions: DataFrame) -> D
     return seen.unionByName(unseen).withColumnRenamed("session_id", "ticket_id")
 
 
+@plan_once
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
 
 
+@plan_once
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
+@plan_once
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All observations of every trace, for the explanation jobs."""
     ev = events(spark, sf_dir)

@@ -65,6 +65,7 @@ iss1 AS (
 )"""
 
 
+@Fx.plan_once
 def damaged(spark, d):
     """Deduplicated, validated traces with reject reasons."""
     return ingest.normalize_traces(ingest.dedupe_traces(Fx.damaged_traces(spark, d), "seq"))
@@ -126,6 +127,7 @@ _SELECT = """sel0 AS (
 )"""
 
 
+@Fx.plan_once
 def selection(spark, d, window: CohortWindow = Fx.SHORT_WINDOW):
     rows = damaged(spark, d)
     return ingest.select_candidates(ingest.valid_records(rows), ingest.quality_issues(rows), window)
@@ -283,6 +285,7 @@ def safe_dimension(spark, d):
         F.count_if(F.col("value") == K.MISSING).alias("unsafe"), F.count(F.lit(1)).alias("lines"))
 
 
+@Fx.plan_once
 def signals(spark, d):
     return enrich.observation_signals(Fx.observations(spark, d))
 

@@ -23,6 +23,7 @@ def enriched(spark, d):
     return Fx.enriched_sessions(spark, d)
 
 
+@Fx.plan_once
 def weekly_rows(spark, d):
     return weekly.weekly_summary(enriched(spark, d), Fx.WINDOW)
 

@@ -43,10 +43,12 @@ hum AS (
 )"""
 
 
+@Fx.plan_once
 def safe_messages(spark, d):
     return readers.read_conversations(Fx.messages(spark, d))
 
 
+@Fx.plan_once
 def attributed(spark, d):
     return csat.survey_attribution(Fx.surveys(spark, d), safe_messages(spark, d), Fx.ROSTER["bot"])
 
@@ -85,16 +87,19 @@ csd AS (
 )"""
 
 
+@Fx.plan_once
 def answers(spark, d):
     return csat.responses(Fx.csat(spark, d), Fx.AGENT_CONFIG)
 
 
+@Fx.plan_once
 def plain_answers(spark, d):
     """Answers without the comment, which most reports do not need: the text is never read."""
     rows = csat.satisfaction_bucket(Fx.csat(spark, d).drop("feedback"), Fx.AGENT_CONFIG)
     return rows.select(X.response_key(F.col("source_id")).alias("response_key"), "ticket_id", "responded_ts", F.col("rating").alias("rating_raw"), "satisfaction_bucket")
 
 
+@Fx.plan_once
 def matched(spark, d):
     return csat.csat_to_tickets(plain_answers(spark, d), Fx.enriched_sessions(spark, d))
 
@@ -160,6 +165,7 @@ def human_reply_after_bot(spark, d):
     return helpdesk.human_reply_after_bot(safe_messages(spark, d), Fx.ROSTER)
 
 
+@Fx.plan_once
 def records(spark, d):
     """Help-desk record per session: the conversation numbered like the session's last digit."""
     state = helpdesk.human_reply_after_bot(safe_messages(spark, d), Fx.ROSTER)
@@ -197,6 +203,7 @@ cov AS (
 )"""
 
 
+@Fx.plan_once
 def coverage(spark, d):
     ses = Fx.sessions(spark, d)
     return helpdesk.classify_entry_coverage(Fx.inventory(spark, d, ses), ses, safe_messages(spark, d), Fx.ROSTER, "conversation_id")
@@ -279,11 +286,13 @@ arms AS (
 _ARMS = ["model-b", "model-a", "model-c"]
 
 
+@Fx.plan_once
 def facts(spark, d):
     signals = enrich.observation_signals(Fx.observations(spark, d).where(F.col("name").isin(K.OBS_INTENT, K.OBS_SKILL)))
     return abtest.ab_facts(Fx.traces(spark, d), signals, Fx.WINDOW, Fx.CARRY)
 
 
+@Fx.plan_once
 def arms(spark, d):
     return abtest.ab_arms(facts(spark, d), Fx.llm_calls(spark, d), csat.latest_response(plain_answers(spark, d)), _ARMS)
 
@@ -317,6 +326,7 @@ day AS (
 )"""
 
 
+@Fx.plan_once
 def daily(spark, d):
     return abtest.ab_daily(facts(spark, d), Fx.llm_calls(spark, d))
 
@@ -388,6 +398,7 @@ _TICKETS = f"""tk AS (
 _T = (_CSAT, _STATE, _TICKETS)
 
 
+@Fx.plan_once
 def tickets(spark, d):
     return explorer.ticket_projection(csat.csat_state(Fx.enriched_sessions(spark, d), plain_answers(spark, d), _FETCHED))
 

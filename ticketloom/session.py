@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Payload parsing is CPU-heavy, so small shuffles must not end up in one task.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
+    # Call sites of every column call are not needed and slow plan building down.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
