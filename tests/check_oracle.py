@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -14,6 +16,7 @@ import duckdb  # noqa: E402
 from __spark_entry__ import oracle_sql, queries  # noqa: E402
 from ticketloom.session import build_session  # noqa: E402
 
+STORE = os.environ.get("STORE") == "1"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -62,7 +65,8 @@ def compare(spark, con, name, fn, check, sf_dir):
 
 def main() -> int:
     sf_dir, names = f"/root/testdata/{sys.argv[1]}", sys.argv[2:]
-    spark = build_session("local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"})
+    spark = build_session("local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false",
+        **({"spark.checkpoint.dir": tempfile.mkdtemp(prefix="ticketloom-")} if STORE else {})})
     spark.sparkContext.setLogLevel("ERROR")
     con, bad = connect(sf_dir), 0
     checks = oracle_sql()

@@ -16,7 +16,7 @@ _META = ("other_info", "meta")
 
 def dimension_value(payload: Column, name: str) -> Column:
     found = V.string_at(payload, V.path_of(*_META, *K.DIMENSION_PATHS[name]))
-    return F.when(found.isNotNull() & ~X.is_blank(found), found).otherwise(F.lit(K.MISSING))
+    return F.coalesce(X.let(found, lambda t: F.when(t.rlike(r"(?U)\S"), t)), F.lit(K.MISSING))
 
 
 def app_code(app: Column) -> Column:
@@ -25,12 +25,14 @@ def app_code(app: Column) -> Column:
 
 def parse_meta_code(text: Column) -> tuple[Column, Column]:
     """(code, status) of "<code> <status>"; both null for anything else or phone-like digits."""
-    value = X.strip(text)
     pattern = r"(?sU)^(-?[0-9]{1,6})(?:\s+(.*))?$"
-    good = value.rlike(pattern) & ~X.has_phone_digits(value)
-    code = F.when(good, F.regexp_extract(value, pattern, 1))
-    status = F.when(good, F.regexp_extract(value, pattern, 2))
-    return code, F.when(X.strip(status) != "", X.strip(status))
+
+    def parsed(value: Column) -> Column:
+        pair = F.named_struct(F.lit("code"), F.regexp_extract(value, pattern, 1), F.lit("status"), F.regexp_extract(value, pattern, 2))
+        return F.when(value.rlike(pattern) & ~X.has_phone_digits(value), pair)
+
+    both = X.let(X.strip(text), parsed)
+    return both["code"], F.nullif(both["status"], F.lit(""))
 
 
 def extract_dimensions(records: DataFrame) -> DataFrame:
@@ -38,6 +40,9 @@ def extract_dimensions(records: DataFrame) -> DataFrame:
     staged = records.select("*", *[dimension_value(payload, d).alias(d) for d in K.DIMENSION_PATHS],
                             V.string_at(payload, V.path_of(*_META, K.TPE_CODE_KEY)).alias("__tpe"))
     code, status = parse_meta_code(F.col("__tpe"))
+    # A text of nothing but letters cannot hold a code: the usual case costs one test.
+    maybe = F.col("__tpe").rlike("[0-9]")
+    code, status = F.when(maybe, code), F.when(maybe, status)
     return staged.select(
         "*", app_code(F.col("app")).alias("app_code"), code.alias("tpe_code"), status.alias("tpe_status_raw"),
         V.string_at(payload, "$.model_info.model_core").alias("model_core"),

@@ -45,14 +45,21 @@ def compact_steps(observations: DataFrame) -> DataFrame:
     guard = name.isin(*GUARD_SUBJECTS)
     blocked = F.when(guard, is_blocking_guardrail(output)).when(
         name.isin("idempotency_guard", "escalation_history_guard"), V.is_true(output, "$.blocked")).otherwise(False)
+    is_tool, is_load = name.startswith(TOOL), name.startswith(LOAD_SKILL)
+    empty = F.array().cast("array<string>")
+    # Each path is read only for the kind of step that carries it.
+    failed = V.is_object(output, "$.result") & (V.part(output, "$.result.error").isNotNull() | V.part(output, "$.result.info").isNotNull())
     rows = observations.where((name != "") & ~hidden).select(
         F.col("traceId").alias("trace_id"), "id", F.coalesce("startTime", F.lit("")).alias("start"), name.alias("key"),
-        blocked.alias("blocked"), V.string_at(output, "$.rule").alias("rule"), V.string_at(payload, "$.stage").alias("stage"),
-        V.strings_at(output, "$.agents").alias("agents"), V.strings_at(output, "$.skills").alias("skills"),
-        V.filled_string_at(payload, "$.input.filename").alias("filename"), V.string_at(output, "$.result.content").alias("content"),
-        V.filled_string_at(F.col("metadata"), "$.reason").alias("reason"),
-        V.string_at(output, "$.result.message").alias("message"),
-        (V.is_object(output, "$.result") & (V.part(output, "$.result.error").isNotNull() | V.part(output, "$.result.info").isNotNull())).alias("is_error"),
+        blocked.alias("blocked"), F.when(guard, V.string_at(output, "$.rule")).alias("rule"),
+        F.when(name == "skill_guardrail_checked", V.string_at(payload, "$.stage")).alias("stage"),
+        F.when(name == "route", V.strings_at(output, "$.agents")).otherwise(empty).alias("agents"),
+        F.when(name == "skills_loaded", V.strings_at(output, "$.skills")).otherwise(empty).alias("skills"),
+        F.when(is_load, V.filled_string_at(payload, "$.input.filename")).alias("filename"),
+        F.when(is_load, V.string_at(output, "$.result.content")).alias("content"),
+        F.when(blocked, V.filled_string_at(F.col("metadata"), "$.reason")).alias("reason"),
+        F.when(is_tool & ~is_load, V.string_at(output, "$.result.message")).alias("message"),
+        F.coalesce(F.when(is_tool & ~is_load, failed), F.lit(False)).alias("is_error"),
         *[c for c in ("session_id", "turn") if c in observations.columns],
     )
     key, is_load = F.col("key"), F.col("key").startswith(LOAD_SKILL)

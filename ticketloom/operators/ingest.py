@@ -22,13 +22,12 @@ def _key() -> Column:
 def dedupe_traces(raw: DataFrame, sequence: str) -> DataFrame:
     """First copy of every id in ingest order; rows without an id all stay.
 
-    Only (id, sequence) is shuffled to find the winners, payloads stay where they are until the
-    semi join, and a third of all rows sharing one id costs one partly aggregated row per task.
+    Repeated ids are found on (id, sequence) alone and are few, so the anti join normally
+    broadcasts them and payloads are not shuffled; Spark checks their size at run time.
     """
-    keyed = raw.where(F.coalesce(F.col("id"), F.lit("")) != "")
-    winners = keyed.groupBy("id").agg(F.min(sequence).alias("__first"))
-    joined = keyed.join(winners, (keyed["id"] == winners["id"]) & (keyed[sequence] == winners["__first"]), "left_semi")
-    return joined.unionByName(raw.where(F.coalesce(F.col("id"), F.lit("")) == ""))
+    ids = raw.where(F.col("id") != "").groupBy("id").agg(F.min(sequence).alias("__first"), F.count(F.lit(1)).alias("__n"))
+    again = ids.where("__n > 1").select(F.col("id").alias("__id"), "__first")
+    return raw.join(again, (F.col("id") == F.col("__id")) & (F.col(sequence) > F.col("__first")), "left_anti")
 
 
 def payload_hash(*columns: str) -> Column:
@@ -38,14 +37,12 @@ def payload_hash(*columns: str) -> Column:
 
 def dedupe_traces_strict(raw: DataFrame, payload: Column, sequence: str) -> tuple[DataFrame, DataFrame]:
     """Identical copies of an id collapse, conflicting copies are all dropped and counted."""
-    hashed = raw.withColumn("__hash", payload)
-    keyed = hashed.where(F.coalesce(F.col("id"), F.lit("")) != "")
-    groups = keyed.groupBy("id").agg(
-        F.min("__hash").alias("lo"), F.max("__hash").alias("hi"), F.min(sequence).alias("__first")
-    )
-    good = groups.where("lo = hi").select(F.col("id").alias("__id"), "__first")
-    kept = keyed.join(good, (keyed["id"] == good["__id"]) & (keyed[sequence] == good["__first"]), "left_semi")
-    kept = kept.unionByName(hashed.where(F.coalesce(F.col("id"), F.lit("")) == "")).drop("__hash")
+    hashed = raw.where(F.col("id") != "").select("id", payload.alias("__hash"), F.col(sequence).alias("__seq"))
+    groups = hashed.groupBy("id").agg(
+        F.min("__hash").alias("lo"), F.max("__hash").alias("hi"), F.min("__seq").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    again = groups.where("__n > 1").select(F.col("id").alias("__id"), "__first", (F.col("lo") != F.col("hi")).alias("__conflict"))
+    surplus = (F.col("id") == F.col("__id")) & (F.col("__conflict") | (F.col(sequence) > F.col("__first")))
+    kept = raw.join(again, surplus, "left_anti")
     collisions = groups.agg(F.count_if(F.col("lo") != F.col("hi")).alias("collision_count"))
     return kept, collisions
 

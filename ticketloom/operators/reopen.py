@@ -21,7 +21,7 @@ from .weekly import by_definition
 def trace_texts(raw: DataFrame) -> DataFrame:
     """Free texts and known identifying values of each trace."""
     values = [V.filled_string_at(F.col("input"), V.path_of("other_info", "meta", k)) for k in K.KNOWN_META_KEYS]
-    filled = lambda c: F.when(~X.is_blank(c), c)
+    filled = lambda c: X.let(c, lambda t: F.when(t.rlike(r"(?U)\S"), t))
     return raw.select(
         F.col("id").alias("trace_id"), F.col("sessionId").alias("session_id"),
         filled(V.string_at(F.col("input"), "$.user_input")).alias("user_text"), filled(V.string_at(F.col("output"), "$.response")).alias("ai_text"),
@@ -43,15 +43,17 @@ def reopen_keys(sessions: DataFrame, traces: DataFrame) -> DataFrame:
 def reopen_population(sessions: DataFrame, traces: DataFrame, texts: DataFrame) -> DataFrame:
     """Masked text triples per eligible ticket; tickets without one of the texts have complete = false.
 
-    Texts are fetched for the two needed traces of each ticket only. Known values of all its
-    traces are masked together, longest first.
+    One pass over the traces of eligible tickets gives the texts of the two needed traces and all
+    known values, which are masked together, longest first.
     """
     keys = reopen_keys(sessions, traces)
-    first = texts.select(F.col("trace_id").alias("anchor_trace_id"), F.col("user_text").alias("u0"), F.col("ai_text").alias("a0"))
-    later = texts.select(F.col("trace_id").alias("followup_trace_id"), F.col("user_text").alias("u1"))
-    known = texts.select("session_id", F.explode("known_values").alias("v")).join(keys.select("session_id"), "session_id", "left_semi").distinct()
-    known = known.groupBy("session_id").agg(F.collect_list("v").alias("known"))
-    rows = keys.join(first, "anchor_trace_id", "left").join(later, "followup_trace_id", "left").join(known, "session_id", "left")
+    marks = keys.select(own_exchange("session_id").alias("__key"), "anchor_trace_id", "followup_trace_id")
+    rows = texts.withColumn("__key", own_exchange("session_id")).join(marks, "__key")
+    anchor, later = F.col("trace_id") == F.col("anchor_trace_id"), F.col("trace_id") == F.col("followup_trace_id")
+    found = rows.groupBy("session_id").agg(
+        F.max(F.when(anchor, F.col("user_text"))).alias("u0"), F.max(F.when(anchor, F.col("ai_text"))).alias("a0"),
+        F.max(F.when(later, F.col("user_text"))).alias("u1"), F.array_distinct(F.flatten(F.collect_set("known_values"))).alias("known"))
+    rows = keys.join(found, "session_id", "left")
     complete = F.col("u0").isNotNull() & F.col("a0").isNotNull() & F.col("u1").isNotNull()
     values = F.coalesce("known", F.array().cast("array<string>"))
     masked = {n: F.when(complete, X.mask_text(F.col(c), values)) for n, c in (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta, timezone
 from functools import wraps
+from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +48,27 @@ def plan_once(build):
     return view
 
 
+def stored_once(build):
+    """A fact table that many reports read. Where the session names a shared folder in
+    spark.checkpoint.dir the table is written there once per application and read back, so raw
+    payloads are parsed once and a lost executor costs a re-read; without the setting it stays lazy.
+    """
+
+    @plan_once
+    @wraps(build)
+    def view(spark: SparkSession, sf_dir: str, *args) -> DataFrame:
+        rows = build(spark, sf_dir, *args)
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            return rows
+        mark = sha256(repr((sf_dir, args)).encode()).hexdigest()[:16]
+        path = f"{root}/ticketloom/{spark.sparkContext.applicationId}/{build.__name__}-{mark}"
+        rows.write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+
+    return view
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -143,21 +165,24 @@ def damaged_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.unionByName(changed)
 
 
-@plan_once
+@stored_once
 def traces(spark: SparkSession, sf_dir: str, templates: tuple[str, ...] = K.TRANSFER_TEXTS) -> DataFrame:
     return narrow_traces(raw_traces(spark, sf_dir), templates)
 
 
-@plan_once
+@stored_once
 def sessions(spark: SparkSession, sf_dir: str, window: CohortWindow = WINDOW) -> DataFrame:
     return classify.classify_sessions(traces(spark, sf_dir), window, CARRY)
 
 
-@plan_once
+@stored_once
+def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich.observation_signals(observations(spark, sf_dir))
+
+
+@stored_once
 def enriched_sessions(spark: SparkSession, sf_dir: str, window: CohortWindow = WINDOW) -> DataFrame:
-    rows = traces(spark, sf_dir)
-    signals = enrich.observation_signals(observations(spark, sf_dir))
-    return enrich.enrich_sessions(sessions(spark, sf_dir, window), rows, signals)
+    return enrich.enrich_sessions(sessions(spark, sf_dir, window), traces(spark, sf_dir), signals(spark, sf_dir))
 
 
 @plan_once

@@ -33,7 +33,7 @@ _STEPS = """stp AS (
 )"""
 
 
-@Fx.plan_once
+@Fx.stored_once
 def steps(spark, d):
     return explain.compact_steps(Fx.steps(spark, d))
 

@@ -66,11 +66,16 @@ iss1 AS (
 
 
 @Fx.plan_once
-def damaged(spark, d):
+def damaged_payloads(spark, d):
     """Deduplicated, validated traces with reject reasons."""
     return ingest.normalize_traces(ingest.dedupe_traces(Fx.damaged_traces(spark, d), "seq"))
 
 
+@Fx.stored_once
+def damaged(spark, d):
+    return damaged_payloads(spark, d).drop("input", "output")
+
+
 @query("normalize_traces", sql("SELECT trace_id, session_id, ts, reason FROM norm", _DAMAGED))
 def normalize_traces(spark, d):
     return damaged(spark, d).select("trace_id", "session_id", "ts", "reason")
@@ -285,9 +290,7 @@ def safe_dimension(spark, d):
         F.count_if(F.col("value") == K.MISSING).alias("unsafe"), F.count(F.lit(1)).alias("lines"))
 
 
-@Fx.plan_once
-def signals(spark, d):
-    return enrich.observation_signals(Fx.observations(spark, d))
+signals = Fx.signals
 
 
 @query("build_trace_enrichment", sql("""SELECT trace_id, coalesce(intent, '') AS intents, coalesce(skill, '') AS skills, coalesce(rule, '') AS guardrail_rules,

@@ -14,7 +14,7 @@ from ..window import ntz
 from . import fixtures as Fx
 from . import q_service as S
 from .oracle_base import sql
-from .q_ingest import _DAMAGED, _SELECT, damaged, selection, signals
+from .q_ingest import _DAMAGED, _SELECT, damaged_payloads, selection, signals
 from .q_metrics import _GATE, enriched, weekly_rows
 from .queries import query
 
@@ -22,7 +22,7 @@ _P = ("project", "analytics-v1", "v2")
 
 
 def coverage_parts(spark, d):
-    rows = enrich.extract_dimensions(ingest.valid_records(damaged(spark, d)))
+    rows = enrich.extract_dimensions(ingest.valid_records(damaged_payloads(spark, d)))
     raw = ingest.filter_ticket_traces(Fx.damaged_traces(spark, d)).select(F.col("sessionId").alias("session_id"))
     return quality.dimension_coverage(rows, raw)
 

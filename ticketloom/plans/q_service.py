@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import text as X
 from ..functions import timefns as T
-from ..operators import abtest, csat, enrich, explorer, helpdesk, segments, weekly
+from ..operators import abtest, csat, explorer, helpdesk, segments, weekly
 from ..sources import readers
 from ..window import ntz
 from . import fixtures as Fx
@@ -92,7 +92,7 @@ def answers(spark, d):
     return csat.responses(Fx.csat(spark, d), Fx.AGENT_CONFIG)
 
 
-@Fx.plan_once
+@Fx.stored_once
 def plain_answers(spark, d):
     """Answers without the comment, which most reports do not need: the text is never read."""
     rows = csat.satisfaction_bucket(Fx.csat(spark, d).drop("feedback"), Fx.AGENT_CONFIG)
@@ -286,9 +286,9 @@ arms AS (
 _ARMS = ["model-b", "model-a", "model-c"]
 
 
-@Fx.plan_once
+@Fx.stored_once
 def facts(spark, d):
-    signals = enrich.observation_signals(Fx.observations(spark, d).where(F.col("name").isin(K.OBS_INTENT, K.OBS_SKILL)))
+    signals = Fx.signals(spark, d).where("kind in ('intent', 'skill')")
     return abtest.ab_facts(Fx.traces(spark, d), signals, Fx.WINDOW, Fx.CARRY)
 
 

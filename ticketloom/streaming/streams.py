@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as Ty
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..constants import REOPEN_HOURS
@@ -26,7 +25,7 @@ def latest_response_stream(answers: DataFrame, lateness: str = "14 days") -> Dat
 
 
 TICKET_STATE = "first_turn int, first_us long, first_id string, key_turn int, key_us long, key_id string, is_ai boolean, last_turn int, last_us long, last_id string, last_ai boolean, ai_replies long, traces long, transfers long"
-TICKET_OUTPUT = Ty.StructType.fromDDL(
+TICKET_OUTPUT = (
     "session_id string, ai_first boolean, outcome string, reopen_lifetime long, reopen_within_7d int, ai_reply_count long, turn_count long")
 
 
