@@ -135,3 +135,15 @@ def test_round_robin_fails_when_strata_exceed_the_cap(spark):
     assert [r["id"] for r in reopen.round_robin_sample(df, ["s"], "id", 6).collect()] == [0, 1, 2, 3, 4, 5]
     with pytest.raises(Exception, match="more strata"):
         reopen.round_robin_sample(df, ["s"], "id", 3).collect()
+
+
+def test_rank_candidates_scores(spark):
+    rules = spark.createDataFrame([("a1", "gọi get_bank_name trước"), ("a2", "chuyển cskh"), ("m1", "thân bài 77")], "anchor string, body string")
+    cands = spark.createDataFrame([("t", "a1", "sub_skill", None, 1), ("t", "a2", "sub_skill", None, 2), ("t", "m1", "skill_md", None, 3), ("t", "tool:x", "tool_message", "báo cs", 4)],
+                                  "trace_id string, anchor string, source string, message string, candidate_order int")
+    feats = spark.createDataFrame([("t", [("get_bank_name", 2)])], "trace_id string, tools_called array<struct<tool:string,n:bigint>>")
+    known = spark.createDataFrame([("t", ["77", ""])], "trace_id string, known_values array<string>")
+    got = explain.rank_candidates(cands, feats, rules).orderBy("rank").select("anchor", "score").collect()
+    assert [tuple(r) for r in got] == [("a1", 160), ("a2", 110), ("tool:x", 10), ("m1", -5)]
+    got = explain.rank_candidates(cands, feats, rules, known, limit=3).orderBy("rank").select("anchor", "score").collect()
+    assert [tuple(r) for r in got] == [("a1", 160), ("a2", 110), ("m1", 15)]

@@ -373,44 +373,62 @@ def extract_sections(documents: DataFrame) -> DataFrame:
 
 def rule_candidates(reads: DataFrame, features: DataFrame, rules: DataFrame, classes: DataFrame) -> DataFrame:
     """Sections a trace could have followed: those of the files it read, the main documents of the
-    skills it used, and the tool message of class E7. The first forty are the result by definition."""
+    skills it used, and the tool message of class E7. The first forty are the result by definition.
+
+    No trace can use more than the first forty sections of a file, so the rule table is cut to
+    those before the join; section texts stay in the rule table.
+    """
     alias = F.create_map(*[F.lit(x) for kv in K.SKILL_ALIASES.items() for x in kv])
     stored = lambda c: F.coalesce(F.try_element_at(alias, c), c)
-    sections = rules.select(F.col("skill").alias("__skill"), "file_label", "anchor", "line", "case_title", "body", "source")
+    sections = rules.select(F.col("skill").alias("__skill"), "file_label", "anchor", "line", "case_title", "source")
+
+    def leading(source: str, keys: list[str], order: list[str]) -> DataFrame:
+        ranked = sections.where(F.col("source") == source).withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+        return ranked.where(F.col("__n") <= K.CANDIDATE_LIMIT).drop("__n")
+
     read = reads.select("trace_id", stored(F.col("skill")).alias("__skill"), F.regexp_replace("filename", r"\.[^.]*$", "").alias("file_label"), F.col("read_order").alias("o"))
-    part1 = read.join(sections.where("source = 'sub_skill'"), ["__skill", "file_label"]).withColumn("part", F.lit(1))
+    part1 = read.join(leading("sub_skill", ["__skill", "file_label"], ["line", "anchor"]), ["__skill", "file_label"]).withColumn("part", F.lit(1))
     used = features.select("trace_id", F.posexplode("skills_used").alias("o", "__used")).withColumn("__skill", stored(F.col("__used"))).drop("__used")
-    part2 = used.join(sections.where("source = 'skill_md'"), ["__skill"]).withColumn("part", F.lit(2))
+    part2 = used.join(leading("skill_md", ["__skill"], ["file_label", "line", "anchor"]), ["__skill"]).withColumn("part", F.lit(2))
     gave_up = classes.where("escalation_class = 'E7' and guardrail_reason is not null").join(features.select("trace_id", "skills_used"), "trace_id")
     part3 = gave_up.select(
         "trace_id", F.coalesce(F.get("skills_used", F.lit(0)), F.lit("khong_xac_dinh")).alias("__skill"), F.col("deciding_key").alias("file_label"),
         F.lit(0).alias("o"), F.col("deciding_key").alias("anchor"), F.lit(0).alias("line"), F.lit("Công cụ báo lỗi và yêu cầu chuyển CSKH").alias("case_title"),
-        F.col("guardrail_reason").alias("body"), F.lit("tool_message").alias("source"), F.lit(3).alias("part"))
-    names = ["trace_id", "__skill", "file_label", "o", "anchor", "line", "case_title", "body", "source", "part"]
-    rows = part1.select(names).unionByName(part2.select(names)).unionByName(part3.select(names))
+        F.lit("tool_message").alias("source"), F.lit(3).alias("part"), F.col("guardrail_reason").alias("message"))
+    names = ["trace_id", "__skill", "file_label", "o", "anchor", "line", "case_title", "source", "part"]
+    none = F.lit(None).cast("string").alias("message")
+    rows = part1.select(*names, none).unionByName(part2.select(*names, none)).unionByName(part3.select(*names, "message"))
     order = W.partitionBy("trace_id").orderBy("part", "o", "file_label", "line", "anchor")
     ranked = rows.withColumn("candidate_order", F.row_number().over(order)).where(F.col("candidate_order") <= K.CANDIDATE_LIMIT)
     return ranked.withColumnRenamed("__skill", "skill").drop("o", "part")
 
 
-def rank_candidates(candidates: DataFrame, features: DataFrame, known: DataFrame | None = None, limit: int = K.RANK_LIMIT) -> DataFrame:
-    """Best eight per trace by score; equal scores keep their order."""
+def rank_candidates(candidates: DataFrame, features: DataFrame, rules: DataFrame, known: DataFrame | None = None, limit: int = K.RANK_LIMIT) -> DataFrame:
+    """Best eight per trace by score; equal scores keep their order.
+
+    Texts are scored once per distinct (section, tools called), not once per candidate. Values
+    known of a ticket, when given, are looked up per candidate.
+    """
     rows = candidates.join(features.select("trace_id", "tools_called"), "trace_id", "left")
-    if known is not None:
-        rows = rows.join(known.select("trace_id", "known_values"), "trace_id", "left")
-    else:
-        rows = rows.withColumn("known_values", F.array().cast("array<string>"))
-    body = F.lower("body")
-    tools = F.aggregate(F.coalesce("tools_called", F.array().cast("array<struct<tool:string,n:bigint>>")), F.lit(0).cast("bigint"),
-                        lambda a, t: a + F.when((t["tool"] != "") & body.contains(F.lower(t["tool"])), t["n"]).otherwise(0))
-    values = F.size(F.filter(F.coalesce("known_values", F.array().cast("array<string>")), lambda v: (v != "") & body.contains(F.lower(v))))
+    distinct = rows.select("anchor", "source", "message", "tools_called").distinct()
+    texts = rules.select("anchor", F.lower("body").alias("__body"))
+    scored = distinct.join(texts, "anchor", "left").withColumn("__body", F.coalesce("__body", F.lower("message"), F.lit("")))
+    called = F.coalesce("tools_called", F.array().cast("array<struct<tool:string,n:bigint>>"))
+    tools = F.aggregate(called, F.lit(0).cast("bigint"), lambda a, t: a + F.when((t["tool"] != "") & F.contains(F.col("__body"), F.lower(t["tool"])), t["n"]).otherwise(0))
     score = (
-        F.when(F.col("source") == "sub_skill", 100).otherwise(0) + tools * 30 + values * 20
-        + F.when(F.col("body").rlike(ESCALATE_PHRASE), 10).otherwise(0) - F.when(F.col("source") == "skill_md", 5).otherwise(0)
-    )
-    scored = rows.withColumn("score", score).drop("tools_called", "known_values")
+        F.when(F.col("source") == "sub_skill", 100).otherwise(0) + tools * 30
+        + F.when(F.col("__body").rlike(ESCALATE_PHRASE), 10).otherwise(0) - F.when(F.col("source") == "skill_md", 5).otherwise(0))
+    keys = ["anchor", "source", "tools_called"]
+    scored = scored.select(*keys, F.coalesce("message", F.lit("")).alias("__m"), score.alias("score"))
+    rows = rows.withColumn("__m", F.coalesce("message", F.lit(""))).join(scored, [*keys, "__m"])
+    if known is not None:
+        rows = rows.join(known.select("trace_id", "known_values"), "trace_id", "left").join(texts, "anchor", "left")
+        body = F.coalesce("__body", F.lower("message"), F.lit(""))
+        hits = F.filter(F.coalesce("known_values", F.array().cast("array<string>")), lambda v: (v != "") & F.contains(body, F.lower(v)))
+        rows = rows.withColumn("score", F.col("score") + F.size(hits) * 20).drop("known_values", "__body")
     order = W.partitionBy("trace_id").orderBy(F.desc("score"), "candidate_order")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    ranked = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    return ranked.drop("tools_called", "__m")
 
 
 def ground_check(rows: DataFrame) -> DataFrame:

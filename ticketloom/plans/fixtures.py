@@ -40,7 +40,7 @@ def plan_once(build):
     @wraps(build)
     def view(spark: SparkSession, sf_dir: str, *args) -> DataFrame:
         plans = spark.__dict__.setdefault("_ticketloom_plans", {})
-        key = (build.__name__, sf_dir, *args)
+        key = (build.__module__, build.__name__, sf_dir, *args)
         if key not in plans:
             plans[key] = build(spark, sf_dir, *args)
         return plans[key]
@@ -62,7 +62,7 @@ def stored_once(build):
         if not root:
             return rows
         mark = sha256(repr((sf_dir, args)).encode()).hexdigest()[:16]
-        path = f"{root}/ticketloom/{spark.sparkContext.applicationId}/{build.__name__}-{mark}"
+        path = f"{root}/ticketloom/{spark.sparkContext.applicationId}/{build.__module__.rsplit('.', 1)[-1]}-{build.__name__}-{mark}"
         rows.write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
 

@@ -195,14 +195,27 @@ def candidates(spark, d):
     return explain.rule_candidates(explain.sub_skills_read(rows), features(spark, d), rules(spark, d), explain.escalation_class(rows))
 
 
-@query("rule_candidates")
+_CAND = """rl AS (
+  SELECT anchor, line, ['topup', 'withdraw', 'ibft'][doc_id % 3 + 1] AS rskill, concat('sub-skill-', ['A', 'B'][(doc_id // 3) % 2 + 1]) AS label, CASE WHEN doc_id % 5 = 0 THEN 'skill_md' ELSE 'sub_skill' END AS source FROM sec
+), rn AS (
+  SELECT *, row_number() OVER (PARTITION BY rskill, label, source ORDER BY line, anchor) AS n1, row_number() OVER (PARTITION BY rskill, source ORDER BY label, line, anchor) AS n2 FROM rl
+), rd AS (SELECT *, CASE skill WHEN 'interbank-fund-transfer' THEN 'ibft' ELSE skill END AS rskill, concat('sub-skill-', CASE k % 2 WHEN 0 THEN 'A' ELSE 'B' END) AS label FROM stc WHERE has_load),
+cd AS (
+  SELECT trace_id, rd.rskill AS skill, anchor, source, 1 AS part, rn.label, line FROM rd JOIN rn ON rn.rskill = rd.rskill AND rn.label = rd.label AND source = 'sub_skill' AND n1 <= 40
+  UNION ALL SELECT trace_id, rd.rskill, anchor, source, 2, rn.label, line FROM rd JOIN rn ON rn.rskill = rd.rskill AND source = 'skill_md' AND n2 <= 40
+  UNION ALL SELECT trace_id, CASE WHEN has_load THEN skill ELSE 'khong_xac_dinh' END, 'tool:get_bank_name', 'tool_message', 3, 'tool:get_bank_name', 0 FROM stc WHERE escalation_class = 'E7'
+)"""
+
+
+@query("rule_candidates", sql("""SELECT trace_id, skill, anchor, source, row_number() OVER (PARTITION BY trace_id ORDER BY part, label, line, anchor) AS candidate_order FROM cd
+ QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY part, label, line, anchor) <= 40""", _STEPS, _DOCS, _CAND))
 def rule_candidates(spark, d):
     return candidates(spark, d).select("trace_id", "skill", "anchor", "source", "candidate_order")
 
 
 @query("rank_candidates")
 def rank_candidates(spark, d):
-    return explain.rank_candidates(candidates(spark, d), features(spark, d)).select("trace_id", "anchor", "score", "rank")
+    return explain.rank_candidates(candidates(spark, d), features(spark, d), rules(spark, d)).select("trace_id", "anchor", "score", "rank")
 
 
 _GROUND = r"""gr AS (
