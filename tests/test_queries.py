@@ -9,7 +9,7 @@ from __spark_entry__ import entry, oracle_sql, queries
 CHOICE = (
     "classify_sessions", "weekly_summary", "same_period", "segment_breakdown", "transfer_triggers", "attach_enrichment", "select_candidates", "dedupe_traces_strict",
     "survey_attribution", "classify_entry_coverage", "csat_weekly", "feedback_entries", "ab_arms", "ab_daily", "ticket_projection", "paginate", "escalation_class",
-    "reopen_population", "session_scores", "weekly_report_export", "dimension_coverage", "extract_sections")
+    "reopen_population", "session_scores", "weekly_report_export", "dimension_coverage", "extract_sections", "latest_response_stream", "incremental_week_refresh", "publish_run")
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +24,7 @@ def test_query_equals_sql(spark, sf_dir, con, name):
 
 
 def test_reconciliation_checks_hold(spark, sf_dir):
-    for name in ("view_checks", "segment_checks", "transfer_checks", "csat_checks", "coverage_checks", "ticket_checks", "session_checks", "weekly_checks"):
+    for name in ("view_checks", "segment_checks", "transfer_checks", "csat_checks", "coverage_checks", "ticket_checks", "session_checks", "weekly_checks", "period_checks", "reason_checks"):
         rows = queries()[name](spark, sf_dir)
         assert rows.count() > 0 and rows.where("not ok").count() == 0, name
 

@@ -114,6 +114,11 @@ def identity_profile(rows: DataFrame, column: str, depth: int = 3) -> DataFrame:
         ((F.col("seen") == F.col("rows")) & (F.col("distinct_values") == F.col("rows"))).alias("is_key"))
 
 
+def rating_tokens(rows: DataFrame) -> DataFrame:
+    """Histogram of (survey, rating token)."""
+    return rows.groupBy("survey_id", "rating").agg(F.count(F.lit(1)).alias("count"))
+
+
 def denied_columns(schema, extra: tuple[str, ...] = (), prefix: str = "") -> list[str]:
     """Schema paths a published report must not contain."""
     found = []
@@ -265,6 +270,25 @@ def coverage_checks(entry: DataFrame, reconciliation: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
+def period_checks(period: DataFrame, weekly: DataFrame) -> DataFrame:
+    """Same-period rows stay inside their whole week and their rates are divisions."""
+    whole = weekly.select("week_definition", "cohort_week", F.col("total_tickets").alias("__n"))
+    joined = period.join(whole, ["week_definition", "cohort_week"], "left")
+    scope = F.concat_ws("/", "week_definition", F.col("cohort_week").cast("string"))
+    return _explode(joined, [
+        check_row("within_whole_week", scope, F.lit(1), (F.col("total_tickets") <= F.col("__n")).cast("int")),
+        check_row("ai_rate_is_division", scope, F.coalesce(F.try_divide("ai_first_count", "total_tickets"), F.lit(0.0)), F.col("ai_first_rate")),
+        check_row("baseline_weeks", scope, F.lit(1), F.col("weeks_used").between(2, 4).cast("int"))])
+
+
+def reason_checks(coverage: DataFrame) -> DataFrame:
+    """Label states stay inside the population; immature weeks have no control rate."""
+    scope = F.concat_ws("/", "week_definition", F.col("cohort_week").cast("string"))
+    return _explode(coverage, [
+        check_row("abstained_within_labeled", scope, F.lit(1), (F.col("abstained") <= F.col("labeled")).cast("int")),
+        check_row("no_rate_without_denominator", scope, (F.col("direct_cs_denominator") > 0).cast("int"), F.col("direct_cs_reopen_7d_rate").isNotNull().cast("int"))])
+
+
 def ticket_checks(tickets: DataFrame) -> DataFrame:
     """Row contract of the public list, and the intent frequency once more."""
     bad = F.col("ticket_id").isNull() | ~X.is_safe_ticket_id(F.col("ticket_id")) | ~F.col("outcome").isin(*K.OUTCOMES) | (F.col("gt4_turn") != (F.col("turn_count") > 3)) | (

@@ -8,13 +8,14 @@ from .. import constants as K
 from ..functions import text as X
 from ..functions import timefns as T
 from ..functions import variants as V
-from ..operators import csat, enrich, explorer, helpdesk, ingest, quality, scores, segments, weekly
+from ..operators import csat, enrich, explorer, helpdesk, ingest, quality, reopen, scores, segments, weekly
 from ..streaming import incremental
 from ..window import ntz
 from . import fixtures as Fx
 from . import q_service as S
 from .oracle_base import sql
 from .q_ingest import _DAMAGED, _SELECT, damaged_payloads, selection, signals
+from .q_explain import label_rows
 from .q_metrics import _GATE, enriched, weekly_rows
 from .queries import query
 
@@ -129,6 +130,17 @@ def coverage_checks(spark, d):
     return quality.coverage_checks(helpdesk.entry_coverage_weekly(S.coverage(spark, d)), rec)
 
 
+@query("period_checks")
+def period_checks(spark, d):
+    return quality.period_checks(weekly.same_period(Fx.sessions(spark, d), Fx.WINDOW), weekly_rows(spark, d))
+
+
+@query("reason_checks")
+def reason_checks(spark, d):
+    rows = reopen.reopen_reason_coverage(reopen.label_status(label_rows(spark, d)), Fx.sessions(spark, d), weekly.calendar(spark, Fx.WINDOW))
+    return quality.reason_checks(rows)
+
+
 @query("ticket_checks", sql("SELECT u.c AS \"check\", 'all' AS scope, 0.0 AS expected, 0.0 AS actual, true AS ok FROM (VALUES ('row_contract'), ('intent_frequency'), ('ticket_unique')) u(c)"))
 def ticket_checks(spark, d):
     return quality.ticket_checks(S.tickets(spark, d))

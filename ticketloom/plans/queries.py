@@ -27,4 +27,4 @@ def text_list(column: str):
     return F.array_join(F.col(column), ",")
 
 
-from . import q_explain, q_ingest, q_metrics, q_quality, q_service  # noqa: E402,F401
+from . import q_explain, q_ingest, q_metrics, q_quality, q_service, q_streams  # noqa: E402,F401
