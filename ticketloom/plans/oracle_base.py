@@ -43,7 +43,7 @@ flw AS (
          lag(pos.is_ai) OVER (PARTITION BY pos.session_id ORDER BY pos.p) AS before_ai
   FROM pos JOIN dec USING (session_id) JOIN fst USING (session_id) WHERE pos.p > dec.dp
 ), flc AS (
-  SELECT session_id, sum(CASE WHEN before_ai IS NULL OR before_ai THEN 1 ELSE 0 END) AS returns,
+  SELECT session_id, CAST(sum(CASE WHEN before_ai IS NULL OR before_ai THEN 1 ELSE 0 END) AS BIGINT) AS returns,
          max(CASE WHEN ts > t0 AND ts <= t0 + INTERVAL 168 HOUR THEN 1 ELSE 0 END) AS within7
   FROM flw GROUP BY 1
 ), dup AS (
@@ -131,7 +131,7 @@ wk AS (
          CASE WHEN c.mature THEN sum(s.reopen_within_7d) / nullif(count(s.reopen_within_7d), 0) END AS reopen_7d_rate,
          CASE WHEN c.mature THEN count(s.reopen_within_7d) END AS reopen_7d_denominator,
          sum(s.reopen_lifetime) / nullif(count(s.reopen_lifetime), 0) AS reopen_lifetime_rate,
-         coalesce(sum(s.reopen_lifetime), 0) AS reopen_lifetime_numerator, count(s.reopen_lifetime) AS reopen_lifetime_denominator,
+         CAST(coalesce(sum(s.reopen_lifetime), 0) AS BIGINT) AS reopen_lifetime_numerator, count(s.reopen_lifetime) AS reopen_lifetime_denominator,
          sum(s.ai_reply_count) FILTER (s.ai_first) / nullif(count(*) FILTER (s.ai_first), 0) AS ai_reply_mean_ai_first,
          quantile_disc(s.ai_reply_count, 0.5) AS ai_reply_p50, quantile_disc(s.ai_reply_count, 0.9) AS ai_reply_p90, max(s.ai_reply_count) AS ai_reply_max,
          count(*) FILTER (s.turn_count > 3 AND s.transferred) AS gt4_turn_with_cs, count(*) FILTER (s.turn_count > 3 AND NOT s.transferred) AS gt4_turn_without_cs,
