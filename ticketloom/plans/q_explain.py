@@ -10,7 +10,7 @@ from ..functions import variants as V
 from ..operators import classify, explain, reopen, weekly
 from . import fixtures as Fx
 from .oracle_base import sql
-from .queries import query, text_list
+from .registry import query, text_list
 
 _STEPS = """stp AS (
   SELECT trace_id, session_id, rn AS turn, k, ts, ['topup', 'withdraw', 'interbank-fund-transfer'][k % 3 + 1] AS skill,

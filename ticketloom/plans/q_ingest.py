@@ -13,7 +13,7 @@ from ..sources import readers, reference
 from ..window import CohortWindow
 from . import fixtures as Fx
 from .oracle_base import sql
-from .queries import query, text_list
+from .registry import query, text_list
 
 _SES_COLUMNS = """session_id, turn0_trace_id, turn0_ts, cohort_week, score_ts, cohort_status, ai_first, no_ai_first_reason, outcome, reopen_lifetime,
  reopen_within_7d, ai_reply_count, first_transfer_trace_id, data_quality, environment, is_weekend_start, turn_count, transferred, control_reopen_within_7d"""

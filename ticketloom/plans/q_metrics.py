@@ -13,7 +13,7 @@ from ..sources import writers
 from . import fixtures as Fx
 from .oracle_base import sql
 from .q_ingest import _DAMAGED, _SELECT, damaged, selection
-from .queries import query
+from .registry import query
 from ..operators import ingest
 
 _WEEKLY = ", ".join(weekly.WEEKLY_COLUMNS)

@@ -17,7 +17,7 @@ from .oracle_base import sql
 from .q_ingest import _DAMAGED, _SELECT, damaged_payloads, selection, signals
 from .q_explain import label_rows
 from .q_metrics import _GATE, enriched, weekly_rows
-from .queries import query
+from .registry import query
 
 _P = ("project", "analytics-v1", "v2")
 

@@ -15,7 +15,7 @@ from ..window import ntz
 from . import fixtures as Fx
 from .oracle_base import sql
 from .q_metrics import _SEG
-from .queries import query
+from .registry import query
 
 _MSG = """msg AS (
   SELECT conv_id, CAST(conv_id + 1 AS VARCHAR) AS ticket_id, conv_id * 1000 + turn + 1 AS message_id, role = 'user' AS incoming,

@@ -15,7 +15,7 @@ from . import fixtures as Fx
 from . import q_service as S
 from .oracle_base import sql
 from .q_metrics import weekly_rows
-from .queries import query
+from .registry import query
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
