@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from .common import slices, texts_of
 
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 300_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -43,7 +43,7 @@ class PerfectHash:
     """Minimal perfect hash by displacement: a key's first hash picks a group, and the group's
     displacement sends its keys to places that no other key has. As many places as keys."""
 
-    def __init__(self, keys: list[bytes], per_group: int = 4):
+    def __init__(self, keys: list[bytes], per_group: int = 3):
         self.keys, self.size = keys, len(keys)
         self.groups = max(1, self.size // per_group)
         members: list[list[int]] = [[] for _ in range(self.groups)]
@@ -100,39 +100,45 @@ class Vocabulary:
         for rank, token in enumerate(self.tokens):
             if len(token) == 1:
                 self.byte_id[token[0]] = rank
-        self.pairs: dict[tuple[int, int], int] = {}
+        self.pairs = self._merges()
         self.cache: dict[str, list[int]] = {}
 
-    def pair_rank(self, left: int, right: int) -> int:
-        """Rank of two neighbouring tokens' merge, or -1."""
-        rank = self.pairs.get((left, right))
-        if rank is None:
-            rank = self.pairs[(left, right)] = self.whole.find(self.tokens[left] + self.tokens[right])
-            if len(self.pairs) > 4 * CACHE_ENTRIES:
-                self.pairs.clear()
-        return rank
+    def _merges(self) -> dict[int, int]:
+        """Rank of every merge of two tokens, by left * 2^32 + right; bounded by the vocabulary."""
+        merges = {}
+        for rank, token in enumerate(self.tokens):
+            for cut in range(1, len(token)):
+                left = self.whole.find(token[:cut])
+                if left >= 0 and (right := self.whole.find(token[cut:])) >= 0:
+                    merges[left << 32 | right] = rank
+        return merges
 
     def merge(self, raw: bytes) -> list[int]:
         """Merges the bytes of a pre-token, lowest rank first and leftmost among equals."""
-        ids = [self.byte_id[b] for b in raw]
+        ids = list(map(self.byte_id.__getitem__, raw))
         n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank_of = self.pair_rank
-        heap = [(r, i, i + 1) for i in range(n - 1) if (r := rank_of(ids[i], ids[i + 1])) >= 0]
+        rank_of = self.pairs.get
+        # heap entries are rank * n + place; an entry counts only while its pair still has that rank
+        heap = [r * n + i for i in range(n - 1) if (r := rank_of(ids[i] << 32 | ids[i + 1])) is not None]
+        if not heap:
+            return ids
         heapq.heapify(heap)
+        pop, push = heapq.heappop, heapq.heappush
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while heap:
-            rank, i, j = heapq.heappop(heap)
-            if ids[i] < 0 or after[i] != j or ids[j] < 0 or rank_of(ids[i], ids[j]) != rank:
+            rank, i = divmod(pop(heap), n)
+            left = ids[i]
+            if left < 0 or (j := after[i]) == n or rank_of(left << 32 | ids[j]) != rank:
                 continue
             ids[i], ids[j] = rank, -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if (r := rank_of(rank, ids[k])) >= 0:
-                    heapq.heappush(heap, (r, i, k))
+                if (r := rank_of(rank << 32 | ids[k])) is not None:
+                    push(heap, r * n + i)
             h = before[i]
-            if h >= 0 and (r := rank_of(ids[h], rank)) >= 0:
-                heapq.heappush(heap, (r, h, i))
+            if h >= 0 and (r := rank_of(ids[h] << 32 | rank)) is not None:
+                push(heap, r * n + h)
         return [x for x in ids if x >= 0]
 
     def encode_pretoken(self, pretoken: str) -> list[int]:

@@ -1,10 +1,11 @@
-"""Queries over whole texts: line deduplication."""
+"""Queries over whole texts: quality rules, byte-level BPE, line deduplication."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import line_dedup
+from . import bpe, line_dedup, quality_rules
 from .common import documents
 from .registry import query
 
@@ -29,3 +30,21 @@ FROM marked GROUP BY doc_id
 def op6_line_dedup(spark, sf_dir):
     kept = line_dedup.drop_repeated_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op1_quality_rules")
+def op1_quality_rules(spark, sf_dir):
+    trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1")
+    rated = quality_rules.quality_rules(documents(spark, sf_dir).select("doc_id", "text"), trusted)
+    return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio")
+
+
+@query("op5_byte_bpe")
+def op5_byte_bpe(spark, sf_dir):
+    vocab = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), *vocab).drop("text")
+    decoded = bpe.decode(encoded, *vocab)
+    return decoded.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))

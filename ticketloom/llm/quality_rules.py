@@ -32,7 +32,7 @@ MAX_REPEAT_PERCENT = 30
 
 BUCKETS = 1 << 14
 MAX_TRUSTED = 20_000
-MIN_RATIO = -0.25
+MIN_RATIO = -0.1
 
 BASE = T.StructType([T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")])
 
