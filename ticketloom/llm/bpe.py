@@ -152,8 +152,9 @@ class Vocabulary:
             self.cache[pretoken] = found
         return found
 
-    def encode_stretch(self, text: str) -> list[int]:
-        return [i for pretoken in self.pattern.findall(text) for i in self.encode_pretoken(pretoken)]
+    def encode_all(self, stretches: list[str]) -> list[list[int]]:
+        cut, one = self.pattern.findall, self.encode_pretoken
+        return [[i for pretoken in cut(text) for i in one(pretoken)] for text in stretches]
 
 
 _LOADED: dict[tuple[str, str], Vocabulary] = {}
@@ -195,10 +196,10 @@ def stretches(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return counts, codes, names
 
 
-def encode_slice(vocab: Vocabulary, texts: pa.Array) -> pa.ListArray:
-    """The ids of every text of a slice."""
+def encode_slice(vocab, texts: pa.Array) -> pa.ListArray:
+    """The ids of every text of a slice. `vocab.encode_all` encodes distinct stretches of text."""
     counts, codes, names = stretches(texts)
-    encoded = [vocab.encode_stretch(name) for name in names]
+    encoded = vocab.encode_all(names)
     sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
     table = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)),
                                      pa.array(np.fromiter((i for ids in encoded for i in ids), np.int32, int(sizes.sum()))))

@@ -1,11 +1,11 @@
-"""Queries over whole texts: quality rules, byte-level BPE, line deduplication."""
+"""Queries over whole texts: quality rules, byte-level BPE, packing, line and substring deduplication."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, quality_rules
+from . import bpe, line_dedup, packing, quality_rules, substring_dedup
 from .common import documents
 from .registry import query
 
@@ -48,3 +48,14 @@ def op5_byte_bpe(spark, sf_dir):
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op3_packing")
+def op3_packing(spark, sf_dir):
+    return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+@query("op2_substring_dedup")
+def op2_substring_dedup(spark, sf_dir):
+    cut = substring_dedup.drop_repeated_substrings(documents(spark, sf_dir).select("doc_id", "text"))
+    return cut.select("doc_id", "n_chunks", "n_dropped_chunks", "dropped_words", "dropped", "kept_text")
