@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, packing, quality_rules, substring_dedup
+from . import bpe, license_scan, line_dedup, packing, quality_rules, substring_dedup
 from .common import documents
 from .registry import query
 
@@ -59,3 +59,8 @@ def op3_packing(spark, sf_dir):
 def op2_substring_dedup(spark, sf_dir):
     cut = substring_dedup.drop_repeated_substrings(documents(spark, sf_dir).select("doc_id", "text"))
     return cut.select("doc_id", "n_chunks", "n_dropped_chunks", "dropped_words", "dropped", "kept_text")
+
+
+@query("op7_license_scan")
+def op7_license_scan(spark, sf_dir):
+    return license_scan.scan_licenses(documents(spark, sf_dir))
