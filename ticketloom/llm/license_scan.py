@@ -80,6 +80,8 @@ class TemplateIndex:
                     self.postings[w].append((t, q))
         self.rare = [sum(w in weight for w in ws) for ws in words]
         self.phrases = sorted({p for _, _, ps in self.templates for p in ps})
+        # every template has a phrase, and a phrase stands only where its rarest word does
+        self.anchors = sorted({min(p.split(" "), key=lambda w: (frequency[w], -len(w), w)) for p in self.phrases})
 
     def table(self, spark) -> DataFrame:
         """(word, template, position, rare, label, phrases); as many rows as rare tokens in the templates."""
@@ -126,11 +128,11 @@ def _by_index(docs: DataFrame, index: TemplateIndex) -> DataFrame:
     """(__id, __text, method labels, score) of the texts in which a template was found."""
     rare = _literal(index.words)
     near = (docs.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__text"), words_of(F.col("text")).alias("__words"))
-            .where(F.arrays_overlap("__words", rare)).dropDuplicates(["__id", "__text"]))
+            .where(F.arrays_overlap("__words", _literal(index.anchors))))
     joined = F.concat(F.lit(" "), F.array_join("__words", " "), F.lit(" "))
-    near = near.select("__id", "__text", "__words", F.slice(F.array_intersect(rare, F.col("__words")), 1, TOP_WORDS).alias("__top"),
-                       F.filter(_literal(index.phrases), lambda p: F.contains(joined, F.concat(F.lit(" "), p, F.lit(" ")))).alias("__found"))
-    placed = near.where(F.size("__found") > 0).select("__id", "__text", "__found", "__top", F.posexplode("__words").alias("__place", "word"))
+    near = near.withColumn("__found", F.filter(_literal(index.phrases), lambda p: F.contains(joined, F.concat(F.lit(" "), p, F.lit(" "))))).where(F.size("__found") > 0)
+    near = near.dropDuplicates(["__id", "__text"]).withColumn("__top", F.slice(F.array_intersect(rare, F.col("__words")), 1, TOP_WORDS))
+    placed = near.select("__id", "__text", "__found", "__top", F.posexplode("__words").alias("__place", "word"))
     votes = (placed.where(F.array_contains("__top", F.col("word"))).join(F.broadcast(index.table(docs.sparkSession)), "word")
              .where(F.size(F.array_except("phrases", "__found")) == 0)
              .groupBy("__id", "__text", "label", "template", (F.col("__place") - F.col("position")).alias("__start"))
