@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import slices, texts_of
+from .common import slices, strings, texts_of
 
 CACHE_ENTRIES = 300_000
 
@@ -180,7 +181,7 @@ def stretches(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     counts = np.diff(offsets)
     parts = split.flatten().dictionary_encode()
     codes = np.asarray(parts.indices).astype(np.int64)
-    distinct = parts.dictionary.to_pylist()
+    distinct = strings(parts.dictionary)
     first = np.zeros(len(codes), bool)
     first[offsets[:-1]] = True
     # a stretch that does not open its text carries the space before it
@@ -191,7 +192,7 @@ def stretches(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     opening = codes[offsets[:-1]]
     codes = np.where(first, 0, place[codes])
     codes[offsets[:-1]] = len(names) + np.arange(len(texts))
-    whole = texts.to_pylist() if mixed.any() else None
+    whole = strings(texts) if mixed.any() else None
     names += [whole[i] if mixed[i] else distinct[opening[i]] for i in range(len(texts))]
     return counts, codes, names
 
@@ -202,7 +203,7 @@ def encode_slice(vocab, texts: pa.Array) -> pa.ListArray:
     encoded = vocab.encode_all(names)
     sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
     table = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)),
-                                     pa.array(np.fromiter((i for ids in encoded for i in ids), np.int32, int(sizes.sum()))))
+                                     pa.array(np.fromiter(itertools.chain.from_iterable(encoded), np.int32, int(sizes.sum()))))
     taken = table.take(pa.array(codes))
     ends = np.concatenate([[0], np.cumsum(sizes[codes])])[np.concatenate([[0], np.cumsum(counts)])]
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), taken.flatten())

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, store, texts_of
+from .common import slices, store, strings, texts_of
 
 # What is stripped from both ends of a line, and what shorter keys are exempt from.
 STRIP = " \t\n\v\f\r"
@@ -42,7 +42,7 @@ def _line_digests(texts: pa.Array, min_points: int) -> tuple[np.ndarray, pa.Arra
     owner = np.repeat(np.arange(len(texts)), np.diff(np.asarray(split.offsets)))
     keys = pc.ascii_trim(pc.ascii_lower(lines), characters=STRIP)
     places = np.flatnonzero(np.asarray(pc.utf8_length(keys)) >= min_points)
-    return owner, lines, places, [xxhash.xxh3_128_digest(k) for k in keys.take(pa.array(places)).to_pylist()]
+    return owner, lines, places, [xxhash.xxh3_128_digest(k) for k in strings(keys.take(pa.array(places)))]
 
 
 def _emit(min_points: int):

@@ -15,6 +15,7 @@ columns of the input other than doc_id and text are not returned; empty input gi
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections import defaultdict
@@ -36,7 +37,12 @@ CACHE_ENTRIES = 300_000
 
 
 class LibraryVocabulary:
-    """A tokenizer file read by the tokenizers library, asked once per distinct pre-token."""
+    """A tokenizers file, asked once per distinct pre-token of a slice.
+
+    When the file's merges are in the order of their ids (as in byte-level BPE of the GPT-2 kind), the
+    ids follow from the ranks alone, and tiktoken merges new words about ten times faster than the
+    tokenizers library; other files are left to that library. Both give the same ids.
+    """
 
     def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -46,18 +52,60 @@ class LibraryVocabulary:
         self.tokenizer.encode_special_tokens = True
         self.pattern = regex.compile(pattern)
         self.cache: dict[str, list[int]] = {}
+        self.ranked = self._ranked(path, pattern)
+
+    def _ranked(self, path: str, pattern: str):
+        """A tiktoken encoding with the file's ids, or None if ids are not ranks."""
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model.get("merges", [])]
+        first = 256
+        if any(model["vocab"].get(a + b) != first + i for i, (a, b) in enumerate(merges)):
+            return None
+        ranks = {bytes(_BYTES[c] for c in token): i for token, i in model["vocab"].items() if i < first + len(merges)}
+        self.lengths = np.zeros(first + len(merges), np.int64)
+        for token, i in ranks.items():
+            self.lengths[i] = len(token)
+        return tiktoken.Encoding("ranked", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode_all(self, stretches: list[str]) -> list[list[int]]:
-        cut = [self.pattern.findall(s) for s in stretches]
+        # a space and letters are one pre-token; only other stretches need the pattern
+        cut = self.pattern.findall
+        parts = [(s,) if s[1:].isalpha() and s[0] == " " else cut(s) for s in stretches]
         if len(self.cache) > CACHE_ENTRIES:
             self.cache.clear()
         cache = self.cache
-        fresh = list({p for parts in cut for p in parts if p not in cache})
-        for pretoken, encoded in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-            cache[pretoken] = encoded.ids
-        return [cache[parts[0]] if len(parts) == 1 else [i for p in parts for i in cache[p]] for parts in cut]
-
-
+        self._ask(list({p for pretokens in parts for p in pretokens if p not in cache}))
+        return [cache[p[0]] if len(p) == 1 else [i for pretoken in p for i in cache[pretoken]] for p in parts]
+
+    def _ask(self, pretokens: list[str]) -> None:
+        """Encodes new pre-tokens. Many are asked for in one text that the pattern cuts into the same
+        pre-tokens again: those that open with a space as they are, other words one per line."""
+        if self.ranked is not None:
+            spaced = [p for p in pretokens if len(p) > 1 and p[0] == " " and not p[1].isspace()]
+            letters = [p for p in pretokens if p.isalpha()]
+            for group, joint in ((spaced, ""), (letters, "\n")):
+                ids = self.ranked.encode_ordinary(joint.join(group))
+                ends = np.cumsum(self.lengths[ids]) if ids else np.empty(0, np.int64)
+                sizes = np.fromiter((len(p.encode()) for p in group), np.int64, len(group))
+                stops = np.cumsum(sizes + len(joint)) - len(joint)
+                until = (np.searchsorted(ends, stops) + 1).tolist()
+                since = (np.searchsorted(ends, stops - sizes, side="right")).tolist()
+                self.cache.update((p, ids[a:b]) for p, a, b in zip(group, since, until))
+            pretokens = [p for p in pretokens if p not in self.cache]
+        self.cache.update((p, e.ids) for p, e in zip(pretokens, self.tokenizer.encode_batch_fast(pretokens, add_special_tokens=False)))
+
+
+def _byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 as itself, the rest from 256 on."""
+    printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    others = [b for b in range(256) if b not in printable]
+    return {**{chr(b): b for b in printable}, **{chr(256 + i): b for i, b in enumerate(others)}}
+
+
+_BYTES = _byte_letters()
 _LOADED: dict[tuple[str, str], LibraryVocabulary] = {}
 
 
