@@ -4,7 +4,8 @@ Vectors become integers, floor(scale * x). Every vector carries its distances to
 pivots. For a query q and a candidate x, |d(q, p) - d(x, p)| is a lower bound of d(q, x) for each
 pivot p, and the largest of them bounds the inner product from above, since
 q.x = (|q|^2 + |x|^2 - d(q, x)^2) / 2. Candidates are evaluated in the order of their bounds, and a
-query stops when its k-th best score is above every bound that is left, so results are exact.
+query stops when its k-th best score is above every bound that is left, so results are exact: the
+best bounded candidates go first, and what their k-th score does not eliminate follows.
 
 Vectors are cut into blocks of a fixed size; each block of queries meets each block of candidates
 once, and blocks are merged by keeping the k best rows of a query. Nothing is broadcast but the
@@ -34,8 +35,9 @@ from .common import store
 PIVOTS = 32
 CANDIDATE_BLOCK = 16_384
 QUERY_BLOCK = 2_048
-#: Candidates that are looked at together in one step of a query block.
-STEP = 512
+#: Queries that are bounded together, and candidates with the best bounds that are evaluated first.
+GROUP = 16
+FIRST = 512
 
 
 def integer_vectors(column: pa.Array, scale: float) -> tuple[np.ndarray, np.ndarray]:
@@ -91,34 +93,47 @@ def _scores(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return left.astype(np.int64) @ right.astype(np.int64).T
 
 
+def _upper_bounds(q_pivot: np.ndarray, x_pivot: np.ndarray, q_square: np.ndarray, x_square: np.ndarray) -> np.ndarray:
+    """Upper bounds of the inner products of some queries with all candidates, from their pivot distances."""
+    lower, gap = np.zeros((len(q_pivot), len(x_pivot)), np.float32), np.empty((len(q_pivot), len(x_pivot)), np.float32)
+    for p in range(q_pivot.shape[1]):
+        np.subtract(q_pivot[:, p, None], x_pivot[None, :, p], out=gap)
+        np.abs(gap, out=gap)
+        np.maximum(lower, gap, out=lower)
+    # single precision: give way by more than its rounding
+    slack = 1e-5 * (1 + max(np.abs(q_pivot).max(initial=0), np.abs(x_pivot).max(initial=0)))
+    lower = np.maximum(lower.astype(float) - slack, 0)
+    return np.floor((q_square[:, None] + x_square[None, :] - lower**2) / 2 + 1e-6)
+
+
 def block_search(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, pivots: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best (query place, candidate place, score) of every query within one block of candidates."""
-    q_pivot, x_pivot = _distances(q, pivots), _distances(x, pivots)
+    q_pivot, x_pivot = (np.asfortranarray(_distances(v, pivots).astype(np.float32)) for v in (q, x))
     q_square, x_square = (q**2).sum(axis=1), (x**2).sum(axis=1)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    # The table is walked in the order of one bound that all queries share: distance to the nearest pivot's query group.
-    for rows in np.array_split(np.arange(len(q)), max(1, -(-len(q) // 64))):
-        lower = np.zeros((len(rows), len(x)))
-        for p in range(len(pivots)):
-            np.maximum(lower, np.abs(q_pivot[rows, p][:, None] - x_pivot[None, :, p]), out=lower)
-        lower = np.maximum(lower - 1e-6 * (1 + lower), 0)
-        upper = np.floor((q_square[rows][:, None] + x_square[None, :] - lower**2) / 2 + 1e-6)
+    for rows in np.array_split(np.arange(len(q)), max(1, -(-len(q) // GROUP))):
+        upper = _upper_bounds(q_pivot[rows], x_pivot, q_square[rows], x_square)
         upper[q_ids[rows][:, None] == x_ids[None, :]] = -np.inf
-        best = np.argsort(-upper, axis=1, kind="stable")
+        # the best bounds first: their k-th score stops every candidate bounded below it
+        head = min(FIRST, len(x))
+        tops = np.argpartition(-upper, head - 1, axis=1)[:, :head]
+        stop = np.full(len(rows), -np.inf)
+        for r, top in enumerate(tops):
+            first = _scores(q[rows[r:r + 1]], x[top])[0][np.isfinite(upper[r, top])]
+            if len(first) >= k:
+                stop[r] = np.partition(first, len(first) - k)[len(first) - k]
+        open_ = (upper >= stop[:, None]) & np.isfinite(upper)
+        some = np.flatnonzero(open_.any(axis=0))
+        scores = _scores(q[rows], x[some])
         for r, row in enumerate(rows.tolist()):
-            order, bound = best[r], upper[r]
-            order = order[:np.searchsorted(-bound[order], np.inf)]
-            ids, scores = np.empty(0, np.int64), np.empty(0, np.int64)
-            for start in range(0, len(order), STEP):
-                if len(scores) >= k and scores[k - 1] > bound[order[start]]:
-                    break
-                part = order[start:start + STEP]
-                ids = np.concatenate([ids, part])
-                scores = np.concatenate([scores, _scores(q[row:row + 1], x[part])[0]])
-                keep = np.lexsort((x_ids[ids], -scores))[:k]
-                ids, scores = ids[keep], scores[keep]
-            found.append((np.full(len(ids), row), ids, scores))
-    return tuple(np.concatenate(c) if found else np.empty(0, np.int64) for c in zip(*found)) if found else (np.empty(0, np.int64),) * 3
+            mine = np.flatnonzero(open_[r, some])
+            score = scores[r, mine]
+            if len(mine) > k:
+                best = score >= np.partition(score, len(score) - k)[len(score) - k]
+                mine, score = mine[best], score[best]
+            keep = np.lexsort((x_ids[some[mine]], -score))[:k]
+            found.append((np.full(len(keep), row), some[mine[keep]], score[keep]))
+    return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, np.int64),) * 3
 
 
 def _search(pivots: list[list[int]], k: int):
