@@ -1,9 +1,15 @@
-"""Toxicity: class-conditional Kneser-Ney bigram models with shared backoff counts.
+"""Toxicity: class-conditional Kneser-Ney models with shared backoff counts.
 
-Two models, one of toxic and one of ordinary texts, are counted from labelled rows and share their
-lowest level: continuation counts (in how many contexts a word occurs) over both classes. A
-document's evidence is its toxic minus its ordinary log-likelihood per word; a logistic curve,
-fitted on labelled rows kept out of the counts, turns it into a score.
+Two models, one of toxic and one of ordinary texts, predict a word letter by letter from up to
+`order - 1` letters before it (word borders are letters too), so inflected and rare expressions share
+what their stems have shown. Contexts of the longer orders are counted per class; the shortest orders
+are continuation counts (in how many longer n-grams an n-gram ends) shared by both classes, which all
+sparse contexts back off to.
+
+A word's evidence is its toxic minus its ordinary log-likelihood. A text is described by the sums of
+its words' evidence and of the part of it above a margin, both divided by the number of words, and by
+the largest such part; a logistic curve over these, fitted on labelled rows kept out of the counts,
+gives the score.
 
 The labelled rows are a bounded sample (`max_per_class`, chosen by a hash of doc_id) and the model a
 bounded table (`max_entries`; rarer n-grams are left to the backoff), so both are safe to broadcast.
@@ -18,7 +24,7 @@ score is 0; columns named like an output are replaced.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -27,83 +33,143 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, chain, hash_strings, same_text, sample_by_hash, slices, store, texts_of
+from .common import Words, mix, sample_by_hash, slices, store, strings, texts_of
 
 # Fixed value: characters that do not belong to a word at its ends.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 MAX_PER_CLASS = 10_000
-MAX_ENTRIES = 1 << 18
+MAX_ENTRIES = 1 << 19
+ORDER = 5
+SHARED_ORDERS = 2
 DISCOUNT = 0.75
+#: Evidence of a word (in nats) that counts as more than chance.
+MARGIN = 1.0
 OUTPUTS = ("score", "predicted")
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Tokens:
-    """Hashes of the words of a slice, lower-cased and without punctuation at the ends."""
+class BareWords:
+    """Words of a slice, lower-cased and without punctuation at the ends, as codes of distinct words."""
 
     def __init__(self, texts: pa.Array):
         words = Words(texts, lower=True)
-        bare = pc.ascii_trim(words.distinct, characters=PUNCTUATION)
-        full = (np.asarray(pc.binary_length(bare)) > 0)[words.codes]
-        self.owner = words.owner[full]
-        self.words = hash_strings(bare)[words.codes[full]]
-        inside = same_text(self.owner, 2)
-        self.pairs = chain(self.words, 2)[inside]
-        self.second = np.flatnonzero(inside) + 1
+        bare = pc.ascii_trim(words.distinct, characters=PUNCTUATION).dictionary_encode()
+        codes = np.asarray(bare.indices).astype(np.int64)[words.codes]
+        full = (np.asarray(pc.binary_length(bare.dictionary)) > 0)[codes]
+        self.owner, self.codes = words.owner[full], codes[full]
+        self.distinct: list[str] = strings(bare.dictionary)
+
+
+class Letters:
+    """Letter n-grams of words: for every letter after a word's opening mark, the hash of the n-gram that ends there."""
+
+    def __init__(self, words: list[str], order: int):
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        points = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        word = np.repeat(np.arange(len(words)), sizes)
+        place = np.arange(len(points)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        letter = mix(points + np.uint64(17))
+        hashes, self.keys, self.contexts, self.reaches = np.zeros(len(points), np.uint64), [], [], []
+        inner = place > 0
+        for n in range(1, order + 1):
+            before = np.concatenate([[np.uint64(0)], hashes[:-1]]) + np.uint64(n)
+            hashes = mix(before * _STEP + letter)
+            self.keys.append(hashes[inner])
+            self.contexts.append(before[inner] * _STEP)
+            self.reaches.append((place >= n - 1)[inner])
+        self.word = word[inner]
+
+
+def _count_ngrams(order: int):
+    """Rows (n, key, context, suffix, ordinary, toxic); suffix is the key without the first letter."""
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            words = BareWords(texts_of(batch))
+            toxic = np.asarray(batch.column("toxic"))[words.owner] == 1
+            per_word = [np.bincount(words.codes[toxic == bool(c)], minlength=len(words.distinct)) for c in (0, 1)]
+            letters = Letters(words.distinct, order)
+            for n in range(order):
+                there = letters.reaches[n]
+                unique, at, code = np.unique(letters.keys[n][there], return_index=True, return_inverse=True)
+                counts = [np.bincount(code, weights=p[letters.word[there]], minlength=len(unique)).astype(np.int64) for p in per_word]
+                suffix = letters.keys[n - 1] if n else np.zeros(len(there), np.uint64)
+                longs = [pa.array(x[there][at].view(np.int64)) for x in (letters.contexts[n], suffix)]
+                yield pa.record_batch([pa.array(np.full(len(unique), n + 1, np.int32)), pa.array(unique.view(np.int64)), *longs, *map(pa.array, counts)],
+                                      names=["n", "key", "context", "suffix", "ordinary", "toxic"])
 
-def _count_ngrams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (first, word, key, ordinary, toxic): first and key are null for single words."""
-    for batch in slices(batches):
-        tokens = Tokens(texts_of(batch))
-        toxic = np.asarray(batch.column("toxic")).astype(np.int64)
-        for words, keys, first, who in ((tokens.words, tokens.words, None, tokens.owner),
-                                        (tokens.words[tokens.second], tokens.pairs, tokens.words[tokens.second - 1], tokens.owner[tokens.second])):
-            unique, at, code = np.unique(keys, return_index=True, return_inverse=True)
-            counts = [np.bincount(code, weights=toxic[who] == c, minlength=len(unique)).astype(np.int64) for c in (0, 1)]
-            as_long = [pa.array(x[at].view(np.int64)) for x in (words, keys)]
-            before = pa.nulls(len(unique), pa.int64()) if first is None else pa.array(first[at].view(np.int64))
-            yield pa.record_batch([before, *as_long, *map(pa.array, counts)], names=["first", "word", "key", "ordinary", "toxic"])
+    return run
 
 
-_NGRAMS = "first bigint, word bigint, key bigint, ordinary bigint, toxic bigint"
+_NGRAMS = "n int, key bigint, context bigint, suffix bigint, ordinary bigint, toxic bigint"
 
 
 @dataclass
-class Model:
-    """Sorted keys with probabilities: of words per class, and of pairs before backing off."""
-
-    words: np.ndarray
-    word_p: np.ndarray       # (2, n) probability per class
-    unseen_p: np.ndarray     # (2,) of any other word
-    backoff: np.ndarray      # (2, n) weight of the word level after this word as context
-    pairs: np.ndarray
-    pair_p: np.ndarray       # (2, m) discounted probability, without the backoff part
-    slope: float = 0.0
-    offset: float = 0.0
-
-    def evidence(self, texts: pa.Array) -> np.ndarray:
-        """Mean log ratio toxic / ordinary over the words of each text."""
-        tokens = Tokens(texts)
-        at, known = _find(self.words, tokens.words)
-        p = np.where(known, self.word_p[:, at], self.unseen_p[:, None])
-        at1, known1 = at[tokens.second - 1], known[tokens.second - 1]
-        p[:, tokens.second] *= np.where(known1, self.backoff[:, at1], 1.0)
-        if len(self.pairs):
-            pair_at, seen = _find(self.pairs, tokens.pairs)
-            p[:, tokens.second] += np.where(seen & known1, self.pair_p[:, pair_at], 0.0)
-        ratio = np.log(p[1]) - np.log(p[0])
-        return np.bincount(tokens.owner, weights=ratio, minlength=len(texts)) / np.maximum(np.bincount(tokens.owner, minlength=len(texts)), 1)
+class Level:
+    """One order of the models: discounted probabilities of n-grams and backoff weights of contexts, (class, entry)."""
+
+    keys: np.ndarray
+    direct: np.ndarray
+    contexts: np.ndarray
+    weight: np.ndarray
+
+    @classmethod
+    def of(cls, key: np.ndarray, context: np.ndarray, counts: np.ndarray, discount: float) -> Level:
+        order = np.argsort(key)
+        key, context, counts = key[order], context[order], counts[:, order]
+        contexts, code = np.unique(context, return_inverse=True)
+        total = np.stack([np.bincount(code, weights=c, minlength=len(contexts)) for c in counts])
+        kinds = np.stack([np.bincount(code, weights=c > 0, minlength=len(contexts)) for c in counts])
+        seen = np.maximum(total, 1)
+        taken = np.stack([np.bincount(code, weights=np.minimum(c, discount), minlength=len(contexts)) for c in counts])
+        weight = np.where(total > 0, np.where(kinds > 0, taken / seen, 1.0), 1.0)
+        return cls(key, np.maximum(counts - discount, 0) / seen[:, code], contexts, weight)
+
+    def extend(self, p: np.ndarray, keys: np.ndarray, contexts: np.ndarray, reach: np.ndarray) -> np.ndarray:
+        """The next longer estimate from the shorter one; letters without so long a context keep theirs."""
+        at, found = _find(self.contexts, contexts)
+        known = found & reach
+        q = p * np.where(known, self.weight[:, at], 1.0)
+        at, found = _find(self.keys, keys)
+        return q + np.where(found & known, self.direct[:, at], 0.0)
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of wanted keys in a sorted array, and whether they are there."""
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    """Places of wanted keys in a sorted array that is not empty, and whether they are there."""
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
     return at, keys[at] == wanted
 
 
+@dataclass
+class Model:
+    levels: list[Level]
+    letters: int
+    curve: np.ndarray = field(default_factory=lambda: np.zeros(4))
+
+    def word_evidence(self, words: list[str]) -> np.ndarray:
+        """log P(word | toxic) - log P(word | ordinary)."""
+        letters = Letters(words, len(self.levels))
+        p = np.full((2, len(letters.word)), 1.0 / self.letters)
+        for n, level in enumerate(self.levels):
+            p = level.extend(p, letters.keys[n], letters.contexts[n], letters.reaches[n])
+        return np.bincount(letters.word, weights=np.log(p[1]) - np.log(p[0]), minlength=len(words))
+
+    def features(self, texts: pa.Array) -> np.ndarray:
+        """Per text: mean evidence, mean evidence above the margin, largest such evidence, and 1."""
+        words = BareWords(texts)
+        evidence = self.word_evidence(words.distinct)[words.codes] if len(words.codes) else np.empty(0)
+        strong = np.maximum(evidence - MARGIN, 0)
+        n = np.maximum(np.bincount(words.owner, minlength=len(texts)), 1)
+        largest = np.zeros(len(texts))
+        np.maximum.at(largest, words.owner, strong)
+        means = [np.bincount(words.owner, weights=x, minlength=len(texts)) / n for x in (evidence, strong)]
+        return np.column_stack([*means, largest, np.ones(len(texts))])
+
+    def score(self, texts: pa.Array) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.features(texts) @ self.curve, -30, 30)))
+
+
 def learning_rows(labels: DataFrame, max_per_class: int) -> DataFrame:
     """(doc_id, toxic) of the labelled sample: at most about `max_per_class` rows a class."""
     clean = (labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
@@ -115,66 +181,53 @@ def learning_rows(labels: DataFrame, max_per_class: int) -> DataFrame:
 def _most_frequent(ngrams: DataFrame, limit: int) -> DataFrame:
     """All n-grams from the smallest count on that leaves at most `limit` of them."""
     total = F.col("ordinary") + F.col("toxic")
-    bins = ngrams.groupBy(F.least(total, F.lit(10_000)).alias("n")).count().collect()
+    bins = ngrams.groupBy(F.least(total, F.lit(10_000)).alias("total")).count().collect()
     kept, least = 0, 10_001
-    for row in sorted(bins, key=lambda r: -r["n"]):
+    for row in sorted(bins, key=lambda r: -r["total"]):
         kept += row["count"]
         if kept > limit:
             break
-        least = row["n"]
+        least = row["total"]
     return ngrams.where(total >= least)
 
 
-def fit_counts(marked: DataFrame, max_entries: int = MAX_ENTRIES, discount: float = DISCOUNT) -> Model | None:
+def fit_counts(marked: DataFrame, max_entries: int = MAX_ENTRIES, order: int = ORDER, shared_orders: int = SHARED_ORDERS, discount: float = DISCOUNT) -> Model | None:
     """The two models of (text, toxic) rows, or None without rows of both classes."""
-    ngrams = store(marked.select("text", "toxic").mapInArrow(_count_ngrams, _NGRAMS).groupBy("key")
-                   .agg(F.first("first").alias("first"), F.first("word").alias("word"), F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")), "toxicity-ngrams")
-    single, double = ngrams.where("first is null"), ngrams.where("first is not null")
-    totals = single.agg(F.sum("ordinary").alias("o"), F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("types")).first()
-    if not totals["o"] or not totals["t"]:
+    ngrams = store(marked.select("text", "toxic").mapInArrow(_count_ngrams(order), _NGRAMS).groupBy("n", "key", "context", "suffix")
+                   .agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")), "toxicity-ngrams")
+    ends = ngrams.groupBy((F.col("n") - 1).alias("n"), F.col("suffix").alias("key")).agg(F.count(F.lit(1)).alias("longer"))
+    table = _most_frequent(ngrams, max_entries).join(ends, ["n", "key"], "left").select("n", "key", "context", "ordinary", "toxic", F.coalesce("longer", F.lit(0)).alias("longer")).toPandas()
+    if not table["ordinary"].sum() or not table["toxic"].sum():
         return None
-    n = np.array([totals["o"], totals["t"]], float)
-    contexts = double.groupBy("word").agg(F.count(F.lit(1)).alias("contexts"))
-    words = (_most_frequent(single, max_entries).join(contexts, "word", "left")
-             .select("word", "ordinary", "toxic", F.coalesce("contexts", F.lit(0)).alias("contexts")).toPandas())
-    pairs = _most_frequent(double.where("ordinary + toxic > 1"), max_entries).select("first", "key", "ordinary", "toxic").toPandas()
-    pair_total = double.count()
-
-    key = words["word"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(key)
-    key, counts = key[order], words[["ordinary", "toxic"]].to_numpy(float).T[:, order]
-    shared = (words["contexts"].to_numpy(float)[order] + 0.5) / (pair_total + 0.5 * totals["types"])
-    reduced = np.maximum(counts - discount, 0) / n[:, None]
-    left = 1 - reduced.sum(axis=1)
-    word_p = reduced + left[:, None] * shared
-    unseen_p = left * 0.5 / (pair_total + 0.5 * totals["types"])
-
-    first = pairs["first"].to_numpy(np.int64).view(np.uint64)
-    at, known = _find(key, first)
-    pair_counts = pairs[["ordinary", "toxic"]].to_numpy(float).T[:, known]
-    at, pair_key = at[known], pairs["key"].to_numpy(np.int64).view(np.uint64)[known]
-    pair_p = np.maximum(pair_counts - discount, 0) / np.maximum(counts[:, at], 1)
-    backoff = 1 - np.stack([np.bincount(at, weights=pair_p[c], minlength=len(key)) for c in (0, 1)])
-    order = np.argsort(pair_key)
-    return Model(key, word_p, unseen_p, np.maximum(backoff, 0.01), pair_key[order], pair_p[:, order])
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and offset of a logistic curve, by Newton steps with a small ridge."""
-    scale = x.std() or 1.0
-    design = np.column_stack([x / scale, np.ones(len(x))])
-    beta = np.zeros(2)
+    levels = []
+    for n in range(1, order + 1):
+        rows = table[table["n"] == n]
+        if not len(rows):
+            break
+        names = ["longer", "longer"] if n <= min(shared_orders, order - 1) else ["ordinary", "toxic"]
+        levels.append(Level.of(rows["key"].to_numpy(np.int64).view(np.uint64), rows["context"].to_numpy(np.int64).view(np.uint64), rows[names].to_numpy(float).T, discount))
+    return Model(levels, len(levels[0].keys) + 1)
+
+
+def _logistic(design: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
+    """Coefficients of a logistic curve, by Newton steps with a small ridge on scaled columns."""
+    scale = np.maximum(np.abs(design).max(axis=0), 1e-9)
+    x, beta = design / scale, np.zeros(design.shape[1])
+    ridge = 1e-2 * np.eye(len(beta))
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2), design.T @ (y - p) - 1e-3 * beta)
-        beta += np.clip(step, -5, 5)
-    return float(beta[0] / scale), float(beta[1])
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        beta += np.clip(np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ beta), -5, 5)
+    return beta / scale
+
+
+_FEATURES = ["mean", "strong", "largest", "one"]
 
 
-def _evidence(model: Model):
+def _features(model: Model):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            yield pa.record_batch([batch.column("toxic"), pa.array(model.evidence(texts_of(batch)))], names=["toxic", "evidence"])
+            columns = model.features(texts_of(batch)).T
+            yield pa.record_batch([batch.column("toxic"), *[pa.array(np.ascontiguousarray(c)) for c in columns]], names=["toxic", *_FEATURES])
 
     return run
 
@@ -186,20 +239,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS,
     fold = F.pmod(F.xxhash64(F.lit("fold"), F.col("doc_id")), F.lit(5))
     model = fit_counts(marked.where(fold != 0), max_entries)
     if model is not None:
-        seen = marked.where(fold == 0).select("toxic", "text").mapInArrow(_evidence(model), "toxic int, evidence double").toPandas()
+        seen = marked.where(fold == 0).select("toxic", "text").mapInArrow(_features(model), "toxic int, " + ", ".join(f"{n} double" for n in _FEATURES)).toPandas()
         if len(seen):
-            model.slope, model.offset = _logistic(seen["evidence"].to_numpy(float), seen["toxic"].to_numpy(float))
+            model.curve = _logistic(seen[_FEATURES].to_numpy(float), seen["toxic"].to_numpy(float))
     return model
 
 
 def _score(names: list[str], model):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded = model.value if hasattr(model, "value") else model
         for batch in slices(batches):
-            if loaded is None:
-                score = np.zeros(batch.num_rows)
-            else:
-                score = 1 / (1 + np.exp(-np.clip(loaded.slope * loaded.evidence(texts_of(batch)) + loaded.offset, -30, 30)))
+            score = model.value.score(texts_of(batch)) if model is not None else np.zeros(batch.num_rows)
             made = {"score": pa.array(score), "predicted": pa.array((score >= 0.5).astype(np.int32))}
             yield pa.record_batch([made[n] if n in made else batch.column(n) for n in names], names=names)
 
