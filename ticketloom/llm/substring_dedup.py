@@ -148,7 +148,7 @@ def _cut(names: list[str], reach: int, min_words: int):
                             continue
                         first, after = int(chunks.start[lo + a]), int(chunks.start[lo + b]) if lo + b < hi else stop
                         pieces.append(bytes(chunks.data[at:first]))
-                        spans.append({"start_byte": first - begin, "end_byte": int(chunks.end[lo + b - 1]) - begin, "first_doc_id": int(sources[where[a]])})
+                        spans.append({"start_byte": first - begin, "end_byte": int(chunks.end[lo + b - 1]) - begin, "first_doc_id": int(sources[where[a:b]].min())})
                         at, dropped_chunks, dropped_words = after, dropped_chunks + b - a, dropped_words + words
                 pieces.append(bytes(chunks.data[at:stop]))
                 for n, v in zip(OUTPUTS, (hi - lo, dropped_chunks, dropped_words, spans, b"".join(pieces).decode())):
@@ -165,7 +165,7 @@ _TYPES = {"n_chunks": pa.int64(), "n_dropped_chunks": pa.int64(), "dropped_words
 
 
 def drop_repeated_substrings(docs: DataFrame, reach: int = REACH, min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents with n_chunks, n_dropped_chunks, dropped_words, dropped (byte spans and the document that keeps the copy) and kept_text."""
+    """The documents with n_chunks, n_dropped_chunks, dropped_words, dropped (byte spans, and the smallest document that holds copies of their chunks) and kept_text."""
     docs = docs.drop(*OUTPUTS, _REPEATED)
     known = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     members = known.mapInArrow(_members(reach), "doc_id bigint, chunk bigint").join(repeated_chunks(known, reach), "chunk")
