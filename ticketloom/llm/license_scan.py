@@ -9,7 +9,7 @@ share of a template's rare tokens that agree on one start, over templates whose
 
 Phrases of the base labels are found directly, word by word.
 
-Only texts with a licence word are exploded, and only votes are shuffled; the index is a table of
+Only texts that may hold a mandatory phrase are exploded, and only those and votes are shuffled; the index is a table of
 constant size. Votes are partly aggregated, so a very long text is spread like many short ones.
 
 Cases: null and empty texts have no words and no labels; repeated rows get equal results; rows
@@ -80,8 +80,6 @@ class TemplateIndex:
                     self.postings[w].append((t, q))
         self.rare = [sum(w in weight for w in ws) for ws in words]
         self.phrases = sorted({p for _, _, ps in self.templates for p in ps})
-        # every template has a phrase, and a phrase stands only where its rarest word does
-        self.anchors = sorted({min(p.split(" "), key=lambda w: (frequency[w], -len(w), w)) for p in self.phrases})
 
     def table(self, spark) -> DataFrame:
         """(word, template, position, rare, label, phrases); as many rows as rare tokens in the templates."""
@@ -89,11 +87,42 @@ class TemplateIndex:
         return spark.createDataFrame(rows, "word string, template int, position int, rare int, label string, phrases array<string>")
 
 
+def _let(value: Column, use) -> Column:
+    """use(value) with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _class(separators: str) -> str:
+    """Runs of characters that are not listed. Java matches single listed characters by a table, ranges one by one."""
+    return "[^" + "".join(f"\\x{ord(c):02x}" for c in separators) + "]+"
+
+
+_SEPARATORS = "".join(chr(c) for c in range(128) if not re.fullmatch(WORD, chr(c)))
+_LOWER_WORD = _class(_SEPARATORS)
+_ANY_WORD = _class("".join(c for c in _SEPARATORS if c not in UPPER))
+
+
 def words_of(text: Column) -> Column:
     """Words of a text after lower-casing A-Z."""
     full = F.coalesce(text, F.lit(""))
     lowered = F.when(F.octet_length(full) == F.length(full), F.lower(full)).otherwise(F.translate(full, UPPER, LOWER))
-    return F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(lowered, F.lit(_LOWER_WORD), F.lit(0))
+
+
+def may_hold(text: Column, phrases: list[str]) -> Column:
+    """False only where no phrase can stand: some word of each is not even part of the text."""
+    lowered = F.lower(F.coalesce(text, F.lit("")))
+
+    def test(low: Column) -> Column:
+        any_phrase = F.lit(False)
+        for phrase in phrases:
+            here = F.lit(True)
+            for word in sorted(set(phrase.split(" ")), key=lambda w: (-len(w), w)):
+                here = here & F.contains(low, F.lit(word))
+            any_phrase = any_phrase | here
+        return any_phrase
+
+    return _let(lowered, test)
 
 
 def phrase_starts(words: Column, phrase: str) -> Column:
@@ -107,7 +136,7 @@ def phrase_starts(words: Column, phrase: str) -> Column:
         return hit
 
     places = F.filter(F.sequence(F.lit(0), F.size(words) - len(wanted)), here)
-    return F.when((F.size(words) >= len(wanted)) & F.array_contains(words, max(wanted, key=lambda w: (w not in ("the", "by"), len(w)))), places).otherwise(F.array().cast("array<int>"))
+    return F.when(F.size(words) >= len(wanted), places).otherwise(F.array().cast("array<int>"))
 
 
 def _literal(values: list[str]) -> Column:
@@ -115,11 +144,16 @@ def _literal(values: list[str]) -> Column:
 
 
 def _base(docs: DataFrame) -> DataFrame:
-    found = docs.select("doc_id", F.xxhash64("text").alias("__text"), words_of(F.col("text")).alias("__words"))
-    found = found.select("doc_id", "__text", F.size("__words").cast("bigint").alias("n_words"),
-                         *[phrase_starts(F.col("__words"), p).alias(f"__p{i}") for i, p in enumerate(BASE_PHRASES)])
-    places = F.concat(*[F.col(f"__p{i}") for i in range(len(BASE_PHRASES))])
-    labels = [F.when(F.size(f"__p{i}") > 0, F.array(F.lit(label))).otherwise(F.array().cast("array<string>")) for i, label in enumerate(BASE_PHRASES.values())]
+    """Word counts of all texts, and the base phrases of those that may hold one."""
+    def find(words: Column) -> Column:
+        return F.struct(*[phrase_starts(words, p).alias(f"p{i}") for i, p in enumerate(BASE_PHRASES)])
+
+    none = F.struct(*[F.array().cast("array<int>").alias(f"p{i}") for i in range(len(BASE_PHRASES))])
+    found = docs.select("doc_id", F.xxhash64("text").alias("__text"), F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_ANY_WORD), F.lit(0))).cast("bigint").alias("n_words"),
+                        F.when(may_hold(F.col("text"), list(BASE_PHRASES)), _let(words_of(F.col("text")), find)).otherwise(none).alias("__p"))
+    each = [F.col(f"__p.p{i}") for i in range(len(BASE_PHRASES))]
+    places = F.concat(*each)
+    labels = [F.when(F.size(p) > 0, F.array(F.lit(label))).otherwise(F.array().cast("array<string>")) for p, label in zip(each, BASE_PHRASES.values())]
     return found.select("doc_id", "__text", "n_words", F.size(places).cast("bigint").alias("n_base"), F.array_min(places).cast("bigint").alias("first_word"),
                         F.array_max(places).cast("bigint").alias("last_word"), F.array_sort(F.array_distinct(F.concat(*labels))).alias("__base"))
 
@@ -127,12 +161,16 @@ def _base(docs: DataFrame) -> DataFrame:
 def _by_index(docs: DataFrame, index: TemplateIndex) -> DataFrame:
     """(__id, __text, method labels, score) of the texts in which a template was found."""
     rare = _literal(index.words)
-    near = (docs.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__text"), words_of(F.col("text")).alias("__words"))
-            .where(F.arrays_overlap("__words", _literal(index.anchors))))
-    joined = F.concat(F.lit(" "), F.array_join("__words", " "), F.lit(" "))
-    near = near.withColumn("__found", F.filter(_literal(index.phrases), lambda p: F.contains(joined, F.concat(F.lit(" "), p, F.lit(" "))))).where(F.size("__found") > 0)
-    near = near.dropDuplicates(["__id", "__text"]).withColumn("__top", F.slice(F.array_intersect(rare, F.col("__words")), 1, TOP_WORDS))
-    placed = near.select("__id", "__text", "__found", "__top", F.posexplode("__words").alias("__place", "word"))
+
+    def look_up(words: Column) -> Column:
+        """The words, the phrases that stand in them, and the licence words of highest weight."""
+        joined = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+        found = _let(joined, lambda line: F.filter(_literal(index.phrases), lambda p: F.contains(line, F.concat(F.lit(" "), p, F.lit(" ")))))
+        return F.struct(words.alias("words"), found.alias("found"), F.slice(F.array_intersect(rare, words), 1, TOP_WORDS).alias("top"))
+
+    near = (docs.where(may_hold(F.col("text"), index.phrases)).select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__text"), "text")
+            .dropDuplicates(["__id", "__text"]).select("__id", "__text", F.inline(F.array(_let(words_of(F.col("text")), look_up)))))
+    placed = near.where(F.size("found") > 0).select("__id", "__text", F.col("found").alias("__found"), F.col("top").alias("__top"), F.posexplode("words").alias("__place", "word"))
     votes = (placed.where(F.array_contains("__top", F.col("word"))).join(F.broadcast(index.table(docs.sparkSession)), "word")
              .where(F.size(F.array_except("phrases", "__found")) == 0)
              .groupBy("__id", "__text", "label", "template", (F.col("__place") - F.col("position")).alias("__start"))
