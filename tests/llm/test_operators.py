@@ -400,11 +400,15 @@ def test_toxicity_without_labels(spark, none, odd):
     assert toxicity.toxicity(none, empty).count() == 0
 
 
-def test_models_sum_to_one(spark):
-    rows = [(0, "a b a c"), (1, "a a d"), (0, "b b a"), (1, "d e a b")]
+def test_letter_probabilities_sum_to_one(spark):
+    rows = [(0, "ab ba aca"), (1, "abba dab"), (0, "b bab a"), (1, "deb a ab")]
     model = toxicity.fit_counts(spark.createDataFrame(rows, "toxic int, text string"))
-    vocabulary = "abcde"
-    for cls in (0, 1):
-        per_word = model.word_p[cls].sum()
-        assert per_word == pytest.approx(1 - model.unseen_p[cls] * 0, abs=1e-9) and len(model.words) == len(vocabulary)
-
+    for stem in ("", "a", "b", "ab", "ba", "de", "zz"):
+        # every letter of the vocabulary after the stem, the closing mark, and one letter never seen
+        words = [stem + letter for letter in "abcde"] + [stem + "?"]
+        letters = toxicity.Letters(words, len(model.levels))
+        p = model.letter_probabilities(letters)
+        after = [np.flatnonzero(letters.word == i)[len(stem)] for i in range(len(words))]
+        closing = np.flatnonzero(toxicity.Letters([stem], len(model.levels)).word == 0)[-1]
+        total = p[:, after].sum(axis=1) + model.letter_probabilities(toxicity.Letters([stem], len(model.levels)))[:, closing]
+        assert total == pytest.approx([1.0, 1.0])

@@ -147,12 +147,17 @@ class Model:
     letters: int
     curve: np.ndarray = field(default_factory=lambda: np.zeros(4))
 
-    def word_evidence(self, words: list[str]) -> np.ndarray:
-        """log P(word | toxic) - log P(word | ordinary)."""
-        letters = Letters(words, len(self.levels))
+    def letter_probabilities(self, letters: Letters) -> np.ndarray:
+        """(class, letter): the probability of each letter after those before it; ordinary first."""
         p = np.full((2, len(letters.word)), 1.0 / self.letters)
         for n, level in enumerate(self.levels):
             p = level.extend(p, letters.keys[n], letters.contexts[n], letters.reaches[n])
+        return p
+
+    def word_evidence(self, words: list[str]) -> np.ndarray:
+        """log P(word | toxic) - log P(word | ordinary)."""
+        letters = Letters(words, len(self.levels))
+        p = self.letter_probabilities(letters)
         return np.bincount(letters.word, weights=np.log(p[1]) - np.log(p[0]), minlength=len(words))
 
     def features(self, texts: pa.Array) -> np.ndarray:
