@@ -48,6 +48,26 @@ def test_week_refresh_replaces_due_weeks_only(spark, tmp_path):
     incremental.refresh_weeks(make("new"), state, path, F.expr("timestamp_ntz'2024-01-30 00:00:00'"))
     got = {str(r["cohort_week"]): r["v"] for r in spark.read.parquet(path).collect()}
     assert got == {"2024-01-01": "old", "2024-01-15": "new", "2024-01-22": "new"}
+    incremental.refresh_weeks(make("newer").where("cohort_week < '2024-01-20'"), state.unionByName(state.limit(1).select(F.lit("2024-01-22").cast("date").alias("cohort_week"), "fetched_at")), path, F.expr("timestamp_ntz'2024-01-30 00:00:00'"))
+    got = {str(r["cohort_week"]): r["v"] for r in spark.read.parquet(path).collect()}
+    assert got == {"2024-01-01": "old", "2024-01-15": "newer"}
+
+
+def test_ticket_facts_outlive_the_timer(spark, tmp_path):
+    pytest.importorskip("google.protobuf", reason="Spark's stateful Python processor needs protobuf")
+    rows = [("s", f"t{turn}", turn, ts, True, False) for turn, ts in enumerate(["2024-01-01 00:00:00", "2024-01-02 00:00:00", "2024-01-20 00:00:00"])]
+    rows += [("other", "x", 0, "2024-01-15 00:00:00", True, False)]
+    path = str(tmp_path / "traces")
+    schema = "session_id string, trace_id string, turn int, ts string, is_ai boolean, is_transfer boolean"
+    out = str(tmp_path / "out")
+    for day in ("2024-01-01", "2024-01-02", "2024-01-15", "2024-01-20"):
+        batch = spark.createDataFrame([r for r in rows if r[3].startswith(day)], schema).withColumn("ts", F.col("ts").cast("timestamp"))
+        batch.coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(batch.schema).parquet(path)
+        job = streams.ticket_state_stream(stream, "1 hour").writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "c9"))
+        job.foreachBatch(lambda rows, i: rows.write.mode("append").parquet(out)).trigger(availableNow=True).start().awaitTermination(120)
+    last = spark.read.parquet(out).where("session_id = 's'").orderBy(F.col("turn_count").desc()).first()
+    assert (last["turn_count"], last["reopen_lifetime"], last["reopen_within_7d"]) == (3, 2, 1)
 
 
 def test_publish_run_refuses_raw_payloads(spark, tmp_path):
@@ -57,7 +77,10 @@ def test_publish_run_refuses_raw_payloads(spark, tmp_path):
     writers.publish_run(good.withColumn("n", F.lit(2)), root, "run-2")
     writers.publish_run(good.withColumn("n", F.lit(3)), root, "run-1")
     assert sorted((r["run_id"], r["n"]) for r in spark.read.parquet(root).collect()) == [("run-1", 3), ("run-2", 2)]
-    assert [r["n"] for r in writers.latest_run(spark.read.parquet(root)).collect()] == [2]
+    assert [r["n"] for r in writers.latest_run(spark, root).collect()] == [3]
+    writers.publish_run(good.withColumn("n", F.lit(4)), root, "run-10")
+    writers.publish_run(good.withColumn("n", F.lit(5)), root, "run-9")
+    assert [r["n"] for r in writers.latest_run(spark, root).collect()] == [5]
     with pytest.raises(ValueError):
         writers.publish_run(good.select(F.struct(F.col("label").alias("response")).alias("s")), root, "run-3")
 

@@ -280,13 +280,13 @@ def strip_title_suffix(title: Column) -> Column:
 
 
 def natural_key(text: Column) -> Column:
-    """Sort key: numbers compare by value and before letters; each part is tagged and padded."""
+    """Sort key: numbers of any length compare by value and before letters; a number is tagged with its length."""
     folded = casefold(nfkc(text))
     parts = F.regexp_extract_all(folded, F.lit(r"([0-9]+|[^0-9]+)"), 1)
 
     def keyed(p: Column) -> Column:
         digits = F.regexp_replace(p, "^0+(?=[0-9])", "")
-        return F.when(p.rlike("^[0-9]+$"), F.concat(F.lit("0"), F.lpad(digits, 64, "0"))).otherwise(F.concat(F.lit("1"), p))
+        return F.when(p.rlike("^[0-9]+$"), F.concat(F.lit("0"), F.lpad(F.length(digits).cast("string"), 10, "0"), digits)).otherwise(F.concat(F.lit("1"), p))
 
     return F.transform(parts, keyed)
 

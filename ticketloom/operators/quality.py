@@ -77,23 +77,41 @@ def data_quality_score(coverage: DataFrame, gate: DataFrame, fresh: Column) -> D
 # ---- profiles of JSON payloads ------------------------------------------------------------
 
 
-def _levels(rows: DataFrame, column: str, depth: int) -> DataFrame:
-    """(path, value) of every node down to a depth; arrays are one path with []."""
-    level = rows.select(F.lit("").alias("path"), F.col(column).alias("value"))
-    found = level
-    for _ in range(depth):
+def _deepest(schema: str) -> int:
+    """Nesting of a variant schema; quoted field names can only add to it."""
+    depth = most = 0
+    for c in schema:
+        depth += (c == "<") - (c == ">" and depth > 0)
+        most = max(most, depth)
+    return most
+
+
+def _levels(rows: DataFrame, column: str) -> DataFrame:
+    """(path, value) of every node at any depth; arrays are one path with [].
+
+    One aggregate finds how deep the payloads go. One scan then unfolds a level per step: a node
+    passes on itself, marked as done, and its children.
+    """
+    schema = rows.agg(F.schema_of_variant_agg(column).alias("s")).first()["s"]
+    nodes = rows.select(F.lit("").alias("path"), F.col(column).alias("value"), F.lit(False).alias("done"))
+    for _ in range(_deepest(schema or "")):
         kind = F.schema_of_variant("value")
         pairs = F.when(kind.startswith("OBJECT"), F.map_entries(F.try_variant_get("value", "$", "map<string,variant>")))
         items = F.when(kind.startswith("ARRAY"), F.transform(F.try_variant_get("value", "$", "array<variant>"), lambda v: F.struct(F.lit("[]").alias("key"), v.alias("value"))))
-        level = level.select("path", F.explode(F.coalesce(pairs, items)).alias("e")).select(
-            F.when(F.col("e.key") == "[]", F.concat("path", F.lit("[]"))).otherwise(F.concat_ws(".", F.nullif("path", F.lit("")), F.col("e.key"))).alias("path"), "e.value")
-        found = found.unionByName(level)
-    return found
+
+        def child(e):
+            path = F.when(e["key"] == "[]", F.concat("path", F.lit("[]"))).otherwise(F.concat_ws(".", F.nullif("path", F.lit("")), e["key"]))
+            return F.struct(path.alias("path"), e["value"].alias("value"), F.lit(False).alias("done"))
+
+        own = F.array(F.struct("path", "value", F.lit(True).alias("done")))
+        children = F.when(~F.col("done"), F.transform(F.coalesce(pairs, items), child))
+        nodes = nodes.select(F.inline(F.when(children.isNull(), own).otherwise(F.concat(own, children))))
+    return nodes.select("path", "value")
 
 
-def payload_shape_profile(rows: DataFrame, column: str, depth: int = 3) -> DataFrame:
+def payload_shape_profile(rows: DataFrame, column: str) -> DataFrame:
     """Types per path, list sizes, and whether a path looks like it names an agent."""
-    nodes = _levels(rows, column, depth)
+    nodes = _levels(rows, column)
     kind = F.regexp_extract(F.schema_of_variant("value"), r"^([A-Z]+)", 1)
     size = F.when(kind == "ARRAY", F.size(F.try_variant_get("value", "$", "array<variant>")))
     leaf = F.lower(F.element_at(F.split("path", r"\."), -1))
@@ -103,9 +121,9 @@ def payload_shape_profile(rows: DataFrame, column: str, depth: int = 3) -> DataF
         F.max(agent).alias("agent_like"), F.count(F.lit(1)).alias("seen"))
 
 
-def identity_profile(rows: DataFrame, column: str, depth: int = 3) -> DataFrame:
+def identity_profile(rows: DataFrame, column: str) -> DataFrame:
     """Candidate key paths (last name is id): always present and unique, with collision counts."""
-    nodes = _levels(rows, column, depth).where(F.col("path").rlike(r"(^|\.)id$") & ~F.schema_of_variant("value").rlike("^(VOID|BOOLEAN|OBJECT|ARRAY)"))
+    nodes = _levels(rows, column).where(F.col("path").rlike(r"(^|\.)id$") & ~F.schema_of_variant("value").rlike("^(VOID|BOOLEAN|OBJECT|ARRAY)"))
     values = nodes.groupBy("path", F.to_json("value").alias("v")).agg(F.count(F.lit(1)).alias("n"))
     stats = values.groupBy("path").agg(F.sum("n").alias("seen"), F.count(F.lit(1)).alias("distinct_values"))
     total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()

@@ -303,7 +303,7 @@ def silhouette_cosine(spark, d):
 
 @query("select_k")
 def select_k(spark, d):
-    return reopen.select_k(Fx.vectors(spark, d), 5, 7)
+    return reopen.select_k(Fx.vectors(spark, d), 5, 15)
 
 
 @query("round_robin_sample", sql("""SELECT session_id, round FROM (SELECT session_id, cohort_week, issue_category, outcome, row_number() OVER (PARTITION BY cohort_week, issue_category, outcome ORDER BY session_id) AS round FROM ses)

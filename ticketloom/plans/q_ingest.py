@@ -37,9 +37,9 @@ def traces_by_session(spark, d):
     return readers.traces_by_session(Fx.traces(spark, d), "901").select("trace_id", "ts", "turn")
 
 
-@query("filter_ticket_traces", "SELECT event_id AS seq FROM events WHERE event_id % 97 <> 7")
+@query("filter_ticket_traces", "SELECT event_id AS seq FROM events WHERE event_id % 97 <> 7 UNION ALL SELECT event_id + 1000000000 FROM events WHERE event_id % 97 <> 7 AND event_id % 89 = 0")
 def filter_ticket_traces(spark, d):
-    rows = Fx.damaged_traces(spark, d).where(F.col("seq") < 1_000_000_000)
+    rows = Fx.damaged_traces(spark, d)
     return ingest.filter_ticket_traces(rows).select("seq")
 
 
@@ -81,9 +81,9 @@ def normalize_traces(spark, d):
     return damaged(spark, d).select("trace_id", "session_id", "ts", "reason")
 
 
-@query("parse_aware_timestamp", "SELECT event_id AS seq, CASE WHEN event_id % 97 <> 1 THEN ts END AS parsed FROM events")
+@query("parse_aware_timestamp", "SELECT event_id + c.shift AS seq, CASE WHEN event_id % 97 <> 1 THEN ts END AS parsed FROM events, (VALUES (0), (1000000000)) c(shift) WHERE c.shift = 0 OR event_id % 89 = 0")
 def parse_aware_timestamp(spark, d):
-    rows = Fx.damaged_traces(spark, d).where(F.col("seq") < 1_000_000_000)
+    rows = Fx.damaged_traces(spark, d)
     return rows.select("seq", T.parse_aware_timestamp(F.col("timestamp")).alias("parsed"))
 
 

@@ -209,11 +209,18 @@ def week_needs_fetch(spark, d):
     return rows.select("cohort_week", T.week_needs_fetch(week, fetched, ntz(Fx.WINDOW.as_of_utc), 14, 6).alias("needs_fetch"))
 
 
+@query("all_or_nothing_missing_lane", sql("SELECT 0 AS signals, 'partial' AS status"))
+def all_or_nothing_missing_lane(spark, d):
+    seen = Fx.observations(spark, d).where(F.col("name") != K.OBS_SKILL).select("name", F.lit(True).alias("complete"))
+    kept, status = incremental.all_or_nothing_enrichment(signals(spark, d), incremental.lane_status(seen, K.LANES))
+    return kept.agg(F.count(F.lit(1)).alias("signals")).withColumn("status", status.scalar())
+
+
 @query("all_or_nothing_enrichment", sql("SELECT count(*) AS signals, 'complete' AS status FROM (SELECT trace_id FROM ob WHERE intent IS NOT NULL UNION ALL SELECT trace_id FROM ob WHERE skill IS NOT NULL)"))
 def all_or_nothing_enrichment(spark, d):
     rows = signals(spark, d).where("kind in ('intent', 'skill')")
-    lanes = Fx.observations(spark, d).groupBy("name").agg(F.count(F.lit(1)).alias("rows")).select("name", (F.col("rows") > 0).alias("complete"))
-    kept, status = incremental.all_or_nothing_enrichment(rows, lanes)
+    seen = Fx.observations(spark, d).select("name", F.lit(True).alias("complete"))
+    kept, status = incremental.all_or_nothing_enrichment(rows, incremental.lane_status(seen, K.LANES))
     return kept.agg(F.count(F.lit(1)).alias("signals")).withColumn("status", status.scalar())
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -436,10 +437,11 @@ def paginate(spark, d):
     return explorer.paginate(rows, "csat_satisfaction", True, page=2, page_size=25)
 
 
-@query("natural_sort_key", sql("SELECT session_id, app FROM ens ORDER BY app_code, session_id LIMIT 40"))
+@query("natural_sort_key", sql("SELECT session_id, app, CAST(dense_rank() OVER (ORDER BY app_code) AS INTEGER) AS place FROM ens"))
 def natural_sort_key(spark, d):
-    rows = Fx.sessions(spark, d).select("session_id", "app", X.natural_key(F.col("app")).alias("key"))
-    return rows.orderBy("key", "session_id").limit(40).select("session_id", "app")
+    rows = Fx.sessions(spark, d).select("session_id", "app")
+    apps = rows.select("app").distinct().select("app", X.natural_key(F.col("app")).alias("key"))
+    return rows.join(apps.select("app", F.dense_rank().over(W.orderBy("key")).alias("place")), "app").select("session_id", "app", "place")
 
 
 @query("table_sort")

@@ -55,7 +55,7 @@ def latest_response_stream(spark, d):
 def ticket_state_stream(spark, d):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
     rows = Fx.traces(spark, d).select("session_id", "trace_id", "turn", F.col("ts").cast("timestamp").alias("ts"), "is_ai", "is_transfer")
-    out = _run(streams.ticket_state_stream(_as_stream(rows, spark, "traces"), "60 days"), spark, "tickets")
+    out = _run(streams.ticket_state_stream(_as_stream(rows, spark, "traces"), "1 hour"), spark, "tickets")
     last = F.max_by(F.struct("ai_first", "outcome", "reopen_lifetime", "reopen_within_7d", "ai_reply_count", "turn_count"), "turn_count").alias("l")
     return out.groupBy("session_id").agg(last).select("session_id", "l.*")
 
@@ -71,13 +71,13 @@ def incremental_week_refresh(spark, d):
     return spark.read.parquet(path)
 
 
-@query("publish_run", sql("SELECT week_definition, cohort_week, total_tickets, 'run-2' AS run_id FROM wk"))
+@query("publish_run", sql("SELECT week_definition, cohort_week, total_tickets, 'run-10' AS run_id FROM wk"))
 def publish_run(spark, d):
     root = new_folder(spark, "runs")
     rows = weekly_rows(spark, d).select("week_definition", "cohort_week", "total_tickets")
-    writers.publish_run(rows.where("week_definition = 'mon_sun'"), root, "run-1")
-    writers.publish_run(rows, root, "run-2")
-    return writers.latest_run(spark.read.parquet(root))
+    writers.publish_run(rows.where("week_definition = 'mon_sun'"), root, "run-2")
+    writers.publish_run(rows, root, "run-10")
+    return writers.latest_run(spark, root)
 
 
 @query("rating_tokens", sql("SELECT 'survey' AS survey_id, rating_raw AS rating, count(*) AS count FROM cs GROUP BY 2", S._CSAT))

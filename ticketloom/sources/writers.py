@@ -104,6 +104,10 @@ def forbidden_columns(schema: Ty.DataType, prefix: str = "") -> list[str]:
     return []
 
 
+#: Small table of (run_id, published_at) inside a published folder.
+RUN_POINTERS = "_published"
+
+
 def publish_run(df: DataFrame, root: str, run_id: str, fmt: str = "parquet") -> None:
     """Writes one run as a partition; earlier runs stay, a rerun replaces its own partition."""
     bad = forbidden_columns(df.schema)
@@ -111,8 +115,12 @@ def publish_run(df: DataFrame, root: str, run_id: str, fmt: str = "parquet") ->
         raise ValueError(f"raw payload column must not be published: {bad[0]}")
     writer = df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy("run_id").format(fmt).save(root)
+    # the pointer follows the data, so a reader never meets half a run; its name is hidden from table scans
+    df.sparkSession.range(1).select(F.lit(run_id).alias("run_id"), F.current_timestamp().alias("published_at")).coalesce(1).write.mode("append").parquet(f"{root}/{RUN_POINTERS}")
 
 
-def latest_run(rows: DataFrame) -> DataFrame:
-    """Rows of the newest published run; the partition filter comes from a scalar subquery."""
-    return rows.where(F.col("run_id") == rows.agg(F.max("run_id")).scalar())
+def latest_run(spark, root: str, fmt: str = "parquet") -> DataFrame:
+    """Rows of the run that was published last, whatever its name; only its partition is read."""
+    pointers = spark.read.schema("run_id string, published_at timestamp").parquet(f"{root}/{RUN_POINTERS}")
+    newest = pointers.agg(F.max_by("run_id", "published_at").alias("run_id")).first()["run_id"]
+    return spark.read.format(fmt).load(root).where(F.col("run_id") == newest)

@@ -16,15 +16,26 @@ def weeks_to_refresh(weeks: DataFrame, state: DataFrame, as_of: Column, horizon_
     return joined.where(T.week_needs_fetch(F.col("cohort_week"), F.col("fetched_at"), as_of, horizon_days, retry_hours)).select("cohort_week")
 
 
-def replace_weeks(rows: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Overwrites exactly the weeks present in `rows`; each week is swapped as a whole."""
+def replace_weeks(rows: DataFrame, path: str, fmt: str = "parquet", weeks: DataFrame | None = None) -> None:
+    """Overwrites the weeks present in `rows`, each as a whole, and empties those of `weeks` that have no rows.
+
+    Weeks to empty are a few calendar dates; only they reach the driver.
+    """
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cohort_week").format(fmt).save(path)
+    if weeks is not None:
+        gone = weeks.select("cohort_week").distinct().join(rows.select("cohort_week").distinct(), "cohort_week", "left_anti").collect()
+        jvm, conf = rows.sparkSession._jvm, rows.sparkSession._jsc.hadoopConfiguration()
+        for row in gone:
+            folder = jvm.org.apache.hadoop.fs.Path(f"{path}/cohort_week={row['cohort_week']}")
+            folder.getFileSystem(conf).delete(folder, True)
 
 
 def refresh_weeks(new_rows: DataFrame, state: DataFrame, path: str, as_of: Column, horizon_days: int = 14, retry_hours: int = 0) -> DataFrame:
-    """Writes the due weeks of `new_rows` and returns them. Frozen weeks are left untouched."""
-    due = weeks_to_refresh(new_rows, state, as_of, horizon_days, retry_hours)
-    replace_weeks(new_rows.join(due, "cohort_week", "left_semi"), path)
+    """Writes the due weeks of `new_rows` and returns them; a due week known from the state that has
+    lost all its rows is emptied. Frozen weeks are left untouched."""
+    known = new_rows.select("cohort_week").unionByName(state.select("cohort_week"))
+    due = weeks_to_refresh(known, state, as_of, horizon_days, retry_hours)
+    replace_weeks(new_rows.join(due, "cohort_week", "left_semi"), path, weeks=due)
     return due
 
 
@@ -33,11 +44,18 @@ def week_sink(path: str, rebuild: Callable[[DataFrame], DataFrame]) -> Callable[
     replaced. Running a batch twice gives the same files."""
 
     def write(batch: DataFrame, _: int) -> None:
-        replace_weeks(rebuild(batch.select("cohort_week").distinct()), path)
+        weeks = batch.select("cohort_week").distinct()
+        replace_weeks(rebuild(weeks), path, weeks=weeks)
 
     return write
 
 
+def lane_status(observed: DataFrame, expected: tuple[str, ...]) -> DataFrame:
+    """(name, complete) of every expected lane; a lane that was not observed is not complete."""
+    names = observed.sparkSession.createDataFrame([(n,) for n in expected], "name string")
+    return names.join(observed.groupBy("name").agg(F.bool_and("complete").alias("complete")), "name", "left").select("name", F.coalesce("complete", F.lit(False)).alias("complete"))
+
+
 def all_or_nothing_enrichment(signals: DataFrame, lanes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Signals only when every lane (name, complete) is complete, and the one-row status."""
     good = lanes.agg(F.coalesce(F.bool_and("complete"), F.lit(False)).alias("good"))

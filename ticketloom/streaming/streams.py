@@ -24,7 +24,7 @@ def latest_response_stream(answers: DataFrame, lateness: str = "14 days") -> Dat
     return late.groupBy(month, "ticket_id").agg(last).select("ticket_id", "l.*")
 
 
-TICKET_STATE = "first_turn int, first_us long, first_id string, key_turn int, key_us long, key_id string, is_ai boolean, last_turn int, last_us long, last_id string, last_ai boolean, ai_replies long, traces long, transfers long"
+TICKET_STATE = "first_turn int, first_us long, first_id string, key_turn int, key_us long, key_id string, is_ai boolean, last_turn int, last_us long, last_id string, last_ai boolean, ai_replies long, traces long, transfers long, closed boolean, again boolean"
 TICKET_OUTPUT = (
     "session_id string, ai_first boolean, outcome string, reopen_lifetime long, reopen_within_7d int, ai_reply_count long, turn_count long")
 
@@ -32,9 +32,10 @@ TICKET_OUTPUT = (
 class TicketState(StatefulProcessor):
     """Facts of one ticket as its traces arrive.
 
-    Fixed-size state: the lowest, deciding and highest trace and three counters. Traces that can
-    still decide the seven-day question are kept as single rows in a map until the event-time
-    timer closes the ticket, 168 hours after its first trace plus the allowed lateness.
+    Fixed-size state: the lowest, deciding and highest trace, three counters and the answer to the
+    seven-day question. Traces that can still decide that question are kept as single rows in a map
+    until the event-time timer, 168 hours after the first trace plus the allowed lateness. The timer
+    drops only these rows; the facts stay, so a customer who comes back later is still counted.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -50,7 +51,7 @@ class TicketState(StatefulProcessor):
                 at = (int(r.turn), us, r.trace_id)
                 ai, transfer = bool(r.is_ai), bool(r.is_transfer)
                 if state is None:
-                    state = [*at, None, None, None, None, *at, ai, 0, 0, 0]
+                    state = [*at, None, None, None, None, *at, ai, 0, 0, 0, False, False]
                 if at < tuple(state[0:3]):
                     state[0:3] = at
                 if (ai or transfer) and (state[3] is None or at < tuple(state[3:6])):
@@ -60,28 +61,36 @@ class TicketState(StatefulProcessor):
                 state[11] += ai
                 state[12] += 1
                 state[13] += transfer
-                self.seen.updateValue(at, (1,))
+                if not state[14] or us <= state[1] + REOPEN_HOURS * 3600 * 1_000_000:
+                    self.seen.updateValue(at, (1,))
         self.facts.update(tuple(state))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        horizon = state[1] // 1000 + REOPEN_HOURS * 3600 * 1000
-        self.handle.registerTimer(max(horizon, timerValues.getCurrentWatermarkInMs()) + 1)
+        if not state[14]:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            horizon = state[1] // 1000 + REOPEN_HOURS * 3600 * 1000
+            self.handle.registerTimer(max(horizon, timerValues.getCurrentWatermarkInMs()) + 1)
         yield self._row(key, state)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.facts.exists():
-            yield self._row(key, list(self.facts.get()))
-        self.facts.clear()
+            state = list(self.facts.get())
+            state[14], state[15] = True, self._again(state)
+            self.facts.update(tuple(state))
+            yield self._row(key, state)
         self.seen.clear()
 
+    def _again(self, s) -> bool:
+        """Whether a trace after the deciding one lies within seven days of the first."""
+        limit = s[1] + REOPEN_HOURS * 3600 * 1_000_000
+        return bool(s[15]) or (s[3] is not None and any(tuple(k) > tuple(s[3:6]) and s[1] < k[1] <= limit for k in self.seen.keys()))
+
     def _row(self, key, s) -> pd.DataFrame:
         decided = s[3] is not None
         ai_first = decided and bool(s[6])
         outcome = "unclassified" if not decided else "direct_cs" if not ai_first else "ai_then_cs" if s[13] else "ai_end_to_end"
         again = None
         if ai_first:
-            limit = s[1] + REOPEN_HOURS * 3600 * 1_000_000
-            again = int(any(tuple(k) > tuple(s[3:6]) and s[1] < k[1] <= limit for k in self.seen.keys()))
+            again = int(self._again(s))
         return pd.DataFrame({
             "session_id": [key[0]], "ai_first": [ai_first], "outcome": [outcome], "reopen_lifetime": pd.array([s[11] - int(s[10]) if ai_first else None], dtype="Int64"),
             "reopen_within_7d": pd.array([again], dtype="Int32"), "ai_reply_count": [s[11]], "turn_count": [s[12]]})
