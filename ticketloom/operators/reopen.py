@@ -92,33 +92,36 @@ def _assigner(centroids: list[list[float]]):
     return nearest(F.col("vector"))
 
 
-def _round(rows: DataFrame, centroids: list[list[float]], before: list[list[float]] | None) -> tuple[dict[int, list[float]], dict[int, int], int]:
-    """One pass: vector sum and size per cluster, and how many rows changed their cluster.
+def _round(rows: DataFrame, fits: dict[int, tuple[list, list | None]]) -> dict[int, tuple[dict, dict, int]]:
+    """One pass for all unfinished fits (k: centroids, centroids before): vector sum and size per
+    cluster, and how many rows changed their cluster.
 
-    Every batch is reduced to at most k sums inside the task, Spark adds those up, and k vectors
-    reach the driver.
+    Every batch is reduced to at most k sums per fit inside the task, Spark adds those up, and k
+    vectors per fit reach the driver.
     """
-    now, old = np.asarray(centroids, dtype=float), None if before is None else np.asarray(before, dtype=float)
+    points = {k: (np.asarray(now, dtype=float), None if old is None else np.asarray(old, dtype=float)) for k, (now, old) in fits.items()}
 
     def reduce_batches(batches):
         for batch in batches:
             if batch.empty:
                 continue
             x = np.stack(batch["vector"].to_numpy())
-            c = (1.0 - x @ now.T).argmin(axis=1)
-            moved = np.ones(len(c), bool) if old is None else (1.0 - x @ old.T).argmin(axis=1) != c
-            for i in np.unique(c):
-                yield pd.DataFrame({"c": [int(i)], "n": [int((c == i).sum())], "moved": [int(moved[c == i].sum())], "s": [x[c == i].sum(axis=0)]})
-
-    parts = rows.select("vector").mapInPandas(reduce_batches, "c int, n long, moved long, s array<double>")
-    return _totals(parts)
-
-
-def _totals(parts: DataFrame) -> tuple[dict[int, list[float]], dict[int, int], int]:
-    spread = parts.select("c", "n", "moved", F.posexplode("s").alias("i", "x"))
-    added = spread.groupBy("c", "i").agg(F.sum("x").alias("s"), F.sum("n").alias("n"), F.sum("moved").alias("moved"))
-    packed = added.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("i", "s"))).alias("s"), F.max("n").alias("n"), F.max("moved").alias("moved")).collect()
-    return {r["c"]: [x["s"] for x in r["s"]] for r in packed}, {r["c"]: r["n"] for r in packed}, sum(r["moved"] for r in packed)
+            for k, (now, old) in points.items():
+                c = (1.0 - x @ now.T).argmin(axis=1)
+                moved = np.ones(len(c), bool) if old is None else (1.0 - x @ old.T).argmin(axis=1) != c
+                found = np.unique(c)
+                yield pd.DataFrame({"k": k, "c": found, "n": [int((c == i).sum()) for i in found], "moved": [int(moved[c == i].sum()) for i in found], "s": [x[c == i].sum(axis=0) for i in found]})
+
+    parts = rows.select("vector").mapInPandas(reduce_batches, "k int, c int, n long, moved long, s array<double>")
+    spread = parts.select("k", "c", "n", "moved", F.posexplode("s").alias("i", "x"))
+    added = spread.groupBy("k", "c", "i").agg(F.sum("x").alias("s"), F.sum("n").alias("n"), F.sum("moved").alias("moved"))
+    packed = added.groupBy("k", "c").agg(F.array_sort(F.collect_list(F.struct("i", "s"))).alias("s"), F.max("n").alias("n"), F.max("moved").alias("moved")).collect()
+    out = {k: ({}, {}, 0) for k in fits}
+    for r in packed:
+        totals, sizes, moved = out[r["k"]]
+        totals[r["c"]], sizes[r["c"]] = [x["s"] for x in r["s"]], r["n"]
+        out[r["k"]] = (totals, sizes, moved + r["moved"])
+    return out
 
 
 def _unit(total: list[float], n: int) -> list[float]:
@@ -127,21 +130,32 @@ def _unit(total: list[float], n: int) -> list[float]:
     return [x / length for x in mean] if length else [0.0] * len(mean)
 
 
-def fit_centroids(unit_vectors: DataFrame, k: int, rounds: int = 50) -> list[list[float]]:
-    """Cosine k-means from the first k vectors by id. Stops when no row changes its cluster; an
-    empty cluster keeps its centroid. Only centroids live on the driver."""
-    centroids = [list(r["vector"]) for r in unit_vectors.orderBy("id").limit(k).collect()]
-    used, before = centroids, None
+def fit_all(unit_vectors: DataFrame, counts: list[int], rounds: int = 50) -> dict[int, list[list[float]]]:
+    """Cosine k-means for several cluster counts in shared passes, from the first k vectors by id.
+
+    A fit stops when no row changes its cluster; an empty cluster keeps its centroid. Only centroids
+    live on the driver.
+    """
+    first = [list(r["vector"]) for r in unit_vectors.orderBy("id").limit(max(counts)).collect()]
+    open_fits: dict[int, tuple[list, list | None]] = {k: (first[:k], None) for k in counts}
+    used: dict[int, list[list[float]]] = {}
     for _ in range(rounds):
-        totals, sizes, moved = _round(unit_vectors, centroids, before)
-        used = centroids
-        if before is not None and moved == 0:
+        if not open_fits:
             break
-        before = centroids
-        centroids = [_unit(totals[c], sizes[c]) if c in totals else centroids[c] for c in range(len(centroids))]
+        for k, (totals, sizes, moved) in _round(unit_vectors, open_fits).items():
+            now, before = open_fits[k]
+            used[k] = now
+            if before is not None and moved == 0:
+                del open_fits[k]
+            else:
+                open_fits[k] = ([_unit(totals[c], sizes[c]) if c in totals else now[c] for c in range(len(now))], now)
     return used
 
 
+def fit_centroids(unit_vectors: DataFrame, k: int, rounds: int = 50) -> list[list[float]]:
+    return fit_all(unit_vectors, [k], rounds)[k]
+
+
 def kmeans_cosine(unit_vectors: DataFrame, k: int) -> DataFrame:
     centroids = fit_centroids(unit_vectors, k)
     return unit_vectors.select("id", _assigner(centroids).alias("cluster_id"), "vector")
@@ -189,8 +203,7 @@ def select_k(vectors: DataFrame, low: int = 5, high: int = 15) -> DataFrame:
     n = unit.count()
     best: tuple[float, int, list[list[float]]] | None = None
     if n >= low + 1:
-        for k in range(low, min(high, n - 1) + 1):
-            centroids = fit_centroids(unit, k)
+        for k, centroids in sorted(fit_all(unit, list(range(low, min(high, n - 1) + 1))).items()):
             row = silhouette_cosine(unit.select("id", _assigner(centroids).alias("cluster_id"), "vector")).first()
             if row["clusters"] == k and row["silhouette"] is not None and (best is None or row["silhouette"] > best[0]):
                 best = (row["silhouette"], k, centroids)

@@ -17,7 +17,7 @@ from .oracle_base import sql
 from .q_ingest import _DAMAGED, _SELECT, damaged_payloads, selection, signals
 from .q_explain import label_rows
 from .q_metrics import _GATE, enriched, weekly_rows
-from .registry import query
+from .registry import ORACLE, query
 
 _P = ("project", "analytics-v1", "v2")
 
@@ -180,10 +180,9 @@ def stable_score_id(spark, d):
     return session_scores_rows(spark, d).select("id", "event_id", "name", "session_id")
 
 
-@query("score_manifest", sql("SELECT session_id, CASE WHEN ai_first THEN 'ai_first' ELSE 'other' END AS kind, strftime(score_ts, '%Y-%m-%dT%H:%M:%SZ') AS timestamp FROM ses"))
+@query("score_manifest", ORACLE["session_scores"].replace("SELECT session_id, u.name", "SELECT strftime(score_ts, '%Y-%m-%dT%H:%M:%SZ') AS timestamp, session_id, u.name"))
 def score_manifest(spark, d):
-    rows = scores.score_manifest(session_scores_rows(spark, d)).where("name = 'ai_first'")
-    return rows.select("session_id", F.when(F.col("number_value") == 1, "ai_first").otherwise("other").alias("kind"), "timestamp")
+    return scores.score_manifest(session_scores_rows(spark, d)).select("timestamp", "session_id", "name", "text_value", "number_value", "data_type")
 
 
 @query("acknowledge_check", sql("""SELECT trace_id AS id, CASE WHEN event_id % 10 = 3 THEN 0 ELSE 1 END AS requested, CASE WHEN event_id % 10 = 7 THEN 0 WHEN event_id % 10 = 5 THEN 2 ELSE 1 END AS acknowledged FROM tr WHERE event_id % 10 IN (3, 5, 7)"""))

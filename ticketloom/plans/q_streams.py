@@ -21,8 +21,12 @@ _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 
 
 def new_folder(spark, name):
-    """A fresh folder in the cluster's shared checkpoint folder; a temporary one only without it."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ticketloom-")
+    """A fresh folder in the cluster's shared checkpoint folder. Only a local session may do without the setting."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can read")
+        root = tempfile.mkdtemp(prefix="ticketloom-")
     return f"{root}/ticketloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
