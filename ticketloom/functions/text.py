@@ -229,14 +229,25 @@ _COMMENT_RULES = (
 )
 
 
+#: What a text must hold for each rule to find anything: cheap to test, so most rules are skipped.
+_COMMENT_NEEDS = ("@", r"\[|[.:]\S", r"\p{Nd}", r"\p{Nd}", r"\p{Nd}")
+
+
+def _where_needed(rule: str, needed: str):
+    return lambda c: F.when(c.rlike(needed), F.regexp_replace(c, rule, K.REDACTED)).otherwise(c)
+
+
 def redact_comment(text: Column) -> Column:
     """Survey comment without contacts, numbers and personal names; null when nothing is left.
 
     The output is cut at 200 characters. A kept word takes two characters and a replaced name
     seven for at most three words, so the first 120 words decide the whole output.
     """
-    cleaned = reduce(lambda c, p: F.regexp_replace(c, p, K.REDACTED), _COMMENT_RULES, strip(text))
-    words = F.filter(F.slice(F.split(cleaned, r"(?U)\s+"), 1, 120), lambda w: w != "")
+    cleaned = strip(text)
+    for rule, needed in zip(_COMMENT_RULES, _COMMENT_NEEDS):
+        cleaned = let(cleaned, _where_needed(rule, needed))
+    # one more than can be shown, so that the rest of a long text is not cut into words
+    words = F.filter(F.slice(F.split(cleaned, r"(?U)\s+", 121), 1, 120), lambda w: w != "")
     edges = r"^[.,:;!?()\[\]{}\"']+|[.,:;!?()\[\]{}\"']+$"
     pairs = F.transform(words, lambda w: F.struct(w.alias("w"), F.regexp_replace(w, edges, "").alias("t")))
     candidate = let(pairs, _without_names)

@@ -120,10 +120,14 @@ def csat_rollup(weekly: DataFrame) -> DataFrame:
 
 
 def feedback_entries(matched: DataFrame) -> DataFrame:
-    """Comments numbered n of total per ticket, the last one marked."""
-    ranked = rank_rows(matched, ["ticket_id"], [F.date_trunc("day", "responded_ts")], [F.col("responded_ts"), F.col("response_key")], "response_number")
+    """Comments numbered n of total per ticket, the last one marked.
+
+    Keys alone are numbered and counted; a comment crosses one join, and only if it is shown.
+    """
+    keys = ["ticket_id", "responded_ts", "response_key"]
+    ranked = rank_rows(matched.select(*keys), ["ticket_id"], [F.date_trunc("day", "responded_ts")], [F.col("responded_ts"), F.col("response_key")], "response_number")
     totals = matched.groupBy("ticket_id").agg(F.count(F.lit(1)).alias("response_total"))
-    joined = ranked.join(totals, "ticket_id").where("comment_redacted is not null")
+    joined = matched.where("comment_redacted is not null").join(ranked.join(totals, "ticket_id"), keys)
     return joined.select(
         "ticket_id", "cohort_week", "responded_ts", "satisfaction_bucket", "outcome", segment_value("skill").alias("skill"),
         segment_value("issue_category").alias("issue_category"), F.col("comment_redacted").alias("text"), "response_number", "response_total",

@@ -158,12 +158,19 @@ def only_value(values: Column) -> Column:
     return F.when(F.size(values) == 1, F.get(values, F.lit(0)))
 
 
+def only_value_of(kind: str) -> Column:
+    """Aggregate: the value of a signal kind if there is only one. Fixed size, unlike a set."""
+    value = F.when(F.col("kind") == kind, F.col("a"))
+    return F.when(F.min(value) == F.max(value), F.min(value))
+
+
 def session_signals(traces: DataFrame, signals: DataFrame) -> DataFrame:
-    """Signals of all traces of a ticket, as sets. Deduplicated before they are collected."""
+    """Signals of all traces of a ticket: published ones as sets, deduplicated before they are
+    collected. Intents are free text of a model, so only the single one is kept."""
     owned = signals.join(traces.select("trace_id", "session_id"), "trace_id")
     unique = owned.groupBy("session_id", "kind", "a", "b").agg(F.lit(1).alias("one"))
     return unique.groupBy("session_id").agg(
-        _values("intent").alias("intents"), _values("skill").alias("skill_set"),
+        only_value_of("intent").alias("intent"), _values("skill").alias("skill_set"),
         _values("rule").alias("guardrail_rules"), F.max(F.col("kind") == "history").alias("escalation_guard_blocked"),
         _tpe_pairs().alias("tpe_signals"),
     )
@@ -173,14 +180,13 @@ def attach_enrichment(sessions: DataFrame, traces: DataFrame, signals: DataFrame
     found = session_signals(traces, signals.where("kind <> 'event'"))
     empty = F.array().cast("array<string>")
     joined = sessions.join(found, "session_id", "left")
-    sets = {c: F.coalesce(c, empty) for c in ("intents", "skill_set", "guardrail_rules")}
+    sets = {c: F.coalesce(c, empty) for c in ("skill_set", "guardrail_rules")}
     sets["tpe_signals"] = F.coalesce("tpe_signals", F.array().cast("array<struct<transstatus:string,step_result:string>>"))
     sets["escalation_guard_blocked"] = F.coalesce("escalation_guard_blocked", F.lit(False))
     joined = joined.withColumns(sets)
     return joined.withColumns({
-        "intent": only_value(F.col("intents")), "skill": only_value(F.col("skill_set")),
-        "guardrail_rule": only_value(F.col("guardrail_rules")), "skill_count": F.size("skill_set"),
-    }).drop("intents")
+        "skill": only_value(F.col("skill_set")), "guardrail_rule": only_value(F.col("guardrail_rules")), "skill_count": F.size("skill_set"),
+    })
 
 
 def transfer_trigger(sessions: DataFrame, signals: DataFrame) -> DataFrame:

@@ -318,7 +318,7 @@ def only_value(spark, d):
     rows = enrich.session_signals(Fx.traces(spark, d), signals(spark, d).where("kind in ('intent', 'skill')"))
     base = classify.first_trace(Fx.traces(spark, d)).select("session_id")
     return base.join(rows, "session_id", "left").select(
-        "session_id", enrich.only_value(F.col("intents")).alias("intent"), enrich.only_value(F.col("skill_set")).alias("skill"))
+        "session_id", "intent", enrich.only_value(F.col("skill_set")).alias("skill"))
 
 
 @query("transfer_trigger", sql("""SELECT session_id, trigger_reason, trigger_rule, trigger_source, trigger_stage, trigger_skill FROM ens WHERE transferred"""))
