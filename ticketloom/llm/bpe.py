@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from .common import slices, strings, texts_of
 
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 150_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -102,7 +102,9 @@ class Vocabulary:
             if len(token) == 1:
                 self.byte_id[token[0]] = rank
         self.pairs = self._merges()
+        # two generations: what is still in use moves on to the newer one
         self.cache: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
 
     def _merges(self) -> dict[int, int]:
         """Rank of every merge of two tokens, by left * 2^32 + right; bounded by the vocabulary."""
@@ -145,17 +147,20 @@ class Vocabulary:
     def encode_pretoken(self, pretoken: str) -> list[int]:
         found = self.cache.get(pretoken)
         if found is None:
-            raw = pretoken.encode()
-            whole = self.whole.find(raw)
-            found = [whole] if whole >= 0 else self.merge(raw)
+            found = self.older.get(pretoken)
+            if found is None:
+                raw = pretoken.encode()
+                whole = self.whole.find(raw)
+                found = [whole] if whole >= 0 else self.merge(raw)
             if len(self.cache) >= CACHE_ENTRIES:
-                self.cache.clear()
+                self.older, self.cache = self.cache, {}
             self.cache[pretoken] = found
         return found
 
     def encode_all(self, stretches: list[str]) -> list[list[int]]:
+        # a space and letters are one pre-token; only other stretches need the pattern
         cut, one = self.pattern.findall, self.encode_pretoken
-        return [[i for pretoken in cut(text) for i in one(pretoken)] for text in stretches]
+        return [one(s) if s[1:].isalpha() and s[0] == " " else [i for pretoken in cut(s) for i in one(pretoken)] for s in stretches]
 
 
 _LOADED: dict[tuple[str, str], Vocabulary] = {}
