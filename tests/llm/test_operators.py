@@ -325,8 +325,12 @@ def test_every_link_shares_a_list():
             if 100 * shared < 85 * (len(base) + len(other) - shared):
                 continue
             owner = np.repeat([0, 1], [len(base), len(other)])
-            text, lists = jaccard_join.list_keys(owner, np.concatenate([base, other]), np.array([len(base), len(other)]), 85)
-            assert set(lists[text == 0].tolist()) & set(lists[text == 1].tolist()), (n, edits)
+            text, lists, tags = jaccard_join.list_keys(owner, np.concatenate([base, other]), np.array([len(base), len(other)]), 85)
+            common = set(lists[text == 0].tolist()) & set(lists[text == 1].tolist())
+            kept = np.isin(lists, list(common))
+            classes = Counter((tags[kept & (text == 0)] >> 24).tolist())
+            need = {c: max(int(t) & 0xFFFFFF for t in tags[kept & (tags >> 24 == c)]) for c in classes}
+            assert common and any(classes[c] >= need[c] for c in classes), (n, edits)
 
 
 def test_jaccard_one_hot_group_and_empty(spark, none, odd):

@@ -11,7 +11,7 @@ empty ones also lists those. A set near the upper size of its class is listed in
 Answers from a similar set. In every list the first set is compared with the others exactly. What is
 known of it bounds the rest: Jaccard distance is a metric, so two sets whose distances to the first
 differ by more than the limit are not linked and are skipped. Sets already in one group need no
-comparison at all. Only what is left is compared in a second pass. No link between different groups
+comparison at all, and sets that share fewer lists than a link needs are not linked. Only what is left is compared in a second pass. No link between different groups
 is lost, and a group of many copies costs one comparison a member.
 
 Equal sets are one node. Lists are read in sorted runs from range partitions over (list, node), so a
@@ -82,11 +82,15 @@ def size_classes(largest: int, ratio: float = CLASS_RATIO) -> list[int]:
 def positions_of(upper: int, percent: int) -> tuple[int, int]:
     """(k, positions) of a class: how many n-grams two linked sets differ in at most, and into how many positions sets are cut."""
     k = (100 - percent) * 2 * upper // (100 + percent)
-    return k, k + 2 + k // 32
+    return k, k + 2 + k // 8
 
 
-def list_keys(owner: np.ndarray, grams: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, list) for every index list that a text's set stands in."""
+def list_keys(owner: np.ndarray, grams: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, list, tag) for every index list that a text's set stands in.
+
+    The tag is the class and the number of lists of that class that a linked set must share: of all
+    positions at most k differ, so at least (filled positions - k) filled ones agree.
+    """
     uppers = np.array(size_classes(int(CLASS_RATIO * max(8, size.max(initial=0)))), np.int64)
     limits = [positions_of(int(u), percent) for u in uppers]
     k, parts = np.array([p[0] for p in limits]), np.array([p[1] for p in limits])
@@ -94,28 +98,35 @@ def list_keys(owner: np.ndarray, grams: np.ndarray, size: np.ndarray, percent: i
     own = np.searchsorted(uppers, size)
     spread = mix(grams + np.uint64(0x1234567))
     linkable = size * 100 >= percent * (size + 1)  # smaller sets have no linked set but an equal one
-    texts, lists = [], []
+    texts, lists, tags = [], [], []
     for level, wanted in ((own, linkable), (own + 1, linkable & (size * 100 >= percent * (uppers[own] + 1)))):
         chosen = wanted[owner]
         if not chosen.any():
             continue
+        level = np.minimum(level, len(uppers) - 1)
         who, gram, lv = owner[chosen], spread[chosen], level[owner[chosen]]
         place = who * width + ((gram >> np.uint64(32)) * parts[lv].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(place, kind="stable")
         place, gram = place[order], gram[order]
         first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         text, position = place[first] // width, place[first] % width
+        need = np.bincount(text, minlength=len(size)) - k[level]
         texts.append(text)
         lists.append(mix(np.add.reduceat(mix(gram), first) + mix((level[text] * (1 << 32) + position).astype(np.uint64))))
-        # sets with more empty positions than spare ones list the empty ones as well
-        empty = parts[np.minimum(level, len(parts) - 1)] - np.bincount(text, minlength=len(size))
-        needy = np.flatnonzero(wanted & (empty > parts[np.minimum(level, len(parts) - 1)] - k[np.minimum(level, len(parts) - 1)] - 1))
+        tags.append(level[text] << 24 | np.maximum(need[text], 1))
+        # sets with so many empty positions that no filled one must agree list the empty ones as well
+        needy = np.flatnonzero(wanted & (need < 1))
         if len(needy):
             grid = np.repeat(needy, width) * width + np.tile(np.arange(width), len(needy))
             grid = grid[(grid % width < parts[level[grid // width]]) & ~np.isin(grid, place[first])]
             texts.append(grid // width)
             lists.append(mix((level[grid // width] * (1 << 32) + grid % width).astype(np.uint64) + np.uint64(0xE000000000000000)))
-    return (np.concatenate(texts), np.concatenate(lists)) if texts else (np.empty(0, np.int64), np.empty(0, np.uint64))
+            tags.append(level[grid // width] << 24 | 1)
+    empty = np.empty(0, np.int64)
+    return (np.concatenate(texts), np.concatenate(lists), np.concatenate(tags)) if texts else (empty, empty.view(np.uint64), empty)
+
+
+_RUN = ["list", "node", "size", "tag", "head", "edge"]
 
 
 def _nodes(shingle: int):
@@ -143,64 +154,64 @@ def _listed(shingle: int, percent: int):
         for batch in slices(batches):
             owner, grams = shingle_sets(texts_of(batch), shingle)
             size, digest = _set_digests(owner, grams, batch.num_rows)
-            text, lists = list_keys(owner, grams, size, percent)
-            yield pa.record_batch([pa.array(lists.view(np.int64)), pa.array(digest[text].view(np.int64)), pa.array(size[text].astype(np.int32))], names=["list", "node", "size"])
+            text, lists, tags = list_keys(owner, grams, size, percent)
+            yield pa.record_batch([pa.array(lists.view(np.int64)), pa.array(digest[text].view(np.int64)), pa.array(size[text].astype(np.int32)), pa.array(tags.astype(np.int32))], names=_RUN[:4])
 
     return run
 
 
-_RUN = ["list", "node", "size", "head", "edge"]
-
-
 def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Members of the lists of a sorted partition that hold two nodes or more, each with the first node
     of its run. The heads of the first and the last run, which may go on in a neighbouring partition,
     are marked as edges. Only the head and the last row of a run are remembered."""
 
-    def rows(lists, nodes, sizes, heads, edge):
-        return pa.record_batch([*map(pa.array, (lists, nodes, sizes, heads)), pa.array(np.full(len(lists), edge))], names=_RUN)
+    def rows(lists, nodes, sizes, tags, heads, edge):
+        return pa.record_batch([*map(pa.array, (lists, nodes, sizes, tags, heads)), pa.array(np.full(len(lists), edge))], names=_RUN)
 
-    state = None  # list, head, size of the head, last node, whether the head has been written
+    state = None  # list, head, size and tag of the head, last node, whether the head has been written
     for batch in batches:
-        lists, nodes, sizes = (np.asarray(batch.column(n)) for n in _RUN[:3])
+        lists, nodes, sizes, tags = (np.asarray(batch.column(n)) for n in _RUN[:4])
         if not len(lists):
             continue
         if state is None:
-            yield rows(lists[:1], nodes[:1], sizes[:1], nodes[:1], True)
-            state = (lists[0], nodes[0], sizes[0], nodes[0], False)
+            yield rows(lists[:1], nodes[:1], sizes[:1], tags[:1], nodes[:1], True)
+            state = (lists[0], nodes[0], sizes[0], tags[0], nodes[0], False)
         starts = lists != np.concatenate([[state[0]], lists[:-1]])
         run, begin = np.cumsum(starts), np.flatnonzero(starts)
-        run_list, run_head, run_size = (np.concatenate([[s], a[begin]]) for s, a in zip(state[:3], (lists, nodes, sizes)))
+        run_list, run_head, run_size, run_tag = (np.concatenate([[s], a[begin]]) for s, a in zip(state[:4], (lists, nodes, sizes, tags)))
         written = np.zeros(len(run_list), bool)
-        written[0] = state[4]
-        member = (nodes != run_head[run]) & (starts | (nodes != np.concatenate([[state[3]], nodes[:-1]])))
+        written[0] = state[5]
+        member = (nodes != run_head[run]) & (starts | (nodes != np.concatenate([[state[4]], nodes[:-1]])))
         used = np.zeros(len(run_list), bool)
         used[run[member]] = True
         head = used & ~written
-        yield rows(lists[member], nodes[member], sizes[member], run_head[run][member], False)
-        yield rows(run_list[head], run_head[head], run_size[head], run_head[head], False)
-        state = (lists[-1], run_head[-1], run_size[-1], nodes[-1], bool(written[-1] | used[-1]))
+        yield rows(lists[member], nodes[member], sizes[member], tags[member], run_head[run][member], False)
+        yield rows(run_list[head], run_head[head], run_size[head], run_tag[head], run_head[head], False)
+        state = (lists[-1], run_head[-1], run_size[-1], run_tag[-1], nodes[-1], bool(written[-1] | used[-1]))
     if state is not None:
-        yield rows(np.array([state[0]]), np.array([state[1]]), np.array([state[2]], np.int32), np.array([state[1]]), True)
+        yield rows(*(np.array([v]) for v in state[:2]), *(np.array([v], np.int32) for v in state[2:4]), np.array([state[1]]), True)
 
 
 def _compare(shingle: int, percent: int):
     """Exact sizes of the intersections of (text_a, text_b) pairs."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: tuple = (None, None)
         for batch in slices(slices(batches, "text_a"), "text_b"):
+            n = batch.num_rows
             owner, grams = shingle_sets(texts_of(batch, "text_b"), shingle)
-            bounds = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-            a_nodes = np.asarray(batch.column("a"))
-            shared, sizes_a = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            for i in range(batch.num_rows):
-                if known[0] != a_nodes[i]:
-                    known = (a_nodes[i], shingle_sets(texts_of(batch.slice(i, 1), "text_a"), shingle)[1])
-                mine = grams[bounds[i]:bounds[i + 1]]
-                at = np.minimum(np.searchsorted(known[1], mine), max(0, len(known[1]) - 1))
-                shared[i], sizes_a[i] = int((known[1][at] == mine).sum()) if len(known[1]) else 0, len(known[1])
-            union = sizes_a + np.diff(bounds) - shared
+            sizes = np.bincount(owner, minlength=n)
+            # rows come sorted by a: each of its runs is cut into shingles once and repeated per pair
+            a = np.asarray(batch.column("a"))
+            new = np.concatenate([[True], a[1:] != a[:-1]])
+            owner_a, grams_a = shingle_sets(texts_of(batch, "text_a").take(pa.array(np.flatnonzero(new))), shingle)
+            bounds = np.searchsorted(owner_a, np.arange(int(new.sum()) + 1))
+            which = np.cumsum(new) - 1
+            sizes_a = np.diff(bounds)[which]
+            pair = np.repeat(np.arange(n), sizes_a)
+            at = np.arange(len(pair)) - np.repeat(np.cumsum(sizes_a) - sizes_a, sizes_a) + np.repeat(bounds[which], sizes_a)
+            both = np.isin(mix(grams ^ mix(owner.astype(np.uint64))), mix(grams_a[at] ^ mix(pair.astype(np.uint64))))
+            shared = np.bincount(owner[both], minlength=n)
+            union = sizes_a + sizes - shared
             yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(100 * shared >= percent * union), pa.array(1 - shared / np.maximum(union, 1))], names=["a", "b", "linked", "distance"])
 
     return run
@@ -215,13 +226,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
 
 def linked_nodes(docs: DataFrame, nodes: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(node, component) over the distinct sets that are linked with another one."""
-    listed = docs.select("text").mapInArrow(_listed(shingle, percent), "list bigint, node bigint, size int")
+    listed = docs.select("text").mapInArrow(_listed(shingle, percent), "list bigint, node bigint, size int, tag int")
     runs = store(listed.repartitionByRange("list", "node").sortWithinPartitions("list", "node").mapInArrow(
-        _runs, "list bigint, node bigint, size int, head bigint, edge boolean"), "jaccard-lists")
+        _runs, "list bigint, node bigint, size int, tag int, head bigint, edge boolean"), "jaccard-lists")
     # runs that a partition border cuts: their heads are members of the first head's run
     edges = runs.where("edge").groupBy("list").agg(F.min("node").alias("head"), F.count_distinct("node").alias("n")).where("n > 1").select("list", "head")
-    across = runs.where("edge").select("list", "node", "size").distinct().join(edges, "list")
-    members = store(runs.where("not edge").select("list", "node", "size", "head").unionByName(across.select("list", "node", "size", "head")).distinct(), "jaccard-members")
+    across = runs.where("edge").select("list", "node", "size", "tag").distinct().join(edges, "list")
+    members = store(runs.where("not edge").select(*_RUN[:5]).unionByName(across.select(*_RUN[:5])).distinct(), "jaccard-members")
     pairs = members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
 
     # one document stands for each node that has to be compared
@@ -235,14 +246,16 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, shingle: int = SHINGLE, perc
     open_lists = labelled.groupBy("list").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("list")
     far = first.select(F.col("a").alias("head"), F.col("b").alias("node"), "distance")
     around = labelled.join(open_lists, "list").join(far, ["head", "node"], "left").select(
-        "list", "head", "node", "size", "group", F.coalesce("distance", F.lit(0.0)).alias("distance"))
+        "list", "head", "node", "size", "tag", "group", F.coalesce("distance", F.lit(0.0)).alias("distance"))
     around = store(around, "jaccard-open")
-    left, right = (around.select("list", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "size", "group", "head", "distance")]) for s in "xy")
+    left, right = (around.select("list", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "size", "tag", "group", "head", "distance")]) for s in "xy")
     limit = (100 - percent) / 100 + 1e-9
     close = (F.col("x_head") != F.col("y_head")) | (F.abs(F.col("x_distance") - F.col("y_distance")) <= limit)
     rest = (left.join(right, "list").where((F.col("x_node") < F.col("y_node")) & (F.col("x_group") != F.col("y_group")) & close
                                            & (100 * F.least("x_size", "y_size") >= percent * F.greatest("x_size", "y_size")))
-            .select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct())
+            .groupBy(F.col("x_node").alias("a"), F.col("y_node").alias("b"), F.shiftright("x_tag", 24).alias("class"))
+            .agg(F.count(F.lit(1)).alias("shared"), F.max(F.greatest("x_tag", "y_tag").bitwiseAND(0xFFFFFF)).alias("need"))
+            .where("shared >= need").select("a", "b").distinct())
     rest = rest.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     second = _verified(rest, texts, shingle, percent)
     links = first.where("linked").select("a", "b").unionByName(second.where("linked").select("a", "b"))
