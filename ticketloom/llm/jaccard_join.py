@@ -31,6 +31,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Words, chain, mix, same_text, slices, store, texts_of
@@ -248,14 +249,23 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, shingle: int = SHINGLE, perc
     around = labelled.join(open_lists, "list").join(far, ["head", "node"], "left").select(
         "list", "head", "node", "size", "tag", "group", F.coalesce("distance", F.lit(0.0)).alias("distance"))
     around = store(around, "jaccard-open")
-    left, right = (around.select("list", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "size", "tag", "group", "head", "distance")]) for s in "xy")
+    # A linked pair shares at least `need` lists of a class. Each set may therefore leave out its
+    # need - 1 longest ones: the shortest list that the pair shares is kept by both.
+    kind, need = F.shiftright("tag", 24), F.col("tag").bitwiseAND(0xFFFFFF)
+    around = around.withColumns({"class": kind, "need": need})
+    lengths = around.groupBy("list").agg(F.count(F.lit(1)).alias("length"))
+    longest = W.partitionBy("node", "class").orderBy(F.col("length").desc(), "list")
+    short = around.join(lengths, "list").withColumn("nth", F.row_number().over(longest)).where("nth >= need")
+    left, right = (short.select("list", "class", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "size", "need", "group", "head", "distance")]) for s in "xy")
     limit = (100 - percent) / 100 + 1e-9
     close = (F.col("x_head") != F.col("y_head")) | (F.abs(F.col("x_distance") - F.col("y_distance")) <= limit)
-    rest = (left.join(right, "list").where((F.col("x_node") < F.col("y_node")) & (F.col("x_group") != F.col("y_group")) & close
-                                           & (100 * F.least("x_size", "y_size") >= percent * F.greatest("x_size", "y_size")))
-            .groupBy(F.col("x_node").alias("a"), F.col("y_node").alias("b"), F.shiftright("x_tag", 24).alias("class"))
-            .agg(F.count(F.lit(1)).alias("shared"), F.max(F.greatest("x_tag", "y_tag").bitwiseAND(0xFFFFFF)).alias("need"))
-            .where("shared >= need").select("a", "b").distinct())
+    near = (left.join(right, ["list", "class"]).where((F.col("x_node") < F.col("y_node")) & (F.col("x_group") != F.col("y_group")) & close
+                                                      & (100 * F.least("x_size", "y_size") >= percent * F.greatest("x_size", "y_size")))
+            .groupBy("class", F.col("x_node").alias("a"), F.col("y_node").alias("b")).agg(F.max(F.greatest("x_need", "y_need")).alias("need")))
+    of_node = around.groupBy("node", "class").agg(F.collect_set("list").alias("lists"))
+    both = near.join(of_node.select(F.col("node").alias("a"), "class", F.col("lists").alias("lists_a")), ["a", "class"]).join(
+        of_node.select(F.col("node").alias("b"), "class", F.col("lists").alias("lists_b")), ["b", "class"])
+    rest = both.where(F.size(F.array_intersect("lists_a", "lists_b")) >= F.col("need")).select("a", "b").distinct()
     rest = rest.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     second = _verified(rest, texts, shingle, percent)
     links = first.where("linked").select("a", "b").unionByName(second.where("linked").select("a", "b"))
