@@ -17,7 +17,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from ticketloom.llm import bpe, components, jaccard_join, line_dedup, lm_scoring, packing, quality_rules, substring_dedup, topk, toxicity
+from ticketloom.llm import bpe, components, jaccard_join, license_scan, line_dedup, lm_scoring, packing, quality_rules, substring_dedup, topk, toxicity
 
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PLAIN = public_tokenizers.path("byte_bpe_50k.json")
@@ -194,6 +194,23 @@ def test_line_dedup_empty(none, odd):
     assert line_dedup.drop_repeated_lines(odd).count() == odd.count()
 
 
+# --- licence scan --------------------------------------------------------------------------------
+
+def test_every_template_is_found_among_everyday_words(spark):
+    """3,000 English words around a notice hold every indexed word, so no word may be left out of the vote."""
+    common = license_scan.TemplateIndex().words
+    english = "the of a that was he on with his they at one had by but what some we out other were all there when up how said an each she".split()
+    rnd = random.Random(7)
+    filler = [rnd.choice(english + common) for _ in range(3000 - len(common))] + common
+    rows = []
+    for i, (_, text, _) in enumerate(license_scan.TEMPLATES):
+        rnd.shuffle(filler)
+        rows.append((i, " ".join([*filler[:1500], ".", text, ".", *filler[1500:]])))
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, DOCS)).collect()}
+    for i, (label, _, _) in enumerate(license_scan.TEMPLATES):
+        assert label in got[i]["labels"].split(",") and got[i]["score"] == 1.0, (label, got[i])
+
+
 # --- substring dedup -----------------------------------------------------------------------------
 
 def test_cuts_resist_insertions():

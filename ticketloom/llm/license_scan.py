@@ -1,8 +1,8 @@
 """Licence scan with a positional index of rare tokens, in DataFrame functions only.
 
 The templates are short licence notices. Their words are weighted by inverse template frequency, and
-the rare ones are indexed with (template, position). A text's highest-weighted licence words are
-looked up; each occurrence at place p of a word at template position q votes for the template to
+the rare ones are indexed with (template, position). All of them that stand in a text are looked up;
+each occurrence at place p of a word at template position q votes for the template to
 start at p - q, so postings are intersected by relative position. A template with enough votes for
 one start gives its label when all its mandatory phrases stand in the text. The score is the largest
 share of a template's rare tokens that agree on one start, over templates whose phrases were found.
@@ -54,8 +54,6 @@ TEMPLATES = [
 ]
 #: Words in more than this share of the templates are not indexed.
 MAX_TEMPLATE_SHARE = 0.34
-#: Licence words looked up per text, highest weight first.
-TOP_WORDS = 24
 #: Share of a template's rare tokens that must agree on one start.
 MIN_SHARE = 0.6
 
@@ -163,15 +161,15 @@ def _by_index(docs: DataFrame, index: TemplateIndex) -> DataFrame:
     rare = _literal(index.words)
 
     def look_up(words: Column) -> Column:
-        """The words, the phrases that stand in them, and the licence words of highest weight."""
+        """The words, the phrases that stand in them, and the indexed words among them."""
         joined = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
         found = _let(joined, lambda line: F.filter(_literal(index.phrases), lambda p: F.contains(line, F.concat(F.lit(" "), p, F.lit(" ")))))
-        return F.struct(words.alias("words"), found.alias("found"), F.slice(F.array_intersect(rare, words), 1, TOP_WORDS).alias("top"))
+        return F.struct(words.alias("words"), found.alias("found"), F.array_intersect(rare, words).alias("rare"))
 
     near = (docs.where(may_hold(F.col("text"), index.phrases)).select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__text"), "text")
             .dropDuplicates(["__id", "__text"]).select("__id", "__text", F.inline(F.array(_let(words_of(F.col("text")), look_up)))))
-    placed = near.where(F.size("found") > 0).select("__id", "__text", F.col("found").alias("__found"), F.col("top").alias("__top"), F.posexplode("words").alias("__place", "word"))
-    votes = (placed.where(F.array_contains("__top", F.col("word"))).join(F.broadcast(index.table(docs.sparkSession)), "word")
+    placed = near.where(F.size("found") > 0).select("__id", "__text", F.col("found").alias("__found"), F.col("rare").alias("__rare"), F.posexplode("words").alias("__place", "word"))
+    votes = (placed.where(F.array_contains("__rare", F.col("word"))).join(F.broadcast(index.table(docs.sparkSession)), "word")
              .where(F.size(F.array_except("phrases", "__found")) == 0)
              .groupBy("__id", "__text", "label", "template", (F.col("__place") - F.col("position")).alias("__start"))
              .agg(F.count(F.lit(1)).alias("__votes"), F.first("rare").alias("rare")))
