@@ -39,7 +39,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_copies(docs)
+    """Near copies are texts that share 80 % of their runs of five words; op8_jaccard_join has limits of its own."""
+    return drop_copies(docs, shingle=5, percent=80)
 
 
 def drop_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

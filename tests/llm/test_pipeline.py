@@ -31,3 +31,12 @@ def test_stages_take_empty_and_odd_tables(spark, sf_dir):
         out = stage(spark, odd, sf_dir)
         assert out.count() == 5, name
         assert {r["text"] for r in out.where("doc_id = 1 or doc_id is null").collect()} == {None}
+
+
+def test_near_copies_from_four_fifths_on_go(spark, sf_dir):
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    text, more = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("a", 108), ("b", 24)))
+    fewer = " ".join(f"c{i}" for i in range(108))
+    texts = {1: text, 2: f"{text} {more}", 3: fewer, 4: f"{fewer} {more} b24 b25 b26"}  # 104/128 and 104/131 shared runs of five words
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], schema)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, sf_dir).collect()) == [1, 3, 4]
