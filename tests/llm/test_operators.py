@@ -247,6 +247,26 @@ def test_substring_dedup_cuts_repeats_and_leaves_the_rest(spark, odd, none):
     assert all(r["kept_text"] == (r["text"] or "") for r in rows if r["doc_id"] is None)
 
 
+def test_substring_dedup_cuts_only_what_stays_elsewhere_whole(spark):
+    """Nearly all chunks of five words in chance order repeat, but runs of 20 words only where they were copied."""
+    chance = [(i, " ".join(words(200, 500 + i, 5))) for i in range(150)]
+    assert all(r["kept_text"] == r["text"] and not r["dropped"] for r in substring_dedup.drop_repeated_substrings(spark.createDataFrame(chance, DOCS)).collect())
+    rnd, rows = random.Random(3), list(chance)
+    for i in range(150, 250):  # pieces of earlier documents, which are themselves made of pieces
+        parts = [" ".join(words(rnd.randrange(40), 900 + i, 5))]
+        for _ in range(rnd.randrange(1, 5)):
+            old = rows[rnd.randrange(len(rows))][1].split()
+            a = rnd.randrange(max(1, len(old) - 60))
+            parts.append(" ".join(old[a:a + rnd.randrange(10, 60)]))
+        rows.append((i, " ".join(parts)))
+    rows += [(i, rows[200][1]) for i in (300, 301)] + [(302, "one two three four five six seven eight " * 40)]
+    got = {r["doc_id"]: r for r in substring_dedup.drop_repeated_substrings(spark.createDataFrame(rows, DOCS)).collect()}
+    stays = {i: f" {' '.join(r['kept_text'].split())} " for i, r in got.items()}
+    spans = [(i, r["text"].encode()[s["start_byte"]:s["end_byte"]].decode(), s["first_doc_id"]) for i, r in got.items() for s in r["dropped"]]
+    assert len(spans) > 100 and all(f" {' '.join(text.split())} " in stays[copy] for _, text, copy in spans)
+    assert got[300]["dropped_words"] == got[301]["dropped_words"] >= 0.8 * len(rows[200][1].split()) and got[302]["dropped_words"] > 200
+
+
 # --- language-model scoring ----------------------------------------------------------------------
 
 @pytest.mark.parametrize("order", [1, 2, 3])

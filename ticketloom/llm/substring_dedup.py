@@ -2,16 +2,22 @@
 
 A gear rolling hash (16 bits, so it depends on the last 16 bytes) is read at every word end. A word
 end is a cut when its hash is the smallest among its `reach` neighbours on both sides, so cuts depend
-on nearby bytes alone and find their places again after an insertion. Chunks are compared by digest.
-Each repeated chunk keeps one copy: its first place in the smallest doc_id that holds it. Runs of
-repeated chunks with at least `min_words` words are cut out of the text; shorter runs are chance and
-stay.
+on nearby bytes alone and find their places again after an insertion.
 
-Digests are counted with partial aggregation, so a chunk that a third of all documents share is one
+What is compared are windows: the fewest neighbouring chunks with at least `min_words` words, from
+every chunk forwards and from every chunk backwards, so a repeated run of chunks that has so many
+words is covered by repeated windows to both of its ends. Shorter runs are chance and stay. Each
+repeated window keeps one copy, its first place in the smallest doc_id that holds it. A window whose
+kept copy overlaps one that goes for the sake of another document has no whole copy left and is no
+reason to cut anything. Otherwise no chunk of a kept copy is cut, and other copies are. A span goes on over windows whose kept copies lie in
+one document in the same order without a gap, so each span has one whole copy, and that copy stays.
+
+Digests are counted with partial aggregation, so a window that a third of all documents share is one
 row per task; the join back to documents has one row per digest on one side, which AQE may split.
 
 Cases: null texts stay null, empty ones empty; rows without doc_id are neither compared nor cut; rows
-that share a doc_id are one document as a source of copies; a long text without white space is one
+that share a doc_id are one document as a source of copies, and kept places hold for each of them;
+what kept copies leave of a repeated run is cut if it still has `min_words` words; a long text without white space is one
 word; an equal smallest hash is won by the left word; other columns pass through and columns named
 like an output are replaced; empty input gives no rows.
 """
@@ -27,12 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, slices, texts_of
+from .common import chain, mix, slices, store, texts_of
 
 REACH = 2
 MIN_WORDS = 20
 OUTPUTS = ("n_chunks", "n_dropped_chunks", "dropped_words", "dropped", "kept_text")
-_REPEATED = "__repeated_chunks"
+_REPEATED = "__repeated_windows"
 
 # Fixed value: one random-looking number per byte, from a rule.
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(48)).astype(np.uint16)
@@ -73,6 +79,34 @@ class Chunks:
         self.digest = np.fromiter((digest(data[a:b]) for a, b in zip(self.start.tolist(), self.end.tolist())), np.uint64, len(to)).view(np.int64)
 
 
+class Windows:
+    """Windows of the chunks of a slice: owner text, first and last chunk, place of the first chunk in its text, digest."""
+
+    def __init__(self, chunks: Chunks, min_words: int = MIN_WORDS):
+        n, owner = len(chunks.owner), chunks.owner
+        total = np.concatenate([[0], np.cumsum(chunks.words)])
+        every = np.arange(n)
+        forwards = np.searchsorted(total, total[:-1] + min_words) - 1  # last chunk of the window from each chunk on
+        backwards = np.searchsorted(total, total[1:] - min_words, side="right") - 1  # first chunk of the window up to each chunk
+        inside, enough = forwards < n, backwards >= 0
+        inside[inside] = owner[forwards[inside]] == owner[inside]
+        enough[enough] = owner[backwards[enough]] == owner[enough]
+        only = enough.copy()
+        only[enough] = forwards[backwards[enough]] != every[enough]
+        self.first, self.last = np.concatenate([every[inside], backwards[only]]), np.concatenate([forwards[inside], every[only]])
+        order = np.lexsort((self.last, self.first))
+        self.first, self.last = self.first[order], self.last[order]
+        self.owner = owner[self.first]
+        bounds = np.searchsorted(owner, np.arange(int(owner[-1]) + 2 if n else 1))
+        self.place = self.first - bounds[self.owner]
+        digest, width = mix(chunks.digest.view(np.uint64)), self.last - self.first + 1
+        made = np.zeros(len(self.first), np.uint64)
+        for w in np.unique(width):
+            at = width == w
+            made[at] = chain(digest, int(w))[self.first[at]]
+        self.digest = mix(made + width.astype(np.uint64)).view(np.int64)
+
+
 def _gear(raw: np.ndarray, place: np.ndarray) -> np.ndarray:
     """The rolling hash after every byte: sum of GEAR[byte] shifted by its distance, modulo 2^16."""
     h = GEAR[raw]
@@ -82,37 +116,95 @@ def _gear(raw: np.ndarray, place: np.ndarray) -> np.ndarray:
     return h
 
 
-def _counts(reach: int):
+def _counts(reach: int, min_words: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            chunks = Chunks(texts_of(batch), reach)
-            ids = np.asarray(batch.column("doc_id"))[chunks.owner]
-            order = np.lexsort((ids, chunks.digest))
-            digest, ids = chunks.digest[order], ids[order]
+            windows = Windows(Chunks(texts_of(batch), reach), min_words)
+            ids = np.asarray(batch.column("doc_id"))[windows.owner]
+            order = np.lexsort((windows.place, ids, windows.digest))
+            digest = windows.digest[order]
             first = np.flatnonzero(np.concatenate([[True], digest[1:] != digest[:-1]])) if len(digest) else np.empty(0, np.int64)
-            times = np.diff(np.append(first, len(digest)))
-            yield pa.record_batch([pa.array(digest[first]), pa.array(times), pa.array(ids[first])], names=["chunk", "times", "first_doc"])
+            times, at = np.diff(np.append(first, len(digest))), order[first]
+            yield pa.record_batch([pa.array(digest[first]), pa.array(times), pa.array(ids[at]), pa.array(windows.place[at].astype(np.int32))], names=["piece", "times", "first_doc", "first_place"])
 
     return run
 
 
-def _members(reach: int):
+_PLACED = ["doc_id", "place", "last", "piece"]
+
+
+def _members(reach: int, min_words: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            chunks = Chunks(texts_of(batch), reach)
-            order = np.lexsort((chunks.digest, chunks.owner))
-            owner, digest = chunks.owner[order], chunks.digest[order]
-            new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (digest[1:] != digest[:-1])]) if len(owner) else np.empty(0, bool)
-            yield pa.record_batch([batch.column("doc_id").take(pa.array(owner[new])), pa.array(digest[new])], names=["doc_id", "chunk"])
+            windows = Windows(Chunks(texts_of(batch), reach), min_words)
+            last = windows.place + windows.last - windows.first
+            yield pa.record_batch([batch.column("doc_id").take(pa.array(windows.owner)), pa.array(windows.place.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(windows.digest)], names=_PLACED)
 
     return run
 
 
-def repeated_chunks(docs: DataFrame, reach: int = REACH) -> DataFrame:
-    """(chunk, first_doc) of the digests found more than once in (doc_id, text)."""
-    return (docs.mapInArrow(_counts(reach), "chunk bigint, times bigint, first_doc bigint")
-            .groupBy("chunk").agg(F.sum("times").alias("times"), F.min("first_doc").alias("first_doc"))
-            .where("times > 1").select("chunk", "first_doc"))
+def _broken(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows whose kept copy overlaps a window of its document that another document keeps."""
+    for batch in batches:
+        found = []
+        for doc, windows in zip(batch.column("doc_id").to_pylist(), batch.column(_REPEATED)):
+            place, last, piece, source, first = (np.asarray(windows.values.field(n)) for n in ("place", "last", "piece", "first_doc", "first_place"))
+            other = source != doc
+            kept = ~other & (first == place)
+            if other.any() and kept.any():
+                size = int(last.max()) + 2
+                ends = np.bincount(place[other], minlength=size) - np.bincount(last[other] + 1, minlength=size)
+                before = np.concatenate([[0], np.cumsum(np.cumsum(ends) > 0)])
+                found.append(piece[kept][before[last[kept] + 1] > before[place[kept]]])
+        yield pa.record_batch([pa.array(np.concatenate(found) if found else np.empty(0, np.int64))], names=["piece"])
+
+
+def repeated_windows(docs: DataFrame, reach: int = REACH, min_words: int = MIN_WORDS) -> DataFrame:
+    """(piece, first_doc, first_place) of the window digests found more than once in (doc_id, text)."""
+    return (docs.mapInArrow(_counts(reach, min_words), "piece bigint, times bigint, first_doc bigint, first_place int")
+            .groupBy("piece").agg(F.sum("times").alias("times"), F.min(F.struct("first_doc", "first_place")).alias("kept"))
+            .where("times > 1").select("piece", "kept.first_doc", "kept.first_place"))
+
+
+def _segments(first: np.ndarray, last: np.ndarray, doc: np.ndarray, shift: np.ndarray) -> list[tuple[int, int, int]]:
+    """(first, last, source) of runs of windows whose kept copies make one gapless run in one document; both ends never fall."""
+    if not len(first):
+        return []
+    starts = np.concatenate([[True], (doc[1:] != doc[:-1]) | (shift[1:] != shift[:-1]) | (first[1:] > last[:-1] + 1)])
+    begin = np.flatnonzero(starts)
+    return list(zip(first[begin].tolist(), last[np.append(begin[1:], len(last)) - 1].tolist(), doc[begin].tolist()))
+
+
+def _cover(segments: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
+    """Disjoint pieces (first, last, source) of segments, sorted by first chunk, that cover the same chunks; the farthest one goes on."""
+    at, i, far, source = 0, 0, -1, 0
+    while True:
+        while i < len(segments) and segments[i][0] <= at:
+            if segments[i][1] > far:
+                _, far, source = segments[i]
+            i += 1
+        if far >= at:
+            yield at, far, source
+            at = far + 1
+        elif i < len(segments):
+            at = segments[i][0]
+        else:
+            return
+
+
+def _spans(segments: list[tuple[int, int, int]], stays: np.ndarray, words: np.ndarray, min_words: int) -> list[tuple[int, int, int]]:
+    """The parts (first, after, source) of segments outside `stays`, in gapless runs of at least `min_words` words."""
+    parts = []
+    for a, b, source in _cover(segments):
+        edges = np.flatnonzero(np.diff(np.concatenate([[True], stays[a:b + 1], [True]]).astype(np.int8))) + a
+        parts += [(x, y, source) for x, y in zip(edges[::2].tolist(), edges[1::2].tolist())]
+    kept, run, size = [], [], 0
+    for part in parts:
+        if run and run[-1][1] != part[0]:
+            kept, run, size = kept + run if size >= min_words else kept, [], 0
+        run.append(part)
+        size += int(words[part[0]:part[1]].sum())
+    return kept + run if size >= min_words else kept
 
 
 def _cut(names: list[str], reach: int, min_words: int):
@@ -120,9 +212,10 @@ def _cut(names: list[str], reach: int, min_words: int):
         for batch in slices(batches):
             texts = texts_of(batch)
             chunks = Chunks(texts, reach)
+            windows = Windows(chunks, min_words)
             lists = batch.column(_REPEATED)
             ids = batch.column("doc_id").to_pylist()
-            bounds = np.searchsorted(chunks.owner, np.arange(len(texts) + 1))
+            bounds, held = (np.searchsorted(x.owner, np.arange(len(texts) + 1)) for x in (chunks, windows))
             out = {n: [] for n in OUTPUTS}
             for doc in range(len(texts)):
                 lo, hi = int(bounds[doc]), int(bounds[doc + 1])
@@ -130,26 +223,25 @@ def _cut(names: list[str], reach: int, min_words: int):
                 found = lists[doc]
                 spans, dropped_chunks, dropped_words, pieces, at = [], 0, 0, [], begin
                 if found.is_valid:
-                    digest = chunks.digest[lo:hi]
-                    keys = np.asarray(found.values.field("chunk"))
-                    sources = np.asarray(found.values.field("first_doc"))
+                    mine = slice(int(held[doc]), int(held[doc + 1]))
+                    digest, first, last = windows.digest[mine], windows.place[mine], windows.last[mine] - lo
+                    keys, sources, places = (np.asarray(found.values.field(n)) for n in ("piece", "first_doc", "first_place"))
                     order = np.argsort(keys)
-                    keys, sources = keys[order], sources[order]
+                    keys, sources, places = keys[order], sources[order], places[order].astype(np.int64)
                     where = np.minimum(np.searchsorted(keys, digest), len(keys) - 1)
+                    source, shift = sources[where], places[where] - first
                     repeated = keys[where] == digest
-                    own = repeated & (sources[where] == ids[doc])
-                    if own.any():  # this document keeps the first of its own copies
-                        places = np.flatnonzero(own)
-                        repeated[places[np.unique(digest[places], return_index=True)[1]]] = False
-                    edges = np.flatnonzero(np.diff(np.concatenate([[0], repeated.astype(np.int8), [0]])))
-                    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
-                        words = int(chunks.words[lo + a:lo + b].sum())
-                        if words < min_words:
-                            continue
-                        first, after = int(chunks.start[lo + a]), int(chunks.start[lo + b]) if lo + b < hi else stop
-                        pieces.append(bytes(chunks.data[at:first]))
-                        spans.append({"start_byte": first - begin, "end_byte": int(chunks.end[lo + b - 1]) - begin, "first_doc_id": int(sources[where[a:b]].min())})
-                        at, dropped_chunks, dropped_words = after, dropped_chunks + b - a, dropped_words + words
+                    kept = repeated & (source == ids[doc]) & (shift == 0)
+                    ends = np.zeros(hi - lo + 1, np.int64)
+                    np.add.at(ends, first[kept], 1)
+                    np.add.at(ends, last[kept] + 1, -1)
+                    stays = np.cumsum(ends)[:-1] > 0
+                    gone = repeated & ~kept
+                    for a, b, copy in _spans(_segments(first[gone], last[gone], source[gone], shift[gone]), stays, chunks.words[lo:hi], min_words):
+                        start, after = int(chunks.start[lo + a]), int(chunks.start[lo + b]) if lo + b < hi else stop
+                        pieces.append(bytes(chunks.data[at:start]))
+                        spans.append({"start_byte": start - begin, "end_byte": int(chunks.end[lo + b - 1]) - begin, "first_doc_id": copy})
+                        at, dropped_chunks, dropped_words = after, dropped_chunks + b - a, dropped_words + int(chunks.words[lo + a:lo + b].sum())
                 pieces.append(bytes(chunks.data[at:stop]))
                 for n, v in zip(OUTPUTS, (hi - lo, dropped_chunks, dropped_words, spans, b"".join(pieces).decode())):
                     out[n].append(v)
@@ -165,11 +257,16 @@ _TYPES = {"n_chunks": pa.int64(), "n_dropped_chunks": pa.int64(), "dropped_words
 
 
 def drop_repeated_substrings(docs: DataFrame, reach: int = REACH, min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents with n_chunks, n_dropped_chunks, dropped_words, dropped (byte spans, and the smallest document that holds copies of their chunks) and kept_text."""
+    """The documents with n_chunks, n_dropped_chunks, dropped_words, dropped (byte spans, and the document that keeps the whole of each) and kept_text."""
     docs = docs.drop(*OUTPUTS, _REPEATED)
     known = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    members = known.mapInArrow(_members(reach), "doc_id bigint, chunk bigint").join(repeated_chunks(known, reach), "chunk")
-    lists = members.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("chunk", "first_doc")).alias(_REPEATED))
+    members = known.mapInArrow(_members(reach, min_words), "doc_id bigint, place int, last int, piece bigint").join(repeated_windows(known, reach, min_words), "piece")
+    members = store(members.select(*_PLACED, "first_doc", "first_place"), "substring-windows")
+    keepers = members.join(members.where("doc_id = first_doc and place = first_place").select("doc_id").distinct(), "doc_id", "left_semi")
+    placed = keepers.groupBy("doc_id").agg(F.collect_list(F.struct(*_PLACED[1:], "first_doc", "first_place")).alias(_REPEATED))
+    broken = placed.mapInArrow(_broken, "piece bigint").distinct()
+    lists = (members.select("doc_id", "piece", "first_doc", "first_place").distinct().join(broken, "piece", "left_anti")
+             .groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("piece", "first_doc", "first_place")).alias(_REPEATED)))
     fields = [*docs.schema.fields, T.StructField("n_chunks", T.LongType()), T.StructField("n_dropped_chunks", T.LongType()), T.StructField("dropped_words", T.LongType()),
               T.StructField("dropped", _SPAN), T.StructField("kept_text", T.StringType())]
     return docs.join(lists, docs["doc_id"] == lists["__id"], "left").drop("__id").mapInArrow(_cut([f.name for f in fields], reach, min_words), T.StructType(fields))
