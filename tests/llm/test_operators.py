@@ -441,6 +441,17 @@ def test_toxicity_without_labels(spark, none, odd):
     assert toxicity.toxicity(none, empty).count() == 0
 
 
+@pytest.mark.parametrize("n_toxic, n_clean", [(2, 400), (10, 400), (1, 1), (1, 30), (2, 2), (3, 1)])
+def test_toxicity_with_few_labels(spark, n_toxic, n_clean):
+    """However few rows a class has, toxic texts are found and ordinary ones stay."""
+    texts = {1: "vile scum filth", 0: "kind help order"}
+    for start in (0, 1000, 2000, 3000):
+        rows = [(start + i, int(i < n_toxic)) for i in range(n_toxic + n_clean)]
+        docs = spark.createDataFrame([(i, texts[t]) for i, t in rows] + [(9001, texts[1]), (9002, texts[0]), (9003, ""), (9004, None)], DOCS)
+        got = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(docs, spark.createDataFrame(rows, "doc_id bigint, toxic int")).collect()}
+        assert (got[9001], got[9002], got[9003], got[9004]) == (1, 0, 0, 0), (start, got[9001], got[9002], got[9003])
+
+
 def test_letter_probabilities_sum_to_one(spark):
     rows = [(0, "ab ba aca"), (1, "abba dab"), (0, "b bab a"), (1, "deb a ab")]
     model = toxicity.fit_counts(spark.createDataFrame(rows, "toxic int, text string"))

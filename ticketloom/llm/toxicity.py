@@ -9,7 +9,8 @@ sparse contexts back off to.
 A word's evidence is its toxic minus its ordinary log-likelihood. A text is described by the sums of
 its words' evidence and of the part of it above a margin, both divided by the number of words, and by
 the largest such part; a logistic curve over these, fitted on labelled rows kept out of the counts,
-gives the score.
+gives the score. In each class every fifth row in the order of a hash is kept out, so both classes
+take part from two rows each on.
 
 The labelled rows are a bounded sample (`max_per_class`, chosen by a hash of doc_id) and the model a
 bounded table (`max_entries`; rarer n-grams are left to the backoff), so both are safe to broadcast.
@@ -18,7 +19,8 @@ All documents are scored whole, in one scan without a shuffle.
 Cases: null and empty texts have no evidence (0) and get the score of that; rows without doc_id are
 scored and never learned from; labels that are null or neither 0 nor 1 are ignored; a doc_id with
 both labels counts as toxic; repeated rows are scored row by row; without rows of both classes every
-score is 0; columns named like an output are replaced.
+score is 0; where a class has one labelled text only, that one is counted and the curve is the mean
+evidence alone, so texts with evidence above 0 are predicted toxic; columns named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -47,6 +49,8 @@ DISCOUNT = 0.75
 MARGIN = 1.0
 OUTPUTS = ("score", "predicted")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: The curve where none can be fitted: only evidence above 0 gives a score of 0.5.
+PLAIN_CURVE = np.array([1.0, 0.0, 0.0, -1e-9])
 
 
 class BareWords:
@@ -145,7 +149,7 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 class Model:
     levels: list[Level]
     letters: int
-    curve: np.ndarray = field(default_factory=lambda: np.zeros(4))
+    curve: np.ndarray = field(default_factory=PLAIN_CURVE.copy)
 
     def letter_probabilities(self, letters: Letters) -> np.ndarray:
         """(class, letter): the probability of each letter after those before it; ordinary first."""
@@ -237,16 +241,31 @@ def _features(model: Model):
     return run
 
 
+def folds(rows: list[tuple[int, int, bool, int]]) -> tuple[list[tuple[int, int]], bool]:
+    """(doc_id, 1 for the curve and 0 for the counts) of (doc_id, toxic, has words, hash), and whether both classes have words in both parts."""
+    out, whole = [], True
+    for toxic in (0, 1):
+        for filled in (True, False):
+            ranked = sorted((h, i) for i, t, f, h in rows if (t, f) == (toxic, filled))
+            alone = filled and len(ranked) < 2
+            whole &= not alone
+            out += [(i, int(n % 5 == 0 and not alone)) for n, (_, i) in enumerate(ranked)]
+    return out, whole
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS, max_entries: int = MAX_ENTRIES) -> Model | None:
-    """Counts four fifths of the sample and fits the curve on the last fifth."""
+    """Counts four fifths of each class of the sample and fits the curve on the last fifths."""
     sample = learning_rows(labels, max_per_class).select(F.col("doc_id").alias("__id"), "toxic")
     marked = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("__id"))
-    fold = F.pmod(F.xxhash64(F.lit("fold"), F.col("doc_id")), F.lit(5))
-    model = fit_counts(marked.where(fold != 0), max_entries)
-    if model is not None:
-        seen = marked.where(fold == 0).select("toxic", "text").mapInArrow(_features(model), "toxic int, " + ", ".join(f"{n} double" for n in _FEATURES)).toPandas()
-        if len(seen):
-            model.curve = _logistic(seen[_FEATURES].to_numpy(float), seen["toxic"].to_numpy(float))
+    filled = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D\p{Punct}]"), F.lit(False))
+    rows = marked.select("__id", "toxic", filled.alias("filled")).groupBy("__id", "toxic").agg(F.max("filled")).withColumn("hash", F.xxhash64(F.lit("fold"), F.col("__id"))).collect()
+    parts, whole = folds([tuple(r) for r in rows])
+    part = docs.sparkSession.createDataFrame(parts, "__part_id bigint, part int")
+    marked = marked.join(F.broadcast(part), F.col("__id") == F.col("__part_id"))
+    model = fit_counts(marked.where("part = 0"), max_entries)
+    if model is not None and whole:
+        seen = marked.where("part = 1").select("toxic", "text").mapInArrow(_features(model), "toxic int, " + ", ".join(f"{n} double" for n in _FEATURES)).toPandas()
+        model.curve = _logistic(seen[_FEATURES].to_numpy(float), seen["toxic"].to_numpy(float))
     return model
 
 
