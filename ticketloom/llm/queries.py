@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_models, q_pairs, q_text, q_vectors  # noqa: F401
+from . import q_audit, q_models, q_pairs, q_text, q_vectors  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
