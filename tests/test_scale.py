@@ -3,10 +3,11 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from ticketloom.operators import csat, explain, helpdesk, reopen
-from ticketloom.operators.scale import latest_before, nearest_rank, rank_rows
+from ticketloom.operators.scale import latest_before, nearest_rank, number_rows, rank_rows
 
 
 def test_rank_rows_against_sort(spark):
@@ -36,6 +37,120 @@ def test_latest_before_against_brute_force(spark):
     assert got == want
 
 
+@pytest.fixture
+def many_partitions(spark):
+    """Small inputs over many range partitions, so that keys and days cross their borders."""
+    names = {"spark.sql.shuffle.partitions": "12", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {n: spark.conf.get(n) for n in names}
+    for n, v in names.items():
+        spark.conf.set(n, v)
+    yield 12
+    for n, v in before.items():
+        spark.conf.set(n, v)
+
+
+@pytest.mark.parametrize("keys", ["a", "aaaaab", "abcdefgh" * 4])
+def test_number_rows_against_sort_over_many_partitions(spark, many_partitions, keys):
+    """One hot day of one key, several keys, keys within one partition; null keys are a key of their own."""
+    rnd = random.Random(5)
+    rows = [(rnd.choice([*keys, None]) if len(keys) > 1 else "a", datetime(2024, 1, 1) + timedelta(seconds=rnd.randint(0, 600)), i, f"x{i}") for i in range(3_000)]
+    df = spark.createDataFrame(rows, "g string, ts timestamp_ntz, id int, extra string")
+    got = number_rows(df, ["g"], ["ts", "id"], "n")
+    assert got.columns == ["g", "ts", "id", "extra", "n"]
+    want = {}
+    for g in {r[0] for r in rows}:
+        for n, r in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (r[1], r[2])), 1):
+            want[r[2]] = n
+    assert {r["id"]: r["n"] for r in got.collect()} == want
+    assert number_rows(df.where("false"), ["g"], ["ts", "id"], "n").count() == 0
+
+
+def test_one_hot_day_is_in_many_partitions(spark, many_partitions, monkeypatch):
+    """What the tasks of the scan write: no partition has much more than its share of a single (ticket, day)."""
+    seen = []
+    from ticketloom.operators import scale
+
+    real = scale.written
+    monkeypatch.setattr(scale, "written", lambda df, name: seen.append(real(df, name)) or seen[-1])
+    day = [("hot", datetime(2024, 1, 1) + timedelta(milliseconds=7 * i), i) for i in range(6_000)]
+    rows = spark.createDataFrame(day, "k string, ts timestamp_ntz, id int")
+    assert number_rows(rows, ["k"], ["ts", "id"], "n").agg(F.max("n")).first()[0] == 6_000
+    found = latest_before(rows, rows.select("k", F.col("ts").alias("rts"), F.col("id").alias("rid")), "k", "ts", "rts", [], "rid", "hit")
+    assert found.where("hit.tie = id - 1").count() == 5_999
+    for table in seen:
+        sizes = [r["count"] for r in table.where("__close is null").groupBy("__part").count().collect()]
+        assert len(sizes) >= 10 and max(sizes) < 6_000 / 4
+
+
+@pytest.mark.parametrize("keys", ["a", "aab"])
+def test_latest_before_over_many_partitions(spark, many_partitions, keys):
+    rnd = random.Random(6)
+    when = lambda: datetime(2024, 1, 1) + timedelta(minutes=rnd.randint(0, 300))
+    left = [(i, rnd.choice(keys), when()) for i in range(1_500)] + [(9_000, None, when()), (9_001, "z", when())]
+    for right in ([(i, rnd.choice(keys), when(), f"v{i}") for i in range(40)], [(i, "a", when(), f"v{i}") for i in range(1_500)], [(0, "a", datetime(2023, 1, 1), "v0")]):
+        got = latest_before(spark.createDataFrame(left, "lid int, k string, ts timestamp_ntz"), spark.createDataFrame(right, "rid int, k string, rts timestamp_ntz, v string"),
+                            "k", "ts", "rts", ["v"], "rid", "hit")
+        got = {r["lid"]: r["hit"]["v"] if r["hit"] else None for r in got.collect()}
+        want = {}
+        for lid, k, ts in left:
+            hits = [(r[2], r[0], r[3]) for r in right if r[1] == k and r[2] < ts]
+            want[lid] = max(hits)[2] if hits else None
+        assert got == want
+
+
+def test_feedback_entries_number_repeated_answers_once_each(spark):
+    at = datetime(2024, 1, 1)
+    rows = [("t", at.date(), at + timedelta(hours=h), key, "positive", text, "ai", [], "Nạp tiền") for h, key, text in ((1, "a", "x"), (1, "a", "x"), (2, "b", None), (2, "c", "y"))]
+    df = spark.createDataFrame(rows, "ticket_id string, cohort_week date, responded_ts timestamp_ntz, response_key string, satisfaction_bucket string, comment_redacted string, outcome string, skill_set array<string>, issue_category string")
+    got = sorted((r["response_number"], r["response_total"], r["text"], r["is_latest_for_ticket"]) for r in csat.feedback_entries(df).collect())
+    assert got == [(1, 4, "x", False), (2, 4, "x", False), (4, 4, "y", True)]
+    assert csat.refuse_repeats(df.where("comment_redacted = 'y'")).count() == 1
+    with pytest.raises(Exception, match="identity is duplicated"):
+        csat.refuse_repeats(df).collect()
+
+
+def _plan_after_run(df) -> str:
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_known_values_of_a_hot_ticket(spark):
+    """Only values that occur are collected, and a ticket with most of the values is split over tasks."""
+    rnd = random.Random(7)
+    triples = [("hot", "user-7 gọi user-77 và app-1", "trả lời user-7", "user-123 nữa")] + [(f"t{i}", f"user-{i} x", "y", "z") for i in range(50)]
+    values = [("hot", f"user-{i}") for i in range(4_000)] + [(f"t{i}", v) for i in range(50) for v in (f"user-{i}", f"user-{i}", "zz", "")] + [("gone", "user-1")]
+    rnd.shuffle(values)
+    names = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+             "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for n, v in names.items():
+            spark.conf.set(n, v)
+        found = reopen.occurring_values(spark.createDataFrame(values, "session_id string, value string").repartition(4), spark.createDataFrame(triples, "session_id string, u0 string, a0 string, u1 string"))
+        per_ticket = found.groupBy("session_id").agg(F.array_sort(F.collect_list("value")).alias("v"))
+        plan = _plan_after_run(per_ticket)
+        got = {r["session_id"]: r["v"] for r in per_ticket.collect()}
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+    want = {k: sorted({v for s, v in values if s == k and v and any(v in t for t in texts)}) for k, *texts in triples}
+    assert got == {k: v for k, v in want.items() if v}
+    assert "skew=true" in plan
+
+
+def test_reopen_population_masks_values_of_all_traces(spark):
+    at = lambda h: datetime(2024, 1, 1) + timedelta(hours=h)
+    sessions = spark.createDataFrame([("s", True, 1, "ai_end_to_end", "valid", "t0", at(0), at(0).date(), "Nạp tiền"), ("q", True, 1, "ai_end_to_end", "valid", "q0", at(0), at(0).date(), None)],
+                                     "session_id string, ai_first boolean, reopen_within_7d int, outcome string, data_quality string, turn0_trace_id string, turn0_ts timestamp_ntz, cohort_week date, issue_category string")
+    traces = spark.createDataFrame([("s", 0, at(0), "t0"), ("s", 1, at(200), "t1"), ("s", 2, at(5), "t2"), ("s", 3, at(6), "t3"), ("q", 0, at(0), "q0"), ("q", 1, at(1), "q1")], "session_id string, turn int, ts timestamp_ntz, trace_id string")
+    texts = spark.createDataFrame([("t0", "s", "tôi là an-1 và an", "chào an-1 12", ["an"]), ("t1", "s", "khác", "x", ["an-1", "12"]), ("t2", "s", "lại an-1", None, []), ("t3", "s", "không dùng", "x", ["chào"]),
+                                   ("q0", "q", "hỏi", None, ["hỏi"]), ("q1", "q", "nữa", "x", [])], "trace_id string, session_id string, user_text string, ai_text string, known_values array<string>")
+    got = {r["session_id"]: r for r in reopen.reopen_population(sessions, traces, texts).collect()}
+    r = got["s"]
+    assert (r["followup_trace_id"], r["initial_user_text"], r["initial_ai_text"], r["followup_user_text"], r["complete"]) == ("t2", "tôi là [PII] và [PII]", "[PII] [PII] [PII]", "lại [PII]", True)
+    assert got["q"]["complete"] is False and got["q"]["initial_user_text"] is None
+
+
 def test_nearest_rank_against_sort(spark):
     rnd = random.Random(3)
     rows = [(rnd.choice("ab"), rnd.choice([0.0, 1.5, rnd.expovariate(1 / 50)])) for _ in range(500)] + [("c", 7.0), ("a", None)]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as X
-from .scale import latest_before, rank_rows
+from .scale import latest_before, number_rows
 from .segments import segment_value
 from .weekly import by_definition
 
@@ -119,15 +119,21 @@ def csat_rollup(weekly: DataFrame) -> DataFrame:
     return weekly.groupBy("week_definition", "grain", "dimension", "value").agg(*[F.sum(c).alias(c) for c in ("ticket_count", *K.CSAT_BUCKETS)])
 
 
-def feedback_entries(matched: DataFrame) -> DataFrame:
-    """Comments numbered n of total per ticket, the last one marked.
+def refuse_repeats(answers: DataFrame) -> DataFrame:
+    """The answers as they are; a response key that comes twice fails the job when the rows are read."""
+    counted = answers.groupBy("response_key").agg(F.count(F.lit(1)).alias("__times"))
+    once = F.when(F.col("__times") == 1, F.col("response_key")).otherwise(F.raise_error(F.lit("response identity is duplicated")).cast("string"))
+    return answers.join(counted, "response_key").withColumn("response_key", once).select(*answers.columns)
 
-    Keys alone are numbered and counted; a comment crosses one join, and only if it is shown.
-    """
-    keys = ["ticket_id", "responded_ts", "response_key"]
-    ranked = rank_rows(matched.select(*keys), ["ticket_id"], [F.date_trunc("day", "responded_ts")], [F.col("responded_ts"), F.col("response_key")], "response_number")
-    totals = matched.groupBy("ticket_id").agg(F.count(F.lit(1)).alias("response_total"))
-    joined = matched.where("comment_redacted is not null").join(ranked.join(totals, "ticket_id"), keys)
+
+def feedback_entries(matched: DataFrame) -> DataFrame:
+    """Comments numbered n of total per ticket, the last one marked. Every answer is numbered, equal ones
+    too; only answers with a comment are shown."""
+    # equal answers are told apart by their text, and copies of one row by nothing that shows
+    order = ["responded_ts", "response_key", "comment_redacted"]
+    ranked = number_rows(matched, ["ticket_id"], order, "response_number")
+    totals = ranked.groupBy("ticket_id").agg(F.max("response_number").alias("response_total"))
+    joined = ranked.where("comment_redacted is not null").join(totals, "ticket_id")
     return joined.select(
         "ticket_id", "cohort_week", "responded_ts", "satisfaction_bucket", "outcome", segment_value("skill").alias("skill"),
         segment_value("issue_category").alias("issue_category"), F.col("comment_redacted").alias("text"), "response_number", "response_total",

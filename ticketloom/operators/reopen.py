@@ -18,6 +18,9 @@ from .scale import own_exchange
 from .weekly import by_definition
 
 
+SEGMENTS = ("initial_user_text", "initial_ai_text", "followup_user_text")
+
+
 def trace_texts(raw: DataFrame) -> DataFrame:
     """Free texts and known identifying values of each trace."""
     values = [V.filled_string_at(F.col("input"), V.path_of("other_info", "meta", k)) for k in K.KNOWN_META_KEYS]
@@ -40,25 +43,42 @@ def reopen_keys(sessions: DataFrame, traces: DataFrame) -> DataFrame:
     return keep.join(first.select("session_id", F.col("f.trace_id").alias("followup_trace_id")), "session_id", "left")
 
 
+def occurring_values(values: DataFrame, triples: DataFrame) -> DataFrame:
+    """(session_id, value): the known values that occur in one of their ticket's texts u0, a0, u1.
+
+    Values are rows, never an array of a ticket: each is met with its ticket's one row of texts and kept
+    if it is found there. A ticket with very many traces has very many values on one side of the join
+    and one row on the other, so AQE may split it over tasks.
+    """
+    distinct = values.where("value <> ''").groupBy("session_id", "value").agg(F.lit(1).alias("__one")).drop("__one")
+    texts = triples.select(own_exchange("session_id").alias("__key"), "u0", "a0", "u1")
+    met = distinct.withColumn("__key", own_exchange("session_id")).join(texts, "__key")
+    return met.where(F.contains("u0", "value") | F.contains("a0", "value") | F.contains("u1", "value")).select("session_id", "value")
+
+
 def reopen_population(sessions: DataFrame, traces: DataFrame, texts: DataFrame) -> DataFrame:
     """Masked text triples per eligible ticket; tickets without one of the texts have complete = false.
 
-    One pass over the traces of eligible tickets gives the texts of the two needed traces and all
-    known values, which are masked together, longest first.
+    Two traces a ticket are picked first, and only their texts are joined. The known values of all its
+    traces are masked together, longest first; those that occur in none of the texts are gone before
+    anything is collected, so what is collected is bounded by the texts.
     """
     keys = reopen_keys(sessions, traces)
-    marks = keys.select(own_exchange("session_id").alias("__key"), "anchor_trace_id", "followup_trace_id")
-    rows = texts.withColumn("__key", own_exchange("session_id")).join(marks, "__key")
-    anchor, later = F.col("trace_id") == F.col("anchor_trace_id"), F.col("trace_id") == F.col("followup_trace_id")
-    found = rows.groupBy("session_id").agg(
-        F.max(F.when(anchor, F.col("user_text"))).alias("u0"), F.max(F.when(anchor, F.col("ai_text"))).alias("a0"),
-        F.max(F.when(later, F.col("user_text"))).alias("u1"), F.array_distinct(F.flatten(F.collect_set("known_values"))).alias("known"))
-    rows = keys.join(found, "session_id", "left")
-    complete = F.col("u0").isNotNull() & F.col("a0").isNotNull() & F.col("u1").isNotNull()
-    values = F.coalesce("known", F.array().cast("array<string>"))
-    masked = {n: F.when(complete, X.mask_text(F.col(c), values)) for n, c in (
-        ("initial_user_text", "u0"), ("initial_ai_text", "a0"), ("followup_user_text", "u1"))}
-    return rows.withColumn("complete", complete).withColumns(masked).drop("u0", "a0", "u1", "known")
+    wanted = keys.select("session_id", F.explode(F.array(
+        F.struct(F.lit(0).alias("role"), F.col("anchor_trace_id").alias("trace_id")), F.struct(F.lit(1).alias("role"), F.col("followup_trace_id").alias("trace_id")))).alias("w"))
+    wanted = wanted.select("session_id", "w.role", "w.trace_id").where("trace_id is not null")
+    rows = texts.select("session_id", "trace_id", "user_text", "ai_text").join(wanted, ["session_id", "trace_id"])
+    text_of = lambda role, c: F.max(F.when(F.col("role") == role, F.col(c)))
+    triples = rows.groupBy("session_id").agg(text_of(0, "user_text").alias("u0"), text_of(0, "ai_text").alias("a0"), text_of(1, "user_text").alias("u1"))
+    complete = triples.where("u0 is not null and a0 is not null and u1 is not null")
+
+    marks = complete.select(own_exchange("session_id").alias("__key"))
+    values = texts.select("session_id", own_exchange("session_id").alias("__key"), F.explode("known_values").alias("value")).join(marks, "__key", "left_semi")
+    known = occurring_values(values, complete).groupBy("session_id").agg(F.collect_list("value").alias("known"))
+    found = complete.join(known, "session_id", "left")
+    values_of = F.coalesce("known", F.array().cast("array<string>"))
+    masked = found.select("session_id", F.lit(True).alias("complete"), *[X.mask_text(F.col(c), values_of).alias(n) for n, c in zip(SEGMENTS, ("u0", "a0", "u1"))])
+    return keys.join(masked, "session_id", "left").withColumn("complete", F.coalesce("complete", F.lit(False)))
 
 
 def control_rate(sessions: DataFrame) -> DataFrame:
@@ -247,9 +267,6 @@ def saturation_stop(reasons: DataFrame, position: str, batch: int = K.REASON_BAT
     return rows.where(F.col("batch") <= F.coalesce(stop.scalar(), F.col("batch")))
 
 
-SEGMENTS = ("initial_user_text", "initial_ai_text", "followup_user_text")
-
-
 def pii_review_sample(population: DataFrame, limit: int = K.REVIEW_LIMIT) -> DataFrame:
     """Three masked segments per ticket in stable order, up to the review limit."""
     items = F.array(*[F.struct(F.lit(i).alias("part"), F.lit(s).alias("segment"),

@@ -263,7 +263,8 @@ rpk AS (
   SELECT e.session_id, e.turn0_trace_id AS anchor_trace_id, (SELECT arg_min(t.trace_id, t.p) FROM pos t WHERE t.session_id = e.session_id AND t.p > 1 AND t.ts > e.turn0_ts AND t.ts <= e.turn0_ts + INTERVAL 168 HOUR) AS followup_trace_id,
          e.cohort_week AS week, e.issue_category AS domain, e.outcome FROM elg e
 ), rpp AS (
-  SELECT k.*, NOT a.is_malformed AND k.followup_trace_id IS NOT NULL AS complete, concat('Yêu cầu ', a.k, ' từ [PII] qua [PII]') AS t0, concat('Yêu cầu ', f.k, ' từ [PII] qua [PII]') AS t1
+  SELECT k.*, NOT a.is_malformed AND k.followup_trace_id IS NOT NULL AS complete, concat('Yêu cầu ', a.k, ' từ [PII] qua [PII]') AS t0, concat('Yêu cầu ', f.k, ' từ [PII] qua [PII]') AS t1,
+         CASE WHEN a.event_type = 'signup' THEN 'Không hỗ trợ nội dung này' ELSE concat('Trả lời ', a.event_type, ' ', a.k) END AS r0
   FROM rpk k JOIN tr a ON a.trace_id = k.anchor_trace_id LEFT JOIN tr f ON f.trace_id = k.followup_trace_id
 )"""
 
@@ -273,9 +274,9 @@ def population(spark, d):
     return reopen.reopen_population(Fx.sessions(spark, d), Fx.traces(spark, d), reopen.trace_texts(Fx.raw_traces(spark, d)))
 
 
-@query("reopen_population", sql("SELECT session_id, anchor_trace_id, followup_trace_id, week, domain, outcome, complete, CASE WHEN complete THEN t0 END AS initial_user_text, CASE WHEN complete THEN t1 END AS followup_user_text FROM rpp", _REO))
+@query("reopen_population", sql("SELECT session_id, anchor_trace_id, followup_trace_id, week, domain, outcome, complete, CASE WHEN complete THEN t0 END AS initial_user_text, CASE WHEN complete THEN r0 END AS initial_ai_text, CASE WHEN complete THEN t1 END AS followup_user_text FROM rpp", _REO))
 def reopen_population(spark, d):
-    return population(spark, d).drop("initial_ai_text")
+    return population(spark, d)
 
 
 @query("reopen_control_rate", sql("SELECT sum(control_reopen_within_7d) AS numerator, count(control_reopen_within_7d) AS denominator, sum(control_reopen_within_7d) / count(control_reopen_within_7d) AS rate FROM ses"))

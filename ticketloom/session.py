@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -41,3 +43,21 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
         raise ValueError("set spark.checkpoint.dir to a folder every executor can read")
     spark.sparkContext.setCheckpointDir(target)
     return target
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the shared one that the cluster names in spark.checkpoint.dir. Only a local
+    session, where driver and tasks are one process, may do without the setting."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can read")
+        root = tempfile.mkdtemp(prefix="ticketloom-")
+    return f"{root.rstrip('/')}/ticketloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The table written to the shared folder and read back: later passes see the same rows, and a lost executor costs a re-read."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
