@@ -40,17 +40,61 @@ def test_latest_response_stream(spark, tmp_path):
     assert got == {"1": "negative", "2": "neutral"}
 
 
+def weeks_of(spark, path):
+    return {str(r["cohort_week"]): r["v"] for r in incremental.read_weeks(spark, path).collect()}
+
+
+def make_weeks(spark, tag, days=("2024-01-01", "2024-01-15", "2024-01-22")):
+    return spark.createDataFrame([(w, tag) for w in days], "w string, v string").select(F.col("w").cast("date").alias("cohort_week"), "v")
+
+
 def test_week_refresh_replaces_due_weeks_only(spark, tmp_path):
     path = str(tmp_path / "weeks")
-    make = lambda tag: spark.createDataFrame([(w, tag) for w in ("2024-01-01", "2024-01-15", "2024-01-22")], "w string, v string").select(F.col("w").cast("date").alias("cohort_week"), "v")
+    make = lambda tag: make_weeks(spark, tag)
     incremental.replace_weeks(make("old"), path)
     state = spark.createDataFrame([("2024-01-01",), ("2024-01-15",)], "w string").select(F.col("w").cast("date").alias("cohort_week"), F.expr("timestamp_ntz'2024-01-23 00:00:00'").alias("fetched_at"))
     incremental.refresh_weeks(make("new"), state, path, F.expr("timestamp_ntz'2024-01-30 00:00:00'"))
-    got = {str(r["cohort_week"]): r["v"] for r in spark.read.parquet(path).collect()}
-    assert got == {"2024-01-01": "old", "2024-01-15": "new", "2024-01-22": "new"}
+    assert weeks_of(spark, path) == {"2024-01-01": "old", "2024-01-15": "new", "2024-01-22": "new"}
     incremental.refresh_weeks(make("newer").where("cohort_week < '2024-01-20'"), state.unionByName(state.limit(1).select(F.lit("2024-01-22").cast("date").alias("cohort_week"), "fetched_at")), path, F.expr("timestamp_ntz'2024-01-30 00:00:00'"))
-    got = {str(r["cohort_week"]): r["v"] for r in spark.read.parquet(path).collect()}
-    assert got == {"2024-01-01": "old", "2024-01-15": "newer"}
+    assert weeks_of(spark, path) == {"2024-01-01": "old", "2024-01-15": "newer"}
+
+
+def test_refresh_that_fails_before_its_commit_changes_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "weeks")
+    incremental.replace_weeks(make_weeks(spark, "old"), path)
+    with monkeypatch.context() as m:
+        m.setattr(incremental, "commit_weeks", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            incremental.replace_weeks(make_weeks(spark, "half", ("2024-01-15",)), path, weeks=make_weeks(spark, "", ("2024-01-22",)))
+    assert set(weeks_of(spark, path).values()) == {"old"} and len(weeks_of(spark, path)) == 3
+    with pytest.raises(Exception, match="broken"):  # rows that fail while they are written
+        broken = make_weeks(spark, "bad").withColumn("v", F.when(F.col("cohort_week") == F.lit("2024-01-22").cast("date"), F.raise_error(F.lit("broken")).cast("string")).otherwise("bad"))
+        incremental.replace_weeks(broken, path)
+    assert set(weeks_of(spark, path).values()) == {"old"}
+    # the same refresh again, all of it
+    incremental.replace_weeks(make_weeks(spark, "half", ("2024-01-15",)), path, weeks=make_weeks(spark, "", ("2024-01-22",)))
+    assert weeks_of(spark, path) == {"2024-01-01": "old", "2024-01-15": "half"}
+    assert incremental.drop_old_versions(spark, path, keep=1) and weeks_of(spark, path) == {"2024-01-01": "old", "2024-01-15": "half"}
+
+
+def test_all_weeks_may_go_and_only_named_folders_are_read(spark, tmp_path):
+    path = str(tmp_path / "weeks")
+    incremental.replace_weeks(make_weeks(spark, "old"), path)
+    plan = incremental.read_weeks(spark, path)._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PartitionFilters: ["):]
+    assert "cohort_week" in filters[:filters.index("]")] and "version" in filters[:filters.index("]")]
+    incremental.replace_weeks(make_weeks(spark, "x").where("false"), path, weeks=make_weeks(spark, ""))
+    assert weeks_of(spark, path) == {}
+
+
+def test_week_sink_rebuilds_touched_weeks(spark, tmp_path):
+    path, source = str(tmp_path / "weeks"), str(tmp_path / "source")
+    incremental.replace_weeks(make_weeks(spark, "old"), path)
+    make_weeks(spark, "x", ("2024-01-15", "2024-01-15")).write.parquet(source)
+    sink = incremental.week_sink(path, lambda weeks: make_weeks(spark, "rebuilt").join(weeks, "cohort_week", "left_semi"))
+    stream = spark.readStream.schema("cohort_week date, v string").parquet(source)
+    stream.writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
+    assert weeks_of(spark, path) == {"2024-01-01": "old", "2024-01-15": "rebuilt", "2024-01-22": "old"}
 
 
 def test_ticket_facts_outlive_the_timer(spark, tmp_path):
@@ -93,5 +137,29 @@ def test_json_traces_are_read_strictly(spark, tmp_path):
     path.write_text('{"id": "a", "sessionId": "1", "timestamp": "2024-01-02T00:00:00Z", "metadata": {"turn": 0}, "input": {}, "output": {}}\n'
                     '{"id": 5, "sessionId": "1", "timestamp": "2024-01-02T00:00:00Z", "metadata": {"turn": 0}}\n'
                     '{"id": "late", "sessionId": "1", "timestamp": "2025-01-02T00:00:00Z", "metadata": {"turn": 0}}\n')
-    raw = readers.read_traces(spark, str(path), "2024-01-01 00:00:00", "2024-02-01 00:00:00", "json")
+    table = str(tmp_path / "traces")
+    readers.write_traces(readers.traces_from_json(readers.read_json(spark, str(path))), table)
+    raw = readers.read_traces(spark, table, "2024-01-01 00:00:00", "2024-02-01 00:00:00")
     assert sorted((r["trace_id"] or "", r["reason"]) for r in ingest.normalize_traces(raw).collect()) == [("", "missing_trace_id"), ("a", None)]
+
+
+def test_readers_open_only_their_partitions(spark, tmp_path):
+    from ticketloom.sources import readers
+
+    rows = spark.createDataFrame([(f"{name}{day}", name, f"2024-01-{day:02d}T12:00:00Z") for name in ("route", "tool:x") for day in range(1, 10)] + [("none", "route", "soon")],
+                                 "id string, name string, startTime string")
+    table, plain = str(tmp_path / "observations"), str(tmp_path / "plain")
+    readers.write_observations(rows, table)
+    got = readers.read_observations(spark, table, "tool:x", "2024-01-03 12:00:00", "2024-01-05 12:00:00")
+    assert sorted(r["id"] for r in got.collect()) == ["tool:x3", "tool:x4"]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PartitionFilters: ["):]
+    assert "name" in filters[:filters.index("PushedFilters")] and "day" in filters[:filters.index("PushedFilters")]
+    # a table that is not laid out so would be scanned whole: refused
+    rows.write.parquet(plain)
+    for read in (lambda: readers.read_observations(spark, plain, "route", "2024-01-01", "2024-01-02"), lambda: readers.read_traces(spark, table, "2024-01-01", "2024-01-02")):
+        with pytest.raises(ValueError, match="not partitioned"):
+            read()
+    # a second write replaces its own days only
+    readers.write_observations(rows.where("id = 'tool:x4'").withColumn("id", F.lit("again")), table)
+    assert sorted(r["id"] for r in readers.read_observations(spark, table, "tool:x", "2024-01-03 00:00:00", "2024-01-06 00:00:00").collect()) == ["again", "tool:x3", "tool:x5"]

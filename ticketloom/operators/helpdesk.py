@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import timefns as T
+from .pages import OrderIndex, build_order_index
 from .weekly import by_definition
 
 
@@ -113,14 +114,13 @@ def entry_coverage_weekly(records: DataFrame) -> DataFrame:
     return by_definition(fine).groupBy("week_definition", "cohort_week").agg(*[F.sum(n).alias(n) for n in names])
 
 
-def entry_coverage_page(records: DataFrame, definition: str = "mon_sun", weeks: list | None = None, status: str | None = None,
-                        sort_by: str = "opened_ts", descending: bool = True, page: int = 1, page_size: int = 10) -> DataFrame:
+def entry_coverage_order(records: DataFrame, path: str, definition: str = "mon_sun", weeks: list | None = None, status: str | None = None,
+                         sort_by: str = "opened_ts", descending: bool = True) -> OrderIndex:
+    """The stored order of the filtered help-desk tickets."""
     if definition not in K.WEEK_DEFINITIONS or sort_by not in ("opened_ts", "ticket_id"):
         raise ValueError("week definition or sort column is invalid")
     if status is not None and status not in K.ENTRY_STATUSES:
         raise ValueError("status is invalid")
-    if page < 1 or not 1 <= page_size <= 100:
-        raise ValueError("page is invalid")
     rows = records
     if weeks is not None:
         rows = rows.where(F.col("cohort_week").isin(weeks))
@@ -130,4 +130,10 @@ def entry_coverage_page(records: DataFrame, definition: str = "mon_sun", weeks:
         rows = rows.where(~F.col("is_weekend_start"))
     number = F.col("ticket_id").cast("decimal(20,0)")
     keys = [F.col("opened_ts"), number] if sort_by == "opened_ts" else [number]
-    return rows.orderBy(*[k.desc() if descending else k.asc() for k in keys]).offset((page - 1) * page_size).limit(page_size)
+    return build_order_index(rows, [(k, descending) for k in keys], path)
+
+
+def entry_coverage_page(order: OrderIndex, page: int = 1, page_size: int = 10) -> DataFrame:
+    if page < 1 or not 1 <= page_size <= 100:
+        raise ValueError("page is invalid")
+    return order.page(page, page_size)

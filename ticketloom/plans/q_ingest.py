@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..functions import timefns as T
 from ..functions import variants as V
 from ..operators import classify, enrich, ingest
+from ..session import new_folder
 from ..sources import readers, reference
 from ..window import CohortWindow
 from . import fixtures as Fx
@@ -19,16 +20,28 @@ _SES_COLUMNS = """session_id, turn0_trace_id, turn0_ts, cohort_week, score_ts, c
  reopen_within_7d, ai_reply_count, first_transfer_trace_id, data_quality, environment, is_weekend_start, turn_count, transferred, control_reopen_within_7d"""
 
 
-@query("read_traces", sql("""SELECT trace_id, session_id, ts, turn FROM tr
- WHERE ts >= TIMESTAMP '2024-01-08 00:00:00' AND ts < TIMESTAMP '2024-01-15 00:00:00'"""))
+@query("read_traces", sql("""SELECT trace_id, session_id, ts, turn, CAST(ts AS DATE) AS day FROM tr
+ WHERE ts >= TIMESTAMP '2024-01-08 00:00:00' AND ts < TIMESTAMP '2024-01-15 12:00:00'"""))
 def read_traces(spark, d):
-    rows = Fx.traces(spark, d).select("trace_id", "session_id", "ts", "turn")
-    return readers.time_slice(rows, "2024-01-08 00:00:00", "2024-01-15 00:00:00")
+    path = new_folder(spark, "traces")
+    readers.write_traces(Fx.raw_traces(spark, d), path)
+    rows = readers.read_traces(spark, path, "2024-01-08 00:00:00", "2024-01-15 12:00:00")
+    return rows.select(F.col("id").alias("trace_id"), F.col("sessionId").alias("session_id"), "ts", F.try_variant_get("metadata", "$.turn", "int").alias("turn"), "day")
 
 
-@query("read_observations", sql("SELECT trace_id, intent FROM ob WHERE intent IS NOT NULL"))
+@query("read_traces_rejects", """SELECT event_id AS seq, event_id % 97 = 1 AS no_time FROM events WHERE event_id % 97 = 1 OR (ts >= TIMESTAMP '2024-01-10 06:00:00' AND ts < TIMESTAMP '2024-01-11 00:00:00')
+ UNION ALL SELECT event_id + 1000000000, event_id % 97 = 1 FROM events WHERE event_id % 89 = 0 AND (event_id % 97 = 1 OR (ts >= TIMESTAMP '2024-01-10 06:00:00' AND ts < TIMESTAMP '2024-01-11 00:00:00'))""")
+def read_traces_rejects(spark, d):
+    path = new_folder(spark, "traces")
+    readers.write_traces(Fx.damaged_traces(spark, d), path)
+    return readers.read_traces(spark, path, "2024-01-10 06:00:00", "2024-01-11 00:00:00").select("seq", F.col("ts").isNull().alias("no_time"))
+
+
+@query("read_observations", sql("SELECT trace_id, intent FROM ob JOIN tr USING (trace_id) WHERE intent IS NOT NULL AND ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-20 18:30:00'"))
 def read_observations(spark, d):
-    rows = readers.observations_named(Fx.observations(spark, d), K.OBS_INTENT)
+    path = new_folder(spark, "observations")
+    readers.write_observations(Fx.observations(spark, d), path)
+    rows = readers.read_observations(spark, path, K.OBS_INTENT, "2024-01-05 00:00:00", "2024-01-20 18:30:00")
     return rows.select(F.col("traceId").alias("trace_id"), V.string_at(F.col("metadata"), "$.intent").alias("intent"))
 
 

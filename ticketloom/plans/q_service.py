@@ -11,6 +11,7 @@ from .. import constants as K
 from ..functions import text as X
 from ..functions import timefns as T
 from ..operators import abtest, csat, explorer, helpdesk, segments, weekly
+from ..session import new_folder
 from ..sources import readers
 from ..window import ntz
 from . import fixtures as Fx
@@ -222,9 +223,11 @@ def entry_coverage_weekly(spark, d):
     return helpdesk.entry_coverage_weekly(coverage(spark, d))
 
 
-@query("entry_coverage_page", sql("""SELECT ticket_id, opened_ts, status FROM cov WHERE NOT is_weekend_start AND status = 'unresolved' ORDER BY opened_ts DESC, CAST(ticket_id AS HUGEINT) DESC LIMIT 10 OFFSET 10""", _MSG, _COV))
+@query("entry_coverage_page", sql("""SELECT ticket_id, opened_ts, status, row_number() OVER (ORDER BY opened_ts DESC, CAST(ticket_id AS HUGEINT) DESC) AS position, count(*) OVER () AS total
+ FROM cov WHERE NOT is_weekend_start AND status = 'unresolved' QUALIFY position BETWEEN 11 AND 20""", _MSG, _COV))
 def entry_coverage_page(spark, d):
-    return helpdesk.entry_coverage_page(coverage(spark, d), "mon_fri", status="unresolved", page=2, page_size=10).select("ticket_id", "opened_ts", "status")
+    order = helpdesk.entry_coverage_order(coverage(spark, d), new_folder(spark, "entry-order"), "mon_fri", status="unresolved")
+    return helpdesk.entry_coverage_page(order, 2, 10).select("ticket_id", "opened_ts", "status", "position", "total")
 
 
 @query("looks_like_person")
@@ -423,18 +426,36 @@ def filter_allowlist(spark, d):
     return explorer.filter_allowlist(tickets(spark, d), seg, "tpe_code")
 
 
-@query("ticket_sort", sql("SELECT ticket_id, tpe_code FROM tk", *_T))
+@query("ticket_sort", sql("SELECT ticket_id, tpe_code, row_number() OVER (ORDER BY tpe_code IS NULL, CAST(tpe_code AS INT) DESC, CAST(ticket_id AS BIGINT)) AS position FROM tk", *_T))
 def ticket_sort(spark, d):
-    return explorer.ticket_sort(tickets(spark, d), "tpe_code", True).select("ticket_id", "tpe_code")
+    rows = tickets(spark, d).select("ticket_id", "tpe_code")
+    return explorer.ticket_order(rows, new_folder(spark, "ticket-order"), "tpe_code", True).positions()
 
 
 _PAGE_KEYS = "CASE csat_satisfaction WHEN 'negative' THEN 0 WHEN 'neutral' THEN 0 WHEN 'positive' THEN 0 WHEN 'unrated' THEN 1 ELSE 2 END, CASE csat_satisfaction WHEN 'negative' THEN 0 WHEN 'neutral' THEN 1 WHEN 'positive' THEN 2 END DESC, CASE WHEN csat_satisfaction IN ('negative', 'neutral', 'positive') THEN -CAST(ticket_id AS BIGINT) END, CAST(ticket_id AS BIGINT)"
 
 
-@query("paginate", sql(f"SELECT ticket_id, csat_satisfaction, (SELECT count(*) FROM tk) AS total, 2 AS page, 25 AS page_size FROM tk ORDER BY {_PAGE_KEYS} LIMIT 25 OFFSET 25", *_T))
-def paginate(spark, d):
+def _by_satisfaction(spark, d):
     rows = tickets(spark, d).select("ticket_id", "csat_satisfaction")
-    return explorer.paginate(rows, "csat_satisfaction", True, page=2, page_size=25)
+    return explorer.ticket_order(rows, new_folder(spark, "ticket-order"), "csat_satisfaction", True)
+
+
+@query("paginate", sql(f"SELECT ticket_id, csat_satisfaction, row_number() OVER (ORDER BY {_PAGE_KEYS}) AS position, count(*) OVER () AS total, 2 AS page, 25 AS page_size FROM tk QUALIFY position BETWEEN 26 AND 50", *_T))
+def paginate(spark, d):
+    return explorer.paginate(_by_satisfaction(spark, d), 2, 25)
+
+
+@query("paginate_last", sql(f"""SELECT ticket_id, csat_satisfaction, row_number() OVER (ORDER BY {_PAGE_KEYS}) AS position, count(*) OVER () AS total, CAST((count(*) OVER () + 24) // 25 AS INTEGER) AS page, 25 AS page_size
+ FROM tk QUALIFY position > (total - 1) // 25 * 25""", *_T))
+def paginate_last(spark, d):
+    order = _by_satisfaction(spark, d)
+    return explorer.paginate(order, -(-order.total // 25), 25)
+
+
+@query("paginate_after", sql(f"SELECT ticket_id, csat_satisfaction, row_number() OVER (ORDER BY {_PAGE_KEYS}) AS position FROM tk QUALIFY position BETWEEN 91 AND 130", *_T))
+def paginate_after(spark, d):
+    order = _by_satisfaction(spark, d)
+    return order.after(order.key_at(90), 40)
 
 
 @query("natural_sort_key", sql("SELECT session_id, app, CAST(dense_rank() OVER (ORDER BY app_code) AS INTEGER) AS place FROM ens"))

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import quality
+from ..session import new_folder
 from ..sources import writers
 from ..streaming import incremental, streams
 from ..window import ntz
@@ -20,16 +18,6 @@ from .registry import query
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def new_folder(spark, name):
-    """A fresh folder in the cluster's shared checkpoint folder. Only a local session may do without the setting."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can read")
-        root = tempfile.mkdtemp(prefix="ticketloom-")
-    return f"{root}/ticketloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def _run(frame, spark, name):
     """Runs a stream over what is there and returns the rows it emitted, read back from files."""
     out, marks = new_folder(spark, name), new_folder(spark, f"{name}-state")
@@ -64,15 +52,15 @@ def ticket_state_stream(spark, d):
     return out.groupBy("session_id").agg(last).select("session_id", "l.*")
 
 
-@query("incremental_week_refresh", sql("""SELECT cohort_week, outcome, count(*) AS tickets, CASE WHEN cohort_week <= DATE '2024-01-08' THEN 'old' ELSE 'new' END AS version FROM ses GROUP BY 1, 2"""))
+@query("incremental_week_refresh", sql("""SELECT cohort_week, outcome, count(*) AS tickets, CASE WHEN cohort_week <= DATE '2024-01-08' THEN 'old' ELSE 'new' END AS state FROM ses GROUP BY 1, 2"""))
 def incremental_week_refresh(spark, d):
     path = new_folder(spark, "weeks")
     rows = Fx.sessions(spark, d).groupBy("cohort_week", "outcome").agg(F.count(F.lit(1)).alias("tickets"))
-    incremental.replace_weeks(rows.withColumn("version", F.lit("old")), path)
+    incremental.replace_weeks(rows.withColumn("state", F.lit("old")), path)
     fetched = F.when(F.col("cohort_week") < F.lit("2024-01-29").cast("date"), F.date_add("cohort_week", 7).cast("timestamp_ntz"))
     state = rows.select("cohort_week").distinct().select("cohort_week", fetched.alias("fetched_at")).where("fetched_at is not null")
-    incremental.refresh_weeks(rows.withColumn("version", F.lit("new")), state, path, ntz(Fx.WINDOW.as_of_utc), 14)
-    return spark.read.parquet(path)
+    incremental.refresh_weeks(rows.withColumn("state", F.lit("new")), state, path, ntz(Fx.WINDOW.as_of_utc), 14)
+    return incremental.read_weeks(spark, path)
 
 
 @query("publish_run", sql("SELECT week_definition, cohort_week, total_tickets, 'run-10' AS run_id FROM wk"))

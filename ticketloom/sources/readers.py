@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as Ty
 
 from ..functions import timefns as T
 from ..functions import variants as V
 
 
-def _load(spark: SparkSession, path: str, fmt: str) -> DataFrame:
-    if fmt == "json":
-        return spark.read.option("singleVariantColumn", "payload").json(path)
-    return spark.read.format(fmt).load(path)
+def read_json(spark: SparkSession, path: str) -> DataFrame:
+    """JSON lines as one VARIANT column `payload`."""
+    return spark.read.option("singleVariantColumn", "payload").json(path)
 
 
 def traces_from_json(payload: DataFrame) -> DataFrame:
@@ -37,31 +40,68 @@ def time_slice(rows: DataFrame, start: str, end: str, column: str = "ts") -> Dat
     return rows.where((c >= F.lit(start).cast("timestamp_ntz")) & (c < F.lit(end).cast("timestamp_ntz")))
 
 
-def read_traces(spark: SparkSession, path: str, start: str, end: str, fmt: str = "parquet", day_column: str = "day") -> DataFrame:
-    """Raw traces of a UTC range. A `day` partition column, when there is one, is pruned first."""
-    raw = _load(spark, path, fmt)
-    if fmt == "json":
-        raw = traces_from_json(raw)
-    if day_column in raw.columns:
-        raw = raw.where(F.col(day_column).between(F.lit(start).cast("date"), F.lit(end).cast("date")))
-    if "ts" in raw.columns:
-        return time_slice(raw, start, end)
-    parsed = T.parse_aware_timestamp(F.col("timestamp"))
-    # Unparsable times stay in: they are reject rows, not rows of another period.
-    inside = (parsed >= F.lit(start).cast("timestamp_ntz")) & (parsed < F.lit(end).cast("timestamp_ntz"))
-    return raw.where(parsed.isNull() | inside)
+#: What a table folder says about its own layout; the name is hidden from table scans.
+LAYOUT = "_layout"
+
+
+def _write_laid_out(rows: DataFrame, path: str, parts: list[str]) -> None:
+    """Replaces the partitions present in `rows`; a partition of any size is spread over tasks."""
+    rows.hint("rebalance", *parts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+    plain = [f for f in rows.schema.fields if f.name not in parts]
+    schema = Ty.StructType([*plain, *[rows.schema[p] for p in parts]])
+    mark = rows.sparkSession.createDataFrame([(parts, schema.json())], "parts array<string>, schema string")
+    mark.coalesce(1).write.mode("overwrite").json(f"{path}/{LAYOUT}")
+
+
+def _read_laid_out(spark: SparkSession, path: str, parts: list[str]) -> DataFrame:
+    """The table, if its writer partitioned it by `parts`; any other table would be scanned whole and is refused."""
+    try:
+        mark = spark.read.schema("parts array<string>, schema string").json(f"{path}/{LAYOUT}").first()
+    except AnalysisException:
+        mark = None
+    if mark is None or list(mark["parts"]) != parts:
+        raise ValueError(f"{path} is not partitioned by {', '.join(parts)}")
+    return spark.read.schema(Ty.StructType.fromJson(json.loads(mark["schema"]))).parquet(path)
+
+
+def _timed(rows: DataFrame, column: str) -> DataFrame:
+    """Text times parsed once, when the table is written: `ts`, and its UTC day as the partition."""
+    parsed = rows.withColumn("ts", T.parse_aware_timestamp(F.col(column)))
+    return parsed.withColumn("day", F.col("ts").cast("date"))
+
+
+def _days(start: str, end: str) -> Column:
+    return F.col("day").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
+
+
+def write_traces(raw: DataFrame, path: str) -> None:
+    """Raw traces by UTC day. Those whose time can't be read lie in the null day."""
+    _write_laid_out(_timed(raw, "timestamp"), path, ["day"])
+
+
+def read_traces(spark: SparkSession, path: str, start: str, end: str) -> DataFrame:
+    """Raw traces of a half-open UTC range: only its days are opened, and row groups are cut by time.
+
+    Unreadable times stay in: they are reject rows, not rows of another period.
+    """
+    rows = _read_laid_out(spark, path, ["day"])
+    dated = time_slice(rows.where(_days(start, end)), start, end)
+    return dated.unionByName(rows.where("day is null"))
 
 
 def observations_named(rows: DataFrame, name: str) -> DataFrame:
     return rows.where(F.col("name") == name)
 
 
-def read_observations(spark: SparkSession, path: str, name: str, start: str, end: str, fmt: str = "parquet") -> DataFrame:
-    """Observations of one name; a table partitioned by name reads one partition."""
-    raw = _load(spark, path, fmt)
-    rows = observations_named(observations_from_json(raw) if fmt == "json" else raw, name)
-    parsed = T.parse_aware_timestamp(F.col("startTime"))
-    return rows.where((parsed >= F.lit(start).cast("timestamp_ntz")) & (parsed < F.lit(end).cast("timestamp_ntz")))
+def write_observations(rows: DataFrame, path: str) -> None:
+    """Observations by name and UTC day."""
+    _write_laid_out(_timed(rows, "startTime"), path, ["name", "day"])
+
+
+def read_observations(spark: SparkSession, path: str, name: str, start: str, end: str) -> DataFrame:
+    """Observations of one name in a half-open UTC range: one name's days are opened."""
+    rows = observations_named(_read_laid_out(spark, path, ["name", "day"]), name)
+    return time_slice(rows.where(_days(start, end)), start, end)
 
 
 def traces_by_session(traces: DataFrame, session_id: str) -> DataFrame:
