@@ -476,3 +476,64 @@ def test_letter_probabilities_sum_to_one(spark):
         closing = np.flatnonzero(toxicity.Letters([stem], len(model.levels)).word == 0)[-1]
         total = p[:, after].sum(axis=1) + model.letter_probabilities(toxicity.Letters([stem], len(model.levels)))[:, closing]
         assert total == pytest.approx([1.0, 1.0])
+
+
+# --- substring dedup over many partitions ---------------------------------------------------------
+
+def _windows_by_hand(rows):
+    """(doc, place, last, piece) -> (first doc, first place) of the windows found twice or more, by a dictionary."""
+    held = defaultdict(list)
+    for doc, text in rows:
+        w = substring_dedup.Windows(substring_dedup.Chunks(pa.array([text])))
+        for place, last, digest, packed in zip(w.place.tolist(), w.last.tolist(), w.digest.tolist(), w.packed.tolist()):
+            held[digest, packed >> 35].append((doc, place, last))
+    return Counter((doc, place, last, key[0], *min(found)[:2]) for key, found in held.items() if len(found) > 1 for doc, place, last in found)
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 40])
+def test_repeated_windows_equal_a_dictionary(spark, partitions):
+    """Hot passages that cross partition borders, windows that two neighbouring partitions share, and unique texts."""
+    rnd = random.Random(9)
+    passages = [words(70, s) for s in range(6)]
+    rows = [(i, " ".join(words(30, 1000 + i) + passages[0 if i % 3 else rnd.randrange(6)] + words(30, 5000 + i))) for i in range(90)]
+    rows += [(i, " ".join(words(60, 9000 + i))) for i in range(200, 230)] + [(500, rows[0][1]), (500, rows[1][1]), (7, rows[7][1])]
+    names = {"spark.sql.shuffle.partitions": str(partitions), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for n, v in names.items():
+            spark.conf.set(n, v)
+        got = substring_dedup.repeated_windows(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+        found = Counter((r["doc_id"], r["place"], r["last"], r["piece"], r["first_doc"], r["first_place"]) for r in got.collect())
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+    assert found == _windows_by_hand(rows) and len(found) > 500
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7])
+def test_runs_of_windows_over_batches_and_partitions(size, monkeypatch):
+    """Every way in which short runs can lie over batch and partition borders."""
+    rnd = random.Random(size)
+    pack = lambda check, place: check << 35 | place << 6 | 3
+    for _ in range(60):
+        rows = sorted((rnd.randrange(4), rnd.randrange(2), rnd.randrange(3), place) for place in rnd.sample(range(50), rnd.randint(1, 12)))
+        cuts = sorted(rnd.sample(range(1, len(rows)), min(len(rows) - 1, rnd.randint(0, 3))))
+        closings, out = [], []
+        for part, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(rows)])):
+            monkeypatch.setattr(substring_dedup.TaskContext, "get", classmethod(lambda cls, part=part: type("At", (), {"partitionId": lambda self: part})()))
+            batches = [pa.record_batch([pa.array([r[0] for r in rows[i:min(i + size, b)]], pa.int64()), pa.array([r[2] for r in rows[i:min(i + size, b)]], pa.int64()),
+                                        pa.array([pack(r[1], r[3]) for r in rows[i:min(i + size, b)]], pa.int64())], names=["piece", "doc_id", "packed"]) for i in range(a, b, size)]
+            for made in substring_dedup._repeated(iter(batches)):
+                for r in made.to_pylist():
+                    (closings if r["close"] else out).append({"part": r["part"], **r["close"]} if r["close"] else r)
+        edges = {(part, edge): (doc, place) for part, edge, doc, place in substring_dedup._joined_edges(closings)}
+        got = Counter()
+        for r in out:
+            if r["edge"] == 0 or (r["part"], r["edge"]) in edges:
+                doc, place = (r["first_doc"], r["first_place"]) if r["edge"] == 0 else edges[r["part"], r["edge"]]
+                got[r["piece"], r["doc_id"], r["place"], r["last"], doc, place] += 1
+        groups = defaultdict(list)
+        for piece, check, doc, place in rows:
+            groups[piece, check].append((doc, place))
+        want = Counter((key[0], doc, place, place + 2, *members[0]) for key, members in groups.items() if len(members) > 1 for doc, place in members)
+        assert got == want
