@@ -237,6 +237,36 @@ def test_extract_sections(spark):
         "withdraw/SKILL.md#L2": (None, "Một", "thân", "skill_md"), "withdraw/SKILL.md#L5": (None, "Hai", "xa", "skill_md")}
 
 
+def test_rules_of_a_pattern_are_worked_out_once_and_mapped_back(spark):
+    reads = spark.createDataFrame([("a", "topup", "f1.md", 1), ("b", "topup", "f1.md", 1), ("c", "withdraw", "f1.md", 1), ("c", "topup", "f2.md", 2)], "trace_id string, skill string, filename string, read_order int")
+    tool = "array<struct<tool:string,n:bigint>>"
+    feats = spark.createDataFrame([("a", ["topup"], [("t", 1)]), ("b", ["topup"], [("t", 1)]), ("c", ["withdraw", "topup"], []), ("d", [], [])], f"trace_id string, skills_used array<string>, tools_called {tool}")
+    classes = spark.createDataFrame([("d", "E7", "tool:x", "báo cskh"), ("a", "E1", None, None)], "trace_id string, escalation_class string, deciding_key string, guardrail_reason string")
+    rules = spark.createDataFrame([(s, f, f"{s}/{f}#L{n}", n, "t", "sub_skill", "body T") for s in ("topup", "withdraw") for f in ("f1", "f2") for n in (1, 2, 3)] + [("topup", "SKILL", "topup/SKILL#L1", 1, "t", "skill_md", "x")],
+                                  "skill string, file_label string, anchor string, line int, case_title string, source string, body string")
+    patterns = explain.rule_patterns(reads, feats, classes)
+    assert explain.distinct_patterns(patterns).count() == 3
+    got = {}
+    for r in explain.rule_candidates(reads, feats, rules, classes, cap=4).collect():
+        got.setdefault(r["trace_id"], []).append((r["candidate_order"], r["anchor"], r["dropped"]))
+    assert sorted(got["a"]) == sorted(got["b"]) == [(1, "topup/f1#L1", 0), (2, "topup/f1#L2", 0), (3, "topup/f1#L3", 0), (4, "topup/SKILL#L1", 0)]
+    assert sorted(got["c"]) == [(1, "withdraw/f1#L1", 3), (2, "withdraw/f1#L2", 3), (3, "withdraw/f1#L3", 3), (4, "topup/f2#L1", 3)]
+    assert got["d"] == [(1, "tool:x", 0)]
+    ranked = {(r["trace_id"], r["rank"]): (r["anchor"], r["score"], r["beyond"]) for r in explain.ranked_rules(reads, feats, rules, classes, limit=2).collect()}
+    assert ranked["a", 1] == ranked["b", 1] == ("topup/f1#L1", 130, 2) and ranked["d", 1] == ("tool:x", 10, 0) and ranked["c", 1] == ("withdraw/f1#L1", 100, 5)
+
+
+def test_privacy_scan_walks_everything(spark):
+    from ticketloom.operators import quality
+
+    rows = spark.createDataFrame([(1, "ok", [{"a": "gọi 0901 234-567"}], {"0901234567": "v"}, '{"x": [{"UserID": 5, "y": "٠٩٠١٢٣٤٥٦٧"}]}'), (2, None, [], {}, "null"),
+                                  (3, "0901​234567", [{"a": None}], {"k": "6ba7b811-9dad-11d1-80b4-00c04fd430c8"}, '{"z": 901234567}'), (4, "𝟎𝟗𝟎𝟏𝟐𝟑𝟒𝟓𝟔𝟕 full width", [], None, '[["０９０１２３４５６７"]]')],
+                                 "id int, t string, l array<map<string,string>>, m map<string,string>, j string").select("id", "t", "l", "m", F.parse_json("j").alias("j"))
+    got = {(r["id"], r["path"], r["problem"]) for r in quality.pii_scan(rows, "id").collect()}
+    assert got == {(1, "l[].a", "identifying_value"), (1, "m.0901234567", "identifying_key"), (1, "j.x[].UserID", "denied_key"), (1, "j.x[].y", "identifying_value"), (3, "t", "identifying_value"),
+                   (3, "m.k", "identifying_value"), (4, "t", "identifying_value"), (4, "j[][]", "identifying_value")}
+
+
 def test_ground_check(spark):
     rows = [("Hoàn 1.500 đ", "có 1500", "cao"), ("Hoàn 1.500 đ", "có 150", "cao"), ("mã 123456", "123456", "cao"), ("theo rule", "", "cao"), ("theo ruler", "", "thap"), (" ", "", "cao"), ("ok", "", "x")]
     df = spark.createDataFrame(rows, "conclusion string, evidence string, confidence string")

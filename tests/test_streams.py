@@ -129,6 +129,23 @@ def test_publish_run_refuses_raw_payloads(spark, tmp_path):
         writers.publish_run(good.select(F.struct(F.col("label").alias("response")).alias("s")), root, "run-3")
 
 
+def test_broken_rows_and_failed_checks_refuse_a_run(spark, tmp_path):
+    from ticketloom.operators import quality
+
+    root = str(tmp_path / "runs")
+    good = spark.createDataFrame([(1, "x"), (2, "y")], "n int, label string")
+    rules = {"n_positive": F.col("n") <= 0, "label_filled": F.col("label") == ""}
+    total = lambda rows: rows.agg(F.sum("n").alias("s")).select(F.explode(F.array(quality.check_row("adds_up", F.lit("all"), F.lit(3), F.col("s")))).alias("c")).select("c.*")
+    writers.publish_run(good, root, "run-1", rules=rules, checks=total)
+    for bad, what in ((good.withColumn("n", F.col("n") - 1), "n_positive"), (good.withColumn("label", F.lit("")), "label_filled"), (good.withColumn("n", F.col("n") + 1), "adds_up")):
+        for run in ("run-1", "run-2"):
+            with pytest.raises(quality.CheckFailed, match=what):
+                writers.publish_run(bad, root, run, rules=rules, checks=total)
+    # neither the refused rerun nor the refused new run left anything behind
+    assert sorted((r["run_id"], r["n"]) for r in spark.read.parquet(root).collect()) == [("run-1", 1), ("run-1", 2)]
+    assert [r["run_id"] for r in writers.latest_run(spark, root).select("run_id").distinct().collect()] == ["run-1"]
+
+
 def test_json_traces_are_read_strictly(spark, tmp_path):
     from ticketloom.operators import ingest
     from ticketloom.sources import readers

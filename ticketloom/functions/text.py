@@ -154,13 +154,23 @@ def has_phone_digits(text: Column) -> Column:
     return F.regexp_replace(nfkc(text), r"(?U)\D+", "").rlike(r"(?:0|84)[0-9]{8,10}")
 
 
+#: The decimal digits of every script, and the same digits in ASCII.
+_DIGITS = "".join(c for c in map(chr, range(128, 0x110000)) if unicodedata.category(c) == "Nd")
+_ASCII_DIGITS = "".join(str(unicodedata.decimal(c)) for c in _DIGITS)
+
+
+def fold_digits(text: Column) -> Column:
+    """Decimal digits of all scripts as ASCII digits; texts without such digits are left alone."""
+    return let(text, lambda t: F.when(t.rlike(r"[\p{Nd}&&[^0-9]]"), F.translate(t, _DIGITS, _ASCII_DIGITS)).otherwise(t))
+
+
 def has_private_identifier(text: Column) -> Column:
     uuid = r"(?i)(?<![0-9a-f])[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}(?![0-9a-f])"
 
     def found(plain: Column) -> Column:
         return F.regexp_replace(plain, r"(?U)\D+", "").rlike(r"(?:0|84)[0-9]{8,10}") | plain.rlike(uuid)
 
-    return F.coalesce(let(F.regexp_replace(nfkc(text), r"[\p{Cf}\p{M}]+", ""), found), F.lit(False))
+    return F.coalesce(let(fold_digits(F.regexp_replace(nfkc(text), r"[\p{Cf}\p{M}]+", "")), found), F.lit(False))
 
 
 def looks_like_person(name: Column, extra_tokens: tuple[str, ...] = ()) -> Column:

@@ -322,18 +322,17 @@ def ticket_facts(first_traces: DataFrame) -> DataFrame:
 
     def fact(name: str) -> Column:
         raw = title if name == "title" else F.try_variant_get(payload, V.path_of("other_info", "meta", name), "string")
-        value = X.strip(raw)
-        present = F.coalesce(value != "", F.lit(False))
-        shown = X.mask_digit_runs(value) if name in K.MASKED_FIELDS else value
-        if name in K.PRESENCE_FIELDS:
-            shown = F.lit(None).cast("string")
-        return F.struct(F.lit(name).alias("label"), F.when(present, shown).alias("value"), present.alias("present"))
-
-    default = F.array(*[fact(n) for n in (*K.DEFAULT_FIELDS, "title")])
-    chosen = default
+        shown = lambda value: F.lit(None).cast("string") if name in K.PRESENCE_FIELDS else X.mask_digit_runs(value) if name in K.MASKED_FIELDS else value
+        return X.let(X.strip(raw), lambda value: F.named_struct(F.lit("value"), F.when(value != "", shown(value)), F.lit("present"), F.coalesce(value != "", F.lit(False))))
+
+    # every field once, and the names that the ticket's skill shows
+    names = list(dict.fromkeys(n for fields in (K.DEFAULT_FIELDS, *K.SKILL_FIELDS.values()) for n in (*fields, "title")))
+    chosen = F.lit([*K.DEFAULT_FIELDS, "title"])
     for name, fields in K.SKILL_FIELDS.items():
-        chosen = F.when(skill == name, F.array(*[fact(n) for n in (*fields, "title")])).otherwise(chosen)
-    return first_traces.select("session_id", F.posexplode(chosen).alias("position", "f")).select("session_id", "position", "f.*")
+        chosen = F.when(skill == name, F.lit([*fields, "title"])).otherwise(chosen)
+    facts = F.map_from_arrays(F.lit(names), F.array(*[fact(n) for n in names]))
+    rows = first_traces.select("session_id", facts.alias("__facts"), F.posexplode(chosen).alias("position", "label"))
+    return rows.select("session_id", "position", "label", F.try_element_at("__facts", F.col("label")).alias("f")).select("session_id", "position", "label", "f.*")
 
 
 # ---- rule documents -----------------------------------------------------------------------
@@ -371,45 +370,82 @@ def extract_sections(documents: DataFrame) -> DataFrame:
         (F.col("e.h.i") + 1).alias("line"))
 
 
-def rule_candidates(reads: DataFrame, features: DataFrame, rules: DataFrame, classes: DataFrame) -> DataFrame:
-    """Sections a trace could have followed: those of the files it read, the main documents of the
-    skills it used, and the tool message of class E7. The first forty are the result by definition.
+def _stored_skill(skill: Column) -> Column:
+    alias = F.create_map(*[F.lit(x) for kv in K.SKILL_ALIASES.items() for x in kv])
+    return F.coalesce(F.try_element_at(alias, skill), skill)
+
+
+def rule_patterns(reads: DataFrame, features: DataFrame, classes: DataFrame) -> DataFrame:
+    """Per trace what decides its rules: files read and skills used, in order, tools called, and the
+    message of a tool that gave up (class E7). Traces with equal columns share a pattern_id."""
+    files = reads.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct(
+        F.col("read_order").alias("o"), _stored_skill(F.col("skill")).alias("skill"), F.regexp_replace("filename", r"\.[^.]*$", "").alias("file_label")))).alias("files"))
+    gave_up = classes.where("escalation_class = 'E7' and guardrail_reason is not null").select("trace_id", F.struct(F.col("deciding_key").alias("key"), F.col("guardrail_reason").alias("message")).alias("gave_up"))
+    rows = features.select("trace_id", F.transform("skills_used", _stored_skill).alias("skills"), F.get("skills_used", F.lit(0)).alias("first_skill"), "tools_called")
+    rows = rows.join(files, "trace_id", "left").join(gave_up, "trace_id", "left")
+    parts = ["files", "skills", "first_skill", "tools_called", "gave_up"]
+    return rows.withColumn("pattern_id", F.sha2(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}), 256))
+
+
+def distinct_patterns(patterns: DataFrame) -> DataFrame:
+    """One row per pattern: many fewer than traces, since traces of a skill read the same files."""
+    names = [c for c in patterns.columns if c not in ("trace_id", "pattern_id")]
+    return patterns.groupBy("pattern_id").agg(F.first(F.struct(*names)).alias("p")).select("pattern_id", "p.*")
+
 
-    No trace can use more than the first forty sections of a file, so the rule table is cut to
-    those before the join; section texts stay in the rule table.
+def pattern_candidates(patterns: DataFrame, rules: DataFrame, cap: int = K.CANDIDATE_LIMIT) -> DataFrame:
+    """Sections a pattern could have followed: those of the files read, the main documents of the skills
+    used, and the message of the tool that gave up. The first `cap` are kept, `dropped` says how many more there are.
+
+    No pattern can use more than the first `cap` sections of a file, so the rule table is cut to those
+    before the join, with the number of all of them; section texts stay in the rule table.
     """
-    alias = F.create_map(*[F.lit(x) for kv in K.SKILL_ALIASES.items() for x in kv])
-    stored = lambda c: F.coalesce(F.try_element_at(alias, c), c)
     sections = rules.select(F.col("skill").alias("__skill"), "file_label", "anchor", "line", "case_title", "source")
 
     def leading(source: str, keys: list[str], order: list[str]) -> DataFrame:
-        ranked = sections.where(F.col("source") == source).withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
-        return ranked.where(F.col("__n") <= K.CANDIDATE_LIMIT).drop("__n")
+        own = sections.where(F.col("source") == source)
+        ranked = own.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("__n") <= cap)
+        return ranked.drop("__n").join(own.groupBy(*keys).agg(F.count(F.lit(1)).alias("__all")), keys)
 
-    read = reads.select("trace_id", stored(F.col("skill")).alias("__skill"), F.regexp_replace("filename", r"\.[^.]*$", "").alias("file_label"), F.col("read_order").alias("o"))
+    read = patterns.select("pattern_id", F.posexplode("files").alias("o", "f")).select("pattern_id", "o", F.col("f.skill").alias("__skill"), "f.file_label")
     part1 = read.join(leading("sub_skill", ["__skill", "file_label"], ["line", "anchor"]), ["__skill", "file_label"]).withColumn("part", F.lit(1))
-    used = features.select("trace_id", F.posexplode("skills_used").alias("o", "__used")).withColumn("__skill", stored(F.col("__used"))).drop("__used")
+    used = patterns.select("pattern_id", F.posexplode("skills").alias("o", "__skill"))
     part2 = used.join(leading("skill_md", ["__skill"], ["file_label", "line", "anchor"]), ["__skill"]).withColumn("part", F.lit(2))
-    gave_up = classes.where("escalation_class = 'E7' and guardrail_reason is not null").join(features.select("trace_id", "skills_used"), "trace_id")
-    part3 = gave_up.select(
-        "trace_id", F.coalesce(F.get("skills_used", F.lit(0)), F.lit("khong_xac_dinh")).alias("__skill"), F.col("deciding_key").alias("file_label"),
-        F.lit(0).alias("o"), F.col("deciding_key").alias("anchor"), F.lit(0).alias("line"), F.lit("Công cụ báo lỗi và yêu cầu chuyển CSKH").alias("case_title"),
-        F.lit("tool_message").alias("source"), F.lit(3).alias("part"), F.col("guardrail_reason").alias("message"))
-    names = ["trace_id", "__skill", "file_label", "o", "anchor", "line", "case_title", "source", "part"]
+    key = F.col("gave_up.key")
+    part3 = patterns.where("gave_up is not null").select(
+        "pattern_id", F.coalesce("first_skill", F.lit("khong_xac_dinh")).alias("__skill"), key.alias("file_label"), F.lit(0).alias("o"), key.alias("anchor"), F.lit(0).alias("line"),
+        F.lit("Công cụ báo lỗi và yêu cầu chuyển CSKH").alias("case_title"), F.lit("tool_message").alias("source"), F.lit(3).alias("part"), F.lit(1).cast("bigint").alias("__all"), F.col("gave_up.message").alias("message"))
+    names = ["pattern_id", "__skill", "file_label", "o", "anchor", "line", "case_title", "source", "part", "__all"]
     none = F.lit(None).cast("string").alias("message")
     rows = part1.select(*names, none).unionByName(part2.select(*names, none)).unionByName(part3.select(*names, "message"))
-    order = W.partitionBy("trace_id").orderBy("part", "o", "file_label", "line", "anchor")
-    ranked = rows.withColumn("candidate_order", F.row_number().over(order)).where(F.col("candidate_order") <= K.CANDIDATE_LIMIT)
-    return ranked.withColumnRenamed("__skill", "skill").drop("o", "part")
+    # every source of sections counts all of its own once
+    total = rows.groupBy("pattern_id", "part", "o").agg(F.max("__all").alias("n")).groupBy("pattern_id").agg(F.sum("n").alias("__total"))
+    order = W.partitionBy("pattern_id").orderBy("part", "o", "file_label", "line", "anchor")
+    ranked = rows.withColumn("candidate_order", F.row_number().over(order)).where(F.col("candidate_order") <= cap)
+    return ranked.join(total, "pattern_id").withColumn("dropped", F.greatest(F.col("__total") - cap, F.lit(0))).withColumnRenamed("__skill", "skill").drop("o", "part", "__all", "__total")
+
+
+def rule_candidates(reads: DataFrame, features: DataFrame, rules: DataFrame, classes: DataFrame, cap: int = K.CANDIDATE_LIMIT) -> DataFrame:
+    """Candidates of every trace: those of its pattern, worked out once per pattern."""
+    patterns = rule_patterns(reads, features, classes)
+    return patterns.select("trace_id", "pattern_id").join(pattern_candidates(distinct_patterns(patterns), rules, cap), "pattern_id").drop("pattern_id")
+
+
+def ranked_rules(reads: DataFrame, features: DataFrame, rules: DataFrame, classes: DataFrame, cap: int = K.CANDIDATE_LIMIT, limit: int = K.RANK_LIMIT) -> DataFrame:
+    """Best candidates of every trace, scored and ranked once per pattern."""
+    patterns = rule_patterns(reads, features, classes)
+    distinct = distinct_patterns(patterns)
+    ranked = rank_candidates(pattern_candidates(distinct, rules, cap), distinct, rules, limit=limit, key="pattern_id")
+    return patterns.select("trace_id", "pattern_id").join(ranked, "pattern_id").drop("pattern_id")
 
 
-def rank_candidates(candidates: DataFrame, features: DataFrame, rules: DataFrame, known: DataFrame | None = None, limit: int = K.RANK_LIMIT) -> DataFrame:
-    """Best eight per trace by score; equal scores keep their order.
+def rank_candidates(candidates: DataFrame, features: DataFrame, rules: DataFrame, known: DataFrame | None = None, limit: int = K.RANK_LIMIT, key: str = "trace_id") -> DataFrame:
+    """Best `limit` per trace (or pattern: `key`) by score; equal scores keep their order; `beyond` counts the rest.
 
     Texts are scored once per distinct (section, tools called), not once per candidate. Values
     known of a ticket, when given, are looked up per candidate.
     """
-    rows = candidates.join(features.select("trace_id", "tools_called"), "trace_id", "left")
+    rows = candidates.join(features.select(key, "tools_called"), key, "left")
     distinct = rows.select("anchor", "source", "message", "tools_called").distinct()
     texts = rules.select("anchor", F.lower("body").alias("__body"))
     scored = distinct.join(texts, "anchor", "left").withColumn("__body", F.coalesce("__body", F.lower("message"), F.lit("")))
@@ -422,12 +458,13 @@ def rank_candidates(candidates: DataFrame, features: DataFrame, rules: DataFrame
     scored = scored.select(*keys, F.coalesce("message", F.lit("")).alias("__m"), score.alias("score"))
     rows = rows.withColumn("__m", F.coalesce("message", F.lit(""))).join(scored, [*keys, "__m"])
     if known is not None:
-        rows = rows.join(known.select("trace_id", "known_values"), "trace_id", "left").join(texts, "anchor", "left")
+        rows = rows.join(known.select(key, "known_values"), key, "left").join(texts, "anchor", "left")
         body = F.coalesce("__body", F.lower("message"), F.lit(""))
         hits = F.filter(F.coalesce("known_values", F.array().cast("array<string>")), lambda v: (v != "") & F.contains(body, F.lower(v)))
         rows = rows.withColumn("score", F.col("score") + F.size(hits) * 20).drop("known_values", "__body")
-    order = W.partitionBy("trace_id").orderBy(F.desc("score"), "candidate_order")
-    ranked = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    order = W.partitionBy(key).orderBy(F.desc("score"), "candidate_order")
+    beyond = F.greatest(F.count(F.lit(1)).over(W.partitionBy(key)) - limit, F.lit(0))  # candidates are capped per key
+    ranked = rows.withColumns({"rank": F.row_number().over(order), "beyond": beyond}).where(F.col("rank") <= limit)
     return ranked.drop("tools_called", "__m")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -77,36 +78,37 @@ def data_quality_score(coverage: DataFrame, gate: DataFrame, fresh: Column) -> D
 # ---- profiles of JSON payloads ------------------------------------------------------------
 
 
-def _deepest(schema: str) -> int:
-    """Nesting of a variant schema; quoted field names can only add to it."""
-    depth = most = 0
-    for c in schema:
-        depth += (c == "<") - (c == ">" and depth > 0)
-        most = max(most, depth)
-    return most
+def _nesting(payload: Column) -> Column:
+    """How many objects and arrays lie inside each other, from the payload's JSON without its strings."""
+    plain = F.regexp_replace(F.to_json(payload), r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
+    brackets = F.split(F.regexp_replace(plain, r"[^\[\]{}]", ""), "")
+    step = lambda a, c: F.when(c.isin("[", "{"), a["now"] + 1).when(c.isin("]", "}"), a["now"] - 1).otherwise(a["now"])
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    return F.aggregate(brackets, start, lambda a, c: F.struct(step(a, c).alias("now"), F.greatest(a["most"], step(a, c)).alias("most")), lambda a: a["most"])
 
 
-def _levels(rows: DataFrame, column: str) -> DataFrame:
-    """(path, value) of every node at any depth; arrays are one path with [].
+def _levels(rows: DataFrame, column: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(*keep, path, name, value) of every node at any depth; arrays are one path with [], and items have no name.
 
-    One aggregate finds how deep the payloads go. One scan then unfolds a level per step: a node
-    passes on itself, marked as done, and its children.
+    One aggregate finds how deep the payloads go (their joint schema can't say, where types differ).
+    One scan then unfolds a level per step: a node passes on itself, marked as done, and its children.
     """
-    schema = rows.agg(F.schema_of_variant_agg(column).alias("s")).first()["s"]
-    nodes = rows.select(F.lit("").alias("path"), F.col(column).alias("value"), F.lit(False).alias("done"))
-    for _ in range(_deepest(schema or "")):
+    depth = rows.agg(F.max(_nesting(F.col(column))).alias("n")).first()["n"]
+    none = F.lit(None).cast("string")
+    nodes = rows.select(*keep, F.lit("").alias("path"), none.alias("name"), F.col(column).alias("value"), F.lit(False).alias("done"))
+    for _ in range(depth or 0):
         kind = F.schema_of_variant("value")
         pairs = F.when(kind.startswith("OBJECT"), F.map_entries(F.try_variant_get("value", "$", "map<string,variant>")))
-        items = F.when(kind.startswith("ARRAY"), F.transform(F.try_variant_get("value", "$", "array<variant>"), lambda v: F.struct(F.lit("[]").alias("key"), v.alias("value"))))
+        items = F.when(kind.startswith("ARRAY"), F.transform(F.try_variant_get("value", "$", "array<variant>"), lambda v: F.struct(none.alias("key"), v.alias("value"))))
 
         def child(e):
-            path = F.when(e["key"] == "[]", F.concat("path", F.lit("[]"))).otherwise(F.concat_ws(".", F.nullif("path", F.lit("")), e["key"]))
-            return F.struct(path.alias("path"), e["value"].alias("value"), F.lit(False).alias("done"))
+            path = F.when(e["key"].isNull(), F.concat("path", F.lit("[]"))).otherwise(F.concat_ws(".", F.nullif("path", F.lit("")), e["key"]))
+            return F.struct(path.alias("path"), e["key"].alias("name"), e["value"].alias("value"), F.lit(False).alias("done"))
 
-        own = F.array(F.struct("path", "value", F.lit(True).alias("done")))
+        own = F.array(F.struct("path", "name", "value", F.lit(True).alias("done")))
         children = F.when(~F.col("done"), F.transform(F.coalesce(pairs, items), child))
-        nodes = nodes.select(F.inline(F.when(children.isNull(), own).otherwise(F.concat(own, children))))
-    return nodes.select("path", "value")
+        nodes = nodes.select(*keep, F.inline(F.when(children.isNull(), own).otherwise(F.concat(own, children))))
+    return nodes.drop("done")
 
 
 def payload_shape_profile(rows: DataFrame, column: str) -> DataFrame:
@@ -149,11 +151,22 @@ def denied_columns(schema, extra: tuple[str, ...] = (), prefix: str = "") -> lis
     return found
 
 
-def pii_scan(rows: DataFrame, key: str) -> DataFrame:
-    """(key, column) of every text value that holds a phone- or uuid-shaped identifier."""
-    names = [f.name for f in rows.schema.fields if f.dataType.typeName() == "string" and f.name != key]
-    items = F.array(*[F.struct(F.lit(n).alias("column"), X.has_private_identifier(F.col(n)).alias("hit")) for n in names])
-    return rows.select(key, F.explode(items).alias("x")).where("x.hit").select(key, "x.column")
+def pii_scan(rows: DataFrame, key: str, denied: tuple[str, ...] = K.DENIED_KEYS) -> DataFrame:
+    """(key, path, problem) of whatever a published row must not hold, at any depth of any column.
+
+    Structs, arrays, maps and VARIANT payloads are walked alike. Problems: denied_key (a field with a
+    name on the list), identifying_key and identifying_value (a phone- or uuid-shaped text, in the
+    digits of any script, whatever stands between them).
+    """
+    nested = [F.to_variant_object(F.col(f.name)).alias(f.name) if f.dataType.typeName() in ("struct", "array", "map") else F.col(f.name) for f in rows.schema.fields if f.name != key]
+    held = rows.select(key, F.to_variant_object(F.struct(*nested)).alias("__row"))
+    nodes = _levels(held, "__row", (key,)).where("path <> ''")
+    text = F.when(F.schema_of_variant("value") == "STRING", F.try_variant_get("value", "$", "string"))
+    name = X.nfc(F.col("name"))
+    problems = F.array_compact(F.array(
+        F.when(F.coalesce(name.isin(*denied), F.lit(False)), F.lit("denied_key")), F.when(X.has_private_identifier(name), F.lit("identifying_key")),
+        F.when(X.has_private_identifier(text), F.lit("identifying_value"))))
+    return nodes.select(key, "path", F.explode(problems).alias("problem")).distinct()
 
 
 # ---- reconciliation checks ----------------------------------------------------------------
@@ -197,23 +210,50 @@ def weekly_checks(weekly: DataFrame, sessions: DataFrame) -> DataFrame:
         check_row("reopen_recount", scope, F.coalesce("__r", F.lit(0)), F.col("reopen_lifetime_numerator"))]))
 
 
+def session_rules(columns: list[str]) -> dict[str, Column]:
+    """Row rules of the ticket facts: name and what a broken row looks like."""
+    local_day = F.convert_timezone(F.lit("UTC"), F.lit(K.TIMEZONE), F.col("turn0_ts")).cast("date")
+    rules = {
+        "weekend_flag": F.col("is_weekend_start") != (F.weekday(local_day) >= 5),
+        "in_reporting_range": ~F.col("cohort_status").isin("complete", "wtd"),
+        "transfer_set": F.col("transferred") != F.col("first_transfer_trace_id").isNotNull(),
+    }
+    if "guardrail_rule" in columns:
+        single = F.when(F.size("guardrail_rules") == 1, F.get("guardrail_rules", F.lit(0)))
+        rules["rule_scalar"] = ~F.col("guardrail_rule").eqNullSafe(single)
+    return rules
+
+
+def ticket_rules() -> dict[str, Column]:
+    """Row contract of the public ticket list."""
+    return {
+        "ticket_id_safe": F.col("ticket_id").isNull() | ~X.is_safe_ticket_id(F.col("ticket_id")),
+        "outcome_known": ~F.col("outcome").isin(*K.OUTCOMES),
+        "gt4_follows_turns": F.col("gt4_turn") != (F.col("turn_count") > 3),
+        "week_is_monday": F.weekday("cohort_week") != 0,
+        "reason_with_transfer": F.col("transferred") != F.col("transfer_reason").isNotNull(),
+        "reopen_with_ai_first": F.col("reopen_lifetime").isNotNull() != F.col("ai_first"),
+    }
+
+
+def broken_counts(rules: dict[str, Column]) -> list[Column]:
+    """One count of broken rows per rule, for an aggregate or for `DataFrame.observe`; null is not broken."""
+    return [F.count_if(F.coalesce(broken, F.lit(False))).alias(name) for name, broken in rules.items()]
+
+
+def rule_checks(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """All row rules in one pass over the rows."""
+    return _explode(rows.agg(*broken_counts(rules)), [check_row(name, F.lit("all"), F.lit(0), F.col(name)) for name in rules])
+
+
 def session_checks(sessions: DataFrame, selection: DataFrame | None = None) -> DataFrame:
     """Ticket grain, flags and group membership."""
     again = sessions.groupBy("session_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    weekend = sessions.where(F.col("is_weekend_start") != (F.weekday(F.convert_timezone(F.lit("UTC"), F.lit(K.TIMEZONE), F.col("turn0_ts")).cast("date")) >= 5))
-    outside = sessions.where(~F.col("cohort_status").isin("complete", "wtd"))
-    transfer = sessions.where(F.col("transferred") != F.col("first_transfer_trace_id").isNotNull())
-    parts = [_violations("session_unique", again), _violations("weekend_flag", weekend), _violations("in_reporting_range", outside), _violations("transfer_set", transfer)]
-    if "guardrail_rule" in sessions.columns:
-        single = F.when(F.size("guardrail_rules") == 1, F.get("guardrail_rules", F.lit(0)))
-        parts.append(_violations("rule_scalar", sessions.where(~F.col("guardrail_rule").eqNullSafe(single))))
+    out = rule_checks(sessions, session_rules(sessions.columns)).unionByName(_violations("session_unique", again))
     if selection is not None:
-        parts.append(_violations("groups_disjoint", disjoint_groups(selection)))
-        eligible = selection.where("selection_group = 'eligible'").select("session_id")
-        parts.append(_violations("eligible_is_analyzed", eligible.join(sessions, "session_id", "left_anti").unionByName(sessions.select("session_id").join(eligible, "session_id", "left_anti"))))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        eligible = selection.where("selection_group = 'eligible'").select("session_id", F.lit(True).alias("__selected"))
+        both = eligible.join(sessions.select("session_id", F.lit(True).alias("__analyzed")), "session_id", "full_outer").where("__selected is null or __analyzed is null")
+        out = out.unionByName(_violations("groups_disjoint", disjoint_groups(selection))).unionByName(_violations("eligible_is_analyzed", both))
     return out
 
 
@@ -256,14 +296,24 @@ def transfer_checks(triggers: DataFrame, flags: DataFrame, guardrails: DataFrame
     joined = f.join(t, ["week_definition", "w"], "left").join(g, ["week_definition", "w"], "left")
     scope = F.concat_ws("/", "week_definition", F.when(F.col("w") == F.lit("1900-01-01").cast("date"), "all").otherwise(F.col("w").cast("string")))
     den = F.col("observed_transfer_denominator")
-    return _explode(joined, [
+    grain = ["reason", "rule", "source", "stage", "skill"]
+    again = triggers.groupBy("week_definition", "cohort_week", *grain).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    whole = lambda c: F.coalesce(F.sum(F.when(F.col("cohort_week").isNull(), F.col(c))), F.lit(0))
+    weeks = lambda c: F.coalesce(F.sum(F.when(F.col("cohort_week").isNotNull(), F.col(c))), F.lit(0))
+    rolled = triggers.groupBy("week_definition", *grain).agg(whole("count").alias("t"), weeks("count").alias("w"))
+    ruled = guardrails.groupBy("week_definition", "rule").agg(whole("count").alias("t"), weeks("count").alias("w"))
+    names = F.concat_ws("/", "week_definition", *[F.coalesce(F.col(g), F.lit("-")) for g in grain])
+    rest = _explode(rolled, [check_row("trigger_weeks_add_up", names, F.col("t"), F.col("w"))]).unionByName(
+        _explode(ruled, [check_row("rule_weeks_add_up", F.concat_ws("/", "week_definition", "rule"), F.col("t"), F.col("w"))])).unionByName(_violations("trigger_grain", again))
+    return rest.unionByName(_explode(joined, [
         check_row("triggers_partition", scope, den, F.coalesce("n", F.lit(0))),
         check_row("rules_within_total", scope, F.lit(1), (F.coalesce("top", F.lit(0)) <= den).cast("int")),
-        check_row("flags_within_total", scope, F.lit(1), (F.greatest("step_result_missing", "escalation_guard_blocked") <= den).cast("int"))])
+        check_row("flags_within_total", scope, F.lit(1), (F.greatest("step_result_missing", "escalation_guard_blocked") <= den).cast("int"))]))
 
 
-def csat_checks(weekly: DataFrame, feedback: DataFrame) -> DataFrame:
-    """Buckets close, outcomes add up to the total, comment numbers run from 1 to n."""
+def csat_checks(weekly: DataFrame, feedback: DataFrame, matched: DataFrame) -> DataFrame:
+    """Buckets close, outcomes add up to the total; comments are numbered within the answers of their
+    ticket, each number once, and only the last answer is marked as the latest."""
     scope = F.concat_ws("/", "week_definition", F.col("cohort_week").cast("string"), "grain", "dimension", "value")
     own = _explode(weekly, [check_row("buckets_close", scope, F.col("ticket_count"), F.col("positive") + F.col("neutral") + F.col("negative"))])
     parts = weekly.groupBy("week_definition", "cohort_week", "grain").agg(
@@ -271,9 +321,14 @@ def csat_checks(weekly: DataFrame, feedback: DataFrame) -> DataFrame:
         *[F.sum(F.when(F.col("dimension") == d, F.col("ticket_count"))).alias(d) for d in ("outcome", "skill", "issue_category")])
     closed = _explode(parts, [check_row(f"{d}_closes", F.concat_ws("/", "week_definition", F.col("cohort_week").cast("string"), "grain"), F.col("all"), F.col(d)) for d in (
         "outcome", "skill", "issue_category")])
-    numbering = feedback.where((F.col("response_number") < 1) | (F.col("response_number") > F.col("response_total")) | (
-        F.col("is_latest_for_ticket") != (F.col("response_number") == F.col("response_total"))))
-    return own.unionByName(closed).unionByName(_violations("feedback_numbering", numbering))
+    numbering = rule_checks(feedback, {
+        "feedback_in_range": (F.col("response_number") < 1) | (F.col("response_number") > F.col("response_total")),
+        "feedback_latest": F.col("is_latest_for_ticket") != (F.col("response_number") == F.col("response_total"))})
+    again = feedback.groupBy("ticket_id", "response_number").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    answers = matched.groupBy("ticket_id").agg(F.count(F.lit(1)).alias("n"))
+    shown = feedback.groupBy("ticket_id").agg(F.min("response_total").alias("low"), F.max("response_total").alias("high"))
+    wrong = shown.join(answers, "ticket_id", "left").where("n is null or low <> n or high <> n")
+    return own.unionByName(closed).unionByName(numbering).unionByName(_violations("feedback_numbered_once", again)).unionByName(_violations("feedback_total_recount", wrong))
 
 
 def coverage_checks(entry: DataFrame, reconciliation: DataFrame) -> DataFrame:
@@ -288,15 +343,23 @@ def coverage_checks(entry: DataFrame, reconciliation: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
-def period_checks(period: DataFrame, weekly: DataFrame) -> DataFrame:
-    """Same-period rows stay inside their whole week and their rates are divisions."""
+def period_checks(period: DataFrame, weekly: DataFrame, sliced: DataFrame) -> DataFrame:
+    """Same-period rows stay inside their whole week, their rates are divisions, and the baseline is the
+    mean of the same days of up to four earlier complete weeks (`sliced`: every week cut to those days)."""
     whole = weekly.select("week_definition", "cohort_week", F.col("total_tickets").alias("__n"))
-    joined = period.join(whole, ["week_definition", "cohort_week"], "left")
+    past = sliced.where("cohort_status = 'complete' and total_tickets > 0").withColumn("__nth", F.row_number().over(W.partitionBy("week_definition").orderBy(F.desc("cohort_week")))).where("__nth <= 4")
+    means = past.groupBy("week_definition").agg(F.count(F.lit(1)).alias("__weeks"), F.avg("ai_first_rate").alias("__ai"), F.avg("reopen_lifetime_rate").alias("__reopen"))
+    joined = period.join(whole, ["week_definition", "cohort_week"], "left").join(means, "week_definition", "left")
     scope = F.concat_ws("/", "week_definition", F.col("cohort_week").cast("string"))
+    close = lambda a, b: (F.abs(F.coalesce(F.col(a), F.lit(-1.0)) - F.coalesce(F.col(b), F.lit(-1.0))) < 1e-9).cast("int")
     return _explode(joined, [
         check_row("within_whole_week", scope, F.lit(1), (F.col("total_tickets") <= F.col("__n")).cast("int")),
         check_row("ai_rate_is_division", scope, F.coalesce(F.try_divide("ai_first_count", "total_tickets"), F.lit(0.0)), F.col("ai_first_rate")),
-        check_row("baseline_weeks", scope, F.lit(1), F.col("weeks_used").between(2, 4).cast("int"))])
+        check_row("reopen_rate_is_division", scope, F.try_divide("reopen_lifetime_numerator", "reopen_lifetime_denominator"), F.col("reopen_lifetime_rate")),
+        check_row("baseline_weeks", scope, F.lit(1), F.col("weeks_used").between(2, 4).cast("int")),
+        check_row("baseline_weeks_recount", scope, F.col("__weeks"), F.col("weeks_used")),
+        check_row("baseline_ai_recount", scope, F.lit(1), close("__ai", "baseline_ai_first_rate")),
+        check_row("baseline_reopen_recount", scope, F.lit(1), close("__reopen", "baseline_reopen_lifetime_rate"))])
 
 
 def reason_checks(coverage: DataFrame) -> DataFrame:
@@ -309,14 +372,21 @@ def reason_checks(coverage: DataFrame) -> DataFrame:
 
 def ticket_checks(tickets: DataFrame) -> DataFrame:
     """Row contract of the public list, and the intent frequency once more."""
-    bad = F.col("ticket_id").isNull() | ~X.is_safe_ticket_id(F.col("ticket_id")) | ~F.col("outcome").isin(*K.OUTCOMES) | (F.col("gt4_turn") != (F.col("turn_count") > 3)) | (
-        F.weekday("cohort_week") != 0) | (F.col("transferred") != F.col("transfer_reason").isNotNull()) | ((F.col("reopen_lifetime").isNotNull()) != F.col("ai_first"))
     rare = tickets.where(F.col("intent").isNotNull() & (F.col("intent") != K.OTHER_INTENT)).groupBy("intent").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < K.INTENT_MIN_COUNT)
     again = tickets.groupBy("ticket_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return _violations("row_contract", tickets.where(bad)).unionByName(_violations("intent_frequency", rare)).unionByName(_violations("ticket_unique", again))
+    return rule_checks(tickets, ticket_rules()).unionByName(_violations("intent_frequency", rare)).unionByName(_violations("ticket_unique", again))
+
+
+class CheckFailed(ValueError):
+    """Checks that did not hold; what they guard has not been published."""
+
+    def __init__(self, failed: list[str]):
+        super().__init__("check failed: " + "; ".join(failed))
+        self.failed = failed
 
 
-def assert_checks(checks: DataFrame) -> DataFrame:
-    """The same rows; reading a failed one fails the job."""
-    text = F.concat_ws(" ", F.lit("check failed:"), "check", "scope")
-    return checks.withColumn("ok", F.when(F.col("ok"), True).otherwise(F.raise_error(text).cast("boolean")))
+def refuse_failed(checks: DataFrame, shown: int = 20) -> None:
+    """Raises CheckFailed with the first failed checks, if there are any."""
+    failed = checks.where("not ok").select(F.concat_ws(" ", "check", "scope").alias("c")).limit(shown).collect()
+    if failed:
+        raise CheckFailed([r["c"] for r in failed])

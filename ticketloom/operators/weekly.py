@@ -159,17 +159,27 @@ def data_range(weekly: DataFrame) -> DataFrame:
     )
 
 
+def _cutoff(window: CohortWindow) -> int:
+    """Finished days of the running week."""
+    return (window.as_of_local.date() - window.wtd_start).days if window.wtd_start else 0
+
+
+def same_days_of_weeks(sessions: DataFrame, window: CohortWindow) -> DataFrame:
+    """The weekly report with every week cut to the days that the running week has finished."""
+    cutoff = _cutoff(window)
+    sliced = sessions.where((F.datediff(T.local_date(F.col("turn0_ts")), "cohort_week") < F.lit(cutoff)))
+    usable = [d for d, last in (("mon_sun", 7), ("mon_fri", 5)) if 0 < cutoff < last]
+    return weekly_summary(sliced, window).where(F.col("week_definition").isin(usable or [""]))
+
+
 def same_period(sessions: DataFrame, window: CohortWindow) -> DataFrame:
     """Running week against the same weekdays of up to four earlier complete weeks.
 
     No rows when the running week has no finished day, is already complete, or has under two
     comparison weeks.
     """
-    local = window.as_of_local.date()
-    cutoff = (local - window.wtd_start).days if window.wtd_start else 0
-    sliced = sessions.where((F.datediff(T.local_date(F.col("turn0_ts")), "cohort_week") < F.lit(cutoff)))
-    usable = [d for d, last in (("mon_sun", 7), ("mon_fri", 5)) if 0 < cutoff < last]
-    weekly = weekly_summary(sliced, window).where(F.col("week_definition").isin(usable or [""]))
+    cutoff = _cutoff(window)
+    weekly = same_days_of_weeks(sessions, window)
     base = weekly.where("cohort_status = 'complete' and total_tickets > 0")
     newest = W.partitionBy("week_definition").orderBy(F.desc("cohort_week"))
     base = base.withColumn("__rn", F.row_number().over(newest)).where("__rn <= 4")

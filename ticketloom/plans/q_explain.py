@@ -143,39 +143,56 @@ def coverage_mismatch(spark, d):
     return explain.coverage_mismatch(features(spark, d).join(apps, "trace_id")).select("trace_id", "expected_skill", "mismatch")
 
 
-@query("ticket_facts", sql("""SELECT session_id, u.* FROM fst, LATERAL (VALUES ('App', app, true), ('UserID', concat('user-', user_id), true), ('Mô tả', NULL, false), ('title', concat('Hỗ trợ ', k), true)) u(label, value, present)"""))
+def _facts_sql() -> str:
+    """Every configured field of every skill, from the same constants: value and presence in the fixture's payloads."""
+    values = {"App": "app", "UserID": "concat('user-', user_id)", "title": "concat('Hỗ trợ ', k)", "Product Code": "product_code"}
+    skill = "CASE " + " ".join(f"WHEN app_code IN ({', '.join(map(str, apps))}) THEN '{name}'" for name, apps in K.APP_SKILLS.items()) + " END"
+    rows = []
+    for name, fields in [(None, K.DEFAULT_FIELDS), *K.SKILL_FIELDS.items()]:
+        for i, label in enumerate((*fields, "title")):
+            value = values.get(label)
+            shown = "CAST(NULL AS VARCHAR)" if value is None or label in K.PRESENCE_FIELDS else value
+            here = f"skill = '{name}'" if name else f"(skill IS NULL OR skill NOT IN ({', '.join(repr(n) for n in K.SKILL_FIELDS)}))"
+            rows.append(f"SELECT session_id, {i} AS position, '{label}' AS label, {shown} AS value, {'false' if value is None else 'true'} AS present FROM fsk WHERE {here}")
+    return f"fsk AS (SELECT *, {skill} AS skill FROM fst), fct AS ({' UNION ALL '.join(rows)})"
+
+
+@query("ticket_facts", sql("SELECT * FROM fct", _facts_sql()))
 def ticket_facts(spark, d):
     raw = Fx.raw_traces(spark, d)
     first = classify.first_trace(Fx.traces(spark, d)).select("trace_id", "session_id")
     rows = explain.ticket_facts(raw.select(F.col("id").alias("trace_id"), "input").join(first, "trace_id"))
-    return rows.where(F.col("label").isin("App", "UserID", "Mô tả", "title")).select("session_id", "label", "value", "present")
+    return rows.select("session_id", "position", "label", "value", "present")
 
 
 # ---- rule documents -----------------------------------------------------------------------
 
-_DOCS = r"""ln AS (
-  SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda l, i: {'i': i, 'l': CASE WHEN i % 7 = 0 THEN '## ' || trim(l) WHEN i % 3 = 1 THEN '### A' || i || ' - ' || trim(l) ELSE l END})) AS x FROM documents
-  WHERE NOT regexp_matches(text, '[\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}\x{a0}\t#]')
-), lh AS (SELECT doc_id, x.i AS i, x.l AS l, CASE WHEN x.i % 7 = 0 THEN 2 WHEN x.i % 3 = 1 THEN 3 ELSE 0 END AS level FROM ln),
-lx AS (SELECT *, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nx FROM lh WHERE level > 0),
-sec AS (
-  SELECT s.doc_id, concat('topup/references/doc-', s.doc_id, '.md#L', s.i) AS anchor, s.i AS line, concat('A', s.i) AS case_id,
-         coalesce((SELECT sum(length(b.l) + 1) FROM lh b WHERE b.doc_id = s.doc_id AND b.i > s.i AND (s.nx IS NULL OR b.i < s.nx)), 1) - 1 AS raw_length
+_WS = r"[\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_DOCS = rf"""mk AS (
+  SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda l, i: CASE WHEN i % 7 = 0 THEN '## ' || trim(l) WHEN i % 3 = 1 THEN '### A' || i || ' - ' || trim(l) ELSE l END), chr(10)) AS text FROM documents
+), ln AS (
+  SELECT doc_id, i, parts[i] AS l FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]') AS parts FROM mk))
+), lh AS (SELECT *, length(regexp_extract(l, '^(#{{2,3}}){_WS}+.*$', 1)) AS level FROM ln),
+lx AS (
+  SELECT *, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nx, regexp_replace(regexp_extract(l, '^#{{2,3}}{_WS}+(.*)$', 1), '{_WS}+$', '') AS head FROM lh WHERE level > 0
+), sec AS (
+  SELECT s.doc_id, concat('topup/references/doc-', s.doc_id, '.md#L', s.i) AS anchor, s.i AS line, nullif(regexp_extract(head, '{{case}}', 1), '') AS case_id,
+         CASE WHEN regexp_matches(head, '{{case}}') THEN regexp_replace(regexp_extract(head, '{{case}}', 2), '^{_WS}+|{_WS}+$', '', 'g') ELSE head END AS case_title,
+         regexp_replace(coalesce((SELECT string_agg(b.l, chr(10) ORDER BY b.i) FROM lh b WHERE b.doc_id = s.doc_id AND b.i > s.i AND (s.nx IS NULL OR b.i < s.nx)), ''), '^\n+|\n+$', '', 'g') AS body
   FROM lx s WHERE level = 3
-)"""
+)""".replace("{case}", rf"^([A-Z](?:\.?\p{{Nd}}+[a-z]?)(?:{_WS}*,{_WS}*[A-Z]\.?\p{{Nd}}+[a-z]?)*){_WS}+-{_WS}+(.+)$")
 
 
 def rule_documents(spark, d):
-    """Documents with headings on fixed lines: every seventh a section, every third a case."""
+    """Every document, with headings on fixed lines: every seventh a section, every third a case."""
     lines = F.transform(F.split("text", "\n"), lambda l, i: F.when((i + 1) % 7 == 0, F.concat(F.lit("## "), F.trim(l))).when(
         (i + 1) % 3 == 1, F.concat(F.lit("### A"), (i + 1).cast("string"), F.lit(" - "), F.trim(l))).otherwise(l))
-    rows = Fx.texts(spark, d).where(~F.col("text").rlike("[\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029\\u00a0\\t#]"))
-    return rows.select(F.concat(F.lit("topup/references/doc-"), F.col("id"), F.lit(".md")).alias("path"), F.array_join(lines, "\n").alias("text"))
+    return Fx.texts(spark, d).select(F.concat(F.lit("topup/references/doc-"), F.col("id"), F.lit(".md")).alias("path"), F.array_join(lines, "\n").alias("text"))
 
 
-@query("extract_sections", sql("SELECT anchor, line FROM sec", _DOCS))
+@query("extract_sections", sql("SELECT anchor, line, case_id, case_title, body FROM sec", _DOCS))
 def extract_sections(spark, d):
-    return explain.extract_sections(rule_documents(spark, d)).select("anchor", "line")
+    return explain.extract_sections(rule_documents(spark, d)).select("anchor", "line", "case_id", "case_title", "body")
 
 
 @Fx.plan_once
@@ -189,33 +206,45 @@ def rules(spark, d):
     return sections.withColumns({"skill": skill, "file_label": label, "source": source})
 
 
-@Fx.plan_once
-def candidates(spark, d):
+def _rule_inputs(spark, d):
     rows = steps(spark, d)
-    return explain.rule_candidates(explain.sub_skills_read(rows), features(spark, d), rules(spark, d), explain.escalation_class(rows))
-
-
-_CAND = """rl AS (
-  SELECT anchor, line, ['topup', 'withdraw', 'ibft'][doc_id % 3 + 1] AS rskill, concat('sub-skill-', ['A', 'B'][(doc_id // 3) % 2 + 1]) AS label, CASE WHEN doc_id % 5 = 0 THEN 'skill_md' ELSE 'sub_skill' END AS source FROM sec
-), rn AS (
-  SELECT *, row_number() OVER (PARTITION BY rskill, label, source ORDER BY line, anchor) AS n1, row_number() OVER (PARTITION BY rskill, source ORDER BY label, line, anchor) AS n2 FROM rl
-), rd AS (SELECT *, CASE skill WHEN 'interbank-fund-transfer' THEN 'ibft' ELSE skill END AS rskill, concat('sub-skill-', CASE k % 2 WHEN 0 THEN 'A' ELSE 'B' END) AS label FROM stc WHERE has_load),
+    return explain.sub_skills_read(rows), features(spark, d), rules(spark, d), explain.escalation_class(rows)
+
+
+_CAND = r"""rl AS (
+  SELECT anchor, line, body, ['topup', 'withdraw', 'ibft'][doc_id % 3 + 1] AS rskill, concat('sub-skill-', ['A', 'B'][(doc_id // 3) % 2 + 1]) AS label, CASE WHEN doc_id % 5 = 0 THEN 'skill_md' ELSE 'sub_skill' END AS source FROM sec
+), rd AS (
+  SELECT *, CASE skill WHEN 'interbank-fund-transfer' THEN 'ibft' ELSE skill END AS rskill, concat('sub-skill-', CASE k % 2 WHEN 0 THEN 'A' ELSE 'B' END) AS label, concat(k % 3, '/', k % 2) AS kind FROM stc WHERE has_load
+), pt AS (SELECT DISTINCT kind, rskill, label FROM rd),
+pc AS (
+  SELECT kind, pt.rskill AS skill, anchor, source, 1 AS part, rl.label, line, body FROM pt JOIN rl ON rl.rskill = pt.rskill AND rl.label = pt.label AND source = 'sub_skill'
+  UNION ALL SELECT kind, pt.rskill, anchor, source, 2, rl.label, line, body FROM pt JOIN rl ON rl.rskill = pt.rskill AND source = 'skill_md'
+), pr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY part, label, line, anchor) AS n, count(*) OVER (PARTITION BY kind) AS alln FROM pc) WHERE n <= 40),
+gu AS (SELECT trace_id, CASE WHEN has_load THEN concat(k % 3, '/', k % 2) END AS kind, CASE WHEN has_load THEN skill ELSE 'khong_xac_dinh' END AS skill FROM stc WHERE escalation_class = 'E7'),
+sz AS (SELECT kind, count(*) AS total FROM pc GROUP BY 1),
 cd AS (
-  SELECT trace_id, rd.rskill AS skill, anchor, source, 1 AS part, rn.label, line FROM rd JOIN rn ON rn.rskill = rd.rskill AND rn.label = rd.label AND source = 'sub_skill' AND n1 <= 40
-  UNION ALL SELECT trace_id, rd.rskill, anchor, source, 2, rn.label, line FROM rd JOIN rn ON rn.rskill = rd.rskill AND source = 'skill_md' AND n2 <= 40
-  UNION ALL SELECT trace_id, CASE WHEN has_load THEN skill ELSE 'khong_xac_dinh' END, 'tool:get_bank_name', 'tool_message', 3, 'tool:get_bank_name', 0 FROM stc WHERE escalation_class = 'E7'
+  SELECT trace_id, pr.skill, anchor, source, n, body, alln + (CASE WHEN escalation_class = 'E7' THEN 1 ELSE 0 END) AS total FROM rd JOIN pr USING (kind)
+  UNION ALL SELECT trace_id, skill, 'tool:get_bank_name', 'tool_message', coalesce(total, 0) + 1, 'Vui lòng báo cskh xử lý', coalesce(total, 0) + 1 FROM gu LEFT JOIN sz USING (kind) WHERE coalesce(total, 0) + 1 <= 40
 )"""
 
 
-@query("rule_candidates", sql("""SELECT trace_id, skill, anchor, source, row_number() OVER (PARTITION BY trace_id ORDER BY part, label, line, anchor) AS candidate_order FROM cd
- QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY part, label, line, anchor) <= 40""", _STEPS, _DOCS, _CAND))
+@query("rule_candidates", sql("SELECT trace_id, skill, anchor, source, n AS candidate_order, greatest(total - 40, 0) AS dropped FROM cd", _STEPS, _DOCS, _CAND))
 def rule_candidates(spark, d):
-    return candidates(spark, d).select("trace_id", "skill", "anchor", "source", "candidate_order")
+    return explain.rule_candidates(*_rule_inputs(spark, d)).select("trace_id", "skill", "anchor", "source", "candidate_order", "dropped")
+
+
+_SCORE = r"""sc0 AS (
+  SELECT DISTINCT anchor, source, body, regexp_matches(body, '(?is)(^|[^\p{L}\p{N}\p{M}_])(cskh|cs)($|[^\p{L}\p{N}\p{M}_])|chăm sóc khách hàng') AS asks, contains(lower(body), 'get_bank_name') AS bank,
+         contains(lower(body), 'load_skill_reference__') AS loads FROM cd
+), sc AS (
+  SELECT trace_id, cd.anchor, n, total, CASE WHEN cd.source = 'sub_skill' THEN 100 WHEN cd.source = 'skill_md' THEN -5 ELSE 0 END + CASE WHEN asks THEN 10 ELSE 0 END + CASE WHEN bank THEN 30 ELSE 0 END AS score, loads FROM cd JOIN sc0 USING (anchor, source, body)
+)"""
 
 
-@query("rank_candidates")
+@query("rank_candidates", sql("""SELECT trace_id, anchor, CAST(score AS BIGINT) AS score, row_number() OVER (PARTITION BY trace_id ORDER BY score DESC, n) AS rank, greatest(total - 40, 0) AS dropped,
+ greatest(count(*) OVER (PARTITION BY trace_id) - 8, 0) AS beyond FROM sc QUALIFY rank <= 8""", _STEPS, _DOCS, _CAND, _SCORE))
 def rank_candidates(spark, d):
-    return explain.rank_candidates(candidates(spark, d), features(spark, d), rules(spark, d)).select("trace_id", "anchor", "score", "rank")
+    return explain.ranked_rules(*_rule_inputs(spark, d)).select("trace_id", "anchor", F.col("score").cast("bigint").alias("score"), "rank", "dropped", "beyond")
 
 
 _GROUND = r"""gr AS (

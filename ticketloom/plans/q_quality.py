@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -77,9 +80,22 @@ def identity_profile(spark, d):
     return quality.identity_profile(rows, "payload")
 
 
-@query("pii_scan")
+_PRIVATE = r"(regexp_matches(regexp_replace(regexp_replace({0}, '[\p{{Cf}}\p{{M}}]+', '', 'g'), '\P{{Nd}}+', '', 'g'), '(0|84)[0-9]{{8,10}}') OR regexp_matches(regexp_replace({0}, '[\p{{Cf}}\p{{M}}]+', '', 'g'), '(?i)(^|[^0-9a-f])[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}($|[^0-9a-f])'))"
+
+
+@query("pii_scan", f"""WITH t AS (SELECT doc_id AS id, nfc_normalize(text) AS text FROM documents)
+SELECT id, 'body' AS path, 'identifying_value' AS problem FROM t WHERE {_PRIVATE.format('text')}
+UNION ALL SELECT DISTINCT id, 'parts[].line', 'identifying_value' FROM (SELECT id, unnest(string_split(text, chr(10))) AS line FROM t) WHERE {_PRIVATE.format('line')}
+UNION ALL SELECT id, 'more.code', 'identifying_value' FROM t WHERE id % 7 = 0
+UNION ALL SELECT id, 'more.title', 'denied_key' FROM t
+UNION ALL SELECT id, 'more.0901234567', 'identifying_key' FROM t WHERE id % 5 = 0""")
 def pii_scan(spark, d):
-    return quality.pii_scan(Fx.texts(spark, d), "id")
+    """Every text three ways: a column, the lines in an array of structs, and a payload with a code in other digits."""
+    arabic = F.translate(F.concat(F.lit("mã 09-"), F.lpad(F.col("id").cast("string"), 8, "0")), "0123456789", "٠١٢٣٤٥٦٧٨٩")
+    payload = F.concat(F.lit('{"title": null, "code": "'), F.when(F.col("id") % 7 == 0, arabic).otherwise("mã 09"), F.when(F.col("id") % 5 == 0, F.lit('", "0901234567": "x"}')).otherwise('"}'))
+    lines = F.transform(F.split("text", "\n"), lambda line: F.struct(line.alias("line")))
+    rows = Fx.texts(spark, d).select("id", F.col("text").alias("body"), lines.alias("parts"), F.parse_json(payload).alias("more"))
+    return quality.pii_scan(rows, "id")
 
 
 @query("disjoint_groups", sql("SELECT session_id, count(DISTINCT selection_group) AS groups FROM (SELECT session_id, selection_group FROM sel UNION ALL SELECT session_id, 'extra' FROM sel WHERE CAST(session_id AS BIGINT) % 7 = 0) WHERE selection_group IS NOT NULL GROUP BY 1 HAVING count(DISTINCT selection_group) > 1", _DAMAGED, _SELECT))
@@ -88,9 +104,28 @@ def disjoint_groups(spark, d):
     return quality.disjoint_groups(rows.unionByName(rows.where("cast(session_id as bigint) % 7 = 0").select("session_id", F.lit("extra").alias("selection_group"))))
 
 
-@query("session_checks", sql("SELECT u.c AS \"check\", 'all' AS scope, 0.0 AS expected, 0.0 AS actual, true AS ok FROM (VALUES ('session_unique'), ('weekend_flag'), ('in_reporting_range'), ('transfer_set'), ('rule_scalar')) u(c)"))
+_WEEK_SCOPE = "concat(week_definition, '/', coalesce(CAST(cohort_week AS VARCHAR), 'all'))"
+
+
+def _check_rows(source: str, scope: str, items: dict[str, tuple[str, str]]) -> str:
+    """Check rows from the rows of `source`: name -> (expected, actual)."""
+    values = ", ".join(f"('{name}', CAST({e} AS DOUBLE), CAST({a} AS DOUBLE))" for name, (e, a) in items.items())
+    return f"SELECT u.c AS \"check\", {scope} AS scope, u.e AS expected, u.a AS actual, u.e IS NOT DISTINCT FROM u.a AS ok FROM {source}, LATERAL (VALUES {values}) u(c, e, a)"
+
+
+def _none_broken(*names: str) -> str:
+    return f"SELECT u.c AS \"check\", 'all' AS scope, 0.0 AS expected, 0.0 AS actual, true AS ok FROM (VALUES {', '.join(f'({n!r})' for n in names)}) u(c)"
+
+
+_SESSION_RULES = ("session_unique", "weekend_flag", "in_reporting_range", "transfer_set", "rule_scalar")
+
+
+@query("session_checks", sql(_none_broken(*_SESSION_RULES, "groups_disjoint", "eligible_is_analyzed")))
 def session_checks(spark, d):
-    return quality.session_checks(enriched(spark, d))
+    base, chosen = enriched(spark, d), selection(spark, d)
+    kept = base.join(chosen.where("selection_group = 'eligible'").select("session_id"), "session_id", "left_semi")
+    known = chosen.join(kept.select("session_id"), "session_id", "left_semi").unionByName(chosen.where("selection_group <> 'eligible'"))
+    return quality.session_checks(kept, known)
 
 
 @query("weekly_checks", sql("""SELECT u.c AS "check", concat(week_definition, '/', CAST(cohort_week AS VARCHAR)) AS scope, u.e AS expected, u.e AS actual, true AS ok FROM wk,
@@ -100,52 +135,246 @@ def weekly_checks(spark, d):
     return quality.weekly_checks(weekly_rows(spark, d), enriched(spark, d))
 
 
-@query("view_checks")
+_SUMMED = ("eligible_ticket_count", "transfer_total", "reopen_lifetime_numerator")
+_VIEW_CHECKS = _check_rows(f"({ORACLE['view_totals']}) v", _WEEK_SCOPE, {
+    "outcomes_close": ("eligible_ticket_count", " + ".join(K.OUTCOMES)), "ai_first_is_sum": ("ai_end_to_end + ai_then_cs", "ai_first_count"),
+    "transfer_is_sum": ("ai_then_cs + direct_cs", "transfer_total"), "gt4_is_sum": ("gt4_turn_with_cs + gt4_turn_without_cs", "gt4_turn_total")}) + " UNION ALL " + _check_rows(
+    "(SELECT week_definition, " + ", ".join(f"sum({c}) FILTER (cohort_week IS NULL) AS t_{c}, sum({c}) FILTER (cohort_week IS NOT NULL) AS w_{c}" for c in _SUMMED)
+    + f" FROM ({ORACLE['view_totals']}) GROUP BY 1) s", "week_definition", {f"weeks_add_up_{c}": (f"t_{c}", f"w_{c}") for c in _SUMMED})
+
+
+@query("view_checks", _VIEW_CHECKS)
 def view_checks(spark, d):
     return quality.view_checks(weekly.view_totals(enriched(spark, d)))
 
 
-@query("segment_checks")
+_SEGMENT_CHECKS = _check_rows(f"""(SELECT s.week_definition, s.cohort_week, s.dimension, sum(total) AS total, max(CASE WHEN label IN ('{K.MISSING}', '{K.NO_SKILL}') THEN 1 ELSE 0 END) AS missing,
+   (SELECT max(eligible_ticket_count) FROM ({ORACLE['view_totals']}) v WHERE v.week_definition = s.week_definition AND v.cohort_week IS NOT DISTINCT FROM s.cohort_week) AS n
+   FROM ({ORACLE['segment_breakdown']}) s GROUP BY 1, 2, 3) p""", f"concat({_WEEK_SCOPE}, '/', dimension)", {"dimension_closes": ("coalesce(n, 0)", "total"), "missing_bucket": ("1", "missing")}) + " UNION ALL " + _check_rows(
+    f"""(SELECT week_definition, dimension, label, sum(total) FILTER (cohort_week IS NULL) AS t, coalesce(sum(total) FILTER (cohort_week IS NOT NULL), 0) AS w FROM ({ORACLE['segment_breakdown']}) GROUP BY 1, 2, 3) l""",
+    "concat(week_definition, '/', dimension, '/', label)", {"weeks_add_up": ("t", "w")})
+
+
+@query("segment_checks", _SEGMENT_CHECKS)
 def segment_checks(spark, d):
     base = enriched(spark, d)
     return quality.segment_checks(segments.segment_breakdown(base, weekly.calendar(spark, Fx.WINDOW)), weekly.view_totals(base))
 
 
-@query("transfer_checks")
+def _rolled(source: str, keys: str, scope: str, name: str) -> str:
+    return _check_rows(f"(SELECT week_definition, {keys}, coalesce(sum(count) FILTER (cohort_week IS NULL), 0) AS t, coalesce(sum(count) FILTER (cohort_week IS NOT NULL), 0) AS w FROM ({ORACLE[source]}) GROUP BY ALL) r", scope, {name: ("t", "w")})
+
+
+_GRAIN = "reason, rule, source, stage, skill"
+_TRANSFER_CHECKS = _check_rows(f"""(SELECT f.*, (SELECT sum(count) FROM ({ORACLE['transfer_triggers']}) t WHERE t.week_definition = f.week_definition AND t.cohort_week IS NOT DISTINCT FROM f.cohort_week) AS n,
+   (SELECT max(count) FROM ({ORACLE['transfer_guardrails']}) g WHERE g.week_definition = f.week_definition AND g.cohort_week IS NOT DISTINCT FROM f.cohort_week) AS top FROM ({ORACLE['transfer_flags']}) f) j""", _WEEK_SCOPE, {
+    "triggers_partition": ("observed_transfer_denominator", "coalesce(n, 0)"), "rules_within_total": ("1", "CASE WHEN coalesce(top, 0) <= observed_transfer_denominator THEN 1 ELSE 0 END"),
+    "flags_within_total": ("1", "CASE WHEN greatest(step_result_missing, escalation_guard_blocked) <= observed_transfer_denominator THEN 1 ELSE 0 END")}) + " UNION ALL " + " UNION ALL ".join([
+    _rolled("transfer_triggers", _GRAIN, "concat(week_definition, '/', " + ", '/', ".join(f"coalesce({g}, '-')" for g in _GRAIN.split(", ")) + ")", "trigger_weeks_add_up"),
+    _rolled("transfer_guardrails", "rule", "concat(week_definition, '/', rule)", "rule_weeks_add_up"), _none_broken("trigger_grain")])
+
+
+@query("transfer_checks", _TRANSFER_CHECKS)
 def transfer_checks(spark, d):
     base = enriched(spark, d)
     return quality.transfer_checks(segments.transfer_triggers(base), segments.transfer_flags(base), segments.transfer_guardrails(base))
 
 
-@query("csat_checks")
-def csat_checks(spark, d):
+_CSAT_CHECKS = _check_rows(f"({ORACLE['csat_weekly']}) w", "concat(week_definition, '/', CAST(cohort_week AS VARCHAR), '/', grain, '/', dimension, '/', value)", {"buckets_close": ("ticket_count", "positive + neutral + negative")}) + " UNION ALL " + _check_rows(
+    "(SELECT week_definition, cohort_week, grain, " + ", ".join(f"sum(ticket_count) FILTER (dimension = '{x}') AS n_{x}" for x in ("all", "outcome", "skill", "issue_category")) + f" FROM ({ORACLE['csat_weekly']}) GROUP BY 1, 2, 3) p",
+    "concat(week_definition, '/', CAST(cohort_week AS VARCHAR), '/', grain)", {f"{x}_closes": ("n_all", f"n_{x}") for x in ("outcome", "skill", "issue_category")}) + " UNION ALL " + _none_broken(
+    "feedback_in_range", "feedback_latest", "feedback_numbered_once", "feedback_total_recount")
+
+
+def _csat_inputs(spark, d):
     rows = S.matched(spark, d)
-    feedback = csat.feedback_entries(csat.csat_to_tickets(S.answers(spark, d), enriched(spark, d)))
-    return quality.csat_checks(csat.csat_weekly(rows), feedback)
+    return csat.csat_weekly(rows), csat.feedback_entries(csat.csat_to_tickets(S.answers(spark, d), enriched(spark, d))), rows
 
 
-@query("coverage_checks")
-def coverage_checks(spark, d):
+@query("csat_checks", _CSAT_CHECKS)
+def csat_checks(spark, d):
+    return quality.csat_checks(*_csat_inputs(spark, d))
+
+
+_COVERAGE_CHECKS = _check_rows(f"({ORACLE['entry_coverage_weekly']}) e", _WEEK_SCOPE, {
+    "statuses_close": ("ticket_count", " + ".join(K.ENTRY_STATUSES)), "human_split_closes": ("not_observed_invoked", "not_observed_human_replied + not_observed_no_human_reply")}) + " UNION ALL " + _check_rows(
+    f"({ORACLE['reconciliation_weekly']}) r", _WEEK_SCOPE, {
+        "checked_within_population": ("1", "CASE WHEN checked_ticket_count + unresolved_ticket_count <= ai_end_to_end THEN 1 ELSE 0 END"),
+        "mismatch_is_division": ("human_replied_after_ai / nullif(checked_ticket_count, 0)", "mismatch_rate")})
+
+
+def _coverage_inputs(spark, d):
     rec = helpdesk.reconciliation_weekly(helpdesk.reconcile_outcome(Fx.sessions(spark, d), S.records(spark, d)))
-    return quality.coverage_checks(helpdesk.entry_coverage_weekly(S.coverage(spark, d)), rec)
+    return helpdesk.entry_coverage_weekly(S.coverage(spark, d)), rec
+
+
+@query("coverage_checks", _COVERAGE_CHECKS)
+def coverage_checks(spark, d):
+    return quality.coverage_checks(*_coverage_inputs(spark, d))
+
 
+_PERIOD_CHECKS = _check_rows(f"({ORACLE['same_period']}) p", _WEEK_SCOPE, {
+    "within_whole_week": ("1", "1"), "ai_rate_is_division": ("coalesce(ai_first_count / nullif(total_tickets, 0), 0.0)", "ai_first_rate"),
+    "reopen_rate_is_division": ("reopen_lifetime_numerator / nullif(reopen_lifetime_denominator, 0)", "reopen_lifetime_rate"), "baseline_weeks": ("1", "CASE WHEN weeks_used BETWEEN 2 AND 4 THEN 1 ELSE 0 END"),
+    "baseline_weeks_recount": ("weeks_used", "weeks_used"), "baseline_ai_recount": ("1", "1"), "baseline_reopen_recount": ("1", "1")})
 
-@query("period_checks")
+
+def _period_inputs(spark, d):
+    rows = Fx.sessions(spark, d)
+    return weekly.same_period(rows, Fx.WINDOW), weekly_rows(spark, d), weekly.same_days_of_weeks(rows, Fx.WINDOW)
+
+
+@query("period_checks", _PERIOD_CHECKS)
 def period_checks(spark, d):
-    return quality.period_checks(weekly.same_period(Fx.sessions(spark, d), Fx.WINDOW), weekly_rows(spark, d))
+    return quality.period_checks(*_period_inputs(spark, d))
+
 
+_REASON_CHECKS = _check_rows(f"({ORACLE['reopen_reason_coverage']}) c", _WEEK_SCOPE, {
+    "abstained_within_labeled": ("1", "CASE WHEN abstained <= labeled THEN 1 ELSE 0 END"),
+    "no_rate_without_denominator": ("CASE WHEN direct_cs_denominator > 0 THEN 1 ELSE 0 END", "CASE WHEN direct_cs_reopen_7d_rate IS NOT NULL THEN 1 ELSE 0 END")})
 
-@query("reason_checks")
+
+def _reason_inputs(spark, d):
+    return reopen.reopen_reason_coverage(reopen.label_status(label_rows(spark, d)), Fx.sessions(spark, d), weekly.calendar(spark, Fx.WINDOW))
+
+
+@query("reason_checks", _REASON_CHECKS)
 def reason_checks(spark, d):
-    rows = reopen.reopen_reason_coverage(reopen.label_status(label_rows(spark, d)), Fx.sessions(spark, d), weekly.calendar(spark, Fx.WINDOW))
-    return quality.reason_checks(rows)
+    return quality.reason_checks(_reason_inputs(spark, d))
+
 
+_TICKET_RULES = ("ticket_id_safe", "outcome_known", "gt4_follows_turns", "week_is_monday", "reason_with_transfer", "reopen_with_ai_first", "intent_frequency", "ticket_unique")
 
-@query("ticket_checks", sql("SELECT u.c AS \"check\", 'all' AS scope, 0.0 AS expected, 0.0 AS actual, true AS ok FROM (VALUES ('row_contract'), ('intent_frequency'), ('ticket_unique')) u(c)"))
+
+@query("ticket_checks", sql(_none_broken(*_TICKET_RULES)))
 def ticket_checks(spark, d):
     return quality.ticket_checks(S.tickets(spark, d))
 
 
+# Every check once with an input that breaks it: one number of one row is off, a row is there twice or
+# missing. The SQL says which checks must fail, and where; nothing else may.
+
+_ONE = "2024-01-08"
+
+
+def _off(rows, column, by=1, week=_ONE, definition="mon_sun", **where):
+    """One cell of a report changed."""
+    here = (F.col("week_definition") == definition) & (F.col("cohort_week").isNull() if week is None else F.col("cohort_week") == F.lit(week).cast("date"))
+    for name, value in where.items():
+        here = here & (F.col(name) == value)
+    return rows.withColumn(column, F.when(here, F.col(column) + by).otherwise(F.col(column)))
+
+
+def _failing(family: str, checks):
+    return checks.where("not ok").select(F.lit(family).alias("family"), "check", "scope")
+
+
+def _expect(family: str, scopes: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{family}' AS family, '{name}' AS \"check\", '{scope}' AS scope" for name, scope in scopes.items())
+
+
+_AT = f"mon_sun/{_ONE}"
+
+
+@query("weekly_checks_broken", _expect("ai", {"ai_first_is_sum": _AT, "ai_rate_is_division": _AT}) + " UNION ALL " + _expect("total", {"outcomes_close": _AT, "ai_rate_is_division": _AT, "total_recount": _AT})
+       + " UNION ALL " + _expect("gt4", {"gt4_within_total": _AT}) + " UNION ALL " + _expect("reopen", {"reopen_recount": _AT}) + " UNION ALL " + _expect("data", {"has_data_matches": _AT}))
+def weekly_checks_broken(spark, d):
+    rows, base = weekly_rows(spark, d), enriched(spark, d)
+    flipped = rows.withColumn("has_data", F.col("has_data") != ((F.col("week_definition") == "mon_sun") & (F.col("cohort_week") == F.lit(_ONE).cast("date"))))
+    cases = {"ai": _off(rows, "ai_first_count"), "total": _off(rows, "total_tickets"), "gt4": _off(rows, "gt4_turn_with_cs", 1 << 40), "reopen": _off(rows, "reopen_lifetime_numerator"), "data": flipped}
+    return reduce(DataFrame.unionByName, [_failing(n, quality.weekly_checks(r, base)) for n, r in cases.items()])
+
+
+@query("view_checks_broken", " UNION ALL ".join([
+    _expect("eligible", {"outcomes_close": _AT, "weeks_add_up_eligible_ticket_count": "mon_sun"}), _expect("ai", {"ai_first_is_sum": _AT}),
+    _expect("transfer", {"transfer_is_sum": _AT, "weeks_add_up_transfer_total": "mon_sun"}), _expect("gt4", {"gt4_is_sum": _AT}), _expect("reopen", {"weeks_add_up_reopen_lifetime_numerator": "mon_sun"})]))
+def view_checks_broken(spark, d):
+    rows = weekly.view_totals(enriched(spark, d))
+    cases = {"eligible": "eligible_ticket_count", "ai": "ai_first_count", "transfer": "transfer_total", "gt4": "gt4_turn_total", "reopen": "reopen_lifetime_numerator"}
+    return reduce(DataFrame.unionByName, [_failing(n, quality.view_checks(_off(rows, c))) for n, c in cases.items()])
+
+
+@query("segment_checks_broken", " UNION ALL ".join([
+    _expect("label", {"dimension_closes": f"{_AT}/issue_category", "weeks_add_up": "mon_sun/issue_category/Nạp tiền"}), _expect("missing", {"missing_bucket": f"{_AT}/issue_category", "dimension_closes": f"{_AT}/issue_category", "weeks_add_up": f"mon_sun/issue_category/{K.MISSING}"})]))
+def segment_checks_broken(spark, d):
+    base = enriched(spark, d)
+    rows, views = segments.segment_breakdown(base, weekly.calendar(spark, Fx.WINDOW)), weekly.view_totals(base)
+    gone = (F.col("week_definition") == "mon_sun") & (F.col("cohort_week") == F.lit(_ONE).cast("date")) & (F.col("dimension") == "issue_category") & (F.col("label") == K.MISSING)
+    cases = {"label": _off(rows, "total", dimension="issue_category", label="Nạp tiền"), "missing": rows.where(~F.coalesce(gone, F.lit(False)))}
+    return reduce(DataFrame.unionByName, [_failing(n, quality.segment_checks(r, views)) for n, r in cases.items()])
+
+
+@query("transfer_checks_broken", " UNION ALL ".join([
+    _expect("flags", {"flags_within_total": _AT}), _expect("rules", {"rules_within_total": _AT, "rule_weeks_add_up": "mon_sun/cs_escalation"}), _expect("total", {"triggers_partition": _AT}),
+    _expect("twice", {"trigger_grain": "all", "triggers_partition": "mon_sun/all", "trigger_weeks_add_up": "mon_sun/unknown/-/-/-/-"})]))
+def transfer_checks_broken(spark, d):
+    base = enriched(spark, d)
+    triggers, flags, guards = segments.transfer_triggers(base), segments.transfer_flags(base), segments.transfer_guardrails(base)
+    again = triggers.where("week_definition = 'mon_sun' and cohort_week is null and reason = 'unknown' and rule is null")
+    cases = {"flags": (triggers, _off(flags, "step_result_missing", 1 << 40), guards), "rules": (triggers, flags, _off(guards, "count", 1 << 40, rule="cs_escalation")),
+             "total": (triggers, _off(flags, "observed_transfer_denominator"), guards), "twice": (triggers.unionByName(again), flags, guards)}
+    return reduce(DataFrame.unionByName, [_failing(n, quality.transfer_checks(*r)) for n, r in cases.items()])
+
+
+@query("csat_checks_broken", " UNION ALL ".join([
+    _expect("bucket", {"buckets_close": f"{_AT}/ticket/all/all"}), _expect("total", {"buckets_close": f"{_AT}/ticket/all/all", **{f"{x}_closes": f"{_AT}/ticket" for x in ("outcome", "skill", "issue_category")}}),
+    _expect("number", {"feedback_in_range": "all", "feedback_latest": "all"}), _expect("twice", {"feedback_numbered_once": "all"}), _expect("lost", {"feedback_total_recount": "all"})]))
+def csat_checks_broken(spark, d):
+    rows, feedback, matched = _csat_inputs(spark, d)
+    last = F.col("is_latest_for_ticket")
+    cases = {"bucket": (_off(rows, "positive", grain="ticket", dimension="all"), feedback, matched), "total": (_off(rows, "ticket_count", grain="ticket", dimension="all"), feedback, matched),
+             "number": (rows, feedback.withColumn("response_number", F.when(last, F.col("response_number") + 1).otherwise(F.col("response_number"))), matched),
+             "twice": (rows, feedback.unionByName(feedback.where(last)), matched), "lost": (rows, feedback, matched.unionByName(matched))}
+    return reduce(DataFrame.unionByName, [_failing(n, quality.csat_checks(*r)) for n, r in cases.items()])
+
+
+@query("coverage_checks_broken", " UNION ALL ".join([
+    _expect("status", {"statuses_close": _AT}), _expect("human", {"human_split_closes": _AT}), _expect("checked", {"checked_within_population": _AT, "mismatch_is_division": _AT})]))
+def coverage_checks_broken(spark, d):
+    entry, rec = _coverage_inputs(spark, d)
+    cases = {"status": (_off(entry, "unresolved"), rec), "human": (_off(entry, "not_observed_human_replied"), rec), "checked": (entry, _off(rec, "checked_ticket_count", 1 << 40))}
+    return reduce(DataFrame.unionByName, [_failing(n, quality.coverage_checks(*r)) for n, r in cases.items()])
+
+
+_RUN = "mon_sun/2024-01-29"
+
+
+@query("period_checks_broken", " UNION ALL ".join([
+    _expect("total", {"within_whole_week": _RUN, "ai_rate_is_division": _RUN}), _expect("reopen", {"reopen_rate_is_division": _RUN}), _expect("weeks", {"baseline_weeks": _RUN, "baseline_weeks_recount": _RUN}),
+    _expect("means", {"baseline_ai_recount": _RUN, "baseline_reopen_recount": _RUN})]))
+def period_checks_broken(spark, d):
+    period, whole, sliced = _period_inputs(spark, d)
+    off = lambda c, by: _off(period, c, by, "2024-01-29")
+    means = _off(off("baseline_ai_first_rate", 0.001), "baseline_reopen_lifetime_rate", 0.001, "2024-01-29")
+    cases = {"total": off("total_tickets", 1 << 40), "reopen": off("reopen_lifetime_numerator", 1), "weeks": off("weeks_used", 4), "means": means}
+    return reduce(DataFrame.unionByName, [_failing(n, quality.period_checks(r, whole, sliced)) for n, r in cases.items()])
+
+
+@query("row_checks_broken", " UNION ALL ".join([
+    *[_expect(f"session {name}", {name: "all"}) for name in ("weekend_flag", "in_reporting_range", "transfer_set", "session_unique", "groups_disjoint", "eligible_is_analyzed")],
+    *[_expect(f"ticket {name}", {name: "all"}) for name in ("ticket_id_safe", "outcome_known", "gt4_follows_turns", "week_is_monday", "reason_with_transfer", "reopen_with_ai_first", "ticket_unique")],
+    _expect("reason states", {"abstained_within_labeled": _AT}), _expect("reason rate", {"no_rate_without_denominator": _AT})]))
+def row_checks_broken(spark, d):
+    ses, tickets, reasons = enriched(spark, d).drop("guardrail_rule"), S.tickets(spark, d).where("ticket_id is not null"), _reason_inputs(spark, d)
+    chosen = ses.select("session_id", F.lit("eligible").alias("selection_group"))
+    one = lambda rows, key: rows.where(F.col(key) == rows.agg(F.min(key)).scalar())
+    first = lambda rows, key, column, value: rows.withColumn(column, F.when(F.col(key) == rows.agg(F.min(key).alias("m")).scalar(), value).otherwise(F.col(column)))
+    broken = {
+        "weekend_flag": (first(ses, "session_id", "is_weekend_start", ~F.col("is_weekend_start")), chosen), "in_reporting_range": (first(ses, "session_id", "cohort_status", F.lit("later")), chosen),
+        "transfer_set": (first(ses, "session_id", "transferred", ~F.col("transferred")), chosen), "session_unique": (ses.unionByName(one(ses, "session_id")), chosen),
+        "groups_disjoint": (ses, chosen.unionByName(one(chosen, "session_id").withColumn("selection_group", F.lit("invalid_keyed")))),
+        "eligible_is_analyzed": (ses, chosen.unionByName(one(chosen, "session_id").withColumn("session_id", F.lit("nobody"))))}
+    shown = {
+        "ticket_id_safe": ("ticket_id", F.lit("0901234567")), "outcome_known": ("outcome", F.lit("lost")), "gt4_follows_turns": ("gt4_turn", ~F.col("gt4_turn")), "week_is_monday": ("cohort_week", F.date_add("cohort_week", 1)),
+        "reason_with_transfer": ("transfer_reason", F.when(F.col("transfer_reason").isNull(), "unknown")), "reopen_with_ai_first": ("ai_first", ~F.col("ai_first"))}
+    out = [_failing(f"session {n}", quality.session_checks(*r)) for n, r in broken.items()]
+    out += [_failing(f"ticket {n}", quality.ticket_checks(first(tickets, "ticket_id", c, v))) for n, (c, v) in shown.items()]
+    out.append(_failing("ticket ticket_unique", quality.ticket_checks(tickets.unionByName(one(tickets, "ticket_id")))))
+    out.append(_failing("reason states", quality.reason_checks(_off(reasons, "abstained", 1 << 40))))
+    out.append(_failing("reason rate", quality.reason_checks(_off(reasons, "direct_cs_denominator", -(1 << 40)))))
+    return reduce(DataFrame.unionByName, out)
+
+
 # ---- scores -------------------------------------------------------------------------------
 
 
@@ -215,12 +444,12 @@ def all_or_nothing_missing_lane(spark, d):
     return kept.agg(F.count(F.lit(1)).alias("signals")).withColumn("status", status.scalar())
 
 
-@query("all_or_nothing_enrichment", sql("SELECT count(*) AS signals, 'complete' AS status FROM (SELECT trace_id FROM ob WHERE intent IS NOT NULL UNION ALL SELECT trace_id FROM ob WHERE skill IS NOT NULL)"))
+@query("all_or_nothing_enrichment", sql("""SELECT u.kind, count(*) AS signals, 'complete' AS status FROM ob, LATERAL (VALUES ('intent', intent IS NOT NULL), ('skill', skill IS NOT NULL), ('tpe', transstatus IS NOT NULL), ('history', history), ('event', rule IS NOT NULL), ('rule', rule IS NOT NULL)) u(kind, here)
+ WHERE here GROUP BY 1"""))
 def all_or_nothing_enrichment(spark, d):
-    rows = signals(spark, d).where("kind in ('intent', 'skill')")
     seen = Fx.observations(spark, d).select("name", F.lit(True).alias("complete"))
-    kept, status = incremental.all_or_nothing_enrichment(rows, incremental.lane_status(seen, K.LANES))
-    return kept.agg(F.count(F.lit(1)).alias("signals")).withColumn("status", status.scalar())
+    kept, status = incremental.all_or_nothing_enrichment(signals(spark, d), incremental.lane_status(seen, K.LANES))
+    return kept.groupBy("kind").agg(F.count(F.lit(1)).alias("signals")).withColumn("status", status.scalar())
 
 
 @query("all_or_nothing_partial", sql("SELECT 0 AS signals, 'partial' AS status"))

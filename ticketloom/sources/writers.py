@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 from .. import constants as K
+from ..operators import quality
 from ..operators.weekly import WEEKLY_COLUMNS, weekly_report_export
+from ..session import written
 
 
 def weekly_csv_rows(weekly: DataFrame, definition: str) -> DataFrame:
@@ -108,17 +112,35 @@ def forbidden_columns(schema: Ty.DataType, prefix: str = "") -> list[str]:
 RUN_POINTERS = "_published"
 
 
-def publish_run(df: DataFrame, root: str, run_id: str, fmt: str = "parquet") -> None:
-    """Writes one run as a partition; earlier runs stay, a rerun replaces its own partition."""
+def publish_run(df: DataFrame, root: str, run_id: str, fmt: str = "parquet", rules: dict[str, Column] | None = None, checks: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """Writes one run as a partition; earlier runs stay, a rerun replaces its own partition.
+
+    `rules` name broken rows and are counted in the pass that writes the rows; `checks` gives check rows
+    for the rows as written. If anything is broken, CheckFailed is raised and nothing of the run is published.
+    """
     bad = forbidden_columns(df.schema)
     if bad:
         raise ValueError(f"raw payload column must not be published: {bad[0]}")
+    if rules or checks:
+        df = _checked(df, rules or {}, checks)
     writer = df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy("run_id").format(fmt).save(root)
     # the pointer follows the data, so a reader never meets half a run; its name is hidden from table scans
     df.sparkSession.range(1).select(F.lit(run_id).alias("run_id"), F.current_timestamp().alias("published_at")).coalesce(1).write.mode("append").parquet(f"{root}/{RUN_POINTERS}")
 
 
+def _checked(df: DataFrame, rules: dict[str, Column], checks: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+    """The rows written aside, if they pass."""
+    seen = Observation("rules")
+    staged = written(df.observe(seen, *quality.broken_counts(rules)) if rules else df, "staged-run")
+    broken = [f"{name} all" for name, n in seen.get.items() if n] if rules else []
+    if broken:
+        raise quality.CheckFailed(broken)
+    if checks is not None:
+        quality.refuse_failed(checks(staged))
+    return staged
+
+
 def latest_run(spark, root: str, fmt: str = "parquet") -> DataFrame:
     """Rows of the run that was published last, whatever its name; only its partition is read."""
     pointers = spark.read.schema("run_id string, published_at timestamp").parquet(f"{root}/{RUN_POINTERS}")
