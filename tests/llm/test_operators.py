@@ -174,7 +174,7 @@ def test_packing_ids_are_the_library_s_around_white_space():
 
 # --- line dedup ----------------------------------------------------------------------------------
 
-def lines_by_hand(rows, min_points=40, min_documents=5):
+def lines_by_hand(rows, min_points=40, min_documents=5, keeper=max):
     key = lambda line: line.strip(" \t\n\v\f\r").translate({c: c + 32 for c in range(65, 91)})
     holders = defaultdict(set)
     for doc, text in rows:
@@ -184,7 +184,7 @@ def lines_by_hand(rows, min_points=40, min_documents=5):
     out = []
     for doc, text in rows:
         parts = (text or "").split("\n")
-        kept = [p for p in parts if doc is None or len(key(p)) < min_points or len(holders[key(p)]) < min_documents or max(holders[key(p)]) == doc]
+        kept = [p for p in parts if doc is None or len(key(p)) < min_points or len(holders[key(p)]) < min_documents or keeper(holders[key(p)]) == doc]
         out.append((doc, len(parts), len(parts) - len(kept), "\n".join(kept)))
     return sorted(out, key=str)
 
@@ -199,6 +199,8 @@ def test_line_dedup_by_hand(spark, batches, fanout):
     got = line_dedup.drop_repeated_lines(docs, batches=batches, fanout=fanout).collect()
     assert sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_text"]) for r in got), key=str) == lines_by_hand(rows)
     assert {r["line"] for r in got} == {"x"}
+    first = line_dedup.drop_repeated_lines(docs, batches=batches, fanout=fanout, keep="smallest").collect()
+    assert sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_text"]) for r in first), key=str) == lines_by_hand(rows, keeper=min)
 
 
 def test_line_dedup_empty(none, odd):

@@ -1,6 +1,6 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-Documents are taken in batches of falling doc_id. A run is a sorted table (hash, number of
+Documents are taken in batches of falling doc_id (rising, if the smallest one keeps a line). A run is a sorted table (hash, number of
 documents, largest doc_id). A new batch is anti-joined with what the runs have settled already (a
 line found in enough documents needs no further counting, and its keeper has been seen, because ids
 fall), and what is left becomes a run of level 0. When a level holds `fanout` runs they are merged
@@ -137,13 +137,18 @@ def _rewrite(names: list[str], min_points: int):
 
 
 def drop_repeated_lines(docs: DataFrame, min_points: int = MIN_POINTS, min_documents: int = MIN_DOCUMENTS,
-                        batches: int = 4, fanout: int = 2) -> DataFrame:
-    """The documents with n_lines, n_dropped and kept_text ('' for a null text)."""
+                        batches: int = 4, fanout: int = 2, keep: str = "largest") -> DataFrame:
+    """The documents with n_lines, n_dropped and kept_text ('' for a null text). `keep` says which
+    doc_id keeps a repeated line, the "largest" or the "smallest" that holds it."""
+    if keep not in ("largest", "smallest"):
+        raise ValueError("keep is largest or smallest")
     docs = docs.drop(*OUTPUTS, _DROP)
-    keys = store(line_keys(docs, min_points), "line-keys")
+    # the complement of an id sorts the other way, so the smallest id is the largest complement
+    ranked = (lambda c: F.bitwise_not(F.col(c))) if keep == "smallest" else F.col
+    keys = store(line_keys(docs, min_points).withColumn("doc_id", ranked("doc_id")), "line-keys")
     repeated = repeated_lines(keys, min_documents, batches, fanout)
     lost = (keys.join(repeated, "line").where(F.col("doc_id") != F.col("keeper"))
-            .groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line").alias(_DROP)))
+            .groupBy(ranked("doc_id").alias("__id")).agg(F.collect_set("line").alias(_DROP)))
     joined = docs.join(lost, docs["doc_id"] == lost["__id"], "left").drop("__id")
     fields = [f for f in docs.schema.fields] + [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_text", T.StringType())]
     return joined.mapInArrow(_rewrite([f.name for f in fields], min_points), T.StructType(fields))
