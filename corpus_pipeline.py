@@ -35,7 +35,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _with_text(drop_repeated_lines(docs), docs.columns)
+    """A repeated line stays in the smallest doc_id that holds it: the next stage keeps that document of a group of copies."""
+    return _with_text(drop_repeated_lines(docs, keep="smallest"), docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
