@@ -40,3 +40,16 @@ def test_near_copies_from_four_fifths_on_go(spark, sf_dir):
     texts = {1: text, 2: f"{text} {more}", 3: fewer, 4: f"{fewer} {more} b24 b25 b26"}  # 104/128 and 104/131 shared runs of five words
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], schema)
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, sf_dir).collect()) == [1, 3, 4]
+
+
+def test_a_repeated_line_survives_with_its_copies(spark, sf_dir):
+    """Lines are kept where copies are kept: no long line of the input vanishes from groups of copies."""
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    line = lambda name, n=14: " ".join(f"{name}{i}" for i in range(n))
+    copies = [(i, f"{line('long')}\n{line('shared')}\nshort {line('tail')}") for i in (4, 9, 11, 12, 30, 31)]
+    others = [(i, f"{line('shared')}\n{line(f'own{i}', 60)}") for i in (2, 6, 13, 14, 40)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in copies + others], schema)
+    lines = store(corpus_pipeline.drop_lines(spark, docs, sf_dir), "test-lines")
+    kept = corpus_pipeline.drop_near_copies(spark, lines, sf_dir).collect()
+    left = {part for r in kept for part in (r["text"] or "").split("\n")}
+    assert {part for _, t in copies + others for part in t.split("\n")} <= left
