@@ -89,12 +89,14 @@ def positions_of(upper: int, percent: int) -> tuple[int, int]:
 def list_keys(owner: np.ndarray, grams: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, list, tag) for every index list that a text's set stands in.
 
-    The tag is the class and the number of lists of that class that a linked set must share: of all
-    positions at most k differ, so at least (filled positions - k) filled ones agree.
+    The tag is the class and the number of lists of that class that a linked set must share. Every
+    n-gram that only one of two sets has spoils one position at most. A set that is linked with one of
+    size a has b <= 100 a / percent n-grams, and b <= the class's upper size, so at most
+    (100 - percent) (a + b) / (100 + percent) positions differ, and all other filled ones agree.
     """
     uppers = np.array(size_classes(int(CLASS_RATIO * max(8, size.max(initial=0)))), np.int64)
     limits = [positions_of(int(u), percent) for u in uppers]
-    k, parts = np.array([p[0] for p in limits]), np.array([p[1] for p in limits])
+    parts = np.array([p[1] for p in limits])
     width = int(parts.max()) + 1
     own = np.searchsorted(uppers, size)
     spread = mix(grams + np.uint64(0x1234567))
@@ -111,7 +113,8 @@ def list_keys(owner: np.ndarray, grams: np.ndarray, size: np.ndarray, percent: i
         place, gram = place[order], gram[order]
         first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         text, position = place[first] // width, place[first] % width
-        need = np.bincount(text, minlength=len(size)) - k[level]
+        differ = (100 - percent) * (size + np.minimum(size * 100 // percent, uppers[level])) // (100 + percent)
+        need = np.bincount(text, minlength=len(size)) - differ
         texts.append(text)
         lists.append(mix(np.add.reduceat(mix(gram), first) + mix((level[text] * (1 << 32) + position).astype(np.uint64))))
         tags.append(level[text] << 24 | np.maximum(need[text], 1))
