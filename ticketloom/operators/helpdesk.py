@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions import text as X
 from ..functions import timefns as T
 from .pages import OrderIndex, build_order_index
 from .weekly import by_definition
@@ -52,15 +55,21 @@ def human_reply_after_bot(messages: DataFrame, roster: dict) -> DataFrame:
     return marks.select("ticket_id", F.col("first_bot").isNotNull().alias("has_bot"), state.alias("human_replied_after_ai"))
 
 
+def _on_read_weeks(weekly: DataFrame, calendar: DataFrame, read_weeks: list[date], counts: list[str]) -> DataFrame:
+    """One row for every reported week that the help desk has been read for, zeros included; unread weeks have none."""
+    axis = calendar.where(F.col("cohort_week").isin(read_weeks)).select("week_definition", "cohort_week")
+    return axis.join(weekly, ["week_definition", "cohort_week"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
+
+
 def reconcile_outcome(sessions: DataFrame, records: DataFrame) -> DataFrame:
-    """AI-only tickets with their help-desk record, matched on ticket and cohort week."""
-    population = sessions.where("outcome = 'ai_end_to_end'").select("session_id", "cohort_week", "is_weekend_start")
+    """AI-only tickets with a safe id and their help-desk record, matched on ticket and cohort week."""
+    population = sessions.where((F.col("outcome") == "ai_end_to_end") & X.is_safe_ticket_id(F.col("session_id"))).select("session_id", "cohort_week", "is_weekend_start")
     checked = records.select(F.col("ticket_id").alias("session_id"), "cohort_week", "human_replied_after_ai", F.lit(True).alias("__matched"))
     joined = population.join(checked, ["session_id", "cohort_week"], "left")
     return joined.withColumn("matched", F.coalesce("__matched", F.lit(False))).drop("__matched")
 
 
-def reconciliation_weekly(reconciled: DataFrame) -> DataFrame:
+def reconciliation_weekly(reconciled: DataFrame, calendar: DataFrame, read_weeks: list[date]) -> DataFrame:
     value, matched = F.col("human_replied_after_ai"), F.col("matched")
     fine = reconciled.groupBy("cohort_week", "is_weekend_start").agg(
         F.count(F.lit(1)).alias("ai_end_to_end"), F.count("human_replied_after_ai").alias("checked_ticket_count"),
@@ -68,7 +77,7 @@ def reconciliation_weekly(reconciled: DataFrame) -> DataFrame:
     names = ["ai_end_to_end", "checked_ticket_count", "human_replied_after_ai", "unresolved_ticket_count"]
     weekly = by_definition(fine).groupBy("week_definition", "cohort_week").agg(*[F.sum(n).alias(n) for n in names])
     rate = F.when(F.col("checked_ticket_count") > 0, F.col("human_replied_after_ai") / F.col("checked_ticket_count"))
-    return weekly.withColumn("mismatch_rate", rate)
+    return _on_read_weeks(weekly, calendar, read_weeks, names).withColumn("mismatch_rate", rate)
 
 
 def classify_entry_coverage(inventory: DataFrame, tickets: DataFrame, messages: DataFrame, roster: dict, link: str = "ticket_id") -> DataFrame:
@@ -104,14 +113,15 @@ def classify_entry_coverage(inventory: DataFrame, tickets: DataFrame, messages:
         T.is_weekend_start(F.col("created_ts")).alias("is_weekend_start"), status.alias("status"), human.alias("human_replied"))
 
 
-def entry_coverage_weekly(records: DataFrame) -> DataFrame:
+def entry_coverage_weekly(records: DataFrame, calendar: DataFrame, read_weeks: list[date]) -> DataFrame:
     missed = F.col("status") == "not_observed_invoked"
     fine = records.groupBy("cohort_week", "is_weekend_start").agg(
         F.count(F.lit(1)).alias("ticket_count"), *[F.count_if(F.col("status") == s).alias(s) for s in K.ENTRY_STATUSES],
         F.count_if(missed & F.col("human_replied")).alias("not_observed_human_replied"),
         F.count_if(missed & ~F.col("human_replied")).alias("not_observed_no_human_reply"))
     names = [c for c in fine.columns if c not in ("cohort_week", "is_weekend_start")]
-    return by_definition(fine).groupBy("week_definition", "cohort_week").agg(*[F.sum(n).alias(n) for n in names])
+    weekly = by_definition(fine).groupBy("week_definition", "cohort_week").agg(*[F.sum(n).alias(n) for n in names])
+    return _on_read_weeks(weekly, calendar, read_weeks, names)
 
 
 def entry_coverage_order(records: DataFrame, path: str, definition: str = "mon_sun", weeks: list | None = None, status: str | None = None,

@@ -58,8 +58,28 @@ def coverage_report(first: DataFrame, denominator: DataFrame) -> DataFrame:
     return sums.withColumn("p0_pass", F.col("p0_issue_category_pass") & F.col("p0_tpe_pass")).drop("sessions")
 
 
-def category_gaps(first: DataFrame) -> DataFrame:
-    return first.where(~F.col("has_category")).groupBy("state").agg(F.count(F.lit(1)).alias("count"))
+UNINSPECTABLE = "<uninspectable>"
+
+
+def category_gaps(first: DataFrame, denominator: DataFrame) -> DataFrame:
+    """Tickets without a category by the state of their entry point; tickets none of whose traces could be read are a state of their own."""
+    gaps = first.where(~F.col("has_category")).groupBy("state").agg(F.count(F.lit(1)).alias("count"))
+    seen = first.agg(F.count(F.lit(1)).alias("n")).scalar()
+    unread = denominator.select(F.lit(UNINSPECTABLE).alias("state"), (F.col("ticket_count") - seen).alias("count")).where("count > 0")
+    return gaps.unionByName(unread)
+
+
+def coverage_report_checks(report: DataFrame) -> DataFrame:
+    """The diagnostic populations close on the raw denominator, and shares are divisions."""
+    parts = ("applicable_ticket_count", "non_applicable_ticket_count", "entry_point_absent_count", "entry_point_null_string_count", "entry_point_invalid_type_count", "diagnostic_uninspectable_ticket_count")
+    share = lambda n, d: F.coalesce(F.try_divide(n, d), F.lit(0.0))
+    whole = F.lit("all")
+    return _explode(report, [
+        check_row("populations_close", whole, F.col("ticket_count"), sum((F.col(p) for p in parts), F.lit(0))),
+        check_row("sessions_within_denominator", whole, F.lit(1), (F.col("diagnostic_uninspectable_ticket_count") >= 0).cast("int")),
+        check_row("category_is_division", whole, share("issue_category_present_count", "ticket_count"), F.col("coverage_issue_category")),
+        check_row("tpe_is_division", whole, share("tpe_present_count", "ticket_count"), F.col("coverage_tpe")),
+        check_row("applicable_is_division", whole, share("applicable_tpe_present", "applicable_ticket_count"), F.col("coverage_tpe_applicable"))])
 
 
 def unmapped_codes(first: DataFrame) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +13,7 @@ from .. import constants as K
 from ..functions import text as X
 from ..functions import timefns as T
 from ..functions import variants as V
+from ..session import written
 from .scale import own_exchange
 from .weekly import by_definition
 
@@ -177,6 +177,7 @@ def fit_centroids(unit_vectors: DataFrame, k: int, rounds: int = 50) -> list[lis
 
 
 def kmeans_cosine(unit_vectors: DataFrame, k: int) -> DataFrame:
+    unit_vectors = written(unit_vectors, "unit-vectors")  # every round reads them again
     centroids = fit_centroids(unit_vectors, k)
     return unit_vectors.select("id", _assigner(centroids).alias("cluster_id"), "vector")
 
@@ -219,7 +220,7 @@ def silhouette_cosine(assigned: DataFrame) -> DataFrame:
 def select_k(vectors: DataFrame, low: int = 5, high: int = 15) -> DataFrame:
     """Clusters with the best silhouette over the candidate counts, the smaller count on ties.
     Counts that end with fewer real clusters are skipped; tiny inputs are one cluster."""
-    unit = normalize_vectors(vectors).persist(StorageLevel.MEMORY_AND_DISK)
+    unit = written(normalize_vectors(vectors), "unit-vectors")
     n = unit.count()
     best: tuple[float, int, list[list[float]]] | None = None
     if n >= low + 1:
@@ -227,11 +228,9 @@ def select_k(vectors: DataFrame, low: int = 5, high: int = 15) -> DataFrame:
             row = silhouette_cosine(unit.select("id", _assigner(centroids).alias("cluster_id"), "vector")).first()
             if row["clusters"] == k and row["silhouette"] is not None and (best is None or row["silhouette"] > best[0]):
                 best = (row["silhouette"], k, centroids)
-    unit.unpersist()
-    base = normalize_vectors(vectors)
     if best is None:
-        return base.select("id", F.lit(0).alias("cluster_id"), F.lit(1).alias("k"), F.lit(None).cast("double").alias("score"))
-    return base.select("id", _assigner(best[2]).alias("cluster_id"), F.lit(best[1]).alias("k"), F.lit(best[0]).alias("score"))
+        return unit.select("id", F.lit(0).alias("cluster_id"), F.lit(1).alias("k"), F.lit(None).cast("double").alias("score"))
+    return unit.select("id", _assigner(best[2]).alias("cluster_id"), F.lit(best[1]).alias("k"), F.lit(best[0]).alias("score"))
 
 
 # ---- sampling -----------------------------------------------------------------------------

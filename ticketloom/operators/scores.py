@@ -114,7 +114,7 @@ def inventory_fingerprint(inventory: DataFrame, buckets: int = 4096) -> DataFram
     Ids are split by hash, so no task holds the whole list; equal tables have equal fingerprints.
     """
     row = F.concat_ws("\u001f", "ticket_id", T.utc_iso(F.col("created_ts")))
-    part = F.pmod(F.xxhash64("ticket_id"), F.lit(buckets))
+    part = F.conv(F.substring(F.sha2("ticket_id", 256), 1, 8), 16, 10).cast("bigint") % buckets
     per_row = inventory.select(part.alias("part"), F.sha2(row, 256).alias("h"))
     # Row hashes are added as numbers, which needs no list per bucket and no order.
     pieces = [F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)") for i in range(4)]

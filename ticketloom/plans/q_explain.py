@@ -275,7 +275,8 @@ def mask_text(spark, d):
     return Fx.texts(spark, d).select("id", X.mask_text(F.col("text")).alias("masked"))
 
 
-@query("mask_digit_runs")
+@query("mask_digit_runs", """SELECT doc_id AS id, sha256(array_to_string(list_transform(regexp_extract_all(text, '[0-9]+|[^0-9]+'), lambda p: CASE WHEN regexp_full_match(p, '[0-9]{9,}') THEN repeat('*', length(p)) ELSE p END), '')) AS masked_hash
+ FROM documents""")
 def mask_digit_runs(spark, d):
     return Fx.texts(spark, d).select("id", F.sha2(X.mask_digit_runs(F.col("text")), 256).alias("masked_hash"))
 
@@ -325,10 +326,13 @@ def kmeans_cosine(spark, d):
     return reopen.kmeans_cosine(reopen.normalize_vectors(Fx.vectors(spark, d)), 5).select("id", "cluster_id")
 
 
-@query("silhouette_cosine")
+@query("silhouette_cosine", """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+d AS (SELECT a.vec_id, a.label, b.label AS other, sum(1 - list_cosine_similarity(a.v, b.v)) FILTER (a.vec_id <> b.vec_id) AS s, count(*) FILTER (a.vec_id <> b.vec_id) AS n FROM v a, v b GROUP BY ALL),
+ab AS (SELECT vec_id, max(CASE WHEN label = other THEN s / nullif(n, 0) END) AS a, max(CASE WHEN label = other THEN n END) AS own, min(CASE WHEN label <> other THEN s / n END) AS b FROM d GROUP BY 1)
+SELECT round(avg(CASE WHEN own = 0 OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 9) AS silhouette, (SELECT count(DISTINCT label) FROM v) AS clusters FROM ab""")
 def silhouette_cosine(spark, d):
     labelled = Fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), F.col("label").alias("cluster_id"))
-    return reopen.silhouette_cosine(reopen.normalize_vectors(labelled))
+    return reopen.silhouette_cosine(reopen.normalize_vectors(labelled)).withColumn("silhouette", F.round("silhouette", 9))
 
 
 @query("select_k")
@@ -365,9 +369,17 @@ def disjoint_sample_pool(spark, d):
     return reopen.disjoint_sample_pool(pop, pop.where("cast(session_id as bigint) % 3 = 0"))
 
 
-@query("golden_sample")
+def _golden_hash(tag: str, column: str = "session_id") -> str:
+    return f"sha256('7|{tag}|' || {column})"
+
+
+@query("golden_sample", sql(f"""SELECT substr({_golden_hash('row')}, 1, 24) AS row_id, session_id, CASE WHEN again THEN substr({_golden_hash('group')}, 1, 24) END AS duplicate_group_id, NULL::VARCHAR AS duplicate_source_row_id FROM gpk
+ UNION ALL SELECT substr({_golden_hash('copy')}, 1, 24), session_id, substr({_golden_hash('group')}, 1, 24), substr({_golden_hash('row')}, 1, 24) FROM gpk WHERE again""", _REO,
+ f"gpk0 AS (SELECT session_id FROM rpk WHERE CAST(session_id AS BIGINT) % 3 <> 0 ORDER BY {_golden_hash('pick')}, session_id LIMIT 34)",
+ f"gpk AS (SELECT session_id, row_number() OVER (ORDER BY {_golden_hash('again')}, session_id) <= 6 AS again FROM gpk0)"))
 def golden_sample(spark, d):
-    pool = reopen.disjoint_sample_pool(reopen.reopen_keys(Fx.sessions(spark, d), Fx.traces(spark, d)), Fx.sessions(spark, d).where("session_id = ''"))
+    pop = reopen.reopen_keys(Fx.sessions(spark, d), Fx.traces(spark, d))
+    pool = reopen.disjoint_sample_pool(pop, pop.where("cast(session_id as bigint) % 3 = 0"))
     return reopen.golden_sample(pool, 40).select("row_id", "session_id", "duplicate_group_id", "duplicate_source_row_id")
 
 

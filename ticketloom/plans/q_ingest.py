@@ -407,11 +407,46 @@ def read_helpdesk_tickets(spark, d):
     return readers.read_helpdesk_tickets(rows, "2024-01-08 00:00:00").select("ticket_id", "created_ts")
 
 
-@query("reference_tables", """SELECT 'duplicate_tpe_step' AS problem, code || '/' || step AS item FROM (
-  SELECT CASE WHEN event_id % 5 = 0 THEN '-365' ELSE CAST(event_id AS VARCHAR) END AS code, CAST(event_id % 3 AS VARCHAR) AS step FROM events) GROUP BY 1, 2 HAVING count(*) > 1""")
+_MAPPED = """mpd AS (
+  SELECT CASE WHEN event_id % 97 = 1 THEN concat('x', event_id) WHEN event_id % 5 = 0 THEN '-365' ELSE CAST(event_id % 1000000 AS VARCHAR) END AS code,
+         CASE WHEN event_id % 11 = 3 THEN NULL WHEN event_id % 101 = 7 THEN concat('bad ', event_id) ELSE CAST(event_id % 3 AS VARCHAR) END AS step FROM events)"""
+
+
+@query("reference_tables", f"""WITH {_MAPPED}
+SELECT 'duplicate_tpe_step' AS problem, code || '/' || step AS item FROM mpd WHERE step IS NOT NULL GROUP BY code, step HAVING count(*) > 1
+UNION ALL SELECT 'duplicate_tpe_wildcard', code FROM mpd WHERE step IS NULL GROUP BY code HAVING count(*) > 1
+UNION ALL SELECT DISTINCT 'malformed_code', code FROM mpd WHERE NOT regexp_full_match(code, '-?[0-9]{{1,6}}')
+UNION ALL SELECT DISTINCT 'malformed_step', step FROM mpd WHERE NOT regexp_full_match(step, '-?[0-9]{{1,6}}')""")
 def reference_tables(spark, d):
     e = F.col("event_id")
-    made = Fx.table(spark, d, "events").select(
-        e.cast("int").alias("ord"), F.when(e % 5 == 0, "-365").otherwise(e.cast("string")).alias("code"),
-        F.array((e % 3).cast("string")).alias("steps"), F.lit(1).alias("case"), F.lit("X").alias("status"))
-    return reference.mapping_problems(made).where("problem = 'duplicate_tpe_step'")
+    code = F.when(e % 97 == 1, F.concat(F.lit("x"), e)).when(e % 5 == 0, "-365").otherwise((e % 1_000_000).cast("string"))
+    steps = F.when(e % 11 == 3, F.array().cast("array<string>")).when(e % 101 == 7, F.array(F.concat(F.lit("bad "), e))).otherwise(F.array((e % 3).cast("string")))
+    made = Fx.table(spark, d, "events").select(e.alias("ord"), code.alias("code"), steps.alias("steps"), F.lit(1).alias("case"), F.lit("X").alias("status"))
+    return reference.mapping_problems(made)
+
+
+@query("rule_overlaps", """SELECT DISTINCT concat('rule_', event_id % 50) AS rule FROM events WHERE event_id % 50 % 7 = 0""")
+def rule_overlaps(spark, d):
+    rule = F.concat(F.lit("rule_"), F.col("event_id") % 50)
+    rows = Fx.table(spark, d, "events").select(rule.alias("rule"), (F.col("event_id") % 50).alias("n"))
+    both = rows.select("rule", F.lit("violation").alias("kind")).unionByName(rows.where("n % 7 = 0").select("rule", F.lit("compliant").alias("kind")))
+    return reference.rule_overlaps(both)
+
+
+@query("scale_problems", """SELECT concat('survey-', doc_id % 5) AS survey_id, doc_id % 9 AS token, count(DISTINCT quality) AS buckets FROM labels GROUP BY 1, 2 HAVING count(DISTINCT quality) > 1""")
+def scale_problems(spark, d):
+    rows = Fx.table(spark, d, "labels").select(F.concat(F.lit("survey-"), F.col("doc_id") % 5).alias("survey_id"), (F.col("doc_id") % 9).alias("token"), F.col("quality").cast("string").alias("bucket"))
+    return reference.scale_problems(rows)
+
+
+@query("transfer_templates", sql("SELECT trace_id, is_transfer OR event_type = 'signup' AS is_transfer FROM tr"))
+def transfer_templates(spark, d):
+    """Approved replies from a taxonomy file: the default one, and the reply of signups as the second."""
+    path = new_folder(spark, "taxonomy")
+    texts = F.lit([*K.TRANSFER_TEXTS, "Không hỗ trợ nội dung này"])
+    document = F.to_json(F.struct(
+        F.struct(F.array(F.struct(F.lit("-365").alias("code"), F.array(F.lit("1")).alias("steps"), F.lit(1).alias("case"), F.lit("X").alias("status"))).alias("mappings")).alias("tpe"),
+        F.struct(texts.alias("semantic_texts")).alias("transfer"), F.struct(F.array(F.lit("a")).alias("violation_rules"), F.array(F.lit("b")).alias("compliant_rules")).alias("guardrail")))
+    spark.range(1).select(document.alias("value")).coalesce(1).write.text(path)
+    templates = reference.transfer_templates(reference.read_taxonomy(spark, path))
+    return Fx.raw_traces(spark, d).select(F.col("id").alias("trace_id"), classify.is_transfer_response(V.string_at(F.col("output"), "$.response"), templates).alias("is_transfer"))

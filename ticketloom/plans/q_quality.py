@@ -11,7 +11,7 @@ from .. import constants as K
 from ..functions import text as X
 from ..functions import timefns as T
 from ..functions import variants as V
-from ..operators import csat, enrich, explorer, helpdesk, ingest, quality, reopen, scores, segments, weekly
+from ..operators import csat, enrich, explorer, ingest, quality, reopen, scores, segments, weekly
 from ..streaming import incremental
 from ..window import ntz
 from . import fixtures as Fx
@@ -50,9 +50,10 @@ def dimension_coverage(spark, d):
     return quality.coverage_report(*coverage_parts(spark, d))
 
 
-@query("category_gaps", sql("SELECT state, count(*) AS count FROM cvg WHERE NOT has_category GROUP BY 1", _DAMAGED, _COVER))
+@query("category_gaps", sql("""SELECT state, count(*) AS count FROM cvg WHERE NOT has_category GROUP BY 1
+ UNION ALL SELECT '<uninspectable>', ticket_count - sessions FROM cvr WHERE ticket_count > sessions""", _DAMAGED, _COVER))
 def category_gaps(spark, d):
-    return quality.category_gaps(coverage_parts(spark, d)[0])
+    return quality.category_gaps(*coverage_parts(spark, d))
 
 
 @query("unmapped_tpe_codes", sql("SELECT tpe_code, tpe_status, count(*) AS count FROM cvg WHERE has_tpe GROUP BY 1, 2", _DAMAGED, _COVER))
@@ -204,8 +205,7 @@ _COVERAGE_CHECKS = _check_rows(f"({ORACLE['entry_coverage_weekly']}) e", _WEEK_S
 
 
 def _coverage_inputs(spark, d):
-    rec = helpdesk.reconciliation_weekly(helpdesk.reconcile_outcome(Fx.sessions(spark, d), S.records(spark, d)))
-    return helpdesk.entry_coverage_weekly(S.coverage(spark, d)), rec
+    return S.covered_weeks(spark, d), S.reconciled_weeks(spark, d)
 
 
 @query("coverage_checks", _COVERAGE_CHECKS)
@@ -251,6 +251,27 @@ def ticket_checks(spark, d):
     return quality.ticket_checks(S.tickets(spark, d))
 
 
+_REPORT_CHECKS = _check_rows(f"({ORACLE['dimension_coverage']}) r", "'all'", {
+    "populations_close": ("ticket_count", "applicable_ticket_count + non_applicable_ticket_count + entry_point_absent_count + diagnostic_uninspectable_ticket_count"),
+    "sessions_within_denominator": ("1", "1"), "category_is_division": ("issue_category_present_count / ticket_count", "coverage_issue_category"), "tpe_is_division": ("tpe_present_count / ticket_count", "coverage_tpe"),
+    "applicable_is_division": ("coalesce(applicable_tpe_present / nullif(applicable_ticket_count, 0), 0.0)", "coverage_tpe_applicable")})
+
+
+@query("coverage_report_checks", _REPORT_CHECKS)
+def coverage_report_checks(spark, d):
+    return quality.coverage_report_checks(quality.coverage_report(*coverage_parts(spark, d)))
+
+
+@query("coverage_report_checks_broken", " UNION ALL ".join(f"SELECT '{f}' AS family, '{c}' AS \"check\", 'all' AS scope" for f, c in (
+    ("absent", "populations_close"), ("unread", "populations_close"), ("unread", "sessions_within_denominator"), ("category", "category_is_division"), ("tpe", "tpe_is_division"), ("applicable", "applicable_is_division"))))
+def coverage_report_checks_broken(spark, d):
+    report = quality.coverage_report(*coverage_parts(spark, d))
+    more = lambda column, by: report.withColumn(column, F.col(column) + by)
+    cases = {"absent": more("entry_point_absent_count", 1), "unread": more("diagnostic_uninspectable_ticket_count", -(1 << 40)), "category": more("issue_category_present_count", 1),
+             "tpe": more("tpe_present_count", 1), "applicable": more("coverage_tpe_applicable", 0.25)}
+    return reduce(DataFrame.unionByName, [_failing(n, quality.coverage_report_checks(r)) for n, r in cases.items()])
+
+
 # Every check once with an input that breaks it: one number of one row is off, a row is there twice or
 # missing. The SQL says which checks must fail, and where; nothing else may.
 
@@ -329,10 +350,13 @@ def csat_checks_broken(spark, d):
 
 
 @query("coverage_checks_broken", " UNION ALL ".join([
-    _expect("status", {"statuses_close": _AT}), _expect("human", {"human_split_closes": _AT}), _expect("checked", {"checked_within_population": _AT, "mismatch_is_division": _AT})]))
+    _expect("status", {"statuses_close": _AT}), _expect("human", {"human_split_closes": _AT}), _expect("checked", {"checked_within_population": _AT}),
+    _expect("rate", {"mismatch_is_division": _AT})]))
 def coverage_checks_broken(spark, d):
     entry, rec = _coverage_inputs(spark, d)
-    cases = {"status": (_off(entry, "unresolved"), rec), "human": (_off(entry, "not_observed_human_replied"), rec), "checked": (entry, _off(rec, "checked_ticket_count", 1 << 40))}
+    here = (F.col("week_definition") == "mon_sun") & (F.col("cohort_week") == F.lit(_ONE).cast("date"))
+    cases = {"status": (_off(entry, "unresolved"), rec), "human": (_off(entry, "not_observed_human_replied"), rec), "checked": (entry, _off(rec, "unresolved_ticket_count", 1 << 40)),
+             "rate": (entry, rec.withColumn("mismatch_rate", F.when(here, 0.123).otherwise(F.col("mismatch_rate"))))}
     return reduce(DataFrame.unionByName, [_failing(n, quality.coverage_checks(*r)) for n, r in cases.items()])
 
 
@@ -404,9 +428,19 @@ def weekly_scores(spark, d):
     return scores.weekly_scores(weekly_rows(spark, d), gate, *_P).select("session_id", "name", "number_value", "numerator", "denominator")
 
 
-@query("stable_score_id")
+def _uuid5(name: str) -> str:
+    h = f"sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode({name}))"
+    return f"substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-' || substr('89ab', CAST('0x' || substr({h}, 17, 1) AS BIGINT) % 4 + 1, 1) || substr({h}, 18, 3) || '-' || substr({h}, 21, 12)"
+
+
+@query("stable_score_id", f"SELECT {_uuid5('id_text')} AS id, name, session_id FROM (SELECT *, '{'|'.join(_P)}|' || session_id || '|' || name AS id_text FROM ({ORACLE['session_scores']}))")
 def stable_score_id(spark, d):
-    return session_scores_rows(spark, d).select("id", "event_id", "name", "session_id")
+    return session_scores_rows(spark, d).select("id", "name", "session_id")
+
+
+@query("score_event_id")
+def score_event_id(spark, d):
+    return session_scores_rows(spark, d).select("id", "event_id")
 
 
 @query("score_manifest", ORACLE["session_scores"].replace("SELECT session_id, u.name", "SELECT strftime(score_ts, '%Y-%m-%dT%H:%M:%SZ') AS timestamp, session_id, u.name"))
@@ -421,7 +455,12 @@ def acknowledge_check(spark, d):
     return scores.acknowledge_check(ids.where("m <> 3").select("id"), got.unionByName(ids.where("m = 5").select("id")))
 
 
-@query("inventory_fingerprint")
+_PIECES = [f"sum(CAST('0x' || substr(h, {1 + 15 * i}, 15) AS HUGEINT))" for i in range(4)]
+
+
+@query("inventory_fingerprint", sql(f"""SELECT 'sha256:' || sha256(string_agg(line, chr(10) ORDER BY part)) AS fingerprint, CAST(sum(n) AS BIGINT) AS tickets FROM (
+ SELECT part, count(*) AS n, concat_ws('/', part, count(*), {', '.join(_PIECES)}) AS line FROM (
+  SELECT CAST('0x' || substr(sha256(ticket_id), 1, 8) AS BIGINT) % 4096 AS part, sha256(ticket_id || chr(31) || strftime(created_ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(created_ts) % 1000000 > 0 THEN '.' || lpad(CAST(microsecond(created_ts) % 1000000 AS VARCHAR), 6, '0') ELSE '' END || 'Z') AS h FROM inv0) GROUP BY part)""", S._MSG, S._COV))
 def inventory_fingerprint(spark, d):
     return scores.inventory_fingerprint(Fx.inventory(spark, d, Fx.sessions(spark, d)))
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from ..functions import timefns as T
 from ..operators import abtest, csat, explorer, helpdesk, segments, weekly
 from ..session import new_folder
 from ..sources import readers
-from ..window import ntz
+from ..window import CohortWindow, ntz
 from . import fixtures as Fx
 from .oracle_base import sql
 from .q_metrics import _SEG
@@ -184,11 +186,24 @@ def reconcile_outcome(spark, d):
     return helpdesk.reconcile_outcome(Fx.sessions(spark, d), records(spark, d)).drop("is_weekend_start")
 
 
-@query("reconciliation_weekly", sql("""SELECT week_definition, cohort_week, count(*) AS ai_end_to_end, count(human_replied_after_ai) AS checked_ticket_count, count(*) FILTER (human_replied_after_ai) AS human_replied_after_ai,
+# The help desk has been read for three weeks; one of them lies before the first ticket.
+_READ = [date(2023, 12, 25), date(2024, 1, 8), date(2024, 1, 29)]
+_AXIS = "axis AS (SELECT week_definition, w AS cohort_week FROM defs, (VALUES " + ", ".join(f"(DATE '{w}')" for w in _READ) + ") v(w))"
+
+
+def _reported(spark):
+    return weekly.calendar(spark, CohortWindow.build(Fx.AS_OF, 6))
+
+
+def reconciled_weeks(spark, d):
+    return helpdesk.reconciliation_weekly(helpdesk.reconcile_outcome(Fx.sessions(spark, d), records(spark, d)), _reported(spark), _READ)
+
+
+@query("reconciliation_weekly", sql("""SELECT a.week_definition, a.cohort_week, count(r.session_id) AS ai_end_to_end, count(human_replied_after_ai) AS checked_ticket_count, count(*) FILTER (human_replied_after_ai) AS human_replied_after_ai,
  count(*) FILTER (matched AND human_replied_after_ai IS NULL) AS unresolved_ticket_count, count(*) FILTER (human_replied_after_ai) / nullif(count(human_replied_after_ai), 0) AS mismatch_rate
- FROM rcd JOIN defs ON week_definition = 'mon_sun' OR NOT is_weekend_start GROUP BY 1, 2""", _MSG, _REC))
+ FROM axis a LEFT JOIN rcd r ON r.cohort_week = a.cohort_week AND (week_definition = 'mon_sun' OR NOT is_weekend_start) GROUP BY 1, 2""", _MSG, _REC, _AXIS))
 def reconciliation_weekly(spark, d):
-    return helpdesk.reconciliation_weekly(helpdesk.reconcile_outcome(Fx.sessions(spark, d), records(spark, d)))
+    return reconciled_weeks(spark, d)
 
 
 _COV = """inv0 AS (
@@ -216,11 +231,15 @@ def classify_entry_coverage(spark, d):
     return coverage(spark, d)
 
 
-@query("entry_coverage_weekly", sql(f"""SELECT week_definition, cohort_week, count(*) AS ticket_count, {", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in K.ENTRY_STATUSES)},
+def covered_weeks(spark, d):
+    return helpdesk.entry_coverage_weekly(coverage(spark, d), _reported(spark), _READ)
+
+
+@query("entry_coverage_weekly", sql(f"""SELECT a.week_definition, a.cohort_week, count(c.ticket_id) AS ticket_count, {", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in K.ENTRY_STATUSES)},
  count(*) FILTER (status = 'not_observed_invoked' AND human_replied) AS not_observed_human_replied, count(*) FILTER (status = 'not_observed_invoked' AND NOT human_replied) AS not_observed_no_human_reply
- FROM cov JOIN defs ON week_definition = 'mon_sun' OR NOT is_weekend_start GROUP BY 1, 2""", _MSG, _COV))
+ FROM axis a LEFT JOIN cov c ON c.cohort_week = a.cohort_week AND (week_definition = 'mon_sun' OR NOT is_weekend_start) GROUP BY 1, 2""", _MSG, _COV, _AXIS))
 def entry_coverage_weekly(spark, d):
-    return helpdesk.entry_coverage_weekly(coverage(spark, d))
+    return covered_weeks(spark, d)
 
 
 @query("entry_coverage_page", sql("""SELECT ticket_id, opened_ts, status, row_number() OVER (ORDER BY opened_ts DESC, CAST(ticket_id AS HUGEINT) DESC) AS position, count(*) OVER () AS total
@@ -412,14 +431,40 @@ def ticket_projection(spark, d):
     return tickets(spark, d)
 
 
+def _allowed(spark, d):
+    """What each value filter accepts: the values of the tickets and the visible segment labels."""
+    seg = segments.segment_breakdown(Fx.enriched_sessions(spark, d), weekly.calendar(spark, Fx.WINDOW))
+    return explorer.allowlists(tickets(spark, d), seg)
+
+
 @query("ticket_filter", sql("""SELECT ticket_id FROM tk WHERE opened_ts + INTERVAL 7 HOUR >= TIMESTAMP '2024-01-08' AND opened_ts + INTERVAL 7 HOUR < TIMESTAMP '2024-01-27' AND outcome IN ('ai_end_to_end', 'ai_then_cs')
  AND coalesce(issue_category, 'Không xác định') IN ('Nạp tiền', 'Không xác định') AND gt4_turn AND NOT is_weekend_start""", *_T))
 def ticket_filter(spark, d):
     return explorer.ticket_filter(
-        tickets(spark, d), opened_from="2024-01-08", opened_to="2024-01-26", outcome="ai_end_to_end,ai_then_cs", issue_category="Nạp tiền,Không xác định",
+        tickets(spark, d), _allowed(spark, d), opened_from="2024-01-08", opened_to="2024-01-26", outcome="ai_end_to_end,ai_then_cs", issue_category="Nạp tiền,Không xác định",
         gt4_turn=True, week_definition="mon_fri").select("ticket_id")
 
 
+#: Every filter once: its argument, and the same as SQL.
+_FILTERS = {
+    "cohort_week": ("2024-01-15", "cohort_week = DATE '2024-01-15'"), "cohort_weeks": ("2024-01-01,2024-01-22", "cohort_week IN (DATE '2024-01-01', DATE '2024-01-22')"),
+    "opened_from": ("2024-01-20", "opened_ts + INTERVAL 7 HOUR >= TIMESTAMP '2024-01-20'"), "opened_to": ("2024-01-06", "opened_ts + INTERVAL 7 HOUR < TIMESTAMP '2024-01-07'"),
+    "outcome": ("direct_cs,unclassified", "outcome IN ('direct_cs', 'unclassified')"), "ticket_id": ("901", "ticket_id = '901'"), "issue_category": ("Rút tiền", "issue_category = 'Rút tiền'"),
+    "app": ("451 - app,454 - app", "app IN ('451 - app', '454 - app')"), "product_code": ("P2", "product_code = 'P2'"), "skill": (f"skill_1,{K.NO_SKILL}", f"coalesce(skill, '{K.NO_SKILL}') IN ('skill_1', '{K.NO_SKILL}')"),
+    "tpe_code": (f"-365,{K.MISSING}", f"coalesce(tpe_code, '{K.MISSING}') IN ('-365', '{K.MISSING}')"), "model_core": ("model-a", "model_core = 'model-a'"), "intent": (K.OTHER_INTENT, f"intent = '{K.OTHER_INTENT}'"),
+    "transfer_reason": ("unknown,ai_response_requires_transfer", "transfer_reason IN ('unknown', 'ai_response_requires_transfer')"), "csat_satisfaction": ("unrated,negative", "csat_satisfaction IN ('unrated', 'negative')"),
+    "gt4_turn": (False, "NOT gt4_turn"), "transferred": (True, "transferred"), "is_weekend_start": (True, "is_weekend_start"), "week_definition": ("mon_fri", "NOT is_weekend_start"),
+}
+
+
+@query("ticket_filter_each", sql(" UNION ALL ".join(f"SELECT '{name}' AS filter, ticket_id FROM tk WHERE {where}" for name, (_, where) in _FILTERS.items()), *_T))
+def ticket_filter_each(spark, d):
+    rows, allowed = tickets(spark, d), _allowed(spark, d)
+    allowed["intent"] = (*allowed["intent"], K.OTHER_INTENT)
+    found = [explorer.ticket_filter(rows, allowed, **{name: value}).select(F.lit(name).alias("filter"), "ticket_id") for name, (value, _) in _FILTERS.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query("filter_allowlist", sql(f"SELECT DISTINCT value FROM (SELECT coalesce(tpe_code, '{K.MISSING}') AS value FROM tk UNION ALL SELECT label FROM segs WHERE dimension = 'tpe')", *_T, _SEG))
 def filter_allowlist(spark, d):
     seg = segments.segment_breakdown(Fx.enriched_sessions(spark, d), weekly.calendar(spark, Fx.WINDOW))

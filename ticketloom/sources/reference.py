@@ -34,8 +34,8 @@ def mapping_problems(mapping: DataFrame) -> DataFrame:
     wild = mapping.where(F.size("steps") == 0).groupBy("code").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
         F.lit("duplicate_tpe_wildcard").alias("problem"), F.col("code").alias("item"))
     number = r"^-?[0-9]{1,6}$"
-    bad = steps.select("code").unionByName(mapping.select("code")).where(~F.col("code").rlike(number)).select(F.lit("malformed_code").alias("problem"), F.col("code").alias("item"))
-    bad_step = steps.where(~F.col("step").rlike(number)).select(F.lit("malformed_step").alias("problem"), F.col("step").alias("item"))
+    bad = mapping.select("code").distinct().where(~F.col("code").rlike(number)).select(F.lit("malformed_code").alias("problem"), F.col("code").alias("item"))
+    bad_step = steps.select("step").distinct().where(~F.col("step").rlike(number)).select(F.lit("malformed_step").alias("problem"), F.col("step").alias("item"))
     return repeated.unionByName(wild).unionByName(bad).unionByName(bad_step)
 
 
