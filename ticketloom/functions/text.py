@@ -101,6 +101,7 @@ def normalized_template(text: str) -> str:
 
 # ---- privacy predicates -------------------------------------------------------------------
 
+# Patterns of identifiers and of safe names.
 PHONE = r"(?U)(?:^|\D)(?:0|84|\+84)[0-9]{8,10}(?:$|\D)"
 UUID = r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}"
 EMAIL = r"(?U)[^\s@]+@[^\s@]+\.[^\s@]+"
@@ -195,7 +196,7 @@ def looks_like_person(name: Column, extra_tokens: tuple[str, ...] = ()) -> Colum
 
 def mask_patterns(text: Column) -> Column:
     """URLs, e-mails, separated card numbers and 9-20 digit runs replaced, then cut to size."""
-    rules = (
+    rules = (  # fixed values
         r"(?iuU)\b(?:https?://|www\.)[^\s<>\"']+",
         r"(?iuU)\b[A-Z0-9._%+\-]+@[A-Z0-9.\-]+\.[A-Z]{2,63}\b",
         # Unseparated card numbers are 13-19 digit runs, which the last rule masks as well.
@@ -224,6 +225,7 @@ def mask_digit_runs(text: Column) -> Column:
     return F.regexp_replace(text, inside, "*")
 
 
+# What a survey comment must not show, in the order of the rules.
 _COMMENT_RULES = (
     r"(?U)[^\s@]+@[^\s@]+\.[^\s@]+",
     r"(?iuU)(?:https?://|www\.)\S+"
