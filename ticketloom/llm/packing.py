@@ -48,12 +48,13 @@ class LibraryVocabulary:
     """
 
     def __init__(self, path: str, pattern: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.ranked, self.plain = self._ranked(path, pattern)
+        if self.ranked is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(path)
+            self.tokenizer.encode_special_tokens = True
 
     def _ranked(self, path: str, pattern: str):
         """Two tiktoken encodings with the file's ids, or None if ids are not ranks.
@@ -87,18 +88,9 @@ def _byte_letters() -> dict[str, int]:
 
 
 _BYTES = _byte_letters()
-_LOADED: dict[tuple[str, str], LibraryVocabulary] = {}
-
-
-def library_vocabulary(path: str, pattern: str) -> LibraryVocabulary:
-    if (path, pattern) not in _LOADED:
-        _LOADED[(path, pattern)] = LibraryVocabulary(path, pattern)
-    return _LOADED[(path, pattern)]
-
-
 def _tokenize(path: str, pattern: str, capacity: int, end_id: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = library_vocabulary(path, pattern)
+        vocab = LibraryVocabulary(path, pattern)  # a task's own: a worker that goes on to other stages does not keep it
         for batch in slices(batches):
             tokens, crcs = [], []
             for ids in vocab.ids_of(strings(texts_of(batch))):

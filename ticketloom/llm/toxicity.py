@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, mix, sample_by_hash, slices, store, strings, texts_of
+from .common import SLICE_BYTES, Words, mix, sample_by_hash, slices, store, strings, texts_of
 
 # Fixed value: characters that do not belong to a word at its ends.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -269,9 +269,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS,
     return model
 
 
-def _score(names: list[str], model):
+def _score(names: list[str], model, slice_bytes: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, size=slice_bytes):
             score = model.value.score(texts_of(batch)) if model is not None else np.zeros(batch.num_rows)
             made = {"score": pa.array(score), "predicted": pa.array((score >= 0.5).astype(np.int32))}
             yield pa.record_batch([made[n] if n in made else batch.column(n) for n in names], names=names)
@@ -279,10 +279,11 @@ def _score(names: list[str], model):
     return run
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS, max_entries: int = MAX_ENTRIES) -> DataFrame:
-    """The documents with score and predicted. `labels` holds the (doc_id, toxic) rows to learn from."""
+def toxicity(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS, max_entries: int = MAX_ENTRIES, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """The documents with score and predicted. `labels` holds the (doc_id, toxic) rows to learn from;
+    texts are scored `slice_bytes` at a time (less memory, more work on words that slices share)."""
     model = fit(docs, labels, max_per_class, max_entries)
     rest = docs.drop(*OUTPUTS)
     fields = [*rest.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
     shipped = docs.sparkSession.sparkContext.broadcast(model) if model is not None else None
-    return rest.mapInArrow(_score([f.name for f in fields], shipped), T.StructType(fields))
+    return rest.mapInArrow(_score([f.name for f in fields], shipped, slice_bytes), T.StructType(fields))
