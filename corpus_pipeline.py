@@ -31,7 +31,8 @@ def _with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out())
-    return toxicity(docs, labels).where("predicted = 0").select(*docs.columns)
+    # smaller slices: in a pipeline a worker also holds memory of other stages
+    return toxicity(docs, labels, slice_bytes=1 << 20).where("predicted = 0").select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
