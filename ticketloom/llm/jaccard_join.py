@@ -40,6 +40,8 @@ from .components import components
 SHINGLE = 4
 PERCENT = 85
 CLASS_RATIO = 1.6
+#: Bytes of text that a task cuts into n-grams at once.
+SLICE = 2 << 20
 
 
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +137,7 @@ _RUN = ["list", "node", "size", "tag", "head", "edge"]
 
 def _nodes(shingle: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, size=SLICE):
             size, digest = _set_digests(*shingle_sets(texts_of(batch), shingle), batch.num_rows)
             yield pa.record_batch([batch.column("doc_id"), pa.array(size), pa.array(digest.view(np.int64))], names=["doc_id", "n_shingles", "node"])
 
@@ -146,7 +148,7 @@ def _same_set(shingle: int):
     """Keeps the rows whose text has the set that the node stands for (ids may repeat)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, size=SLICE):
             _, digest = _set_digests(*shingle_sets(texts_of(batch), shingle), batch.num_rows)
             yield batch.filter(pa.array(digest.view(np.int64) == np.asarray(batch.column("node"))))
 
@@ -155,7 +157,7 @@ def _same_set(shingle: int):
 
 def _listed(shingle: int, percent: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, size=SLICE):
             owner, grams = shingle_sets(texts_of(batch), shingle)
             size, digest = _set_digests(owner, grams, batch.num_rows)
             text, lists, tags = list_keys(owner, grams, size, percent)
@@ -200,7 +202,7 @@ def _compare(shingle: int, percent: int):
     """Exact sizes of the intersections of (text_a, text_b) pairs."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(slices(batches, "text_a"), "text_b"):
+        for batch in slices(slices(batches, "text_a", SLICE), "text_b", SLICE):
             n = batch.num_rows
             owner, grams = shingle_sets(texts_of(batch, "text_b"), shingle)
             sizes = np.bincount(owner, minlength=n)
