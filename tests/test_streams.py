@@ -180,3 +180,23 @@ def test_readers_open_only_their_partitions(spark, tmp_path):
     # a second write replaces its own days only
     readers.write_observations(rows.where("id = 'tool:x4'").withColumn("id", F.lit("again")), table)
     assert sorted(r["id"] for r in readers.read_observations(spark, table, "tool:x", "2024-01-03 00:00:00", "2024-01-06 00:00:00").collect()) == ["again", "tool:x3", "tool:x5"]
+
+
+def test_all_observations_of_a_name_are_read(spark, tmp_path):
+    """The query names no period: observations of any day, and of none, are its rows."""
+    from ticketloom.plans.queries import QUERIES
+    from ticketloom.sources import readers
+
+    days = ("2023-11-30 23:59:59", "2024-01-04 12:00:00", "2024-01-10 12:00:00", "2024-01-25 12:00:00", "2025-06-01 00:00:00", None)
+    events = [(i, day, i, kind, 1.0, f'{{"k": {i}}}') for kind, first in (("view", 1), ("click", 20)) for i, day in enumerate(days, first)]
+    spark.createDataFrame(events, "event_id bigint, ts string, user_id bigint, event_type string, value double, props string").withColumn(
+        "ts", F.col("ts").cast("timestamp_ntz")).write.parquet(str(tmp_path / "events.parquet"))
+    got = QUERIES["read_observations"](spark, str(tmp_path)).collect()
+    assert sorted((r["trace_id"], r["intent"]) for r in got) == [(str(i), f"intent_{i}") for i in range(1, 7)]
+
+    table = str(tmp_path / "observations")
+    readers.write_observations(spark.createDataFrame([("a", "x", "2020-01-01T00:00:00Z"), ("b", "x", "soon"), ("c", "y", "2020-01-01T00:00:00Z")],
+                                                     "id string, name string, startTime string"), table)
+    assert sorted(r["id"] for r in readers.read_observations(spark, table, "x").collect()) == ["a", "b"]
+    with pytest.raises(ValueError, match="both"):
+        readers.read_observations(spark, table, "x", "2020-01-01")

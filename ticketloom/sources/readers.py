@@ -98,10 +98,15 @@ def write_observations(rows: DataFrame, path: str) -> None:
     _write_laid_out(_timed(rows, "startTime"), path, ["name", "day"])
 
 
-def read_observations(spark: SparkSession, path: str, name: str, start: str, end: str) -> DataFrame:
-    """Observations of one name in a half-open UTC range: one name's days are opened."""
+def read_observations(spark: SparkSession, path: str, name: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Observations of one name in a half-open UTC range: one name's days are opened.
+
+    Without a range all of the name's observations, those whose time can't be read as well.
+    """
+    if (start is None) != (end is None):
+        raise ValueError("a range needs both its start and its end")
     rows = observations_named(_read_laid_out(spark, path, ["name", "day"]), name)
-    return time_slice(rows.where(_days(start, end)), start, end)
+    return rows if start is None else time_slice(rows.where(_days(start, end)), start, end)
 
 
 def traces_by_session(traces: DataFrame, session_id: str) -> DataFrame:
