@@ -396,6 +396,91 @@ def test_jaccard_one_hot_group_and_empty(spark, none, odd):
     assert jaccard_join.drop_copies(odd).count() == odd.count() - 1
 
 
+def edited(base, edits, rnd):
+    text = list(base)
+    for _ in range(edits):
+        text[rnd.randrange(len(text))] = f"edit{rnd.randrange(300)}"
+    return text
+
+
+def test_jaccard_compares_near_copies_by_what_was_changed(spark, monkeypatch):
+    """Near copies that are not linked with the middle of their group once met in pairs: their number grew as the square of the group."""
+    rnd = random.Random(5)
+    base, popular = words(100, 77), [f"new{i}" for i in range(3)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 400):
+        text = edited(base, rnd.choice([1, 2, 3, 3, 4, 4]), rnd)
+        if i % 4 == 0:
+            text[40:43] = popular  # a change that very many of them share
+        if i % 7 == 0:
+            text = edited(rnd.choice(rows)[1].split(), 1, rnd)  # linked through another copy, if at all
+        rows.append((i, " ".join(text)))
+    compared, store = Counter(), jaccard_join.store
+
+    def counted(df, name):
+        kept = store(df, name)
+        compared[name] += kept.count()
+        return kept
+
+    monkeypatch.setattr(jaccard_join, "store", counted)
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_groups(spark.createDataFrame(rows, DOCS).repartition(5)).collect()), key=str)
+    assert got == groups_by_hand(rows)
+    assert len({r[2] for r in got}) > 50 and max(Counter(r[2] for r in got).values()) > 50
+    assert compared["jaccard-verified"] < 12 * len(rows)
+
+
+@pytest.mark.parametrize("percent", [85, 80])
+def test_links_by_difference_are_the_links(spark, percent):
+    """Nodes around a head of their own list: linked pairs of different groups, found without comparing all pairs."""
+    rnd = random.Random(percent)
+    texts, rows, sets = {}, [], {}
+    for h in range(4):
+        base = words(60 + 30 * h, 40 + h)
+        for i in range(45):
+            text = edited(base, rnd.randint(0, 6), rnd)
+            if i % 3 == 0:
+                text += words(rnd.randint(0, 12), 90 + i % 5)
+            if i % 5 == 0:
+                text = text[rnd.randint(0, 9):]
+            node = h * 100 + i
+            texts[node] = " ".join(text)
+            sets[node] = {tuple(text[k:k + 4]) for k in range(len(text) - 3)}
+
+    def distance(a, b):
+        return 1 - len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+
+    def linked(a, b):
+        return 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])
+
+    for node in texts:
+        head = node // 100 * 100
+        if node != head:
+            near = linked(node, head)
+            rows.append((head, node, len(sets[node]), head if near else node, near, distance(node, head)))
+    apart = spark.createDataFrame(rows, "head bigint, node bigint, size int, group bigint, linked boolean, distance double").repartition(3)
+    got = jaccard_join._linked_by_difference(apart, spark.createDataFrame(sorted(texts.items()), "node bigint, text string"), 4, percent)
+    group = {r[1]: r[3] for r in rows}
+    links = {(a, b) for a in group for b in group if a < b and a // 100 == b // 100 and group[a] != group[b] and linked(a, b)}
+    assert len(links) > 20 and {tuple(sorted(r)) for r in got.collect()} == links
+
+
+def test_places_follow_the_order_of_lists_and_nodes():
+    rnd = np.random.default_rng(3)
+    keys = rnd.integers(-4, 4, (500, 2))
+    bounds = np.array(sorted(map(tuple, rnd.integers(-4, 4, (23, 2)).tolist())))
+    got = jaccard_join._places(keys[:, 0], keys[:, 1], (bounds[:, 0], bounds[:, 1]))
+    assert got.tolist() == [sum(tuple(b) <= tuple(k) for b in bounds.tolist()) for k in keys.tolist()]
+    none = np.empty(0, np.int64)
+    assert not jaccard_join._places(keys[:, 0], keys[:, 1], (none, none)).any()
+
+
+def test_jaccard_by_differences_alone(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BRIEF", 1)
+    rows = near_rows()
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_groups(spark.createDataFrame(rows, DOCS).repartition(4)).collect()), key=str)
+    assert got == groups_by_hand(rows)
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101), (7, 7)], "a bigint, b bigint")
     got = {r["node"]: r["component"] for r in components.components(links).collect()}

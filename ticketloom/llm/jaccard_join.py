@@ -8,14 +8,16 @@ block content is equal meet, not all sets that share an n-gram. Positions empty
 nothing; there are a few more positions than k + 1 to make up for them, and a set with too many
 empty ones also lists those. A set near the upper size of its class is listed in the next class too.
 
-Answers from a similar set. In every list the first set is compared with the others exactly. What is
-known of it bounds the rest: Jaccard distance is a metric, so two sets whose distances to the first
-differ by more than the limit are not linked and are skipped. Sets already in one group need no
-comparison at all, and sets that share fewer lists than a link needs are not linked. Only what is left is compared in a second pass. No link between different groups
-is lost, and a group of many copies costs one comparison a member.
-
-Equal sets are one node. Lists are read in sorted runs from range partitions over (list, node), so a
-list of any length is spread over tasks and never held in memory; run heads across partitions are
+Answers from a similar set. In every list a head, the set nearest to the middle, is compared with the
+others exactly. What is known of it bounds the rest: Jaccard distance is a metric, so two sets whose
+distances to the head differ by more than the limit are not linked and are skipped. Sets already in one
+group need no comparison at all, and sets that share fewer lists than a link needs are not linked. In
+short lists what is left is compared in a second pass; in long ones only sets meet that share a rare
+n-gram of their differences from the head, of which linked sets must share some. No link between
+different groups is lost, and a group of many copies costs one comparison a member.
+
+Equal sets are one node. Lists are read in sorted runs from range partitions over (list, node), whose
+borders come from the lists of some texts, so a list of any length is spread over tasks and never held in memory; run heads across partitions are
 compared like other members.
 
 Cases: null, empty and blank texts have an empty set and are their own component; a text with fewer
@@ -40,6 +42,8 @@ from .components import components
 SHINGLE = 4
 PERCENT = 85
 CLASS_RATIO = 1.6
+#: Members of a list up to this length are paired; those of longer ones meet by their differences from its head.
+BRIEF = 32
 #: Bytes of text that a task cuts into n-grams at once.
 SLICE = 2 << 20
 
@@ -155,13 +159,37 @@ def _same_set(shingle: int):
     return run
 
 
-def _listed(shingle: int, percent: int):
+def _places(lists: np.ndarray, nodes: np.ndarray, bounds: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many of the sorted (list, node) bounds are not above each (list, node)."""
+    low, high = (np.searchsorted(bounds[0], lists, side) for side in ("left", "right"))
+    place = high.astype(np.int32)
+    for start in np.unique(low[low < high]).tolist():  # lists that a bound cuts
+        rows = np.flatnonzero((low == start) & (high > start))
+        place[rows] = start + np.searchsorted(bounds[1][start:high[rows[0]]], nodes[rows], "right")
+    return place
+
+
+def _bounds(texts: DataFrame, shingle: int, percent: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(list, node) pairs that cut the index into about equal ranges, from the lists of some of the texts. They decide
+    which task reads a row and nothing else; Spark's own ranges would cut all texts into lists a second time."""
+    some = texts.sample(1 / 16, seed=1).mapInArrow(_listed(shingle, percent), _LISTED).select("list", "node")
+    keys = sorted(map(tuple, some.orderBy(F.rand(1)).limit(64 * parts).collect()))
+    cuts = np.array([keys[len(keys) * i // parts] for i in range(1, parts)] if keys else [], np.int64).reshape(-1, 2)
+    return cuts[:, 0], cuts[:, 1]
+
+
+_LISTED = "list bigint, node bigint, size int, tag int, place int"
+
+
+def _listed(shingle: int, percent: int, bounds: tuple[np.ndarray, np.ndarray] = (np.empty(0, np.int64), np.empty(0, np.int64))):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, size=SLICE):
             owner, grams = shingle_sets(texts_of(batch), shingle)
             size, digest = _set_digests(owner, grams, batch.num_rows)
             text, lists, tags = list_keys(owner, grams, size, percent)
-            yield pa.record_batch([pa.array(lists.view(np.int64)), pa.array(digest[text].view(np.int64)), pa.array(size[text].astype(np.int32)), pa.array(tags.astype(np.int32))], names=_RUN[:4])
+            lists, nodes = lists.view(np.int64), digest[text].view(np.int64)
+            place = _places(lists, nodes, bounds)
+            yield pa.record_batch([*map(pa.array, (lists, nodes, size[text].astype(np.int32), tags.astype(np.int32), place))], names=[*_RUN[:4], "place"])
 
     return run
 
@@ -198,47 +226,130 @@ def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(*(np.array([v]) for v in state[:2]), *(np.array([v], np.int32) for v in state[2:4]), np.array([state[1]]), True)
 
 
+def _paired_sets(batch: pa.RecordBatch, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, n-gram) of the sets of text_a and of text_b."""
+    owner, grams = shingle_sets(texts_of(batch, "text_b"), shingle)
+    # rows come sorted by a: each of its runs is cut into shingles once and repeated per pair
+    a = np.asarray(batch.column("a"))
+    new = np.concatenate([[True], a[1:] != a[:-1]])
+    owner_a, grams_a = shingle_sets(texts_of(batch, "text_a").take(pa.array(np.flatnonzero(new))), shingle)
+    bounds = np.searchsorted(owner_a, np.arange(int(new.sum()) + 1))
+    which = np.cumsum(new) - 1
+    sizes_a = np.diff(bounds)[which]
+    pair = np.repeat(np.arange(batch.num_rows), sizes_a)
+    at = np.arange(len(pair)) - np.repeat(np.cumsum(sizes_a) - sizes_a, sizes_a) + np.repeat(bounds[which], sizes_a)
+    return pair, grams_a[at], owner, grams
+
+
+def _in_pair(grams: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    return mix(grams ^ mix(pair.astype(np.uint64)))
+
+
 def _compare(shingle: int, percent: int):
     """Exact sizes of the intersections of (text_a, text_b) pairs."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(slices(batches, "text_a", SLICE), "text_b", SLICE):
-            n = batch.num_rows
-            owner, grams = shingle_sets(texts_of(batch, "text_b"), shingle)
-            sizes = np.bincount(owner, minlength=n)
-            # rows come sorted by a: each of its runs is cut into shingles once and repeated per pair
-            a = np.asarray(batch.column("a"))
-            new = np.concatenate([[True], a[1:] != a[:-1]])
-            owner_a, grams_a = shingle_sets(texts_of(batch, "text_a").take(pa.array(np.flatnonzero(new))), shingle)
-            bounds = np.searchsorted(owner_a, np.arange(int(new.sum()) + 1))
-            which = np.cumsum(new) - 1
-            sizes_a = np.diff(bounds)[which]
-            pair = np.repeat(np.arange(n), sizes_a)
-            at = np.arange(len(pair)) - np.repeat(np.cumsum(sizes_a) - sizes_a, sizes_a) + np.repeat(bounds[which], sizes_a)
-            both = np.isin(mix(grams ^ mix(owner.astype(np.uint64))), mix(grams_a[at] ^ mix(pair.astype(np.uint64))))
-            shared = np.bincount(owner[both], minlength=n)
+            pair, grams_a, owner, grams = _paired_sets(batch, shingle)
+            sizes_a, sizes = (np.bincount(x, minlength=batch.num_rows) for x in (pair, owner))
+            both = np.isin(_in_pair(grams, owner), _in_pair(grams_a, pair))
+            shared = np.bincount(owner[both], minlength=batch.num_rows)
             union = sizes_a + sizes - shared
             yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(100 * shared >= percent * union), pa.array(1 - shared / np.maximum(union, 1))], names=["a", "b", "linked", "distance"])
 
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(a, b, linked, distance) of pairs of nodes. `texts` has one text per node."""
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """`texts` has one text per node."""
     with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    both = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+    return with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(a, b, linked, distance) of pairs of nodes."""
+    both = _with_texts(pairs, texts).select("a", "b", "text_a", "text_b")
     return store(both.mapInArrow(_compare(shingle, percent), "a bigint, b bigint, linked boolean, distance double"), "jaccard-verified")
 
 
+_APART = ["a", "b", "size", "group", "linked", "distance"]
+
+
+def _differences(shingle: int, percent: int):
+    """The n-grams that only one of (text_a, text_b) has, and how many of the most frequent ones need not be looked at: see `_linked_by_difference`."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(slices(batches, "text_a", SLICE), "text_b", SLICE):
+            pair, grams_a, owner, grams = _paired_sets(batch, shingle)
+            of_a, of_b = _in_pair(grams_a, pair), _in_pair(grams, owner)
+            only_a, only_b = ~np.isin(of_a, of_b), ~np.isin(of_b, of_a)
+            row, gram = np.concatenate([pair[only_a], owner[only_b]]), np.concatenate([grams_a[only_a], grams[only_b]])
+            sizes_a, sizes, differ = (np.bincount(x, minlength=batch.num_rows) for x in (pair, owner, row))
+            shared = (differ * (100 + percent) + (100 - percent) * (sizes_a - sizes)) // (2 * (100 + percent)) + 1
+            rows = batch.select(_APART).take(pa.array(row))
+            yield pa.record_batch([*rows.columns, pa.array((shared - 1)[row].astype(np.int32)), pa.array(gram.view(np.int64))], names=[*_APART, "skip", "gram"])
+
+    return run
+
+
+def _may_link(percent: int):
+    """Whether nodes x and y of one list are in different groups and neither their sizes nor their distances to its head tell them apart."""
+    limit = (100 - percent) / 100 + 1e-9
+    return ((F.col("x_group") != F.col("y_group")) & (F.abs(F.col("x_distance") - F.col("y_distance")) <= limit)
+            & (100 * F.least("x_size", "y_size") >= percent * F.greatest("x_size", "y_size")))
+
+
+def _linked_by_difference(apart: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(a, b) of linked nodes of different groups that were compared with one head h.
+
+    With D(x) the n-grams that only one of x and h has, x and y differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)|
+    n-grams. Of two nodes in different groups one at least, y, is not linked with h. With
+    c = (100 - percent) / (100 + percent), |D(y)| > c (|h| + |y|), and a link asks for at most c (|x| + |y|)
+    differences; so x and y share more than s = (|D(x)| + c (|h| - |x|)) / 2 n-grams of D(x), which is over
+    zero. They share one of the |D(x)| - floor(s) rarest ones of D(x); if neither is linked with h, it is among
+    the rarest of both. So near copies meet by what was changed in both, not by the text they have in common.
+    """
+    pairs = apart.withColumnsRenamed({"head": "a", "node": "b"})
+    made = _with_texts(pairs, texts).select(*_APART, "text_a", "text_b").mapInArrow(
+        _differences(shingle, percent), "a bigint, b bigint, size int, group bigint, linked boolean, distance double, skip int, gram bigint")
+    made = store(made.withColumnsRenamed({"a": "head", "b": "node"}), "jaccard-differences")
+    common = made.groupBy("head", "gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # n-grams that no other node changed are the rarest and meet nothing: ranks are counted from the other end
+    frequent = W.partitionBy("head", "node").orderBy(F.col("n").desc(), F.col("gram").desc())
+    ranked = made.join(common, ["head", "gram"]).withColumn("rare", F.row_number().over(frequent) > F.col("skip")).drop("n", "skip")
+    ranked = store(ranked, "jaccard-ranked")
+    left, right = (rows.select("head", "gram", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "size", "group", "linked", "distance", "rare")])
+                   for s, rows in (("x", ranked.where("rare")), ("y", ranked.where("not linked"))))
+    met = left.join(right, ["head", "gram"]).where((F.col("x_linked") | (F.col("y_rare") & (F.col("x_node") < F.col("y_node")))) & _may_link(percent))
+    met = met.select("head", F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
+    sets = made.groupBy("head", "node", "size").agg(F.collect_list("gram").alias("grams"))
+    for s in "ab":
+        met = met.join(sets.select("head", F.col("node").alias(s), F.col("size").alias(f"size_{s}"), F.col("grams").alias(f"grams_{s}")), ["head", s])
+    differ = F.size("grams_a") + F.size("grams_b") - 2 * F.size(F.array_intersect("grams_a", "grams_b"))
+    linked = (100 + percent) * differ <= (100 - percent) * (F.col("size_a") + F.col("size_b"))
+    return store(met.where(linked).select("a", "b").distinct(), "jaccard-linked")
+
+
+def _central(members: DataFrame) -> DataFrame:
+    """Members of lists with the list's length and a head that stands in many long lists: of near copies of one text,
+    the one nearest to it. So a node has few heads, and most of a group is linked with its head."""
+    lengths = members.groupBy("list").agg(F.count(F.lit(1)).alias("length"))
+    sized = members.join(lengths, "list")
+    weight = sized.groupBy("node").agg(F.sum("length").alias("weight"))
+    heads = sized.select("list", "node").join(weight, "node").groupBy("list").agg(F.max(F.struct("weight", "node"))["node"].alias("head"))
+    return sized.join(heads, "list")
+
+
 def linked_nodes(docs: DataFrame, nodes: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(node, component) over the distinct sets that are linked with another one."""
-    listed = docs.select("text").mapInArrow(_listed(shingle, percent), "list bigint, node bigint, size int, tag int")
-    runs = store(listed.repartitionByRange("list", "node").sortWithinPartitions("list", "node").mapInArrow(
+    texts, parts = docs.select("text"), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    listed = texts.mapInArrow(_listed(shingle, percent, _bounds(texts, shingle, percent, parts)), _LISTED)
+    runs = store(listed.repartitionById(parts, F.col("place")).drop("place").sortWithinPartitions("list", "node").mapInArrow(
         _runs, "list bigint, node bigint, size int, tag int, head bigint, edge boolean"), "jaccard-lists")
     # runs that a partition border cuts: their heads are members of the first head's run
     edges = runs.where("edge").groupBy("list").agg(F.min("node").alias("head"), F.count_distinct("node").alias("n")).where("n > 1").select("list", "head")
     across = runs.where("edge").select("list", "node", "size", "tag").distinct().join(edges, "list")
-    members = store(runs.where("not edge").select(*_RUN[:5]).unionByName(across.select(*_RUN[:5])).distinct(), "jaccard-members")
+    members = store(_central(runs.where("not edge").select(*_RUN[:4]).unionByName(across.select(*_RUN[:4])).distinct()), "jaccard-members")
     pairs = members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
 
     # one document stands for each node that has to be compared
@@ -250,22 +361,19 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, shingle: int = SHINGLE, perc
     groups = components(first.where("linked"))
     labelled = members.join(groups, "node", "left").withColumn("group", F.coalesce("component", "node"))
     open_lists = labelled.groupBy("list").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("list")
-    far = first.select(F.col("a").alias("head"), F.col("b").alias("node"), "distance")
+    far = first.select(F.col("a").alias("head"), F.col("b").alias("node"), "linked", "distance")
     around = labelled.join(open_lists, "list").join(far, ["head", "node"], "left").select(
-        "list", "head", "node", "size", "tag", "group", F.coalesce("distance", F.lit(0.0)).alias("distance"))
+        "list", "length", "head", "node", "size", "tag", "group", "linked", F.coalesce("distance", F.lit(0.0)).alias("distance"))
     around = store(around, "jaccard-open")
     # A linked pair shares at least `need` lists of a class. Each set may therefore leave out its
     # need - 1 longest ones: the shortest list that the pair shares is kept by both.
     kind, need = F.shiftright("tag", 24), F.col("tag").bitwiseAND(0xFFFFFF)
     around = around.withColumns({"class": kind, "need": need})
-    lengths = around.groupBy("list").agg(F.count(F.lit(1)).alias("length"))
     longest = W.partitionBy("node", "class").orderBy(F.col("length").desc(), "list")
-    short = around.join(lengths, "list").withColumn("nth", F.row_number().over(longest)).where("nth >= need")
-    left, right = (short.select("list", "class", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "size", "need", "group", "head", "distance")]) for s in "xy")
-    limit = (100 - percent) / 100 + 1e-9
-    close = (F.col("x_head") != F.col("y_head")) | (F.abs(F.col("x_distance") - F.col("y_distance")) <= limit)
-    near = (left.join(right, ["list", "class"]).where((F.col("x_node") < F.col("y_node")) & (F.col("x_group") != F.col("y_group")) & close
-                                                      & (100 * F.least("x_size", "y_size") >= percent * F.greatest("x_size", "y_size")))
+    short = store(around.withColumn("nth", F.row_number().over(longest)).where("nth >= need").drop("tag", "nth"), "jaccard-short")
+    brief = short.where(F.col("length") <= BRIEF)
+    left, right = (brief.select("list", "class", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "size", "need", "group", "distance")]) for s in "xy")
+    near = (left.join(right, ["list", "class"]).where((F.col("x_node") < F.col("y_node")) & _may_link(percent))
             .groupBy("class", F.col("x_node").alias("a"), F.col("y_node").alias("b")).agg(F.max(F.greatest("x_need", "y_need")).alias("need")))
     of_node = around.groupBy("node", "class").agg(F.collect_set("list").alias("lists"))
     both = near.join(of_node.select(F.col("node").alias("a"), "class", F.col("lists").alias("lists_a")), ["a", "class"]).join(
@@ -273,8 +381,9 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, shingle: int = SHINGLE, perc
     rest = both.where(F.size(F.array_intersect("lists_a", "lists_b")) >= F.col("need")).select("a", "b").distinct()
     rest = rest.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     second = _verified(rest, texts, shingle, percent)
-    links = first.where("linked").select("a", "b").unionByName(second.where("linked").select("a", "b"))
-    return components(links)
+    apart = short.where((F.col("length") > BRIEF) & (F.col("node") != F.col("head"))).select("head", "node", "size", "group", "linked", "distance").distinct()
+    third = _linked_by_difference(apart, texts, shingle, percent)
+    return components(first.where("linked").select("a", "b").unionByName(second.where("linked").select("a", "b")).unionByName(third))
 
 
 def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
