@@ -13,8 +13,9 @@ others exactly. What is known of it bounds the rest: Jaccard distance is a metri
 distances to the head differ by more than the limit are not linked and are skipped. Sets already in one
 group need no comparison at all, and sets that share fewer lists than a link needs are not linked. In
 short lists what is left is compared in a second pass; in long ones only sets meet that share a rare
-n-gram of their differences from the head, of which linked sets must share some. No link between
-different groups is lost, and a group of many copies costs one comparison a member.
+n-gram of their differences from a hub, of which linked sets must share some. The hub is the head or a
+head linked with it that stands in more and longer lists, so most sets have one hub for all their long
+lists. No link between different groups is lost, and a group of many copies costs one comparison a member.
 
 Equal sets are one node. Lists are read in sorted runs from range partitions over (list, node), whose
 borders come from the lists of some texts, so a list of any length is spread over tasks and never held in memory; run heads across partitions are
@@ -272,11 +273,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return store(both.mapInArrow(_compare(shingle, percent), "a bigint, b bigint, linked boolean, distance double"), "jaccard-verified")
 
 
-_APART = ["a", "b", "size", "group", "linked", "distance"]
+_APART = ["a", "b", "size", "group", "known"]
 
 
 def _differences(shingle: int, percent: int):
-    """The n-grams that only one of (text_a, text_b) has, and how many of the most frequent ones need not be looked at: see `_linked_by_difference`."""
+    """The n-grams that only one of (text_a, text_b) has, whether the two are linked, and how many of the most frequent ones need not be looked at: see `_linked_by_difference`."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(slices(batches, "text_a", SLICE), "text_b", SLICE):
@@ -286,8 +287,11 @@ def _differences(shingle: int, percent: int):
             row, gram = np.concatenate([pair[only_a], owner[only_b]]), np.concatenate([grams_a[only_a], grams[only_b]])
             sizes_a, sizes, differ = (np.bincount(x, minlength=batch.num_rows) for x in (pair, owner, row))
             shared = (differ * (100 + percent) + (100 - percent) * (sizes_a - sizes)) // (2 * (100 + percent)) + 1
+            union = (sizes_a + sizes + differ) // 2
+            linked, distance = 100 * (union - differ) >= percent * union, differ / np.maximum(union, 1)
             rows = batch.select(_APART).take(pa.array(row))
-            yield pa.record_batch([*rows.columns, pa.array((shared - 1)[row].astype(np.int32)), pa.array(gram.view(np.int64))], names=[*_APART, "skip", "gram"])
+            yield pa.record_batch([*rows.columns, *(pa.array(v[row]) for v in (linked, distance, (shared - 1).astype(np.int32))), pa.array(gram.view(np.int64))],
+                                  names=[*_APART, "linked", "distance", "skip", "gram"])
 
     return run
 
@@ -300,23 +304,24 @@ def _may_link(percent: int):
 
 
 def _linked_by_difference(apart: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(a, b) of linked nodes of different groups that were compared with one head h.
+    """(a, b) of linked nodes of different groups that meet at one head h, where `linked` tells which nodes are known to
+    be linked with h. A node that turns out to be linked with h gives its link with h, too.
 
     With D(x) the n-grams that only one of x and h has, x and y differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)|
-    n-grams. Of two nodes in different groups one at least, y, is not linked with h. With
+    n-grams. Nodes linked with h are in one group; of two others one at least, y, is not linked with h. With
     c = (100 - percent) / (100 + percent), |D(y)| > c (|h| + |y|), and a link asks for at most c (|x| + |y|)
     differences; so x and y share more than s = (|D(x)| + c (|h| - |x|)) / 2 n-grams of D(x), which is over
     zero. They share one of the |D(x)| - floor(s) rarest ones of D(x); if neither is linked with h, it is among
     the rarest of both. So near copies meet by what was changed in both, not by the text they have in common.
     """
-    pairs = apart.withColumnsRenamed({"head": "a", "node": "b"})
+    pairs = apart.withColumnsRenamed({"head": "a", "node": "b", "linked": "known"})
     made = _with_texts(pairs, texts).select(*_APART, "text_a", "text_b").mapInArrow(
-        _differences(shingle, percent), "a bigint, b bigint, size int, group bigint, linked boolean, distance double, skip int, gram bigint")
+        _differences(shingle, percent), "a bigint, b bigint, size int, group bigint, known boolean, linked boolean, distance double, skip int, gram bigint")
     made = store(made.withColumnsRenamed({"a": "head", "b": "node"}), "jaccard-differences")
     common = made.groupBy("head", "gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # n-grams that no other node changed are the rarest and meet nothing: ranks are counted from the other end
     frequent = W.partitionBy("head", "node").orderBy(F.col("n").desc(), F.col("gram").desc())
-    ranked = made.join(common, ["head", "gram"]).withColumn("rare", F.row_number().over(frequent) > F.col("skip")).drop("n", "skip")
+    ranked = made.join(common, ["head", "gram"]).withColumn("rare", F.row_number().over(frequent) > F.col("skip")).drop("n", "skip", "known")
     ranked = store(ranked, "jaccard-ranked")
     left, right = (rows.select("head", "gram", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "size", "group", "linked", "distance", "rare")])
                    for s, rows in (("x", ranked.where("rare")), ("y", ranked.where("not linked"))))
@@ -327,17 +332,28 @@ def _linked_by_difference(apart: DataFrame, texts: DataFrame, shingle: int, perc
         met = met.join(sets.select("head", F.col("node").alias(s), F.col("size").alias(f"size_{s}"), F.col("grams").alias(f"grams_{s}")), ["head", s])
     differ = F.size("grams_a") + F.size("grams_b") - 2 * F.size(F.array_intersect("grams_a", "grams_b"))
     linked = (100 + percent) * differ <= (100 - percent) * (F.col("size_a") + F.col("size_b"))
-    return store(met.where(linked).select("a", "b").distinct(), "jaccard-linked")
+    to_head = made.where("linked and not known").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    return store(met.where(linked).select("a", "b").unionByName(to_head).distinct(), "jaccard-linked")
 
 
 def _central(members: DataFrame) -> DataFrame:
     """Members of lists with the list's length and a head that stands in many long lists: of near copies of one text,
-    the one nearest to it. So a node has few heads, and most of a group is linked with its head."""
+    the one nearest to it. So a node has few heads, and most of a group is linked with its head. `weight` is the head's."""
     lengths = members.groupBy("list").agg(F.count(F.lit(1)).alias("length"))
     sized = members.join(lengths, "list")
     weight = sized.groupBy("node").agg(F.sum("length").alias("weight"))
-    heads = sized.select("list", "node").join(weight, "node").groupBy("list").agg(F.max(F.struct("weight", "node"))["node"].alias("head"))
-    return sized.join(heads, "list")
+    heads = sized.select("list", "node").join(weight, "node").groupBy("list").agg(F.max(F.struct("weight", "node")).alias("top"))
+    return sized.join(heads.select("list", F.col("top.node").alias("head"), F.col("top.weight").alias("weight")), "list")
+
+
+def _hubs(members: DataFrame, first: DataFrame) -> DataFrame:
+    """(head, weight, hub) of every head: the heaviest head that it is linked with, where heavier than itself. A hub stands
+    in none of the lists whose head it replaces, or it would be their head. Nearly all near copies of one text have one hub."""
+    weights = members.select("head", "weight").distinct()
+    own = weights.select("head", F.struct("weight", F.col("head").alias("hub")).alias("top"))
+    over = first.where("linked").select(F.col("a").alias("hub"), F.col("b").alias("head")).join(weights.withColumnRenamed("head", "hub"), "hub")
+    over = over.join(weights.select("head"), "head", "left_semi").select("head", F.struct("weight", "hub").alias("top"))
+    return own.unionByName(over).groupBy("head").agg(F.max("top").alias("top")).select("head", "top.weight", "top.hub")
 
 
 def linked_nodes(docs: DataFrame, nodes: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -362,15 +378,17 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, shingle: int = SHINGLE, perc
     labelled = members.join(groups, "node", "left").withColumn("group", F.coalesce("component", "node"))
     open_lists = labelled.groupBy("list").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("list")
     far = first.select(F.col("a").alias("head"), F.col("b").alias("node"), "linked", "distance")
-    around = labelled.join(open_lists, "list").join(far, ["head", "node"], "left").select(
-        "list", "length", "head", "node", "size", "tag", "group", "linked", F.coalesce("distance", F.lit(0.0)).alias("distance"))
+    around = labelled.drop("weight").join(open_lists, "list").join(far, ["head", "node"], "left").join(_hubs(members, first), "head").select(
+        "list", "length", "head", "hub", "weight", "node", "size", "tag", "group", F.coalesce("distance", F.lit(0.0)).alias("distance"))
     around = store(around, "jaccard-open")
-    # A linked pair shares at least `need` lists of a class. Each set may therefore leave out its
-    # need - 1 longest ones: the shortest list that the pair shares is kept by both.
+    # A linked pair shares at least `need` lists of a class. In any order of all lists, each set may therefore
+    # leave out its first need - 1: the last list that the pair shares is kept by both. Long lists come first, those
+    # of the lightest hubs before others, so that a set is left with few hubs; then the longest of the short ones.
     kind, need = F.shiftright("tag", 24), F.col("tag").bitwiseAND(0xFFFFFF)
     around = around.withColumns({"class": kind, "need": need})
-    longest = W.partitionBy("node", "class").orderBy(F.col("length").desc(), "list")
-    short = store(around.withColumn("nth", F.row_number().over(longest)).where("nth >= need").drop("tag", "nth"), "jaccard-short")
+    is_long = F.col("length") > BRIEF
+    dearest = W.partitionBy("node", "class").orderBy(is_long.desc(), F.when(is_long, F.struct("weight", "hub")), F.col("length").desc(), "list")
+    short = store(around.withColumn("nth", F.row_number().over(dearest)).where("nth >= need").drop("tag", "nth"), "jaccard-short")
     brief = short.where(F.col("length") <= BRIEF)
     left, right = (brief.select("list", "class", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "size", "need", "group", "distance")]) for s in "xy")
     near = (left.join(right, ["list", "class"]).where((F.col("x_node") < F.col("y_node")) & _may_link(percent))
@@ -381,7 +399,8 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, shingle: int = SHINGLE, perc
     rest = both.where(F.size(F.array_intersect("lists_a", "lists_b")) >= F.col("need")).select("a", "b").distinct()
     rest = rest.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     second = _verified(rest, texts, shingle, percent)
-    apart = short.where((F.col("length") > BRIEF) & (F.col("node") != F.col("head"))).select("head", "node", "size", "group", "linked", "distance").distinct()
+    apart = short.where((F.col("length") > BRIEF) & (F.col("node") != F.col("head"))).select(F.col("hub").alias("head"), "node", "size", "group").distinct()
+    apart = apart.join(far.where("linked").select("head", "node", "linked"), ["head", "node"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
     third = _linked_by_difference(apart, texts, shingle, percent)
     return components(first.where("linked").select("a", "b").unionByName(second.where("linked").select("a", "b")).unionByName(third))
 
