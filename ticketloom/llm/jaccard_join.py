@@ -376,9 +376,10 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, shingle: int = SHINGLE, perc
     first = _verified(pairs, texts, shingle, percent)
     groups = components(first.where("linked"))
     labelled = members.join(groups, "node", "left").withColumn("group", F.coalesce("component", "node"))
-    open_lists = labelled.groupBy("list").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("list")
+    open_lists = labelled.groupBy("list").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.min("head").alias("head")).where("lo <> hi")
+    open_lists = open_lists.select("list", "head").join(_hubs(members, first), "head")  # one row per list: a head of very many members is no hot key
     far = first.select(F.col("a").alias("head"), F.col("b").alias("node"), "linked", "distance")
-    around = labelled.drop("weight").join(open_lists, "list").join(far, ["head", "node"], "left").join(_hubs(members, first), "head").select(
+    around = labelled.drop("head", "weight").join(open_lists, "list").join(far, ["head", "node"], "left").select(
         "list", "length", "head", "hub", "weight", "node", "size", "tag", "group", F.coalesce("distance", F.lit(0.0)).alias("distance"))
     around = store(around, "jaccard-open")
     # A linked pair shares at least `need` lists of a class. In any order of all lists, each set may therefore
