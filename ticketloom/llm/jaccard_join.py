@@ -277,21 +277,24 @@ _APART = ["a", "b", "size", "group", "known"]
 
 
 def _differences(shingle: int, percent: int):
-    """The n-grams that only one of (text_a, text_b) has, whether the two are linked, and how many of the most frequent ones need not be looked at: see `_linked_by_difference`."""
+    """Per pair the n-grams that only one of (text_a, text_b) has, those of b first (the last `gone` are those of a), whether the
+    two are linked, and how many of the last ones in order need not be looked at: see `_linked_by_difference`."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(slices(batches, "text_a", SLICE), "text_b", SLICE):
             pair, grams_a, owner, grams = _paired_sets(batch, shingle)
             of_a, of_b = _in_pair(grams_a, pair), _in_pair(grams, owner)
             only_a, only_b = ~np.isin(of_a, of_b), ~np.isin(of_b, of_a)
-            row, gram = np.concatenate([pair[only_a], owner[only_b]]), np.concatenate([grams_a[only_a], grams[only_b]])
-            sizes_a, sizes, differ = (np.bincount(x, minlength=batch.num_rows) for x in (pair, owner, row))
-            shared = (differ * (100 + percent) + (100 - percent) * (sizes_a - sizes)) // (2 * (100 + percent)) + 1
+            row, gram = np.concatenate([owner[only_b], pair[only_a]]), np.concatenate([grams[only_b], grams_a[only_a]])
+            sizes_a, sizes, differ, gone = (np.bincount(x, minlength=batch.num_rows) for x in (pair, owner, row, pair[only_a]))
             union = (sizes_a + sizes + differ) // 2
             linked, distance = 100 * (union - differ) >= percent * union, differ / np.maximum(union, 1)
-            rows = batch.select(_APART).take(pa.array(row))
-            yield pa.record_batch([*rows.columns, *(pa.array(v[row]) for v in (linked, distance, (shared - 1).astype(np.int32))), pa.array(gram.view(np.int64))],
-                                  names=[*_APART, "linked", "distance", "skip", "gram"])
+            half = (differ * (100 + percent) + (100 - percent) * (sizes_a - sizes)) // (2 * (100 + percent))
+            far = np.maximum(differ - (100 - percent) * (sizes + 100 * sizes // percent) // (100 + percent) - 1, 0)
+            skip = np.maximum(half, far)
+            made = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(differ)]), pa.int32()), pa.array(gram[np.argsort(row, kind="stable")].view(np.int64)))
+            yield pa.record_batch([*batch.select(_APART).columns, pa.array(linked), pa.array(distance), *(pa.array(v.astype(np.int32)) for v in (skip, np.where(linked, skip, far), gone)), made],
+                                  names=[*_APART, "linked", "distance", "skip", "least", "gone", "grams"])
 
     return run
 
@@ -303,6 +306,18 @@ def _may_link(percent: int):
             & (100 * F.least("x_size", "y_size") >= percent * F.greatest("x_size", "y_size")))
 
 
+def _offered(made: DataFrame) -> DataFrame:
+    """One row per n-gram that another node may have to meet: all that a node has and its head has not; what it lacks, if some
+    of that is looked at for any partner, or, for partners linked with the head only, what such partners offer of that."""
+    new = F.size("grams") - F.col("gone")
+    lacked = F.slice("grams", new + 1, F.col("gone"))
+    wanted = made.where("linked and gone > skip").select("head", F.explode(lacked).alias("gram")).groupBy("head").agg(F.collect_set("gram").alias("wanted"))
+    some = F.when((F.col("gone") > F.col("least")) & F.col("wanted").isNotNull(), F.array_intersect(lacked, "wanted")).otherwise(F.array().cast("array<bigint>"))
+    shown = F.when(F.col("gone") > F.col("skip"), F.col("grams")).otherwise(F.concat(F.slice("grams", F.lit(1), new), some))
+    rows = made.join(wanted, "head", "left").select(*[c for c in made.columns if c not in ("grams", "known")], new.alias("new"), F.posexplode(shown).alias("place", "gram"))
+    return rows.withColumn("lacks", F.col("place") >= F.col("new")).drop("new", "place")
+
+
 def _linked_by_difference(apart: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(a, b) of linked nodes of different groups that meet at one head h, where `linked` tells which nodes are known to
     be linked with h. A node that turns out to be linked with h gives its link with h, too.
@@ -311,25 +326,32 @@ def _linked_by_difference(apart: DataFrame, texts: DataFrame, shingle: int, perc
     n-grams. Nodes linked with h are in one group; of two others one at least, y, is not linked with h. With
     c = (100 - percent) / (100 + percent), |D(y)| > c (|h| + |y|), and a link asks for at most c (|x| + |y|)
     differences; so x and y share more than s = (|D(x)| + c (|h| - |x|)) / 2 n-grams of D(x), which is over
-    zero. They share one of the |D(x)| - floor(s) rarest ones of D(x); if neither is linked with h, it is among
-    the rarest of both. So near copies meet by what was changed in both, not by the text they have in common.
+    zero. D(x) and D(y) differ where x and y do, and |x| <= 100 |y| / percent, so they share at least
+    |D(y)| - c (|x| + |y|) of D(y) as well, whoever is linked with h. In any order of the n-grams of a head, each
+    node may leave out its last ones, one fewer than it shares: the first n-gram that the pair shares is kept by both.
+
+    What a node has and h has not comes first, then what it lacks, the rarest first in either. Few nodes have the
+    former in common, and D(x) without them is mostly no more than may be left out; only nodes for which it is more
+    offer what they lack, and others what they lack of that. So near copies meet by what was changed in both, not by
+    the text they have in common.
     """
     pairs = apart.withColumnsRenamed({"head": "a", "node": "b", "linked": "known"})
     made = _with_texts(pairs, texts).select(*_APART, "text_a", "text_b").mapInArrow(
-        _differences(shingle, percent), "a bigint, b bigint, size int, group bigint, known boolean, linked boolean, distance double, skip int, gram bigint")
+        _differences(shingle, percent), "a bigint, b bigint, size int, group bigint, known boolean, linked boolean, distance double, skip int, least int, gone int, grams array<bigint>")
     made = store(made.withColumnsRenamed({"a": "head", "b": "node"}), "jaccard-differences")
-    common = made.groupBy("head", "gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    # n-grams that no other node changed are the rarest and meet nothing: ranks are counted from the other end
-    frequent = W.partitionBy("head", "node").orderBy(F.col("n").desc(), F.col("gram").desc())
-    ranked = made.join(common, ["head", "gram"]).withColumn("rare", F.row_number().over(frequent) > F.col("skip")).drop("n", "skip", "known")
+    offered = _offered(made)
+    common = offered.groupBy("head", "gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # n-grams that no other node changed are the rarest and meet nothing: places are counted from the other end
+    frequent = W.partitionBy("head", "node", "lacks").orderBy(F.col("n").desc(), F.col("gram").desc())
+    ranked = offered.join(common, ["head", "gram"]).withColumn("from_end", F.row_number().over(frequent) + F.when(F.col("lacks"), 0).otherwise(F.col("gone")))
+    ranked = ranked.where("from_end > least or lacks and gone <= skip").withColumn("rare", F.col("from_end") > F.col("skip")).drop("n", "skip", "least", "gone", "lacks", "from_end")
     ranked = store(ranked, "jaccard-ranked")
     left, right = (rows.select("head", "gram", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "size", "group", "linked", "distance", "rare")])
                    for s, rows in (("x", ranked.where("rare")), ("y", ranked.where("not linked"))))
     met = left.join(right, ["head", "gram"]).where((F.col("x_linked") | (F.col("y_rare") & (F.col("x_node") < F.col("y_node")))) & _may_link(percent))
     met = met.select("head", F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
-    sets = made.groupBy("head", "node", "size").agg(F.collect_list("gram").alias("grams"))
     for s in "ab":
-        met = met.join(sets.select("head", F.col("node").alias(s), F.col("size").alias(f"size_{s}"), F.col("grams").alias(f"grams_{s}")), ["head", s])
+        met = met.join(made.select("head", F.col("node").alias(s), F.col("size").alias(f"size_{s}"), F.col("grams").alias(f"grams_{s}")), ["head", s])
     differ = F.size("grams_a") + F.size("grams_b") - 2 * F.size(F.array_intersect("grams_a", "grams_b"))
     linked = (100 + percent) * differ <= (100 - percent) * (F.col("size_a") + F.col("size_b"))
     to_head = made.where("linked and not known").select(F.col("head").alias("a"), F.col("node").alias("b"))
