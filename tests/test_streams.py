@@ -114,6 +114,89 @@ def test_ticket_facts_outlive_the_timer(spark, tmp_path):
     assert (last["turn_count"], last["reopen_lifetime"], last["reopen_within_7d"]) == (3, 2, 1)
 
 
+class FakeHandle:
+    """State and timers of one key in dictionaries; counts what is written."""
+
+    def __init__(self):
+        self.timers, self.writes = [], 0
+
+    def state(self, *_):
+        handle, rows = self, {}
+
+        class State:
+            def get(self, key=None):
+                return rows.get(key)
+
+            def update(self, value, key=None):
+                handle.writes += 1
+                rows[key] = value
+
+            def updateValue(self, key, value):  # noqa: N802
+                self.update(value, key)
+
+            getValue, removeKey, values = get, lambda self, key: rows.pop(key), rows.values  # noqa: N815
+
+        return State()
+
+    getValueState = getMapState = state  # noqa: N815
+
+    def listTimers(self):  # noqa: N802
+        return iter(self.timers)
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.append(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.remove(at)
+
+
+def test_a_shard_of_tickets_is_one_key_and_a_batch_writes_the_pages_it_touches(monkeypatch):
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pandas as pd
+
+    monkeypatch.setattr(streams.TicketState, "PAGE", 8)
+    monkeypatch.setattr(streams.TicketState, "KEPT", 3)
+    rng, hour, week = np.random.default_rng(5), 3600 * 1_000_000, streams.REOPEN_US
+    n = 2500  # tickets get 0 to about 20 traces, some of them the same one twice; turns do not follow the time
+    rows = pd.DataFrame({"session_id": [str(i) for i in rng.integers(0, 300, n)], "trace_id": [str(i) for i in rng.integers(0, 2000, n)], "turn": rng.integers(0, 6, n),
+                         "us": rng.integers(0, 400, n) * hour, "is_ai": rng.random(n) < 0.4, "is_transfer": rng.random(n) < 0.1})
+    rows.loc[0, "session_id"] = None
+    handle, state, now = FakeHandle(), streams.TicketState(), SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)
+    state.init(handle)
+    out = pd.concat([f for i in range(0, n, 100) for f in state.handleInputRows((1,), iter([rows[i:i + 60], rows[i + 60:i + 100]]), now)], ignore_index=True)
+
+    def facts(traces):
+        traces = [([t.turn, t.us, t.trace_id], t.is_ai, t.is_transfer) for t in traces.itertuples()]
+        first, last = min(t[0] for t in traces), max(traces, key=lambda t: t[0])[0]
+        deciding = min((t[0] for t in traces if t[1] or t[2]), default=None)
+        by_ai = [t[1] for t in traces if t[0] == deciding][:1] == [True]
+        replies, ended = sum(t[1] for t in traces), [t[1] for t in traces if t[0] == last][-1]
+        again = deciding is not None and any(t[0] > deciding and first[1] < t[0][1] <= first[1] + week for t in traces)
+        outcome = "unclassified" if deciding is None else "direct_cs" if not by_ai else "ai_then_cs" if any(t[2] for t in traces) else "ai_end_to_end"
+        return by_ai, outcome, replies - ended if by_ai else None, int(again) if by_ai else None, replies, len(traces)
+
+    def latest(frame):
+        return {None if pd.isna(r[1]) else r[1]: tuple(None if pd.isna(v) else v for v in r[2:]) for r in frame.itertuples()}
+
+    want = {sid: facts(part) for sid, part in rows.groupby(rows["session_id"].fillna("none"))}
+    want[None] = want.pop("none")
+    assert latest(out) == want
+    # one more trace of one ticket: its page and the index, not the shard
+    handle.writes = 0
+    more = pd.DataFrame({"session_id": ["7"], "trace_id": ["x"], "turn": [9], "us": [0], "is_ai": [True], "is_transfer": [False]})
+    got = pd.concat(state.handleInputRows((1,), iter([more]), now))
+    assert handle.writes == 2 and list(got["turn_count"]) == [want["7"][-1] + 1]
+    # all tickets are closed at their time and shown once more; the kept places go, the facts stay
+    assert len(handle.timers) == 1
+    done = SimpleNamespace(getCurrentWatermarkInMs=lambda: (400 * hour + week) // 1000 + 2)
+    closed = pd.concat(state.handleExpiredTimer((1,), done, None))
+    assert latest(closed) == {**want, "7": latest(got)["7"]} and not list(state.stored_places.values())
+    late = more.assign(us=[800 * hour], turn=[10], trace_id=["y"])
+    assert latest(pd.concat(state.handleInputRows((1,), iter([late]), done)))["7"][3:] == (latest(got)["7"][3], latest(got)["7"][4] + 1, latest(got)["7"][5] + 1)
+
+
 def test_publish_run_refuses_raw_payloads(spark, tmp_path):
     root = str(tmp_path / "runs")
     good = spark.createDataFrame([(1, "x")], "n int, label string")
