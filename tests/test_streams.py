@@ -283,3 +283,15 @@ def test_all_observations_of_a_name_are_read(spark, tmp_path):
     assert sorted(r["id"] for r in readers.read_observations(spark, table, "x").collect()) == ["a", "b"]
     with pytest.raises(ValueError, match="both"):
         readers.read_observations(spark, table, "x", "2020-01-01")
+
+
+def test_ids_before_the_period_are_no_repeats(spark):
+    from ticketloom.sources import readers
+
+    rows = [("1", "2024-01-01 00:00:00"), ("1", "2024-01-08 00:00:00"), ("2", "2024-01-09 00:00:00"), ("3", "2024-01-07 23:59:59"), ("x", "2024-01-07 00:00:00")]
+    made = lambda r: spark.createDataFrame(r, "ticket_id string, created_ts string").withColumn("created_ts", F.col("created_ts").cast("timestamp_ntz"))
+    read = lambda r: sorted(t["ticket_id"] for t in readers.read_helpdesk_tickets(made(r), "2024-01-08 00:00:00").collect())
+    assert read(rows) == ["1", "2"]
+    for broken in (("2", "2024-01-10 00:00:00"), ("x", "2024-01-10 00:00:00")):
+        with pytest.raises(Exception, match="malformed or repeated"):
+            read([*rows, broken])
