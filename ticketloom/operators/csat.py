@@ -67,11 +67,11 @@ def satisfaction_bucket(rows: DataFrame, scales: dict[str, dict[str, tuple[int,
 
 
 def responses(rows: DataFrame, scales: dict) -> DataFrame:
-    """Stored response: hashed key, bucket and redacted comment; the raw text is dropped."""
-    bucketed = satisfaction_bucket(rows, scales)
-    return bucketed.select(
+    """Stored response: hashed key, bucket and redacted comment; the raw text is dropped before the first join."""
+    redacted = rows.select("source_id", "ticket_id", "survey_id", "responded_ts", "rating", X.redact_comment(F.col("feedback")).alias("comment_redacted"))
+    return satisfaction_bucket(redacted, scales).select(
         X.response_key(F.col("source_id")).alias("response_key"), "ticket_id", "survey_id", "responded_ts",
-        F.col("rating").alias("rating_raw"), "satisfaction_bucket", X.redact_comment(F.col("feedback")).alias("comment_redacted"))
+        F.col("rating").alias("rating_raw"), "satisfaction_bucket", "comment_redacted")
 
 
 def csat_to_tickets(answers: DataFrame, sessions: DataFrame) -> DataFrame:

@@ -91,8 +91,9 @@ csd AS (
 )"""
 
 
-@Fx.plan_once
+@Fx.stored_once
 def answers(spark, d):
+    """Answers with their comment: texts are redacted once, not again for every pass of a report."""
     return csat.responses(Fx.csat(spark, d), Fx.AGENT_CONFIG)
 
 
