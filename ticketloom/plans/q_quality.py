@@ -12,6 +12,7 @@ from ..functions import text as X
 from ..functions import timefns as T
 from ..functions import variants as V
 from ..operators import csat, enrich, explorer, ingest, quality, reopen, scores, segments, weekly
+from ..session import written
 from ..streaming import incremental
 from ..window import ntz
 from . import fixtures as Fx
@@ -188,8 +189,10 @@ _CSAT_CHECKS = _check_rows(f"({ORACLE['csat_weekly']}) w", "concat(week_definiti
 
 
 def _csat_inputs(spark, d):
-    rows = S.matched(spark, d)
-    return csat.csat_weekly(rows), csat.feedback_entries(csat.csat_to_tickets(S.answers(spark, d), enriched(spark, d))), rows
+    """The report, the comments and the matched answers, each written: every check reads them again."""
+    rows = written(S.matched(spark, d), "csat-matched")
+    feedback = csat.feedback_entries(csat.csat_to_tickets(S.answers(spark, d), enriched(spark, d)))
+    return written(csat.csat_weekly(rows), "csat-weekly"), written(feedback, "csat-feedback"), rows
 
 
 @query("csat_checks", _CSAT_CHECKS)
